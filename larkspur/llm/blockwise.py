@@ -1,0 +1,34 @@
+"""Searching a table with a query set of its own rows, block by block.
+
+Vectors are dealt to shards of bounded size by a hash of their id, queries to
+blocks of bounded size; each (shard, block) pair is one task that returns at most
+k rows per query, and the k best of all shards are the answer. Nothing is
+broadcast, and a task's memory depends on the two bounds alone. Whatever a
+search's own index is, it is built inside the shard.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Rows of a shard and queries of a block, at most about.
+SHARD_ROWS = 1 << 17
+BLOCK_QUERIES = 1 << 15
+LEAST_SHARDS = 8
+
+
+def search(rows: DataFrame, queries: DataFrame, local, found: str, k: int, best: list, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The ``k`` best rows of each query under the order ``best``.
+
+    ``rows`` has vec_id and payload, ``queries`` query_id and payload; ``local``
+    gets the pandas frames (queries of a block, rows of a shard) and returns rows of
+    schema ``found``, at most k for each query, which must hold the shard's best.
+    """
+    shards = max(LEAST_SHARDS, -(-rows.count() // shard_rows))
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
+    near = asked.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInPandas(local, found)
+    by_query = Window.partitionBy("query_id").orderBy(*best)
+    return near.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
