@@ -35,8 +35,9 @@ EPOCHS = 12
 COST = 4.0
 #: Steepness of the squashed margins in the score.
 STEEPNESS = 3.0
-#: Documents of a lower score are rejected by ``keep_known``.
-MIN_SCORE = 0.5
+#: Documents of a lower score are rejected by ``keep_known``: the score of a text that
+#: decides nothing, half sure of its family and half sure of its language.
+MIN_SCORE = 0.25
 UNKNOWN = "und"
 #: Code points hashed at a time.
 CHUNK = 1 << 20
