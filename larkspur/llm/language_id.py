@@ -92,23 +92,27 @@ def features(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray | Non
     return np.sqrt(counts / counts.sum()).astype(np.float32) if some else None
 
 
-def train(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> np.ndarray:
-    """Weights (last one: the bias) of an SVM with squared hinge loss; y is +1 or -1.
+def with_bias(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x, np.ones((len(x), 1), np.float32)])
 
-    Dual coordinate descent; each class weighs the same whatever its size.
+
+def train(x: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> np.ndarray:
+    """Weights of an SVM with squared hinge loss over some rows of x; y is +1 or -1.
+
+    The last column of x is constant, its weight the bias. Dual coordinate descent; each
+    class weighs the same whatever its size. Rows are read in place, none is copied.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     share = np.where(y > 0, (y > 0).sum(), (y < 0).sum())
     diagonal = share / (cost * len(y))
-    norm = (x * x).sum(axis=1) + diagonal
+    norm = np.array([x[r] @ x[r] for r in rows], dtype=np.float64) + diagonal
     alpha, w = np.zeros(len(y)), np.zeros(x.shape[1])
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(y)):
-            gradient = y[i] * (x[i] @ w) - 1 + diagonal[i] * alpha[i]
+            gradient = y[i] * (x[rows[i]] @ w) - 1 + diagonal[i] * alpha[i]
             new = max(alpha[i] - gradient / norm[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += (new - alpha[i]) * y[i] * x[rows[i]]
                 alpha[i] = new
     return w.astype(np.float32)
 
@@ -116,14 +120,14 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, cost: float = COST
 class OneVersusOne:
     """A linear SVM for each pair of classes; the summed squashed margins decide."""
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray):
+    def __init__(self, x: np.ndarray, rows: np.ndarray, labels: np.ndarray):
         self.classes = sorted(set(labels))
         self.pairs = list(combinations(range(len(self.classes)), 2))
-        rows = []
+        weights = []
         for a, b in self.pairs:
             mine = np.isin(labels, [self.classes[a], self.classes[b]])
-            rows.append(train(x[mine], np.where(labels[mine] == self.classes[a], 1.0, -1.0)))
-        self.weights = np.stack(rows) if rows else np.zeros((0, x.shape[1] + 1), np.float32)
+            weights.append(train(x, rows[mine], np.where(labels[mine] == self.classes[a], 1.0, -1.0)))
+        self.weights = np.stack(weights) if weights else np.zeros((0, x.shape[1]), np.float32)
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The class of each row, and the mean squashed margin against the others."""
@@ -143,10 +147,9 @@ class Model:
     """Families first, then the languages of the family."""
 
     def __init__(self, x: np.ndarray, langs: np.ndarray):
-        self.families = np.array([family_of(lang) for lang in langs])
-        self.first = OneVersusOne(x, self.families) if len(x) else None
-        self.second = {f: OneVersusOne(x[self.families == f], langs[self.families == f]) for f in set(self.families)}
-        del self.families
+        families, every = np.array([family_of(lang) for lang in langs], dtype=object), np.arange(len(langs))
+        self.first = OneVersusOne(x, every, families) if len(x) else None
+        self.second = {f: OneVersusOne(x, every[families == f], langs[families == f]) for f in set(families)}
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         vectors = [features(t) for t in texts]
@@ -194,7 +197,8 @@ def sample_features(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the rows of ``docs`` that are labelled and not held out."""
     rows = sorted(sample_features(docs, sample).collect())
-    x = np.zeros((len(rows), DIMENSIONS), np.float32)
+    x = np.zeros((len(rows), DIMENSIONS + 1), np.float32)
+    x[:, -1] = 1
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["indices"], "<u4")] = np.frombuffer(r["values"], "<f4")
     return Model(x, np.array([r["lang"] for r in rows], dtype=object))
