@@ -165,8 +165,14 @@ def test_materialise_cuts_one_document(spark):
 def test_encoder_equals_the_vocabulary_file():
     slow, fast = best_fit_packing.Encoder(best_fit_packing.public_vocabulary()[0]), best_fit_packing.Encoder(*best_fit_packing.public_vocabulary())
     texts = ["", " ", "a", "über straße naïve – „Zitat“ 12 345", "日本語 text", "  \n\n\t x  ", "don't we'll", LONG, "x" * 3000, "é ½ ²", "<|endoftext|>", "a b", "ǅ ﬁ", " " * 5000]
+    rng = np.random.default_rng(6)
+    settled = [c for c in map(chr, [*range(0, 0x180), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC, 0x2122]) if best_fit_packing.SETTLED.fullmatch(c)]
+    texts += ["".join(rng.choice(settled, 40)) for _ in range(2000)]
+    texts += ["".join(rng.choice(list(" \n\t\x0b\x1c\x85\xa0a'sl1.²½"), 30)) for _ in range(2000)]
     for t in texts:
-        assert fast(t).tolist() == slow(t).tolist()
+        assert fast(t).tolist() == slow(t).tolist(), t
+    for t in (" " * 300_000, "a" * 300_000, "\n" * 300_000, "1 " * 200_000):
+        assert len(fast(t))
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -246,7 +252,7 @@ def test_svm_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5)).astype(np.float32)
     y = np.where(x[:, 0] + x[:, 1] > 0, 1.0, -1.0)
-    w = language_id.train(x, y)
+    w = language_id.train(language_id.with_bias(x), np.arange(200), y)
     assert np.mean(np.sign(x @ w[:-1] + w[-1]) == y) > 0.95
 
 
@@ -429,6 +435,10 @@ def test_page_structure():
     assert text_of("plain words") == "plain words"
     assert text_of("<div class=ad>never closed <p>text") == "never closed\ntext"
     assert text_of("<p>a" * 2000).count("\n") == 1999
+    assert text_of('<div class="page has-sidebar"><div class="post-header"><h1>T</h1></div><p>x</p><div class="sidebar">s</div></div>') == "x"
+    assert text_of('<div class="menu-wrapper menu"><p>all the text there is</p></div>') == "all the text there is"
+    assert text_of('<div class="content"><div class="entry-header"><h1>T</h1></div><p>x</p></div><p>other</p>') == "T\nx"
+    assert text_of('<div role="main"><p>x</p><div hidden>y</div><ul class="share"><li>z</li></ul></div><div>w</div>') == "x"
     assert text_of("<" * 5000 + "x") == "<" * 5000 + "x"
 
 
@@ -470,8 +480,61 @@ def test_pipeline_stages(spark):
     assert clean.columns == columns and clean.count() == docs.count()
     assert all(not pii.spans(r["text"]) for r in clean.collect())
     assert corpus_pipeline.mix_sources(spark, docs, SF).columns == columns
-    out = corpus_pipeline.run(spark, SF)
-    assert out.count() > 0
+
+
+def plain_mix(rows):
+    """Texts as the mix takes them, by definition: (doc_id, text) with repeats."""
+    import hashlib
+
+    word = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
+    sized = [(source, hashlib.md5(str(i).encode()).hexdigest(), i, text, len(word.findall(text))) for i, text, source in rows]
+    sources = sorted({r[0] for r in sized})
+    size = {s: sum(r[4] for r in sized if r[0] == s) for s in sources}
+    weight = {s: 1 + k % 3 for k, s in enumerate(sources)}
+    total, capped, target = sum(size.values()), set(), {}
+    while True:
+        left = total - sum(3 * size[s] for s in capped)
+        free = sum(weight[s] for s in sources if s not in capped)
+        target = {s: 3 * size[s] if s in capped else left * weight[s] / free for s in sources}
+        over = {s for s in sources if s not in capped and target[s] > 3 * size[s]}
+        if not over:
+            break
+        capped |= over
+    out, seen = [], dict.fromkeys(sources, 0)
+    for source, _, i, text, n in sorted(sized):
+        words = int(target[source] + 0.5)
+        copies = words // size[source] if size[source] else 0
+        cut = max(0, min(n, words - copies * size[source] - seen[source]))
+        seen[source] += n
+        out += [(i, text)] * (copies if n else 0)
+        if cut:
+            out.append((i, text if cut == n else "".join(word.findall(text)[:cut])))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.orderBy("doc_id").collect()]
+    langs, scores = language_id.fit(docs).predict([t for _, t, _ in rows])
+    rows = [r for r, lang, score in zip(rows, langs, scores) if lang != "und" and score >= language_id.MIN_SCORE]
+    roots = plain_groups([plain_fingerprint(t) for _, t, _ in rows])
+    rows = [(i, pii.redact_text(t), s) for k, (i, t, s) in enumerate(rows) if roots[k] == k]
+    slow = best_fit_packing.Encoder(best_fit_packing.public_vocabulary()[0])
+    want = Counter()
+    for i, text in plain_mix(rows):
+        ids = np.append(slow(text), 2).astype("<u4")
+        for piece, (start, length) in enumerate(best_fit_packing.cuts(len(ids), 1024)):
+            want[i, piece, start, length, zlib.crc32(ids[start : start + length].tobytes())] += 1
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
+    filled = defaultdict(list)
+    for r in out:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in filled.values():
+        assert [o for o, _ in sorted(parts)] == list(np.cumsum([0] + [n for _, n in sorted(parts)])[:-1])
+    assert len(filled) <= 1.02 * sum(r["length"] for r in out) / 1024 + 1
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
