@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     assess.add_argument("--source", choices=sorted(PAIRS), default="all")
     assess.add_argument("--offline-only", action="store_true")
     assess.add_argument("--report-only", action="store_true")
+    assess.add_argument("--skip-live-amazon", action="store_true")
     assess.add_argument("--root", default=".")
     validate = kinds.add_parser("validate", help="collect all app-store targets")
     validate.add_argument("--config", default="config.yaml")
@@ -61,7 +62,16 @@ def main(argv: list[str] | None = None) -> int:
         print(runs.report_run(spark, args.features, args.output_root, args.run_id, args.input_row_count, args.manual_sample_size))
     elif args.kind == "assess":
         sinks.set_up_logging(args.root)
-        print(runs.assessment_run(spark, config.load(args.config), args.root, PAIRS[args.source], skip=_skips(args)))
+        settings, skips = config.load(args.config), _skips(args)
+        live = not (args.offline_only or args.skip_live_amazon) and settings.amazon.real_urls and "amazon" not in skips
+        headers = config.json_from_environment("AMAZON_HEADERS_JSON") if live else {}
+        cookies = config.json_from_environment("AMAZON_COOKIES_JSON") if live else {}
+        if cookies:
+            headers["Cookie"] = "; ".join(f"{k}={v}" for k, v in cookies.items())
+        # Without live pages there is no client, and nothing is requested.
+        client = runs.client_for(settings, headers) if live or not args.offline_only and "steam" not in skips or "apple_app_store" in PAIRS[args.source] and "apple_app_store" not in skips else None
+        settings = settings if live else settings.without_live_amazon()
+        print(runs.assessment_run(spark, settings, args.root, PAIRS[args.source], client=client, skip=skips))
     elif not args.offline_only:
         sinks.set_up_logging(args.root)
         print(runs.validation_run(spark, config.load(args.config), args.root, args.run_id, args.max_reviews))

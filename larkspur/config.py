@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 from typing import Any
 from urllib.parse import quote
@@ -74,6 +74,7 @@ class Amazon:
     enabled: bool = True
     review_urls: tuple[str, ...] = ()
     saved_response_files: tuple[str, ...] = ()
+    live: bool = True
 
     @classmethod
     def of(cls, raw: dict) -> Amazon:
@@ -182,6 +183,11 @@ class AppConfig:
         return out
 
 
+    def without_live_amazon(self) -> AppConfig:
+        """The same, but pages are never requested from the review URLs."""
+        return replace(self, amazon=replace(self.amazon, live=False))
+
+
 def load(path: str | Path) -> AppConfig:
     """A YAML or JSON file; one that is absent means defaults."""
     file, raw = Path(path), {}

@@ -26,6 +26,12 @@ def is_blocked(text: Column, status: Column | None = None) -> Column:
     return said | blank | (F.coalesce(status.isin(BLOCK_STATUSES), F.lit(False)) if status is not None else F.lit(False))
 
 
+def tells_of_block(text: str, status: int | None = None) -> bool:
+    """The same test for one text in hand."""
+    lower = text.lower()
+    return status in BLOCK_STATUSES or not text.strip() or any(p in lower for p in BLOCK_PHRASES)
+
+
 def scrub_url(url: Column) -> Column:
     """The query of a URL gives way to an ellipsis."""
     return F.regexp_replace(url, r"(?s)\?.*\z", "?...")

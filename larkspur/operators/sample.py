@@ -23,8 +23,6 @@ VALUE_STRATA = ["weak_sentiment_label", "app_name", "country"]
 FLAG_STRATA = ["low_signal_text", "repeated_full_content", "repeated_review_body", *TOPIC_COLUMNS]
 CLASSES = ["negative", "neutral", "positive"]
 IDENTITY = ["source", "app_name", "country", "review_id"]
-#: Values of a stratum column beyond this many are not strata of their own.
-MAX_VALUES = 10_000
 
 
 def as_bool(col: Column) -> Column:
@@ -61,7 +59,9 @@ def strata(candidates: DataFrame, depth: int) -> DataFrame:
 def seeds(candidates: DataFrame, size: int) -> list[str]:
     """Ranks taken for coverage, in order; at most one per stratum."""
     first = strata(candidates, 1).groupBy("field", "value").agg(F.min("__rank").alias("first"))
-    order = [(r["field"], r["first"], r["value"]) for r in first.orderBy("field", "first").limit(MAX_VALUES).collect()]
+    # A stratum gives a pick unless all its rows, at most ``size``, are picked: so many suffice.
+    enough = 2 * size + len(VALUE_STRATA) + len(FLAG_STRATA)
+    order = [(r["field"], r["first"], r["value"]) for r in first.orderBy("field", "first").limit(enough).collect()]
     depth = min(len(order), size)
     pools: dict[tuple, list[str]] = {}
     for r in strata(candidates, max(1, depth)).orderBy("__rank").collect():

@@ -45,12 +45,13 @@ def text_features(spark, sf_dir):
     return base.select("review_id", *[made[n].alias(n) for n in names])
 
 
-@query(sql_features("""SELECT review_id, publication_year, publication_month, publication_day_of_week, round(review_age_days, 6) AS review_age_days,
+@query(sql_features("""SELECT review_id, CAST(publication_year AS DOUBLE) AS publication_year, CAST(publication_month AS DOUBLE) AS publication_month, publication_day_of_week, round(review_age_days, 6) AS review_age_days,
   round(review_age_at_collection_days, 6) AS review_age_at_collection_days, publication_timestamp_missing_or_invalid, missing_publication_timestamp FROM flagged"""))
 def time_features(spark, sf_dir):
     base = reviews(spark, sf_dir).withColumns({"__published": strict_timestamp(F.col("review_date")), "__collected": strict_timestamp(F.col("collected_at"))})
     made = features.time_columns(rules()) | {"missing_publication_timestamp": ~is_present(F.col("review_date"))}
     made.pop("publication_timestamp")
+    made |= {n: made[n].cast("double") for n in ("publication_year", "publication_month")}
     return rounded(base.select("review_id", *[c.alias(n) for n, c in made.items()]), "review_age_days", "review_age_at_collection_days")
 
 
@@ -280,7 +281,28 @@ def stable_ranks(spark, sf_dir):
     return ranked.join(F.broadcast(before.drop("count")), "slice").select("review_id", place.cast("long").alias("place"), F.substring("__rank", 1, 64).alias("stable_rank"))
 
 
-@query()
+_STRATA = [f"SELECT {i} AS f, {c} AS v, r FROM ranked WHERE {c} IS NOT NULL" for i, c in enumerate(sample.VALUE_STRATA)]
+_STRATA += [f"SELECT {len(sample.VALUE_STRATA) + i}, 'true', r FROM ranked WHERE {c}" for i, c in enumerate(sample.FLAG_STRATA)]
+_SAMPLE = f""", ranked AS (SELECT *, {_RANK} AS r FROM flagged),
+rows AS ({" UNION ALL ".join(_STRATA)}),
+strata AS (SELECT f, v, row_number() OVER (ORDER BY f, min(r)) AS n FROM rows GROUP BY f, v),
+members AS (SELECT s.n, x.r FROM rows x JOIN strata s ON x.f = s.f AND x.v = s.v),
+picks(n, taken) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT p.n + 1, CASE WHEN min(m.r) IS NULL OR len(any_value(p.taken)) >= {sample.SIZE} THEN any_value(p.taken) ELSE list_append(any_value(p.taken), min(m.r)) END
+  FROM picks p LEFT JOIN members m ON m.n = p.n + 1 AND NOT list_contains(p.taken, m.r)
+  WHERE p.n < (SELECT max(n) FROM strata) GROUP BY p.n),
+done AS (SELECT taken FROM picks WHERE n = (SELECT max(n) FROM strata)),
+seeds AS (SELECT unnest(taken) AS r, generate_subscripts(taken, 1) - 1 AS o FROM done),
+kinds AS (SELECT r, CASE weak_sentiment_label WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 ELSE 3 END AS k FROM ranked WHERE r NOT IN (SELECT r FROM seeds)),
+turns AS (SELECT r, k, row_number() OVER (PARTITION BY k ORDER BY r) AS t FROM kinds),
+rest AS (SELECT r, (SELECT count(*) FROM seeds) + row_number() OVER (ORDER BY CASE WHEN k < 3 THEN 0 ELSE 1 END, t, k, r) - 1 AS o FROM turns),
+chosen AS (SELECT r, o FROM seeds UNION ALL SELECT r, o FROM rest WHERE o < {sample.SIZE})
+SELECT CAST(c.o AS BIGINT) AS sample_order, x.review_id, x.app_name, x.country, x.weak_sentiment_label FROM chosen c JOIN ranked x ON x.r = c.r"""
+
+
+@query(sql_features(_SAMPLE).replace("WITH reviews AS", "WITH RECURSIVE reviews AS", 1))
 def stable_sample(spark, sf_dir):
     out = sample.sample(feature_frame(spark, sf_dir))
     return out.select(F.col("__order").cast("long").alias("sample_order"), "review_id", "app_name", "country", "weak_sentiment_label")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import config as configs
 from . import rules as rule_files
-from .operators import collect, compare, eda, features, html_reviews, parse_json, quality, report
+from .operators import collect, compare, eda, features, html_reviews, parse_fields, parse_json, quality, report
 from .schema import review_schema
 from .sources import feeds, files, sinks
 from .sources.http import PoliteClient
@@ -107,14 +107,14 @@ def skipped(spark: SparkSession, source: str, reason: str) -> DataFrame:
 def assess(spark: SparkSession, config: configs.AppConfig, root: str, source: str, client=None, fetch=None) -> tuple[DataFrame, DataFrame]:
     """One source collected, deduplicated and saved: its facts and its reviews."""
     raw, limits = Path(root, "data", "raw", source), config.assessment
-    client = client or client_for(config)
     if source == "amazon":
-        return assess_captures(spark, config, root)
+        return assess_captures(spark, config, root, client)
     part = {"steam": config.steam, "apple_app_store": config.apple_app_store, "google_play": config.google_play}[source]
     if not part.enabled:
         return skipped(spark, source, "disabled by configuration"), spark.createDataFrame([], review_schema())
     if source == "steam" and not config.steam.real_app_ids:
         return skipped(spark, source, "no app ids are configured"), spark.createDataFrame([], review_schema())
+    client = client or client_for(config)
     landing = {"steam": lambda: feeds.steam(config, client, raw), "apple_app_store": lambda: feeds.apple(config, client, raw), "google_play": lambda: feeds.google_play(config, fetch, raw)}[source]()
     pages, _ = landing.frames(spark)
     rows = parsed_pages(pages, source).cache()
@@ -126,21 +126,29 @@ def assess(spark: SparkSession, config: configs.AppConfig, root: str, source: st
     return source_facts(spark, source, landing, rows, kept, **third), kept
 
 
-def assess_captures(spark: SparkSession, config: configs.AppConfig, root: str) -> tuple[DataFrame, DataFrame]:
-    """Saved response files, each a batch, in the order they are listed."""
-    listed = list(config.amazon.saved_response_files)
-    if not config.amazon.enabled or not listed:
-        return skipped(spark, "amazon", "no saved response files are configured"), spark.createDataFrame([], review_schema())
+def assess_captures(spark: SparkSession, config: configs.AppConfig, root: str, client=None) -> tuple[DataFrame, DataFrame]:
+    """Saved response files, each a batch, in the order they are listed; then live pages, if any."""
+    listed, urls = list(config.amazon.saved_response_files), config.amazon.real_urls
+    if not config.amazon.enabled or not (listed or urls and client and config.amazon.live):
+        return skipped(spark, "amazon", "no saved response file and no live URL"), spark.createDataFrame([], review_schema())
     pages, unread = files.saved_captures(spark, listed)
-    urls = config.amazon.real_urls
-    parsed = html_reviews.reviews(pages.withColumn("page", F.col("batch")).withColumn("source_url", F.lit(urls[0] if urls else None).cast("string")))
-    rows = parsed.withColumns({"app": F.lit("amazon"), "run": F.lit(1), "seq": F.col("raw_page_number") * PAGE_ROWS + F.row_number().over(Window.partitionBy("raw_page_number").orderBy(F.monotonically_increasing_id()))}).cache()
-    kept = collect.accepted(rows).withColumn("raw_page_number", F.lit(None).cast("long"))
+    saved = pages.select("payload", F.col("batch").alias("page"), F.lit(urls[0] if urls else None).cast("string").alias("source_url"))
+    landing = feeds.Landing()
+    if client and urls and config.amazon.live:
+        landing = feeds.amazon(config, client, parse_fields.tells_of_block, Path(root, "data", "raw", "amazon"))
+    landing.parser_errors += unread
+    live, _ = landing.frames(spark)
+    live = live.where("payload is not null").select("payload", (F.lit(len(listed) + 1) + F.col("seq")).alias("page"), "source_url")
+    rows = html_reviews.reviews(saved.unionByName(live)).withColumn("__at", F.monotonically_increasing_id())
+    nth = F.row_number().over(Window.partitionBy("raw_page_number").orderBy("__at"))
+    rows = rows.withColumns({"app": F.lit("amazon"), "run": F.lit(1), "seq": F.col("raw_page_number") * PAGE_ROWS + nth}).drop("__at").cache()
+    kept = collect.accepted(rows)
+    kept = kept.withColumn("raw_page_number", F.when(F.col("raw_page_number") > len(listed), 1).cast("long"))
     sinks.write_reviews(kept, str(Path(root, "data", "processed")), "amazon_reviews")
-    landing = feeds.Landing(parser_errors=unread)
-    batches = collect.page_ids(rows, ["app"])
+    batches = collect.page_ids(rows.where(F.col("raw_page_number") <= len(listed)), ["app"])
     paged = collect.saved_pages_show_pagination(batches, ["app"]).first()
-    more = {"offline_parsed": True, "saved_batches": len(listed), "pagination": bool(paged and paged[0]), "repeated": False, "overlap_count": None, "overlap_rate": None, "blocked": None, "live": False}
+    more = {"offline_parsed": bool(listed), "saved_batches": len(listed), "pagination": bool(paged and paged[0]) if listed else None, "repeated": False, "overlap_count": None, "overlap_rate": None}
+    more |= {} if landing.requests else {"blocked": None, "live": False}
     return source_facts(spark, "amazon", landing, rows, kept, **more), kept
 
 

@@ -158,6 +158,28 @@ def apple_validation(config: AppConfig, client, folder: Path | None = None, tota
     return landing
 
 
+def amazon(config: AppConfig, client, blocked, folder: Path | None = None) -> Landing:
+    """One request per configured URL; a page that ``blocked`` (text, status) tells of is not landed."""
+    landing = Landing(folder)
+    for nth, url in enumerate(config.amazon.real_urls, 1):
+        reply = client.get(url, "amazon")
+        record = reply.request
+        landing.requests.append(record)
+        known = {"source": "amazon", "source_url": url, "page": 1, "run": 1, "status_code": record["status_code"], "success": record["success"], "review_count": 0}
+        if reply.body is None:
+            landing.errors.append(f"live request {nth} failed")
+        elif not record["success"]:
+            landing.warnings.append(f"live request {nth} was answered with status {record['status_code']}; nothing is parsed")
+        elif blocked(reply.text, record["status_code"]):
+            record |= {"blocked": True, "success": False}
+            landing.warnings.append(f"live request {nth} met a block page; this URL ends here")
+        else:
+            landing.add(f"amazon_live_page{nth}", reply.text, **known, parsed=True, status="ok")
+            continue
+        landing.add("", None, **known, status="request_failed")
+    return landing
+
+
 def google_play(config: AppConfig, fetch, folder: Path | None = None) -> Landing:
     """Runs x batches through a wrapper ``fetch(package, token, count)`` giving (records, token)."""
     landing, store, limits = Landing(folder), config.google_play, config.assessment

@@ -265,3 +265,12 @@ def test_annotation(spark):
 
 def test_feature_columns_are_complete():
     assert len(REVIEW_COLUMNS) == 27 and len(FEATURE_COLUMNS) == 64 and len(TOPIC_COLUMNS) == 6
+
+
+def test_display(spark):
+    from larkspur.functions import display
+
+    df = spark.createDataFrame([(True, 0.1234, 3, "available"), (False, None, 3, "off"), (None, 1.0, None, "available")], "b boolean, r double, n long, s string")
+    got = df.select(display.yes_no(F.col("b")), display.percent(F.col("r")), display.request_count(F.col("n"), F.col("s")), display.not_applicable(F.col("n"))).collect()
+    assert [tuple(r) for r in got] == [("yes", "12.34%", "3", "3"), ("no", "not available", "unavailable", "3"), ("not enough evidence", "100.00%", None, "not applicable")]
+    assert [display.json_number(v) for v in (None, float("nan"), 2.0, 2.5, 3)] == [None, None, 2, 2.5, 3]

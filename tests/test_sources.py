@@ -149,3 +149,16 @@ def test_empty_outputs(spark, tmp_path):
     sinks.ensure_outputs(spark, str(tmp_path), ["steam_reviews"])
     assert spark.read.option("header", True).csv(str(tmp_path / "steam_reviews.csv")).count() == 0
     assert "status" in spark.read.json(str(tmp_path / "steam_reviews.jsonl")).columns
+
+
+def test_live_captures(spark, tmp_path):
+    from larkspur.operators.parse_fields import tells_of_block
+
+    pages = {"http://h/dp/B00TTD9BRC?s=1": (200, cases.HTML.encode()), "http://h/2": (200, b"Robot Check"), "http://h/3": (503, b""), "http://h/4": OSError("x")}
+    app = config.AppConfig(amazon=config.Amazon(review_urls=("AMAZON_REVIEW_URL_1", *pages)))
+    landing = feeds.amazon(app, Script(lambda url, n: pages[url]).client(), tells_of_block)
+    assert [r["blocked"] for r in landing.requests] == [False, True, False, False] and len(landing.errors) == 1 and len(landing.warnings) == 2
+    fact, kept = runs.assess(spark, app, str(tmp_path), "amazon", Script(lambda url, n: pages[url]).client())
+    (row,) = kept.collect()
+    assert row["review_id"] == "R1" and row["item_id"] == "B00TTD9BRC" and row["raw_page_number"] == 1 and fact.first()["blocked"]
+    assert not runs.assess(spark, app.without_live_amazon(), str(tmp_path), "amazon", object())[0].first()["executed"]
