@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -104,15 +104,23 @@ def word_count(text: Column, rules: Rules) -> Column:
 
 
 def script_consistent(text: Column, language: Column, rules: Rules) -> Column:
-    """Whether a text in a supported language is mostly Latin; null if that can't be told."""
+    """Whether a text in a supported language is mostly Latin; null if that can't be told.
+
+    ASCII letters are Latin, so an ASCII text needs no count: it is asked for the least
+    number of letters only, which a few characters answer.
+    """
     how = rules.section("language_indicator")
     if not how.get("enabled", True):
         return F.lit(None).cast("boolean")
+    least, ratio = int(how["minimum_letters"]), float(how["minimum_latin_letter_ratio"])
     base = F.split_part(F.lower(strip(language.cast("string"))), F.lit("-"), F.lit(1))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    latin = F.length(F.regexp_replace(text, r"[^\p{IsLatin}]|[^\p{L}]", ""))
-    known = is_present(language) & base.isin(list(how["supported_declared_languages"])) & (letters >= int(how["minimum_letters"]))
-    return F.when(known, latin / letters >= float(how["minimum_latin_letter_ratio"]))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    latin = F.length(F.regexp_replace(text, r"[^\p{IsLatin}]+|\p{N}+", ""))
+    enough = text.rlike(rf"[A-Za-z](?:[^A-Za-z]*+[A-Za-z]){{{least - 1}}}")
+    asked = is_present(language) & base.isin(list(how["supported_declared_languages"]))
+    plain = F.when(enough, F.lit(True))
+    other = F.when(letters >= least, latin / letters >= ratio)
+    return F.when(asked, F.when(is_ascii(text), plain).otherwise(other))
 
 
 def topic_pattern(keywords: list[str]) -> str:
@@ -122,10 +130,13 @@ def topic_pattern(keywords: list[str]) -> str:
 
 
 def topic_signal(text: Column, topic: str, rules: Rules) -> Column:
+    """Keywords are looked for as substrings first: most texts hold none and skip the pattern."""
     form = rules.section("text_normalization")["unicode_form"]
     fold = rules.section("text_normalization").get("casefold", True)
     words = [unicodedata.normalize(form, str(k)) for k in rules.section("topic_signal_keywords")[topic]]
-    return text.rlike(topic_pattern([w.casefold() if fold else w for w in words]))
+    words = [w.casefold() if fold else w for w in words]
+    maybe = reduce(lambda a, b: a | b, [text.contains(max(w.split(), key=len)) for w in words])
+    return maybe & text.rlike(topic_pattern(words))
 
 
 def weak_sentiment(rating: Column) -> Column:

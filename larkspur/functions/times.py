@@ -12,12 +12,22 @@ from .text import strip
 ISO = r"(?s)^(\d{4}-\d{2}-\d{2}).(\d{2})(:\d{2})?(:\d{2})?(?:[.,](\d{1,6})\d*)?(?:(Z)|([+-]\d{2}):?(\d{2})?)$"
 
 
+#: The form that the JVM reads as it stands.
+CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:\d{2})$"
+
+
 def strict_timestamp(col: Column) -> Column:
     """The instant of a text that names its zone; the session's zone plays no part.
 
-    The parts are put together again in the one form that the JVM reads exactly.
+    Texts in the usual form are read at once; the parts of any other are put together
+    in that form first.
     """
-    text = strip(col.cast("string"))
+    raw = col.cast("string")
+    return F.when(raw.rlike(CANONICAL), raw.try_cast("timestamp")).otherwise(_other_form(raw))
+
+
+def _other_form(raw: Column) -> Column:
+    text = strip(raw)
 
     def part(i: int, absent: str) -> Column:
         found = F.regexp_extract(text, ISO, i)

@@ -55,16 +55,20 @@ def fingerprints(df: DataFrame, rules: Rules) -> DataFrame:
 
 
 def with_group_sizes(df: DataFrame, scope: list[str] = SCOPE, kinds: dict[str, str] = KINDS) -> DataFrame:
-    """Each fingerprint column's group size within the scope, flag and fingerprint."""
-    both = df.select(*scope, F.explode(F.array(*[F.struct(F.lit(name).alias("__kind"), F.col(c).alias("__print")) for name, c in kinds.items()])).alias("__k"))
-    sizes = both.where("__k.__print is not null").groupBy(*scope, "__k.__kind", "__k.__print").count().where("count > 1")
+    """Each fingerprint column's group size within the scope, flag and fingerprint.
+
+    The kind is part of the key, so both joins read one and the same aggregate.
+    """
+    keys = {name: F.concat(F.lit(f"{i}:"), F.col(c)) for i, (name, c) in enumerate(kinds.items())}
+    both = df.select(*scope, F.explode(F.array(*keys.values())).alias("__key")).where("__key is not null")
+    sizes = both.groupBy(*scope, "__key").count().where("count > 1")
     out = df
     for name, column in kinds.items():
-        mine = sizes.where(F.col("__kind") == name).select(*[F.col(c).alias(f"{c}_{name}") for c in scope], F.col("__print").alias(f"__print_{name}"), F.col("count").alias(f"__n_{name}"))
-        same = [F.col(c) == F.col(f"{c}_{name}") for c in scope] + [F.col(column) == F.col(f"__print_{name}")]
-        out = out.join(mine, same, "left").drop(*[f"{c}_{name}" for c in scope], f"__print_{name}")
-        size = F.coalesce(f"__n_{name}", F.when(F.col(column).isNotNull(), 1).otherwise(0)).cast("long")
-        out = out.withColumns({name: size > 1, f"{name}_fingerprint": F.col(column), f"{name}_group_size": size}).drop(f"__n_{name}")
+        mine = sizes.select(*[F.col(c).alias(f"__of{c}") for c in scope], F.col("__key").alias("__of_key"), F.col("count").alias("__n"))
+        same = [F.col(c) == F.col(f"__of{c}") for c in scope] + [keys[name] == F.col("__of_key")]
+        out = out.join(mine, same, "left").drop(*[f"__of{c}" for c in scope], "__of_key")
+        size = F.coalesce("__n", F.when(F.col(column).isNotNull(), 1).otherwise(0)).cast("long")
+        out = out.withColumns({name: size > 1, f"{name}_fingerprint": F.col(column), f"{name}_group_size": size}).drop("__n")
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CONTEXT, LINEAGE_COLUMNS, NUMERIC_COLUMNS, RATE_COLUMNS
+from ..session import cut
 from . import sample as sampling
 from .features import require
 from .sample import as_bool
@@ -64,8 +65,10 @@ def _line(metric: str, value, count, share=None, numbers=None) -> Column:
 def distributions(features: DataFrame) -> DataFrame:
     """Tidy rows per context: six numbers, sixteen flags, ratings, publication years.
 
-    One wide aggregate makes all but the ratings; a second, small one makes those.
+    One wide aggregate makes all but the ratings; a second, small one makes those. Both
+    read the columns they need from one table that is made once, without texts.
     """
+    features = cut(features.select(*CONTEXT, "rating", "publication_year", *NUMERIC_COLUMNS, *RATE_COLUMNS))
     rows = F.count("*").alias("row_count")
     numbers = [*NUMERIC_COLUMNS, "publication_year"]
     wide = features.groupBy(*CONTEXT).agg(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import casefolded, is_present
 from ..schema import TOPIC_COLUMNS
+from ..session import cut
 from .features import APP_FIELDS, require
 
 SIZE = 135
@@ -76,27 +77,40 @@ def seeds(candidates: DataFrame, size: int) -> list[str]:
     return taken
 
 
-def sample(features: DataFrame, size: int = SIZE) -> DataFrame:
-    """The sample in its order (``__order``), feature columns kept."""
-    if size < 1:
-        raise ValueError("the sample size must be positive")
-    require(features, [*IDENTITY, "rating", "review_title", "review_text", *VALUE_STRATA, *FLAG_STRATA])
-    spark = features.sparkSession
-    candidates = ranked(features)
+def picks(candidates: DataFrame, size: int) -> DataFrame:
+    """(``__order``, ``__pick``): the ranks that make the sample, at most ``size`` rows.
+
+    ``candidates`` is slim: ranks, strata and labels.
+    """
+    spark = candidates.sparkSession
     taken = seeds(candidates, size)
-    picks = spark.createDataFrame([(i, r) for i, r in enumerate(taken)], "__order long, __pick string")
-    seeded = candidates.join(F.broadcast(picks), F.col("__rank") == F.col("__pick"), "left")  # at most ``size`` rows
-    first = seeded.where("__pick is not null").drop("__pick").dropDuplicates(["__rank"])
+    seeded = spark.createDataFrame([(i, r) for i, r in enumerate(taken)], "__order long, __pick string")
     label = F.col("weak_sentiment_label")
     kind = F.when(label == CLASSES[0], 0).when(label == CLASSES[1], 1).when(label == CLASSES[2], 2).otherwise(3)
-    left = seeded.where("__pick is null").drop("__pick", "__order").withColumn("__class", kind)
+    left = candidates.join(F.broadcast(seeded), F.col("__rank") == F.col("__pick"), "left_anti").withColumn("__class", kind)
     best = Window.partitionBy("__class", F.substring("__rank", 1, 2)).orderBy("__rank")
     few = left.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= size)
     few = few.withColumn("__n", F.row_number().over(Window.partitionBy("__class").orderBy("__rank")))
     # Unlabelled rows come after all classes, by rank.
-    few = few.orderBy(F.when(F.col("__class") < 3, 0).otherwise(1), "__n", "__class", "__rank").limit(size - len(taken))
-    rest = few.withColumn("__order", F.lit(len(taken)) + F.row_number().over(Window.orderBy(F.when(F.col("__class") < 3, 0).otherwise(1), "__n", "__class", "__rank")) - 1)
-    return first.unionByName(rest.select(*first.columns))
+    turn = [F.when(F.col("__class") < 3, 0).otherwise(1), F.col("__n"), F.col("__class"), F.col("__rank")]
+    few = few.orderBy(*turn).limit(size - len(taken))
+    rest = few.select((F.lit(len(taken)) + F.row_number().over(Window.orderBy(*turn)) - 1).cast("long").alias("__order"), F.col("__rank").alias("__pick"))
+    return seeded.unionByName(rest)
+
+
+def sample(features: DataFrame, size: int = SIZE) -> DataFrame:
+    """The sample in its order (``__order``), feature columns kept.
+
+    The choice is made on slim rows, made once; the features are read once more for the
+    rows chosen.
+    """
+    if size < 1:
+        raise ValueError("the sample size must be positive")
+    require(features, [*IDENTITY, "rating", "review_title", "review_text", *VALUE_STRATA, *FLAG_STRATA])
+    candidates = ranked(features)
+    chosen = picks(cut(candidates.select("__rank", *VALUE_STRATA, *FLAG_STRATA)), size)
+    found = candidates.join(F.broadcast(chosen), F.col("__rank") == F.col("__pick"))  # at most ``size`` rows
+    return found.drop("__pick").dropDuplicates(["__rank"])
 
 
 def peers(flagged: DataFrame, candidates: DataFrame, prefix: str, by: str = "__rank") -> DataFrame:

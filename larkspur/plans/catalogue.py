@@ -11,6 +11,7 @@ from ..functions.text import is_present, normalized, script_consistent, topic_si
 from ..functions.times import days_between, instant, strict_timestamp
 from ..operators import annotation, collect, compare, eda, features, html_reviews, parse_fields, parse_json, quality, report, sample
 from ..schema import CONTEXT, FEATURE_COLUMNS, GROUP, NUMERIC_COLUMNS, RATE_COLUMNS, TOPICS
+from ..session import cut, shared_folder
 from ..streaming import dedup
 from .registry import query
 from .views import COPIES, REPEATS, full, reviews, rules, sql_features, sql_with, table, with_copies
@@ -275,7 +276,7 @@ _RANK = "concat(sha256(concat_ws('|', coalesce(source, 'nan'), coalesce(app_name
 @query(sql_features(f"""SELECT review_id, row_number() OVER (ORDER BY {_RANK}) AS place, substr({_RANK}, 1, 64) AS stable_rank FROM flagged"""))
 def stable_ranks(spark, sf_dir):
     """Places of all candidates: a global rank, so ranks are counted per slice first."""
-    ranked = sample.ranked(feature_frame(spark, sf_dir)).select("review_id", "__rank").withColumn("slice", F.substring("__rank", 1, 2))
+    ranked = cut(sample.ranked(reviews(spark, sf_dir)).select("review_id", "__rank").withColumn("slice", F.substring("__rank", 1, 2)))
     before = ranked.groupBy("slice").count().withColumn("before", F.sum("count").over(Window.orderBy("slice")) - F.col("count"))  # at most 256 rows
     place = F.col("before") + F.row_number().over(Window.partitionBy("slice").orderBy("__rank"))
     return ranked.join(F.broadcast(before.drop("count")), "slice").select("review_id", place.cast("long").alias("place"), F.substring("__rank", 1, 64).alias("stable_rank"))
@@ -315,7 +316,8 @@ SELECT review_id, peer AS repeated_review_body_example_review_id FROM pairs WHER
 def duplicate_peers(spark, sf_dir):
     """Peers of all flagged rows by a window, since here they are more than a sample."""
     made = feature_frame(spark, sf_dir)
-    keyed = sample.ranked(made.where("repeated_review_body")).select("__rank", "review_id", "repeated_review_body_fingerprint", F.lower("country").alias("c"), F.lower("language").alias("l"), F.lower("item_id").alias("i"))
+    keyed = sample.ranked(made.where("repeated_review_body"))
+    keyed = cut(keyed.select("__rank", "review_id", "repeated_review_body_fingerprint", F.lower("country").alias("c"), F.lower("language").alias("l"), F.lower("item_id").alias("i")))
     group = ["repeated_review_body_fingerprint", "c", "l", "i"]
     best = keyed.groupBy(*group).agg(F.min(F.struct("__rank", "review_id")).alias("first"), F.min_by("review_id", "__rank").alias("first_id"))
     others = keyed.join(best, group)
@@ -443,8 +445,7 @@ def steam_collection(spark, sf_dir):
 @query(sql_with() + "SELECT DISTINCT source, review_id FROM reviews")
 def incremental_dedup(spark, sf_dir):
     """The view as a stream of landed files, with repeats, read up to what is there now."""
-    sc = spark.sparkContext
-    root = f"{sc.getConf().get('spark.checkpoint.dir') or sc.getCheckpointDir() or '/tmp/larkspur'}/dedup-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/dedup-{uuid.uuid4().hex}"
     rows = with_copies(spark, sf_dir, REPEATS).select("source", "review_id", "review_date")
     rows.write.parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..rules import DEFAULT, Rules, check
 from ..schema import REVIEW_TYPES
+from ..sources.files import spread
 
 REVIEWS = """
 SELECT 'driver' AS source, d.source AS app_name, d.source AS item_id,
@@ -46,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(REVIEWS, documents=table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
+    return spark.sql(REVIEWS, documents=spread(table(spark, sf_dir, "documents")), labels=table(spark, sf_dir, "labels"))
 
 
 def full(df: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Session-wide settings; sizes are left to the cluster's own configuration.
 SETTINGS = {
@@ -19,3 +21,17 @@ def session(name: str = "larkspur", **more: str) -> SparkSession:
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where none is named."""
+    sc = spark.sparkContext
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="larkspur-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, kept in the shared folder; for slim rows that several plans read."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -12,6 +12,15 @@ CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceS
 ROW = "__row"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores, dealt out; any larger one as it is.
+
+    A small file is often one row group, which is one task for all text work.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def normalized_reviews(spark: SparkSession, path: str) -> DataFrame:
     """A review CSV, all columns text; blanks read as null, which means the same everywhere.
 
