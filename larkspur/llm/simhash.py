@@ -6,8 +6,9 @@ hashed with XXH64 (seed 42); a bit is set if over half of the hashes set it.
 Links: two of 64 bits' worth of fingerprints that differ in at most ``radius``
 places agree on at least k - radius of k bit blocks, so every linked pair meets in
 a bucket of one of the C(k, radius) block combinations. k is the smallest whose
-largest bucket stays under ``BUCKET_LIMIT`` fingerprints, measured, so a common
-block value costs more, shorter buckets and never a quadratic one. Inside a bucket
+largest bucket stays under ``BUCKET_LIMIT`` fingerprints, measured; should even the
+largest k leave one above it, that bucket is split into pairs of chunks, so no task
+holds more than twice the limit of one bucket. Inside a bucket
 64 fingerprints are one word per bit plane; a fingerprint meets a word by adding
 the 64 xor planes into carry-save counters, and a word is abandoned as soon as all
 its lanes exceed the radius. A bucket reports a spanning forest, not its pairs.
@@ -208,16 +209,38 @@ def links_within(fps: np.ndarray, table: np.ndarray, mask: np.ndarray, radius: i
     return fps[i], fps[root[i]]
 
 
-def link_edges(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
+def keyed_by(distinct: DataFrame, blocks: int, radius: int) -> DataFrame:
+    """Each fingerprint under each block combination: fp, t, mask and key, the bits it must share."""
+    table = [F.struct(F.lit(t).cast("long").alias("t"), F.lit(signed(m)).alias("mask")) for t, m in enumerate(masks(blocks, radius))]
+    keyed = distinct.select("fp", F.explode(F.array(*table)).alias("k"))
+    return keyed.select("fp", "k.t", "k.mask", F.col("fp").bitwiseAND(F.col("k.mask")).alias("key"))
+
+
+def split_hot(keyed: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    """Buckets over ``limit`` become buckets of pairs of chunks, each within twice the limit.
+
+    A fingerprint of chunk i goes to the pair of i with every chunk, so any two meet.
+    """
+    hot = sizes.where(F.col("count") > limit).select(F.col("t").alias("ht"), F.col("key").alias("hk"), F.ceil(F.col("count") / limit).alias("chunks"))
+    out = keyed.join(hot, (F.col("t") == F.col("ht")) & (F.col("key") == F.col("hk")), "left").drop("ht", "hk")
+    mine = F.pmod(F.xxhash64("fp"), F.col("chunks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.least(mine, j) * F.col("chunks") + F.greatest(mine, j))
+    parts = F.when(F.col("chunks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(pairs)
+    out = out.withColumn("part", F.explode(parts))
+    return out.withColumn("t", F.when(F.col("part") < 0, F.col("t")).otherwise(F.xxhash64("t", "part"))).drop("part", "chunks")
+
+
+def link_edges(distinct: DataFrame, count: int, radius: int = RADIUS, limit: int = BUCKET_LIMIT) -> DataFrame:
     """Edges (a, b) of a forest whose components are those of all links."""
     for blocks in BLOCKS:
-        table = masks(blocks, radius)
-        keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(signed(m)).alias("mask")) for t, m in enumerate(table)])).alias("k"))
-        keyed = keyed.select("fp", "k.t", "k.mask", F.col("fp").bitwiseAND(F.col("k.mask")).alias("key"))
-        largest = keyed.groupBy("t", "key").count().agg(F.max("count")).first()[0] or 0
-        if largest <= BUCKET_LIMIT:
+        keyed = keyed_by(distinct, blocks, radius)
+        sizes = keyed.groupBy("t", "key").count()
+        largest = sizes.agg(F.max("count")).first()[0] or 0
+        if largest <= limit:
             break
-    groups = power_of_two(count * len(table) / GROUP_ROWS, 32, 1 << 20)
+    if largest > limit:
+        keyed = split_hot(keyed, sizes, limit)
+    groups = power_of_two(count * len(masks(blocks, radius)) / GROUP_ROWS, 32, 1 << 20)
 
     def run(pdf):
         import pandas as pd
