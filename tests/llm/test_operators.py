@@ -402,6 +402,22 @@ def test_bit_sliced_links_equal_brute_force(blocks):
     assert root.tolist() == want
 
 
+def test_hot_buckets_are_split_without_loss(spark):
+    rng = np.random.default_rng(9)
+    seed, fps = 0x0123456789ABCDEF, set()
+    while len(fps) < 300:
+        x = seed
+        for b in rng.integers(0, 40, rng.integers(0, 7)):
+            x ^= 1 << int(b)
+        fps.add(x)
+    distinct = spark.createDataFrame([(simhash.signed(f),) for f in sorted(fps)], "fp long")
+    edges = simhash.link_edges(distinct, len(fps), limit=20)
+    order = sorted(simhash.signed(f) for f in fps)
+    roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    want = plain_groups([f & (2**64 - 1) for f in order])
+    assert [roots.get(f, f) for f in order] == [order[i] for i in want]
+
+
 def test_simhash_awkward_rows(spark):
     out = simhash.groups(documents(spark)).collect()
     assert len(out) == len(ROWS)
@@ -442,6 +458,23 @@ def test_page_structure():
     assert text_of("<" * 5000 + "x") == "<" * 5000 + "x"
 
 
+def test_odd_pages_are_linear():
+    odd = ["<a " * 100_000, "<a '\">" * 50_000, '<a "' * 100_000, "<b>" * 50_000 + "<p></p>" * 50_000, "<a>" * 50_000 + "</b>" * 50_000, "<!--" * 50_000, "<div class=ad>" * 20_000, "<script>" * 50_000, "&amp" * 50_000, "<p>x" * 50_000 + "</p>" * 50_000]
+    for page in odd:
+        host_boilerplate.blocks_of(page)
+    assert text_of("<p>a<b>b</p>c</b>d") == "ab\nc d".replace("c d", "cd")
+    assert text_of("<article><p>one</article><p>two") == "one"
+
+
+def test_long_texts(spark):
+    text = "word " * 400_000 + "\nReleased under the MIT License."
+    docs = documents(spark, [(1, text, "en", "a"), (2, "un mot de plus", "fr", "a")])
+    assert license_scan.scan(docs).where("doc_id = 1").first()["licenses"] == "MIT"
+    assert curriculum_mix.mix(docs).where("doc_id = 1").first()["size"] == 400_005
+    assert simhash.groups(docs).count() == 2 and substring_dedup.dedup(docs).where("doc_id = 1").first()["n_removed"] >= 399_970
+    assert best_fit_packing.pack(docs, keep_ids=False).count() > 380 and language_id.identify(docs).count() == 2
+
+
 def test_host_repeats_are_removed(spark):
     notice = "please read our long standing rules about posting before you do so today"
     unique = [" ".join(f"u{i}x{j}" for j in range(30)) for i in range(8)]
