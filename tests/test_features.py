@@ -176,3 +176,18 @@ def test_run_ids_and_folders(tmp_path):
         folder = sinks.unique_folder(tmp_path / "x")
         folder.mkdir()
         assert folder.name == want
+
+
+def test_registered_functions(spark):
+    from larkspur import functions
+
+    functions.register(spark)
+    assert spark.sql("SELECT normalize_review_text('  Ａ B ')").first()[0] == "a b"
+    assert spark.sql("SELECT casefold_text(' ẞ ')").first()[0] == "ss"
+    assert spark.sql("SELECT * FROM parse_review_html('')").count() == 0
+
+
+def test_one_python_stage_per_read(frame):
+    """All text of a read crosses to Python once: one Arrow stage for the reviews, one for the counts."""
+    plan = features.generate(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 4

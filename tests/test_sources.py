@@ -162,3 +162,14 @@ def test_live_captures(spark, tmp_path):
     (row,) = kept.collect()
     assert row["review_id"] == "R1" and row["item_id"] == "B00TTD9BRC" and row["raw_page_number"] == 1 and fact.first()["blocked"]
     assert not runs.assess(spark, app.without_live_amazon(), str(tmp_path), "amazon", object())[0].first()["executed"]
+
+
+def test_daily_counts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [("a", "2026-01-01T10:00:00Z"), ("a", "2026-01-01T23:00:00Z"), ("b", "2026-01-02T01:00:00Z")]
+    spark.createDataFrame(rows, "source string, at string").coalesce(1).write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source string, at string").json(str(tmp_path / "in")).withColumn("review_time", F.col("at").cast("timestamp"))
+    query = dedup.daily_counts(stream).writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r["source"], r["review_count"]) for r in spark.table("daily").collect()) == [("a", 2), ("b", 1)]
