@@ -13,7 +13,10 @@ from urllib.parse import quote
 MAX_REVIEWS_PER_ITEM, MIN_DELAY = 100, 1.0
 MAX_STEAM_PAGE, MAX_GOOGLE_BATCH, MAX_APPLE_PAGE = 50, 100, 100
 MAX_PER_TARGET, MAX_TOTAL, MAX_PAGES_PER_TARGET = 10_000, 50_000, 100
+# How placeholders begin, the feeds' addresses; the classes' defaults are fixed too.
 PLACEHOLDERS = {"steam": "STEAM_APP_ID", "amazon": "AMAZON_REVIEW_URL", "apple": "APPLE_APP_ID"}
+STEAM_URL = "https://store.steampowered.com/appreviews/{app}?json=1&filter=recent&"
+APPLE_URL = "https://itunes.apple.com/{country}/rss/customerreviews/page={page}/id={app}/sortby=mostrecent/json?l={language}"
 
 
 def clamp(value: Any, low: int | None, high: int | None = None) -> int:
@@ -66,7 +69,7 @@ class Steam:
 
     def url(self, app_id: str, cursor: str) -> str:
         asked = {"language": quote(self.language), "review_type": quote(self.review_type), "purchase_type": quote(self.purchase_type), "num_per_page": self.reviews_per_page, "cursor": quote(cursor, safe="")}
-        return f"https://store.steampowered.com/appreviews/{quote(app_id, safe='')}?json=1&filter=recent&" + "&".join(f"{k}={v}" for k, v in asked.items())
+        return STEAM_URL.format(app=quote(app_id, safe="")) + "&".join(f"{k}={v}" for k, v in asked.items())
 
 
 @dataclass(frozen=True)
@@ -144,7 +147,7 @@ class Apple:
 
     @staticmethod
     def url(country: str, app_id: str, language: str, page: int) -> str:
-        return f"https://itunes.apple.com/{country}/rss/customerreviews/page={page}/id={app_id}/sortby=mostrecent/json?l={language}"
+        return APPLE_URL.format(country=country, page=page, app=app_id, language=language)
 
 
 def targets_of(raw: dict) -> tuple[Target, ...]:

@@ -86,7 +86,10 @@ def normalized(col: Column, rules: Rules) -> Column:
 def casefolded(col: Column) -> Column:
     """Scope keys: trimmed and case-folded, without Unicode normalisation."""
     text = F.coalesce(blank_to_null(col).cast("string"), F.lit(""))
-    return F.when(is_ascii(text), F.lower(strip(text))).otherwise(casefold_udf(F.when(~is_ascii(text), text)))
+    folded = F.when(is_ascii(text), F.lower(strip(text))).otherwise(casefold_udf(F.when(~is_ascii(text), text)))
+    # Never null, and the optimizer knows: as a join key it then needs no filter that would
+    # evaluate the function once more.
+    return F.coalesce(folded, F.lit(""))
 
 
 def word_count(text: Column, rules: Rules) -> Column:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .parse_fields import clean, helpful_votes, item_id, star_rating
+from .parse_fields import ITEM_IN_PAGE, clean, helpful_votes, item_id, star_rating
 from .parse_json import review_row
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -35,7 +35,7 @@ AUTHOR_CLASS = "a-profile-name"
 MARKS = ("data-hook", "customer_review")
 RAW = "review_id string, title string, body string, rating string, date string, author string, badge string, helpful string, html_item string"
 FIELDS = [f.split()[0] for f in RAW.split(", ")]
-LINKED_ITEM = re.compile(r"/(?:product-reviews|customer-reviews|dp|portal/customer-reviews)/([A-Z0-9]{10})")
+LINKED_ITEM = re.compile(ITEM_IN_PAGE)
 
 
 class Node:

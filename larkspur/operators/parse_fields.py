@@ -10,6 +10,13 @@ from ..functions.numbers import safe_double
 # What a page says that blocks its reader, and the statuses that do.
 BLOCK_PHRASES = ["captcha", "robot check", "enter the characters you see below", "access denied", "sorry, we just need to make sure you're not a robot", "/ap/signin", "validatecaptcha"]
 BLOCK_STATUSES = [401, 403, 429]
+# How pages write ratings, votes, item ids and the number of the next page.
+STARS = r"([0-5](?:\.\d+)?)\s+out of\s+5"
+VOTES = r"([\d,]+)"
+ITEM_IN_URL = r"/(?:product-reviews|dp)/([A-Z0-9]{10})"
+ITEM_IN_PAGE = r"/(?:product-reviews|customer-reviews|dp|portal/customer-reviews)/([A-Z0-9]{10})"
+NEXT_PAGE = r"""(?:pageNumber|page-number)(?:&quot;|"|=|%22|:)+\s*(?:&quot;|")?(\d+)"""
+NEXT_TOKEN = "nextpagetoken"
 
 
 def _first(col: Column, pattern: str) -> Column:
@@ -42,11 +49,11 @@ def clean(text: Column) -> Column:
 
 
 def star_rating(text: Column) -> Column:
-    return safe_double(_first(text, r"([0-5](?:\.\d+)?)\s+out of\s+5"))
+    return safe_double(_first(text, STARS))
 
 
 def helpful_votes(text: Column, default_zero: bool = False) -> Column:
-    digits = F.regexp_replace(F.regexp_extract(text, r"([\d,]+)", 1), ",", "")
+    digits = F.regexp_replace(F.regexp_extract(text, VOTES, 1), ",", "")
     return (
         F.when(F.coalesce(text, F.lit("")) == "", F.lit(0 if default_zero else None).cast("long"))
         .when(F.lower(text).startswith("one person"), F.lit(1).cast("long"))
@@ -56,13 +63,13 @@ def helpful_votes(text: Column, default_zero: bool = False) -> Column:
 
 def item_id(url: Column, html: Column | None = None) -> Column:
     """From the URL, else from the links of the page."""
-    found = _first(url, r"/(?:product-reviews|dp)/([A-Z0-9]{10})")
-    return found if html is None else F.coalesce(found, _first(html, r"/(?:product-reviews|customer-reviews|dp|portal/customer-reviews)/([A-Z0-9]{10})"))
+    found = _first(url, ITEM_IN_URL)
+    return found if html is None else F.coalesce(found, _first(html, ITEM_IN_PAGE))
 
 
 def next_page_number(text: Column) -> Column:
-    return _first(text, r"""(?:pageNumber|page-number)(?:&quot;|"|=|%22|:)+\s*(?:&quot;|")?(\d+)""").try_cast("long")
+    return _first(text, NEXT_PAGE).try_cast("long")
 
 
 def has_next_page_token(text: Column) -> Column:
-    return F.lower(text).contains("nextpagetoken")
+    return F.lower(text).contains(NEXT_TOKEN)

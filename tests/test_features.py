@@ -190,4 +190,4 @@ def test_registered_functions(spark):
 def test_one_python_stage_per_read(frame):
     """All text of a read crosses to Python once: one Arrow stage for the reviews, one for the counts."""
     plan = features.generate(frame)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("ArrowEvalPython") <= 4
+    assert plan.count("ArrowEvalPython") <= 3
