@@ -24,7 +24,9 @@ SPACE = r"[\s\x1c-\x1f]"
 EDGES = rf"(?U)^{SPACE}+|{SPACE}+$"
 LETTER_OR_DIGIT = r"[\p{L}\p{N}]"
 #: The default word pattern in Java's terms.
-JAVA_WORD = rf"{LETTER_OR_DIGIT}+(?:['’]{LETTER_OR_DIGIT}+)*"
+JAVA_WORD = rf"{LETTER_OR_DIGIT}++(?:['’]{LETTER_OR_DIGIT}++)*+"
+#: ASCII white space that is not one plain space already.
+ODD_SPACE = r"[\x09-\x0d\x1c-\x1f\x20]{2,}|[\x09-\x0d\x1c-\x1f]"
 
 
 def is_present(col: Column) -> Column:
@@ -76,7 +78,7 @@ def normalized(col: Column, rules: Rules) -> Column:
     text = F.coalesce(blank_to_null(col).cast("string"), F.lit(""))
     plain = F.lower(text) if fold else text
     if collapse:
-        plain = F.trim(F.regexp_replace(plain, rf"{SPACE}+", " "))
+        plain = F.trim(F.regexp_replace(plain, ODD_SPACE, " "))
     elif trim:
         plain = strip(plain)
     other = normalizer(how["unicode_form"], fold, collapse, trim)(F.when(~is_ascii(text), text))
