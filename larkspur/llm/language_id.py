@@ -7,8 +7,8 @@ coordinate descent on the driver. Which languages exist is learned from the
 labels; which family a language is of comes from a fixed table.
 
 The training sample is bounded by ``SAMPLE`` documents over all languages, drawn
-by hash, equally for each language; its features are made on the executors, so the
-driver holds at most SAMPLE x DIMENSIONS numbers. The fitted weights (DIMENSIONS
+by hash, equally for each of the ``LANGUAGES`` most frequent labels; its features are
+made on the executors, so the driver holds at most SAMPLE x DIMENSIONS numbers. The fitted weights (DIMENSIONS
 floats for each pair of classes) travel to the executors with the function.
 Prediction reads whole texts in Arrow batches: no shuffle.
 
@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample and of the model.
+#: Bounds of the training sample and of the model: documents, labels (the most frequent
+#: ones, so a column of stray labels can't grow the model), feature dimensions.
 SAMPLE = 3000
+LANGUAGES = 64
 DIMENSIONS = 1 << 13
 EPOCHS = 12
 COST = 4.0
@@ -174,11 +176,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def sample_features(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(lang, indices, values) of about ``sample`` labelled documents, evenly by language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    sizes = {r["lang"]: r["count"] for r in frequent.collect()}
     quota = max(20, sample // max(1, len(sizes)))
     shares = docs.sparkSession.createDataFrame([(lang, min(1.0, quota / n)) for lang, n in sizes.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    # One row per language label: the table is as small as the list of languages.
+    # One row per language learned, LANGUAGES at most.
     drawn = labelled.select(F.col("lang"), F.col("text").cast("string"), draw.alias("draw")).join(F.broadcast(shares), "lang").where("draw < share").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

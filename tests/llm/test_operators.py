@@ -248,6 +248,15 @@ def test_language_awkward_rows(spark):
     assert {r["lang_pred"] for r in language_id.identify(documents(spark, [(1, "hello", None, None)])).collect()} == {"und"}
 
 
+def test_stray_labels_do_not_grow_the_model(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows = [(i, "the cat sat on the mat and that was it", "en", "a") for i in range(40)] + [(100 + i, "le chat est sur la table et voilà tout", "fr", "a") for i in range(40)]
+    rows += [(200 + i, f"stray {i}", f"x{i}", "a") for i in range(30)]
+    model = language_id.fit(documents(spark, rows))
+    assert sorted(f for f in model.second) == ["germanic", "romance"]
+    assert model.predict(["the mat and the cat", "la table et le chat"])[0] == ["en", "fr"]
+
+
 def test_svm_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5)).astype(np.float32)
