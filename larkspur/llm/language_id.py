@@ -12,6 +12,13 @@ made on the executors, so the driver holds at most SAMPLE x DIMENSIONS numbers.
 floats for each pair of classes) travel to the executors with the function.
 Prediction reads whole texts in Arrow batches: no shuffle.
 
+Margins only compare the labels with each other, so the best of them never scores
+under 0.25, whatever the text. A text is therefore held against the n-grams of the
+label it gets: its mean code length under them, in nats an n-gram, may exceed what is
+usual for that label's rows (each coded by the others) by ``SLACK``, and by more if
+the text is short. Texts beyond that, as random letters and scripts never seen, keep
+their label with score 0.
+
 Defined cases: null texts and texts without a letter get ``und`` with score 0;
 with no labelled text everything is ``und``; with one language that one is
 predicted; repeated rows count as often as they occur; null ids are kept.
@@ -37,8 +44,13 @@ EPOCHS = 12
 COST = 4.0
 #: Steepness of the squashed margins in the score.
 STEEPNESS = 3.0
-#: Documents of a lower score are rejected by ``keep_known``: the score of a text that
-#: decides nothing, half sure of its family and half sure of its language.
+#: Nats an n-gram by which a text may be longer to code than its label's rows are; and what a
+#: text of one n-gram may add to that, falling with the root of the effective number of n-grams.
+SLACK = 1.5
+SHORT = 4.0
+#: Documents of a lower score are rejected by ``keep_known``: texts without a letter and those
+#: beyond the slack, which score 0. Any other scores at least this, half sure of its family
+#: and half sure of its language.
 MIN_SCORE = 0.25
 UNKNOWN = "und"
 #: Code points hashed at a time.
@@ -145,6 +157,27 @@ class OneVersusOne:
         return [self.classes[i] for i in best], score
 
 
+class Familiarity:
+    """How usual a text's n-grams are among the rows of one label."""
+
+    def __init__(self, x: np.ndarray, rows: np.ndarray):
+        total = np.full(x.shape[1] - 1, 1 / (x.shape[1] - 1))
+        for r in rows:
+            total += x[r, :-1] ** 2
+        lengths = []
+        for r in rows:  # each coded by the others; a label of one row by even odds
+            at = np.flatnonzero(x[r, :-1])
+            share = x[r, at].astype(np.float64) ** 2
+            lengths.append(-share @ np.log(np.maximum(total[at] - share, 1 / len(total)) / len(rows)))
+        self.usual = float(np.median(lengths))
+        self.bits = (-np.log(total / (len(rows) + 1))).astype(np.float32)
+
+    def known(self, x: np.ndarray) -> np.ndarray:
+        """Whether each row of square-rooted shares is as usual as the slack asks."""
+        shares = x**2
+        return shares @ self.bits - self.usual <= SLACK + SHORT * np.linalg.norm(shares, axis=1)
+
+
 class Model:
     """Families first, then the languages of the family."""
 
@@ -152,6 +185,7 @@ class Model:
         families, every = np.array([family_of(lang) for lang in langs], dtype=object), np.arange(len(langs))
         self.first = OneVersusOne(x, every, families) if len(x) else None
         self.second = {f: OneVersusOne(x, every[families == f], langs[families == f]) for f in set(families)}
+        self.familiar = {lang: Familiarity(x, every[langs == lang]) for lang in set(langs)}
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         vectors = [features(t) for t in texts]
@@ -166,6 +200,10 @@ class Model:
             found, score = self.second[family].predict(x[mine])
             for k, lang, s in zip(mine, found, score):
                 langs[known[k]], scores[known[k]] = lang, float(min(1.0, max(0.0, sure[k] * s)))
+        for lang in set(langs) - {UNKNOWN}:
+            mine = [k for k, i in enumerate(known) if langs[i] == lang]
+            for k in np.flatnonzero(~self.familiar[lang].known(x[mine])):
+                scores[known[mine[k]]] = 0.0
         return langs, scores
 
 
@@ -226,7 +264,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs``, all columns, without documents of unknown or too unsure a language."""
+    """``docs``, all columns, without documents of no language or none that was learned."""
 
     @F.pandas_udf("boolean")
     def known(texts):

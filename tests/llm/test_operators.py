@@ -257,6 +257,20 @@ def test_stray_labels_do_not_grow_the_model(spark, monkeypatch):
     assert model.predict(["the mat and the cat", "la table et le chat"])[0] == ["en", "fr"]
 
 
+def test_unlearned_texts_are_rejected(spark):
+    rng = np.random.default_rng(5)
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{SF}/../sf0.01/documents.parquet").collect()]
+    model = language_id.fit(documents(spark, rows))
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(n)) for n in (5, 20, 100, 1000)]
+    foreign = ["这是一个没有人学过的语言的文件", "Это русский текст, которого никто не учил. " * 20, "هذا نص لم يتعلمه أحد من قبل"]
+    words = [" ".join(t.split()[:k]) for _, t, lang, _ in rows if t and lang for k in (3, 8)]
+    short = [w for w in words if language_id.features(w) is not None]
+    texts = noise + foreign + short
+    kept = {r["doc_id"] for r in language_id.keep_known(documents(spark, [(i, t, None, None) for i, t in enumerate(texts)]), model).collect()}
+    assert not kept & set(range(len(noise + foreign)))
+    assert len(kept) >= 0.98 * len(short)
+
+
 def test_svm_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5)).astype(np.float32)
