@@ -6,10 +6,14 @@ of the chosen family; both are one-versus-one linear SVMs, trained by dual
 coordinate descent on the driver. Which languages exist is learned from the
 labels; which family a language is of comes from a fixed table.
 
-The training sample is bounded by ``SAMPLE`` documents over all languages, drawn
-by hash, equally for each of the ``LANGUAGES`` most frequent labels; its features are
-made on the executors, so the driver holds at most SAMPLE x DIMENSIONS numbers. The fitted weights (DIMENSIONS
-floats for each pair of classes) travel to the executors with the function.
+Every label is learned. The training sample is about ``SAMPLE`` documents over all
+languages, or ``LEAST`` a label where that is more, drawn by hash, equally for each
+label; its features are made on the executors, so the driver holds that many rows of
+DIMENSIONS numbers. With more pairs of classes than rows, the machines are kept as
+coefficients of the rows (one for each row and other class) instead of DIMENSIONS
+weights for each pair: the same machines, so memory grows with the labels, not with
+their pairs; the time to train does grow with the pairs. Either travels to the
+executors with the function.
 Prediction reads whole texts in Arrow batches: no shuffle.
 
 Margins only compare the labels with each other, so the best of them never scores
@@ -35,10 +39,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample and of the model: documents, labels (the most frequent
-#: ones, so a column of stray labels can't grow the model), feature dimensions.
+#: Bounds of the training sample and of the model: documents, documents of a label that a
+#: sample over many labels still holds, labels (the most frequent ones; None learns every
+#: label), feature dimensions.
 SAMPLE = 3000
-LANGUAGES = 64
+LEAST = 20
+LANGUAGES: int | None = None
 DIMENSIONS = 1 << 13
 EPOCHS = 12
 COST = 4.0
@@ -116,6 +122,11 @@ def train(x: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int = EPOCHS,
     The last column of x is constant, its weight the bias. Dual coordinate descent; each
     class weighs the same whatever its size. Rows are read in place, none is copied.
     """
+    return ascend(x, rows, y, epochs, cost)[0].astype(np.float32)
+
+
+def ascend(x: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, and the coefficient of each row in them."""
     share = np.where(y > 0, (y > 0).sum(), (y < 0).sum())
     diagonal = share / (cost * len(y))
     norm = np.array([x[r] @ x[r] for r in rows], dtype=np.float64) + diagonal
@@ -128,7 +139,29 @@ def train(x: np.ndarray, rows: np.ndarray, y: np.ndarray, epochs: int = EPOCHS,
             if new != alpha[i]:
                 w += (new - alpha[i]) * y[i] * x[rows[i]]
                 alpha[i] = new
-    return w.astype(np.float32)
+    return w, alpha * y
+
+
+def coefficients(x: np.ndarray, of: np.ndarray, classes: int) -> np.ndarray:
+    """For each row of x, of class ``of``, its coefficient against every other class.
+
+    The rows of a pair are replaced by as many coordinates with the same inner products,
+    in which the machine is the same.
+    """
+    out = np.zeros((len(x), classes), np.float32)
+    members = [np.flatnonzero(of == c) for c in range(classes)]
+    for a, b in combinations(range(classes), 2):
+        rows = np.r_[members[a], members[b]]
+        pair = x[rows].astype(np.float64)
+        values, vectors = np.linalg.eigh(pair @ pair.T)
+        small = vectors * np.sqrt(np.maximum(values, 0))
+        _, found = ascend(small, np.arange(len(rows)), np.where(of[rows] == a, 1.0, -1.0))
+        out[members[a], b], out[members[b], a] = found[: len(members[a])], found[len(members[a]) :]
+    return out
+
+
+def squash(margins: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-STEEPNESS * np.clip(margins, -20, 20)))
 
 
 class OneVersusOne:
@@ -137,6 +170,14 @@ class OneVersusOne:
     def __init__(self, x: np.ndarray, rows: np.ndarray, labels: np.ndarray):
         self.classes = sorted(set(labels))
         self.pairs = list(combinations(range(len(self.classes)), 2))
+        self.coefficients = None
+        if len(self.pairs) > len(rows):
+            nth = {c: i for i, c in enumerate(self.classes)}
+            self.of = np.array([nth[label] for label in labels])
+            by = np.argsort(self.of, kind="stable")
+            self.of, self.x = self.of[by], x[rows[by]]
+            self.coefficients = coefficients(self.x, self.of, len(self.classes))
+            return
         weights = []
         for a, b in self.pairs:
             mine = np.isin(labels, [self.classes[a], self.classes[b]])
@@ -145,17 +186,31 @@ class OneVersusOne:
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The class of each row, and the mean squashed margin against the others."""
-        votes = np.zeros((len(x), len(self.classes)))
-        margins = x @ self.weights[:, :-1].T + self.weights[:, -1]
-        squashed = 1 / (1 + np.exp(-STEEPNESS * np.clip(margins, -20, 20)))
-        for k, (a, b) in enumerate(self.pairs):
-            votes[:, a] += squashed[:, k]
-            votes[:, b] += 1 - squashed[:, k]
+        if self.coefficients is not None:
+            votes = self.votes_by_rows(x)
+        else:
+            votes = np.zeros((len(x), len(self.classes)))
+            squashed = squash(x @ self.weights[:, :-1].T + self.weights[:, -1])
+            for k, (a, b) in enumerate(self.pairs):
+                votes[:, a] += squashed[:, k]
+                votes[:, b] += 1 - squashed[:, k]
         best = votes.argmax(axis=1)
         others = max(1, len(self.classes) - 1)
         score = votes[np.arange(len(x)), best] / others if self.pairs else np.ones(len(x))
         return [self.classes[i] for i in best], score
 
+    def votes_by_rows(self, x: np.ndarray) -> np.ndarray:
+        """The votes where rows with coefficients stand for the weights."""
+        near = x @ self.x[:, :-1].T + 1  # the last column, the bias, is 1 for every text
+        firsts = np.searchsorted(self.of, np.arange(len(self.classes)))
+        first_of_pair = np.triu(np.full((len(self.classes),) * 2, 2.0), 1) - 1  # else its margins turn round
+        votes = np.zeros((len(x), len(self.classes)))
+        for k in range(len(x)):
+            parts = np.add.reduceat(self.coefficients * near[k][:, None], firsts, axis=0)
+            won = squash((parts + parts.T) * first_of_pair)
+            votes[k] = won.sum(axis=1) - won.diagonal()
+        return votes
+
 
 class Familiarity:
     """How usual a text's n-grams are among the rows of one label."""
@@ -214,12 +269,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def sample_features(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(lang, indices, values) of about ``sample`` labelled documents, evenly by language."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    sizes = {r["lang"]: r["count"] for r in frequent.collect()}
-    quota = max(20, sample // max(1, len(sizes)))
+    learned = labelled.groupBy("lang").count()
+    if LANGUAGES is not None:
+        learned = learned.orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    sizes = {r["lang"]: r["count"] for r in learned.collect()}
+    quota = max(LEAST, sample // max(1, len(sizes)))
     shares = docs.sparkSession.createDataFrame([(lang, min(1.0, quota / n)) for lang, n in sizes.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    # One row per language learned, LANGUAGES at most.
+    # One row per language learned.
     drawn = labelled.select(F.col("lang"), F.col("text").cast("string"), draw.alias("draw")).join(F.broadcast(shares), "lang").where("draw < share").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

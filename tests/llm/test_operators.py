@@ -271,6 +271,35 @@ def test_unlearned_texts_are_rejected(spark):
     assert len(kept) >= 0.98 * len(short)
 
 
+def test_every_label_is_learned(spark):
+    rng = np.random.default_rng(8)
+    labels = [f"q{i:02d}" for i in range(90)]
+    words = {lang: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for lang in labels}
+    rows = [(100 * k + i, " ".join(rng.choice(words[lang], 30)), lang, "a") for k, lang in enumerate(labels) for i in range(12 if k % 2 else 8)]
+    docs = documents(spark, rows)
+    model = language_id.fit(docs)
+    assert sorted(model.first.classes) == labels and model.first.coefficients is not None
+    truth = {i: lang for i, _, lang, _ in rows}
+    held = language_id.predict(docs.where(language_id.held_out()), model).collect()
+    assert len({truth[r["doc_id"]] for r in held}) > 64
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) >= 0.97
+
+
+def test_machines_by_rows_are_those_by_weights():
+    rng = np.random.default_rng(9)
+    labels = np.array([f"l{i % 12}" for i in range(60)], dtype=object)
+    centres = rng.normal(size=(12, 40))
+    x = language_id.with_bias(np.stack([centres[i % 12] + 0.3 * rng.normal(size=40) for i in range(60)]).astype(np.float32) / 8)
+    by_rows = language_id.OneVersusOne(x, np.arange(60), labels)
+    assert by_rows.coefficients is not None
+    weights = [language_id.train(x, np.flatnonzero(np.isin(labels, p)), np.where(labels[np.isin(labels, p)] == p[0], 1.0, -1.0), epochs=200) for p in [(by_rows.classes[a], by_rows.classes[b]) for a, b in by_rows.pairs]]
+    by_weights = language_id.OneVersusOne.__new__(language_id.OneVersusOne)
+    by_weights.classes, by_weights.pairs, by_weights.weights, by_weights.coefficients = by_rows.classes, by_rows.pairs, np.stack(weights), None
+    tried = rng.normal(size=(50, 40)).astype(np.float32) / 8
+    (a, s), (b, t) = by_rows.predict(tried), by_weights.predict(tried)
+    assert np.mean([x == y for x, y in zip(a, b)]) >= 0.96 and np.abs(s - t).max() < 0.02
+
+
 def test_svm_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5)).astype(np.float32)
