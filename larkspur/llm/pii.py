@@ -4,12 +4,14 @@ Base kinds (email, ip, card, phone) are leftmost, non-overlapping matches per
 kind, kept when their check holds; they carry scores but are never dropped for
 one. Further kinds are proposed by patterns too: IBANs must pass mod 97, and
 proposals without a checksum (secrets, national numbers, bare card-like numbers)
-must reach ``min_score`` with the help of words nearby.
+must reach ``min_score`` with the help of words nearby. An IBAN may end at
+every token end up to 34 characters on, so words and numbers that follow it do not
+hide it.
 
 A document is handled alone, in one pass over Arrow batches: no shuffle, and a
 worker holds one batch. Every pattern is linear in the text: starts are anchored
-at run starts and quantifiers do not give back what they took, so a text of one
-endless run costs no more than any other.
+at run starts and quantifiers do not give back what they took (or, in an IBAN, give
+back at most 19 characters), so a text of one endless run costs no more than any other.
 
 Defined cases: a null text is empty and has no span; offsets count code points;
 repeated rows give repeated results; null ids are kept; empty tables give nothing.
@@ -38,9 +40,24 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+#: Where an IBAN may start, and as far as the longest may reach; its end is sought inside.
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+ALNUM = re.compile("[A-Za-z0-9]")
 SECRET = re.compile(r"\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\x20]?[=:][\x20]?([^\s,;\"']{6,})", re.I)
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+# Characters of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    country: int(length)
+    for length, countries in (
+        line.split(":")
+        for line in (
+            "15:NO", "16:BE", "18:DK FI FK FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV", "22:BG BH CR DE GB GE IE ME RS VA",
+            "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST", "26:IS TR", "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HU LB NI PL SV",
+            "29:BR EG PS QA UA", "30:JO KW MU", "31:MT SC", "32:LC", "33:RU",
+        )
+    )
+    for country in countries.split()
+}
 # Words that make a kind likelier when they stand nearby.
 WORDS = {
     "email": ("mail", "email", "contact", "write"),
@@ -85,6 +102,28 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each start, 15 to 34 characters that end a token and pass mod 97.
+
+    The country's own length is tried first, then all others from the longest, so a
+    following word or number is taken in only where nothing else passes.
+    """
+    at = 0
+    while m := IBAN.search(text, at):
+        start, end = m.span()
+        at = start + 4
+        ends = []
+        while end > start and len(number := text[start:end].replace(" ", "")) >= 15:
+            if not ALNUM.match(text, end):
+                ends.append((len(number) != IBAN_LENGTHS.get(number[:2]), -end, number))
+            end -= 2 if text[end - 2] == " " else 1
+        for _, end, number in sorted(ends):
+            if mod97(number):
+                at = -end
+                yield start, at
+                break
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """Confirmed spans by kind, each kind from left to right."""
     for s, e in emails(text):
@@ -102,10 +141,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
             for m in PHONE.finditer(text):
                 if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
                     yield "phone", m.start(), m.end()
-        for m in IBAN.finditer(text):
-            number = m.group().replace(" ", "")
-            if 15 <= len(number) <= 34 and mod97(number):
-                yield "iban", m.start(), m.end()
+        for s, e in ibans(text):
+            yield "iban", s, e
     if "=" in text or ":" in text:
         for m in SECRET.finditer(text):
             yield "secret", m.start(1), m.end(1)

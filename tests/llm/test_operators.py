@@ -342,6 +342,27 @@ def test_added_kinds_and_redaction():
     assert pii.redact_text("nothing here") == "nothing here" and pii.redact_text(None) is None
 
 
+def test_ibans_end_before_what_follows():
+    cases = {
+        "DE89370400440532013000 Bank": "DE89370400440532013000",
+        "DE89370400440532013000 Please pay": "DE89370400440532013000",
+        "to GB82 WEST 1234 5698 7654 32 Thanks": "GB82 WEST 1234 5698 7654 32",
+        "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF": "DE89 3704 0044 0532 0130 00",
+        "DE89370400440532013000 2024 12 pay": "DE89370400440532013000",
+        "AB12 DE89370400440532013000 X": "DE89370400440532013000",
+        "NO9386011117947 A": "NO9386011117947",
+        "MT84MALT011000012345MTLCAST001S EUR": "MT84MALT011000012345MTLCAST001S",
+    }
+    for text, iban in cases.items():
+        assert [text[s:e] for k, s, e, _ in pii.spans(text) if k == "iban"] == [iban], text
+        assert iban not in pii.redact_text(text)
+    two = "DE89370400440532013000 GB82WEST12345698765432 OK"
+    assert [two[s:e] for k, s, e, _ in pii.spans(two) if k == "iban"] == two.split()[:2]
+    assert not any(k == "iban" for k, *_ in pii.spans("DE89370400440532013001 Bank, DE8937040044053201300 X, DE89370400440532013000x"))
+    for text in ("AA11" * 50_000, "AA11 " * 50_000, "AA11 BB22 " + "A " * 100_000):
+        pii.spans(text)
+
+
 def test_long_runs_are_linear():
     for text in ("a" * 300_000, "1" * 300_000, "@" * 100_000, "a@" * 100_000, "+1" * 100_000, "1." * 100_000, "1 " * 100_000, "A" * 300_000):
         pii.spans(text)
