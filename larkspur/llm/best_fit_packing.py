@@ -52,14 +52,16 @@ class Encoder:
 
     With ``ranks`` (the same vocabulary as a rank file) and its split ``pattern``,
     texts of settled characters without endless white space take the quicker library;
-    the ids are equal, which the tests hold. Any other text goes to ``tokenizers``.
+    the ids are equal, which the tests hold. Any other text, and any that holds an added
+    token of the vocabulary (such as ``<|endoftext|>``), goes to ``tokenizers``.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.slow.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)", re.I)
         self.fast = None
         if ranks:
             import tiktoken
@@ -69,7 +71,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("settled", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast and SETTLED.fullmatch(text) and not (len(text) >= BLANK and LONG_BLANK.search(text)):
+        if self.fast and SETTLED.fullmatch(text) and not self.added.search(text) and not (len(text) >= BLANK and LONG_BLANK.search(text)):
             return np.asarray(self.fast.encode_ordinary(text), dtype="<u4")
         return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 

@@ -175,6 +175,19 @@ def test_encoder_equals_the_vocabulary_file():
         assert fast(t).tolist() == slow(t).tolist()
 
 
+def test_added_tokens_are_those_of_the_vocabulary_file(spark):
+    from tokenizers import Tokenizer
+
+    paths = best_fit_packing.public_vocabulary()
+    plain, fast = Tokenizer.from_file(paths[0]), best_fit_packing.Encoder(*paths)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext|", "<|ENDOFTEXT|>", "a | b <| c |>"]
+    for t in texts:
+        assert fast(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    assert fast(texts[0]).tolist() == [64, 220, 50256, 275]
+    out = best_fit_packing.pack(documents(spark, [(1, texts[0], "en", "a")])).collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in out] == [[64, 220, 50256, 275, 2]]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_places_every_piece(seed):
     rng = np.random.default_rng(seed)
