@@ -17,8 +17,11 @@ repetition would empty is a copy of another page and keeps its undeclared blocks
 A host's pages are dealt to shards of at most about ``SHARD_PAGES``, so a host with
 a third of all pages is many tasks. Only hosts above that size are looked up, and
 the size grows with the table so that they are at most ``HOT_HOSTS``: that lookup
-is broadcast, everything else goes by hash. Boilerplate is frequent by nature, so a
-shard of a host shows it as the host does.
+is broadcast, everything else goes by hash. What repeats is a matter of the whole host
+all the same: the runs of a hot host's pages are hashed (64 bits) where the pages are
+read, counted by host and hash over all its pages, and each shard gets those of its
+runs that enough pages share. No group of that count holds more than a part of a
+host's hashes. Hosts of one shard are counted by their suffix array in place.
 
 Defined cases: null or empty html gives empty text; unclosed, misnested and unknown
 tags are read as browsers do, as far as blocks go; a missing or odd url makes the
@@ -30,11 +33,13 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +49,9 @@ RUN = 8
 PAGES = 3
 SHARD_PAGES = 256
 HOT_HOSTS = 100_000
+#: Runs counted in a task before they go out, and shards of a host whose runs are one group.
+HELD_RUNS = 1 << 20
+PART_SHARDS = 8
 HOST = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 _OTHER = r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*+>|"""
@@ -266,10 +274,99 @@ def repeated(pages: list[list[Block]], run: int = RUN, least: int = PAGES) -> np
     np.add.at(edge, np.flatnonzero(hit), 1)
     np.add.at(edge, np.flatnonzero(hit) + run, -1)
     covered = np.cumsum(edge)[: len(rank)] > 0
-    real = block >= 0
+    real = block >= 0  # not the ends of pages
     return np.bincount(block[real], covered[real], minlength=count) / np.bincount(block[real], minlength=count)
 
 
+def run_hashes(blocks: list[Block], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the run at each token of a page that starts one, and the block of each token."""
+    digest = xxhash.xxh3_64_intdigest
+    words = [b.text.split(" ") for b in blocks]
+    tokens = np.array([digest(w) for ws in words for w in ws], np.uint64)
+    hashes = np.zeros(max(0, len(tokens) - run + 1), np.uint64)
+    for j in range(run if len(hashes) else 0):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + tokens[j : j + len(hashes)]
+    hashes ^= hashes >> np.uint64(32)
+    return hashes * np.uint64(0xD6E8FEB86659FD93), np.repeat(np.arange(len(blocks)), [len(ws) for ws in words])
+
+
+def shares(blocks: list[Block], known: np.ndarray, run: int = RUN) -> np.ndarray:
+    """For each block of a page, the share of its tokens in runs whose hashes are known (sorted)."""
+    hashes, block = run_hashes(blocks, run)
+    edge = np.zeros(len(block) + 1, np.int64)
+    if len(known) and len(hashes):
+        hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+        edge[hit] += 1
+        edge[hit + run] -= 1
+    covered = np.cumsum(edge)[: len(block)] > 0
+    return np.bincount(block, covered, minlength=len(blocks)) / np.maximum(1, np.bincount(block, minlength=len(blocks)))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Bytes by significance, so that those of small numbers compress away."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unplanes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def shared_runs(hot: DataFrame, run: int, least: int) -> DataFrame:
+    """(host, shard, runs): the hashes of a shard's runs that ``least`` pages of the host share.
+
+    ``hot`` has host, shards, shard and html. A page counts once for a run; counts are
+    summed by task, host, hash and shard before they are shuffled.
+    """
+    names = ["host", "part", "hashes", "shards", "pages"]
+    types = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+    def emit(held: dict) -> pa.RecordBatch:
+        out = []
+        for (host, parts), pages in held.items():
+            h = np.concatenate([p for p, _ in pages])
+            s = np.repeat(np.array([shard for _, shard in pages], np.uint32), [len(p) for p, _ in pages])
+            part = ((h >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((s, h, part))
+            h, s, part = h[order], s[order], part[order]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
+            n = np.diff(np.r_[first, len(h)]).astype(np.uint32)
+            h, s, part = h[first], s[first], part[first]
+            bounds = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                steps = np.diff(h[a:b], prepend=np.uint64(0))
+                out.append((host, int(part[a]), planes(steps), planes(s[a:b]), planes(n[a:b])))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = defaultdict(list), 0
+        for batch in batches:
+            hosts, shards, shard = (batch.column(i).to_pylist() for i in range(3))
+            for i, page in enumerate(batch.column(3)):
+                hashes = np.unique(run_hashes(blocks_of(page.as_py()), run)[0])
+                if len(hashes):
+                    held[hosts[i], -(-shards[i] // PART_SHARDS)].append((hashes, shard[i]))
+                    size += len(hashes)
+                if size >= HELD_RUNS:
+                    yield emit(held)
+                    held, size = defaultdict(list), 0
+        if held:
+            yield emit(held)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = np.concatenate([np.cumsum(unplanes(x, "<u8"), dtype=np.uint64) for x in pdf["hashes"]])
+        s = np.concatenate([unplanes(x, "<u4") for x in pdf["shards"]])
+        n = np.concatenate([unplanes(x, "<u4") for x in pdf["pages"]])
+        _, which = np.unique(h, return_inverse=True)
+        enough = (np.bincount(which, n) >= least)[which]
+        h, s = h[enough], s[enough]
+        out = [(pdf["host"].iloc[0], int(shard), np.unique(h[s == shard]).tobytes()) for shard in np.unique(s)]
+        return pd.DataFrame(out, columns=["host", "shard", "runs"])
+
+    counted = hot.select("host", "shards", "shard", "html").mapInArrow(read, "host string, part long, hashes binary, shards binary, pages binary")
+    return counted.groupBy("host", "part").applyInPandas(count, "host string, shard long, runs binary")
+
+
 def unique_text(blocks: list[Block], share: np.ndarray) -> tuple[str, int]:
     """Main text of a page, and how many of its blocks repetition marks."""
     marked = int((share >= 0.5).sum())
@@ -287,11 +384,18 @@ def extract(pages: DataFrame, run: int = RUN, least: int = PAGES, shard_pages: i
     limit = max(shard_pages, pages.count() // HOT_HOSTS)
     hot = rows.groupBy("host").count().where(F.col("count") > limit).select("host", F.ceil(F.col("count") / limit).alias("shards"))
     # At most HOT_HOSTS hosts can have more than 1/HOT_HOSTS of the pages each.
-    dealt = rows.join(F.broadcast(hot), "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))))
+    dealt = rows.join(F.broadcast(hot), "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).cast("long"))
+
+    hot_rows = dealt.where("shards is not null")
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+    def local(pdf: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         read = [blocks_of(h) for h in pdf["html"]]
-        share, at, out = repeated(read, run, least), 0, []
+        if len(pdf) and pd.notna(pdf["shards"].iloc[0]):
+            known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r, "<u8") for r in runs["runs"])]))
+            share = np.concatenate([shares(blocks, known, run) for blocks in read])
+        else:
+            share = repeated(read, run, least)
+        at, out = 0, []
         for page_id, url, blocks in zip(pdf["page_id"], pdf["url"], read):
             text, marked = unique_text(blocks, share[at : at + len(blocks)])
             at += len(blocks)
@@ -300,4 +404,5 @@ def extract(pages: DataFrame, run: int = RUN, least: int = PAGES, shard_pages: i
         table["page_id"] = table["page_id"].astype("Int64")
         return table
 
-    return dealt.groupBy("host", "shard").applyInPandas(local, "page_id long, url string, text string, n_blocks long, n_repeated long")
+    runs = shared_runs(hot_rows, run, least).groupBy("host", "shard")
+    return dealt.groupBy("host", "shard").cogroup(runs).applyInPandas(local, "page_id long, url string, text string, n_blocks long, n_repeated long")

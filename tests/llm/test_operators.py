@@ -573,6 +573,26 @@ def test_host_repeats_are_removed(spark):
     assert host_boilerplate.extract(pages.limit(0)).count() == 0
 
 
+def test_shards_count_repeats_over_the_whole_host(spark):
+    rng = np.random.default_rng(11)
+    phrases = [" ".join(f"p{i}w{j}" for j in range(rng.integers(6, 14))) for i in range(40)]
+    rows = []
+    for i in range(120):
+        parts = [phrases[k] for k in rng.choice(40, rng.integers(1, 4))] + [" ".join(f"u{i}x{j}" for j in range(20))]
+        if i in (5, 50, 100):
+            parts.append("only three pages of this host carry this short notice of ours")
+        if i in (6, 51):
+            parts.append("only two pages of this host carry that other notice of ours")
+        rows.append((i, "http://h.example/a", "".join(f"<p>{x}</p>" for x in parts)))
+    rows += [(None, "http://h.example/b", None), (200, "http://h.example/b", "<p>x</p>"), (5, rows[5][1], rows[5][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(repr, host_boilerplate.extract(pages).collect()))
+    got = host_boilerplate.extract(pages, shard_pages=4).collect()
+    assert sorted(map(repr, got)) == whole
+    texts = {r["page_id"]: r["text"] for r in got}
+    assert not any("only three" in t for t in texts.values()) and "only two" in texts[6] and "only two" in texts[51]
+
+
 def test_suffix_classes_are_those_of_runs():
     rng = np.random.default_rng(4)
     tokens = rng.integers(0, 3, 300)
