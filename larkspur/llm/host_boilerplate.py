@@ -1,32 +1,40 @@
-"""Main text of web pages: page structure, and a suffix array per host.
-
-Markup is read in one linear pass into blocks of text, each with the structure
-around it: inside declared main content (``article`` or ``main``), inside a part
-whose element or class says menu, header, footer, sidebar, notice, advert, form or
-comments, or neither.
-
-The token streams of a host's pages, all blocks, are then concatenated and a suffix
-array is built, sorted to the depth that matters (prefix doubling over token
-classes). Runs of at least ``RUN`` tokens that occur on ``PAGES`` distinct pages are
-boilerplate; a block they cover is removed and unique runs stay. Structure
-outranks repetition where it speaks: what a page declares as its main content is
-never removed for being repeated (a passage may be quoted, a page may have copies),
-and what it declares as furniture never kept for being unique. A page that
-repetition would empty is a copy of another page and keeps its undeclared blocks.
-
-A host's pages are dealt to shards of at most about ``SHARD_PAGES``, so a host with
-a third of all pages is many tasks. Only hosts above that size are looked up, and
-the size grows with the table so that they are at most ``HOT_HOSTS``: that lookup
-is broadcast, everything else goes by hash. What repeats is a matter of the whole host
-all the same: the runs of a hot host's pages are hashed (64 bits) where the pages are
-read, counted by host and hash over all its pages, and each shard gets those of its
-runs that enough pages share. No group of that count holds more than a part of a
-host's hashes. Hosts of one shard are counted by their suffix array in place.
+"""Main text of web pages: page structure, and a sparse suffix array of every host.
+
+Markup is read in one linear pass into blocks of text. Element names and class words
+say what a block is: furniture (menus, headers, footers, sidebars, notices, adverts,
+forms, comments), declared content (inside ``article`` or ``main``), neither, or in
+doubt: inside declared content, where a class word that may mean furniture only
+proposes. What the page does not settle, the host's repeated runs decide.
+
+The token streams of a host's pages are concatenated and their suffixes sorted to the
+depth that matters (prefix doubling over token classes). The array is sparse: indexed
+are suffixes at block starts and at the least run hash of every ``RUN`` consecutive
+ones, so a shared passage is indexed at the same places on every page, neighbours are
+at most ``RUN`` tokens apart, and a repeated block is covered for at least half.
+A run of ``RUN`` tokens that occurs so on ``PAGES`` distinct pages of a host is
+boilerplate. Then, block by block,
+
+* undeclared blocks go if repeated runs cover half of them, unique ones stay;
+* blocks in doubt go only if so covered;
+* blocks of declared content go if runs that *most* pages of the host share cover half
+  of them, unless such blocks are half of the page's content: then it is a copy of other
+  pages. A line or a passage that many articles quote is not on most pages, and stays;
+* undeclared unique blocks beside declared content stay only where they are the larger
+  part of the page (a teaser is declared and the article is not);
+* a page that would be empty keeps its undeclared blocks.
+
+A host may hold any share of the pages, so its array is never in one task. Tasks sort
+the suffixes of batches of pages and send one entry for each class of equal runs and
+batch, under a hash of host and run (56 bits); one task a hash range merges the classes
+and adds up their pages. Runs that enough pages share then go to the groups of pages that
+hold them, where the texts are. No host is looked up or gathered, and neither the hash
+ranges nor the groups grow with the table: there are more of them instead. The verdict on
+a page is the same whatever the batches, ranges and groups are.
 
 Defined cases: null or empty html gives empty text; unclosed, misnested and unknown
 tags are read as browsers do, as far as blocks go; a missing or odd url makes the
-host the empty one; null ids and repeated rows are kept; an empty table gives an
-empty result.
+host the empty one; null ids are kept; repeated rows are kept and count as pages; a page
+of any length is read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,17 +49,25 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a repeated run, and pages that must share it.
+from .common import cut, power_of_two
+
+#: Tokens of a repeated run, pages that must share it, and of the host's pages the share
+#: that must where a page declares the run to be content.
 RUN = 8
 PAGES = 3
-SHARD_PAGES = 256
-HOT_HOSTS = 100_000
-#: Runs counted in a task before they go out, and shards of a host whose runs are one group.
-HELD_RUNS = 1 << 20
-PART_SHARDS = 8
+MOST = 0.5
+#: Tokens sorted together in a task; html bytes behind a hash range and a group of pages.
+BATCH_TOKENS = 1 << 20
+RANGE_BYTES = 1 << 26
+GROUP_BYTES = 1 << 23
+#: Entries of a hash range that one task tells the groups of pages.
+RANGE_ENTRIES = 1 << 22
+#: Bits of a run's hash that travel.
+HASH_BITS = 56
 HOST = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 _OTHER = r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*+>|"""
@@ -77,9 +93,13 @@ DECLARED = re.compile(
 STATE = re.compile(r"^(?:has|with|without|no|is|show|hide|js)[-_]", re.I)
 #: Class or id words of an element that holds the article where no tag says so.
 CONTENT = re.compile(r"^(?:(?:article|post|entry|story|page|main)[-_]?(?:body|content|text)|article|post|story|main|content)$", re.I)
-#: Inline tags left open that a new block closes, at most.
-INLINE = 64
-MAIN, PLAIN, ASIDE = 2, 1, 0
+# Elements whose class words say nothing inside declared content, and parts of
+# class words that only say what shape furniture has.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th tr dd dt caption figcaption address span a b i u em strong small code sub sup mark cite q time label abbr".split())
+SHAPE = frozenset("list links link box boxes button buttons bar block area section container wrapper wrap inner posts post articles form icons items item slot unit zone".split())
+#: Words that inside declared content may as well be about the article itself.
+OPEN = frozenset("alert notice notices header masthead topbar footer foot copyright colophon banner search skip hidden tags tagcloud discussion reply replies widget widgets toolbar complementary contentinfo".split())
+OUT, PLAIN, MAIN, DOUBT = 0, 1, 2, 3
 
 
 @dataclass
@@ -96,19 +116,30 @@ def declared_words(attributes: list[tuple[str, str]]) -> list[str]:
     return [w for name, value in attributes if name in ("class", "id", "role") for w in value.split() if not STATE.match(w)]
 
 
-def furniture(tag: str, attributes: list[tuple[str, str]], in_main: bool, by_words: bool = True) -> bool:
-    """Whether an element is declared to be something else than the article."""
+def furniture(tag: str, attributes: list[tuple[str, str]], in_main: bool, by_words: bool = True) -> int | None:
+    """OUT if an element is declared to be something else than the article, DOUBT if it may be."""
     if tag in FURNITURE:
-        return not (tag == "header" and in_main)  # an article's own header holds its title
+        return None if tag == "header" and in_main else OUT  # an article's own header holds its title
     if tag in ("html", "body", "article", "main"):
-        return False
+        return None
     for name, value in attributes:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return OUT
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    words = [w for w in declared_words(attributes) if not (in_main and "header" in w.lower())]
-    return by_words and any(DECLARED.search(w) for w in words)
+            return OUT
+    if not by_words or in_main and tag in TEXT:
+        return None
+    words = [w for w in declared_words(attributes) if DECLARED.search(w)]
+    if not in_main or any(map(all_furniture, words)):
+        return OUT if words else None
+    return DOUBT if words else None
+
+
+def all_furniture(word: str) -> bool:
+    """Whether each part of a class word speaks of furniture, one of them plainly."""
+    parts = [p for p in re.split(r"[_-]|\d+", word.lower()) if p]
+    plain = [p for p in parts if p not in OPEN and p not in SHAPE and DECLARED.fullmatch(p)]
+    return bool(plain) and all(p in SHAPE or DECLARED.fullmatch(p) for p in parts)
 
 
 def holds_article(tag: str, attributes: list[tuple[str, str]]) -> bool:
@@ -122,9 +153,9 @@ def blocks_of(page: str | None) -> list[Block]:
     again by its tags only.
     """
     blocks = _blocks(page, True) if page else []
-    if blocks and all(b.kind == ASIDE for b in blocks):
+    if blocks and all(b.kind == OUT for b in blocks):
         again = _blocks(page, False)
-        return again if any(b.kind != ASIDE for b in again) else blocks
+        return again if any(b.kind != OUT for b in again) else blocks
     return blocks
 
 
@@ -133,21 +164,28 @@ def _blocks(page: str, by_words: bool) -> list[Block]:
     closes: dict[str, int] = {}
     out: list[Block] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, main
+    stack: list[tuple[str, int | None, bool]] = []  # tag, OUT or DOUBT, content
+    edges: list[int] = []  # places in the stack of elements that end a search for open ones
     depth_of: Counter[str] = Counter()  # open elements by tag
-    aside = main = 0
+    aside = doubt = main = 0
+
+    def hold(text: str):
+        held.append(html.unescape(text) if "&" in text else text)  # no reference goes beyond a tag
 
     def flush():
-        text = " ".join(html.unescape("".join(held)).split())
+        text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append(Block(text, ASIDE if aside else MAIN if main else PLAIN))
+            out.append(Block(text, OUT if aside else DOUBT if doubt else MAIN if main else PLAIN))
 
     def pop():
-        nonlocal aside, main
+        nonlocal aside, doubt, main
         t, f, m = stack.pop()
+        if edges and edges[-1] == len(stack):
+            edges.pop()
         depth_of[t] -= 1
-        aside -= f
+        aside -= f == OUT
+        doubt -= f == DOUBT
         main -= m
 
     at, size, last, token = 0, len(page), page.rfind(">"), TOKEN
@@ -156,11 +194,11 @@ def _blocks(page: str, by_words: bool) -> list[Block]:
         # tried again. So no text is searched through twice.
         m = token.search(page, at) if at <= last else None
         if not m:
-            held.append(page[at:].partition("<!--")[0])
+            hold(page[at:].partition("<!--")[0])
             break
         token = BROKEN if m[5] else token
         if m.start() > at:
-            held.append(page[at : m.start()])
+            hold(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -182,19 +220,22 @@ def _blocks(page: str, by_words: bool) -> list[Block]:
         if tag in BLOCKS:
             flush()
             if tag in ("p", "li", "dd", "dt", "td", "th", "tr", "option", "h1", "h2", "h3", "h4", "h5", "h6"):
-                _imply(stack, tag, pop)
+                _imply(stack, edges, tag, pop)
         if tag in VOID or attributes.endswith("/"):
             continue
         named = attributes_of(attributes) if attributes else []
         side = furniture(tag, named, main > 0, by_words)
-        if side and tag not in FURNITURE:
+        if side is not None and tag not in FURNITURE:
             if tag not in last_close:
                 last_close[tag] = lower.rfind(f"</{tag}")
-            side = last_close[tag] >= at  # never closed, it would swallow the page
-        whole = not side and holds_article(tag, named)
+            side = side if last_close[tag] >= at else None  # never closed, it would swallow the page
+        whole = side is None and holds_article(tag, named)
+        if tag in BLOCKS or side == OUT:
+            edges.append(len(stack))
         stack.append((tag, side, whole))
         depth_of[tag] += 1
-        aside += side
+        aside += side == OUT
+        doubt += side == DOUBT
         main += whole
     flush()
     return out
@@ -209,37 +250,53 @@ def _close(page: str, tag: str, at: int, closes: dict[str, int]) -> int:
     return m.end() if m else 0
 
 
-def _imply(stack, tag, pop) -> None:
+def _imply(stack, edges, tag, pop) -> None:
     """A new paragraph, item or cell ends an open one of its kind, and inline tags in it."""
-    for depth in range(len(stack) - 1, max(-1, len(stack) - 1 - INLINE), -1):
-        other = stack[depth][0]
-        if other == tag or other == "p":
-            while len(stack) > depth:
-                pop()
-            return
-        if other in BLOCKS or stack[depth][1]:
-            return
+    if edges and stack[edges[-1]][0] in (tag, "p"):
+        for _ in range(len(stack) - edges[-1]):
+            pop()
 
 
-def token_classes(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token, page and block of the concatenated streams; a token of its own ends a page."""
+def words_of(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a page's tokens, and the block of each; furniture is no part of the stream."""
     digest = xxhash.xxh3_64_intdigest
-    tokens, page, block, nth = [], [], [], 0
-    for i, blocks in enumerate(pages):
-        for b in blocks:
-            words = b.text.split(" ")
-            tokens += [digest(w) for w in words]
-            page += [i] * len(words)
-            block += [nth] * len(words)
-            nth += 1
-        tokens.append(i)
-        page.append(i)
-        block.append(-1)
-    _, classes = np.unique(np.array(tokens, np.uint64), return_inverse=True)
-    ends = np.array(block) < 0
-    classes = classes.astype(np.int64)
-    classes[ends] = classes.max(initial=0) + 1 + np.arange(ends.sum())
-    return classes, np.array(page, np.int64), np.array(block, np.int64)
+    words = [b.text.split(" ") if b.kind != OUT else [] for b in blocks]
+    tokens = np.array([digest(w) for ws in words for w in ws], np.uint64)
+    return tokens, np.repeat(np.arange(len(blocks)), [len(ws) for ws in words])
+
+
+def run_hashes(tokens: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A hash of the run at each token that starts one."""
+    hashes = np.zeros(max(0, len(tokens) - run + 1), np.uint64)
+    for j in range(run if len(hashes) else 0):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + tokens[j : j + len(hashes)]
+    hashes ^= hashes >> np.uint64(32)
+    return hashes * np.uint64(0xD6E8FEB86659FD93)
+
+
+def indexed(hashes: np.ndarray, block: np.ndarray, run: int = RUN) -> np.ndarray:
+    """The places whose suffixes are in the array: block starts, least hashes of ``run`` in a row."""
+    n = len(hashes)
+    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][:n]) if n else np.zeros(0, np.int64)
+    if n < run:
+        return starts
+    least = np.lib.stride_tricks.sliding_window_view(hashes, run).argmin(axis=1) + np.arange(n - run + 1)
+    return np.union1d(starts, least)
+
+
+def keyed(hashes: np.ndarray, host: str) -> np.ndarray:
+    """Runs of a host, under hashes that other hosts do not use."""
+    mixed = (hashes ^ np.uint64(host_key(host))) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed ^ (mixed >> np.uint64(29))) >> np.uint64(64 - HASH_BITS)
+
+
+def host_key(host: str) -> int:
+    return xxhash.xxh3_64_intdigest(host, 1)
+
+
+def pages_key(host: str) -> int:
+    """Under which the pages of a host are counted."""
+    return xxhash.xxh3_64_intdigest(host, 2) >> (64 - HASH_BITS)
 
 
 def suffix_classes(classes: np.ndarray, depth: int) -> np.ndarray:
@@ -251,60 +308,59 @@ def suffix_classes(classes: np.ndarray, depth: int) -> np.ndarray:
     while length < depth:
         step = min(length, depth - length)
         after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:]
+        after[: max(0, n - step)] = rank[step:]
         _, rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)
         rank, length = rank.astype(np.int64), length + step
     return rank
 
 
-def repeated(pages: list[list[Block]], run: int = RUN, least: int = PAGES) -> np.ndarray:
-    """For each block of all pages, the share of its tokens in runs that ``least`` pages share."""
-    count = sum(map(len, pages))
-    if not count:
-        return np.zeros(0)
-    classes, page, block = token_classes(pages)
-    # A block shorter than a run is looked at whole, with what follows it.
-    rank = suffix_classes(classes, run)
-    order = np.lexsort((page, rank))  # the suffix array
-    r, p = rank[order], page[order]
-    new = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])]
-    distinct = np.bincount(r[new], minlength=r[-1] + 1)  # pages of each class
-    hit = distinct[rank] >= least
-    edge = np.zeros(len(rank) + run, np.int64)
-    np.add.at(edge, np.flatnonzero(hit), 1)
-    np.add.at(edge, np.flatnonzero(hit) + run, -1)
-    covered = np.cumsum(edge)[: len(rank)] > 0
-    real = block >= 0  # not the ends of pages
-    return np.bincount(block[real], covered[real], minlength=count) / np.bincount(block[real], minlength=count)
-
-
-def run_hashes(blocks: list[Block], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of the run at each token of a page that starts one, and the block of each token."""
-    digest = xxhash.xxh3_64_intdigest
-    words = [b.text.split(" ") for b in blocks]
-    tokens = np.array([digest(w) for ws in words for w in ws], np.uint64)
-    hashes = np.zeros(max(0, len(tokens) - run + 1), np.uint64)
-    for j in range(run if len(hashes) else 0):
-        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + tokens[j : j + len(hashes)]
-    hashes ^= hashes >> np.uint64(32)
-    return hashes * np.uint64(0xD6E8FEB86659FD93), np.repeat(np.arange(len(blocks)), [len(ws) for ws in words])
-
+def batch_classes(pages: list[tuple[str, np.ndarray, np.ndarray]], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of equal runs in a batch of (host, tokens, block of each token).
 
-def shares(blocks: list[Block], known: np.ndarray, run: int = RUN) -> np.ndarray:
-    """For each block of a page, the share of its tokens in runs whose hashes are known (sorted)."""
-    hashes, block = run_hashes(blocks, run)
-    edge = np.zeros(len(block) + 1, np.int64)
-    if len(known) and len(hashes):
-        hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
-        edge[hit] += 1
-        edge[hit + run] -= 1
-    covered = np.cumsum(edge)[: len(block)] > 0
-    return np.bincount(block, covered, minlength=len(blocks)) / np.maximum(1, np.bincount(block, minlength=len(blocks)))
+    (hash, pages): one entry for each class, with the number of distinct pages that hold it; and
+    one for each host, with its pages.
+    """
+    hosts = Counter(host for host, *_ in pages)
+    places, hashes, at = [], [], 0
+    for host, tokens, block in pages:
+        h = run_hashes(tokens, run)
+        where = indexed(h, block, run)
+        places.append(where + at)
+        hashes.append(keyed(h[where], host))
+        at += len(tokens) + 1
+    h, page = np.concatenate(hashes), np.repeat(np.arange(len(pages)), [len(x) for x in places])
+    _, classes = np.unique(np.concatenate([np.append(tokens ^ np.uint64(host_key(host)), np.uint64(0)) for host, tokens, _ in pages]), return_inverse=True)
+    ends = np.cumsum([len(tokens) + 1 for _, tokens, _ in pages]) - 1
+    classes = classes.astype(np.int64)
+    classes[ends] = classes.max(initial=0) + 1 + np.arange(len(ends))  # no run goes beyond a page
+    rank = suffix_classes(classes, run)[np.concatenate(places)]
+    order = np.lexsort((page, rank))  # the suffix array
+    rank, page, h = rank[order], page[order], h[order]
+    once = np.r_[True, (rank[1:] != rank[:-1]) | (page[1:] != page[:-1])][: len(rank)]  # a page counts once for a run
+    rank, h = rank[once], h[once]
+    first = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]][: len(rank)])
+    keys = np.array([pages_key(x) for x in hosts], np.uint64)
+    return np.r_[h[first], keys], np.r_[np.diff(np.r_[first, len(rank)]), np.array(list(hosts.values()), np.int64)]
+
+
+def batch_entries(pages: list[tuple[int, str, np.ndarray, np.ndarray]], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, group): one entry for each indexed run, and each host, of a group of pages."""
+    h, g = [], []
+    for group, host, tokens, block in pages:
+        r = run_hashes(tokens, run)
+        mine = np.append(keyed(r[indexed(r, block, run)], host), np.uint64(pages_key(host)))
+        h.append(mine)
+        g.append(np.full(len(mine), group, np.int64))
+    h, g = np.concatenate(h), np.concatenate(g)
+    order = np.lexsort((g, h))
+    h, g = h[order], g[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
+    return h[new], g[new]
 
 
 def planes(values: np.ndarray) -> bytes:
     """Bytes by significance, so that those of small numbers compress away."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
 def unplanes(data: bytes, kind: str) -> np.ndarray:
@@ -312,97 +368,211 @@ def unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
-def shared_runs(hot: DataFrame, run: int, least: int) -> DataFrame:
-    """(host, shard, runs): the hashes of a shard's runs that ``least`` pages of the host share.
+def squeeze(hashes: np.ndarray, *more: np.ndarray) -> list[bytes]:
+    """Hashes in ascending order as their steps, and what goes with them, compressed."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return [pack(planes(np.diff(hashes.astype("<u8"), prepend=np.uint64(0))))] + [pack(planes(x.astype("<u8"))) for x in more]
 
-    ``hot`` has host, shards, shard and html. A page counts once for a run; counts are
-    summed by task, host, hash and shard before they are shuffled.
-    """
-    names = ["host", "part", "hashes", "shards", "pages"]
-    types = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
-    def emit(held: dict) -> pa.RecordBatch:
-        out = []
-        for (host, parts), pages in held.items():
-            h = np.concatenate([p for p, _ in pages])
-            s = np.repeat(np.array([shard for _, shard in pages], np.uint32), [len(p) for p, _ in pages])
-            part = ((h >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((s, h, part))
-            h, s, part = h[order], s[order], part[order]
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
-            n = np.diff(np.r_[first, len(h)]).astype(np.uint32)
-            h, s, part = h[first], s[first], part[first]
-            bounds = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                steps = np.diff(h[a:b], prepend=np.uint64(0))
-                out.append((host, int(part[a]), planes(steps), planes(s[a:b]), planes(n[a:b])))
+def expand(data: bytes) -> np.ndarray:
+    return unplanes(zstandard.ZstdDecompressor().decompress(data), "<u8")
+
+
+def runs_of(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the stretches of equal values."""
+    bounds = np.r_[np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)]), len(values)]
+    return zip(bounds[:-1], bounds[1:])
+
+
+def ranged(make, ranges: int, batch_tokens: int, names: list[str]):
+    """An Arrow function from pages to what ``make`` says of a batch of them, a row a hash range."""
+    shift = np.uint64(HASH_BITS - ranges.bit_length() + 1)
+    types = [pa.int64()] + [pa.binary()] * (len(names) - 1)
+
+    def emit(held: list) -> pa.RecordBatch:
+        h, more = make(held)
+        order = np.argsort(h, kind="stable")
+        h, more = h[order], more[order]
+        part = (h >> shift).astype(np.int64)
+        out = [(int(part[a]), *squeeze(h[a:b], more[a:b])) for a, b in runs_of(part)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = defaultdict(list), 0
+        held, size = [], 0
         for batch in batches:
-            hosts, shards, shard = (batch.column(i).to_pylist() for i in range(3))
-            for i, page in enumerate(batch.column(3)):
-                hashes = np.unique(run_hashes(blocks_of(page.as_py()), run)[0])
-                if len(hashes):
-                    held[hosts[i], -(-shards[i] // PART_SHARDS)].append((hashes, shard[i]))
-                    size += len(hashes)
-                if size >= HELD_RUNS:
+            known = [batch.column(i).to_pylist() for i in range(batch.num_columns - 1)]
+            for i, page in enumerate(batch.column(batch.num_columns - 1)):
+                tokens, block = words_of(blocks_of(page.as_py()))
+                held.append((*(c[i] for c in known), tokens, block))
+                size += len(tokens) + 1
+                if size >= batch_tokens:
                     yield emit(held)
-                    held, size = defaultdict(list), 0
+                    held, size = [], 0
         if held:
             yield emit(held)
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.concatenate([np.cumsum(unplanes(x, "<u8"), dtype=np.uint64) for x in pdf["hashes"]])
-        s = np.concatenate([unplanes(x, "<u4") for x in pdf["shards"]])
-        n = np.concatenate([unplanes(x, "<u4") for x in pdf["pages"]])
-        _, which = np.unique(h, return_inverse=True)
-        enough = (np.bincount(which, n) >= least)[which]
-        h, s = h[enough], s[enough]
-        out = [(pdf["host"].iloc[0], int(shard), np.unique(h[s == shard]).tobytes()) for shard in np.unique(s)]
-        return pd.DataFrame(out, columns=["host", "shard", "runs"])
+    return read
+
+
+def shared_runs(rows: DataFrame, ranges: int, run: int, least: int, batch_tokens: int, range_entries: int) -> DataFrame:
+    """(grp, hashes, pages): of each group of pages, the runs that ``least`` pages of their host share.
 
-    counted = hot.select("host", "shards", "shard", "html").mapInArrow(read, "host string, part long, hashes binary, shards binary, pages binary")
-    return counted.groupBy("host", "part").applyInPandas(count, "host string, shard long, runs binary")
+    ``rows`` has host, grp and html. ``pages`` says how many pages share a run; the pages of a
+    host are counted under the host's own key. A run counts once a batch, so the tasks that add
+    up pages don't feel how frequent it is; those that tell the groups of pages do, and a range
+    with more than ``range_entries`` pages to tell is split by group.
+    """
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = np.concatenate([np.cumsum(expand(x), dtype=np.uint64) for x in pdf["hashes"]])
+        n = np.concatenate([expand(x) for x in pdf["pages"]]).astype(np.int64)
+        h, which = np.unique(h, return_inverse=True)
+        n = np.bincount(which, n).astype(np.int64)
+        h, n = h[n >= least], n[n >= least]
+        return pd.DataFrame([(pdf["part"].iloc[0], *squeeze(h, n), 1 + int(n.sum()) // range_entries)], columns=["part", "hashes", "pages", "splits"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "split", "hashes", "grps"]
+        for batch in batches:
+            out = []
+            for part, hashes, grps, splits in zip(*(c.to_pylist() for c in batch.columns)):
+                if splits is None:
+                    out.append((part, 0, hashes, grps))
+                    continue
+                h, g = np.cumsum(expand(hashes), dtype=np.uint64), expand(grps).astype(np.int64)
+                to = g % splits
+                out += [(part, int(i), *squeeze(h[to == i], g[to == i])) for i in np.unique(to)]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=names)
+
+    def tell(entries: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        columns = ["grp", "hashes", "pages"]
+        if not len(entries) or not len(known):
+            return pd.DataFrame({c: [] for c in columns})
+        known_h = np.cumsum(expand(known["hashes"].iloc[0]), dtype=np.uint64)
+        known_n = expand(known["pages"].iloc[0])
+        if not len(known_h):
+            return pd.DataFrame({c: [] for c in columns})
+        hs, gs = [], []
+        for row in entries.itertuples(index=False):
+            h, g = np.cumsum(expand(row.hashes), dtype=np.uint64), expand(row.grps)
+            is_known = known_h[np.minimum(np.searchsorted(known_h, h), len(known_h) - 1)] == h
+            hs.append(h[is_known])
+            gs.append(g[is_known])
+        h, g = np.concatenate(hs), np.concatenate(gs)
+        order = np.lexsort((h, g))
+        h, g = h[order], g[order]
+        new = np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])][: len(g)]
+        h, g = h[new], g[new]
+        n = known_n[np.searchsorted(known_h, h)]
+        return pd.DataFrame([(int(g[a]), *squeeze(h[a:b], n[a:b])) for a, b in runs_of(g)], columns=columns)
+
+    counted = rows.select("host", "html").mapInArrow(ranged(lambda held: batch_classes(held, run), ranges, batch_tokens, ["part", "hashes", "pages"]), "part long, hashes binary, pages binary")
+    totals = cut(counted.groupBy("part").applyInPandas(total, "part long, hashes binary, pages binary, splits long"))
+    entries = rows.select("grp", "host", "html").mapInArrow(ranged(lambda held: batch_entries(held, run), ranges, batch_tokens, ["part", "hashes", "grps"]), "part long, hashes binary, grps binary")
+    hot = totals.where("splits > 1").select("part", "splits")
+    entries = entries.join(hot, "part", "left").select("part", "hashes", "grps", "splits").mapInArrow(split, "part long, split long, hashes binary, grps binary")
+    known = totals.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)))
+    return entries.groupBy("part", "split").cogroup(known.groupBy("part", "split")).applyInPandas(tell, "grp long, hashes binary, pages binary")
+
+
+def shares(blocks: list[Block], host: str, known: np.ndarray, pages: np.ndarray, run: int = RUN, least: int = PAGES, most: float = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """For each block of a page, the share of its tokens in runs that ``least`` pages of the
+    host share, and in runs that more than ``most`` of all its pages do.
+
+    ``known`` (ascending) and ``pages``: the runs that enough pages share, and how many do.
+    """
+    tokens, block = words_of(blocks)
+    hashes = run_hashes(tokens, run)
+    where = indexed(hashes, block, run)
+    out = np.zeros((2, len(blocks)))
+    if not len(known) or not len(where):
+        return out[0], out[1]
+
+    def count(keys):
+        near = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[near] == keys, pages[near], 0)
+
+    shared = count(keyed(hashes[where], host))
+    whole = count(np.array([pages_key(host)], np.uint64))[0]
+    size = np.bincount(block, minlength=len(blocks))
+    for i, bar in enumerate((least, max(least, whole * most + 1))):
+        hit = where[shared >= bar]
+        edge = np.zeros(len(tokens) + 1, np.int64)
+        edge[hit] += 1
+        edge[hit + run] -= 1
+        out[i] = np.bincount(block, np.cumsum(edge)[: len(tokens)] > 0, minlength=len(blocks)) / np.maximum(1, size)
+    return out[0], out[1]
 
 
-def unique_text(blocks: list[Block], share: np.ndarray) -> tuple[str, int]:
-    """Main text of a page, and how many of its blocks repetition marks."""
-    marked = int((share >= 0.5).sum())
-    main = [b for b in blocks if b.kind == MAIN]
-    if not main:
-        plain = [(b, s) for b, s in zip(blocks, share) if b.kind == PLAIN]
-        main = [b for b, s in plain if s < 0.5] or [b for b, _ in plain]
-    return "\n".join(b.text for b in main), marked
+def unique_text(blocks: list[Block], share: np.ndarray, common: np.ndarray | None = None) -> tuple[str, int]:
+    """Main text of a page, and how many of its blocks repetition marks.
 
+    ``share`` and ``common``: of each block, the share of its tokens in runs that several, and
+    that most pages of the host hold.
+    """
+    common = share if common is None else common
+    size = [b.text.count(" ") + 1 for b in blocks]
+    content = sum(n for b, n in zip(blocks, size) if b.kind in (MAIN, DOUBT))
+    usual = sum(n for b, n, c in zip(blocks, size, common) if b.kind in (MAIN, DOUBT) and c >= 0.5)
+    copied = 2 * usual >= content
+    stays = [b.kind == PLAIN and s < 0.5 or b.kind == DOUBT and s < 0.5 or b.kind == MAIN and (copied or c < 0.5) for b, s, c in zip(blocks, share, common)]
+    declared = sum(n for b, n, k in zip(blocks, size, stays) if k and b.kind != PLAIN)
+    beside = sum(n for b, n, k in zip(blocks, size, stays) if k and b.kind == PLAIN)
+    if declared >= beside:
+        stays = [k and b.kind != PLAIN for b, k in zip(blocks, stays)]
+    text = [b.text for b, k in zip(blocks, stays) if k] or [b.text for b in blocks if b.kind != OUT]
+    return "\n".join(text), int((np.asarray(share) >= 0.5).sum())
+
+
+def send_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as their blocks, those of a group and batch compressed together."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        held = defaultdict(list)
+        for group, host, page_id, url, page in zip(*[batch.column(i).to_pylist() for i in range(4)], batch.column(4)):
+            blocks = blocks_of(page.as_py())
+            # Block texts hold no line ends.
+            held[group].append((host, None if page_id is None else str(page_id), url, len(blocks), "\n".join(f"{b.kind}{b.text}" for b in blocks if b.kind != OUT)))
+        out = []
+        for group, pages in held.items():
+            host, page_id, url, n, text = zip(*pages)
+            raw = [t.encode("utf-8", "surrogatepass") for t in text]
+            ends = np.cumsum([len(t) for t in raw]).astype("<i8")
+            out.append((group, host, page_id, url, n, ends.tobytes(), pack(b"".join(raw))))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, _SENT)], names=_SENT_NAMES)
+
+
+_SENT = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+_SENT_NAMES = ["grp", "host", "page_id", "url", "n_blocks", "ends", "packed"]
 
-def extract(pages: DataFrame, run: int = RUN, least: int = PAGES, shard_pages: int = SHARD_PAGES) -> DataFrame:
+
+def extract(pages: DataFrame, run: int = RUN, least: int = PAGES, batch_tokens: int = BATCH_TOKENS, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES, range_entries: int = RANGE_ENTRIES) -> DataFrame:
     """Per row: page_id, url, text, n_blocks and n_repeated (blocks that repetition marks)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    ranges, groups = power_of_two(size / range_bytes, 8, 1 << 40), power_of_two(size / group_bytes, 8, 1 << 40)
     rows = rows.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))))
-    limit = max(shard_pages, pages.count() // HOT_HOSTS)
-    hot = rows.groupBy("host").count().where(F.col("count") > limit).select("host", F.ceil(F.col("count") / limit).alias("shards"))
-    # At most HOT_HOSTS hosts can have more than 1/HOT_HOSTS of the pages each.
-    dealt = rows.join(F.broadcast(hot), "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).cast("long"))
-
-    hot_rows = dealt.where("shards is not null")
-
-    def local(pdf: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        read = [blocks_of(h) for h in pdf["html"]]
-        if len(pdf) and pd.notna(pdf["shards"].iloc[0]):
-            known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r, "<u8") for r in runs["runs"])]))
-            share = np.concatenate([shares(blocks, known, run) for blocks in read])
-        else:
-            share = repeated(read, run, least)
-        at, out = 0, []
-        for page_id, url, blocks in zip(pdf["page_id"], pdf["url"], read):
-            text, marked = unique_text(blocks, share[at : at + len(blocks)])
-            at += len(blocks)
-            out.append((None if pd.isna(page_id) else int(page_id), url, text, len(blocks), marked))
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(groups)).cast("long"))
+
+    def local(sent: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        known = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(expand(x), dtype=np.uint64) for x in runs["hashes"])])
+        counts = np.concatenate([np.zeros(0, np.uint64), *(expand(x) for x in runs["pages"])]).astype(np.int64)
+        order = np.argsort(known)
+        known, counts = known[order], counts[order]
+        out = []
+        for row in sent.itertuples(index=False):
+            whole, at = zstandard.ZstdDecompressor().decompress(row.packed) if len(row.packed) else b"", 0
+            for host, page_id, url, n, end in zip(row.host, row.page_id, row.url, row.n_blocks, np.frombuffer(row.ends, "<i8")):
+                text, at = whole[at:end].decode("utf-8", "surrogatepass"), int(end)
+                blocks = [Block(b[1:], int(b[0])) for b in text.split("\n")] if text else []
+                share, common = shares(blocks, host, known, counts, run, least)
+                text, marked = unique_text(blocks, share, common)
+                out.append((None if page_id is None else int(page_id), url, text, int(n), marked))
         table = pd.DataFrame(out, columns=["page_id", "url", "text", "n_blocks", "n_repeated"])
         table["page_id"] = table["page_id"].astype("Int64")
         return table
 
-    runs = shared_runs(hot_rows, run, least).groupBy("host", "shard")
-    return dealt.groupBy("host", "shard").cogroup(runs).applyInPandas(local, "page_id long, url string, text string, n_blocks long, n_repeated long")
+    sent = rows.select("grp", "host", "page_id", "url", "html").mapInArrow(send_pages, "grp long, host array<string>, page_id array<string>, url array<string>, n_blocks array<long>, ends binary, packed binary")
+    runs = shared_runs(rows, ranges, run, least, batch_tokens, range_entries)
+    return sent.groupBy("grp").cogroup(runs.groupBy("grp")).applyInPandas(local, "page_id long, url string, text string, n_blocks long, n_repeated long")

@@ -587,7 +587,7 @@ def test_shards_count_repeats_over_the_whole_host(spark):
     rows += [(None, "http://h.example/b", None), (200, "http://h.example/b", "<p>x</p>"), (5, rows[5][1], rows[5][2])]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     whole = sorted(map(repr, host_boilerplate.extract(pages).collect()))
-    got = host_boilerplate.extract(pages, shard_pages=4).collect()
+    got = host_boilerplate.extract(pages, batch_tokens=200, group_bytes=500, range_bytes=200, range_entries=3).collect()
     assert sorted(map(repr, got)) == whole
     texts = {r["page_id"]: r["text"] for r in got}
     assert not any("only three" in t for t in texts.values()) and "only two" in texts[6] and "only two" in texts[51]
