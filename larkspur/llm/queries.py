@@ -42,7 +42,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hamming_index.nearest(hamming_index.sign_codes(read(spark, sf_dir, "embeddings")))
+    return hamming_index.nearest(hamming_index.sign_words(read(spark, sf_dir, "embeddings")))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
