@@ -52,7 +52,7 @@ def vectors(spark, extra=()):
 
 def test_permutation_recall_and_order(spark):
     rows, table = vectors(spark)
-    got = permutation_index.nearest(table, pivots=64, prefix=32, chunk=64).collect()
+    got = permutation_index.nearest(table, pivots=(64, 64), prefix=32, posted=4, probed=32).collect()
     ids = np.array([i for i in range(640)])
     x = np.array([rows[i][1] for i in ids], dtype=np.float32).astype(float)
     by_query = defaultdict(list)

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from larkspur.llm import hamming_index
+from larkspur.llm import hamming_index, permutation_index as pi
 
 
 def by_query(rows, score):
@@ -51,3 +51,71 @@ def test_hamming_awkward_rows(spark):
     assert hamming_index.nearest(hamming_index.sign_words(table.limit(0))).count() == 0
     one = table.where("vec_id = 100")
     assert hamming_index.nearest(hamming_index.sign_words(one)).count() == 0
+
+
+def plain_nearest(ids, x, queries, k=10):
+    out = {}
+    for q in queries:
+        d = np.sqrt(((x - x[np.flatnonzero(ids == q)[0]]) ** 2).sum(axis=1))
+        out[q] = [(float(d[i]), int(ids[i])) for i in np.lexsort((ids, d)) if ids[i] != q][:k]
+    return out
+
+
+def recall(got, want):
+    return np.mean([len({v for _, v in want[q]} & {v for _, v in got[q]}) / len(want[q]) for q in want])
+
+
+def test_recall_where_the_index_prunes(spark):
+    """Unclustered vectors of 24 components, and a third of all rows around one place far off."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(24_000, 24)).astype(np.float32)
+    x[::3] = (5 + x[0] + 0.05 * rng.normal(size=x[::3].shape)).astype(np.float32)
+    ids = np.arange(len(x))
+    queries = [i for i in ids.tolist() if i % 100 == 0]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = by_query(pi.nearest(table).collect(), "score")
+    wide = x.astype(float)
+    want = plain_nearest(ids, wide, queries)
+    assert sorted(got) == queries and all(len(v) == 10 for v in got.values())
+    assert recall(got, want) >= 0.9
+    assert all(abs(s - np.sqrt(((wide[q] - wide[v]) ** 2).sum())) < 1e-9 for q in queries[:20] for s, v in got[q])
+    # What is reranked, by the index's own parts: under a tenth outside the crowd.
+    seen = wide[rng.permutation(len(x))[: pi.SAMPLE]]
+    axes = seen[:256]
+    perm = pi.permutations(wide, axes, pi.PREFIX)
+    outside = [q for q in queries if q % 3][:60]
+    bar = pi.bars(wide[outside], perm[outside], seen, pi.permutations(seen, axes, pi.PREFIX), pi.RERANKED)
+    place, orders = pi.small_places(perm, perm[outside])
+    assert np.mean([(pi.footrule(place, o) <= b).mean() for o, b in zip(orders, bar)]) < 0.1
+
+
+def test_footrule_is_that_of_the_orders():
+    rng = np.random.default_rng(4)
+    orders = np.array([rng.permutation(40)[:8] for _ in range(30)], np.uint16)
+    place, renamed = pi.small_places(orders, orders[:5])
+    for q in range(5):
+        plain = [sum(abs((list(a).index(p) if p in a else 8) - (list(orders[q]).index(p) if p in orders[q] else 8)) for p in range(40)) for a in orders]
+        assert (pi.footrule(place, renamed[q]) - pi.footrule(place, renamed[q])[q]).tolist() == plain
+
+
+def test_files_are_split_without_loss(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 8)) * np.r_[np.ones(600), 0.01 * np.ones(600)][:, None] + 1
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    kw = dict(pivots=(16, 16), prefix=16, posted=2, probed=16, reranked=1.0)
+    want = plain_nearest(np.arange(1200), x, range(0, 1200, 100))
+    for file_rows in (20, 1 << 15):
+        got = by_query(pi.nearest(table, file_rows=file_rows, **kw).collect(), "score")
+        assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+
+
+def test_permutation_awkward_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [5.0, 5.0]), (1, [0.0, 1.0]), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, [0.0, 0.0]), (5, None), (6, []), (7, [None, 1.0]), (None, [1.0, 1.0])]
+    rows += [(100, [1.0, 2.0, 3.0]), (101, [1.0, 2.0, 4.0]), (200, [9.0])]
+    table = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, query_id int, pivot string")
+    got = by_query(pi.nearest(table).collect(), "score")
+    assert got == {0: [(np.sqrt(2.0), 1)], 100: [(1.0, 101)]}
+    copies = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(350)], "vec_id long, embedding array<double>")
+    got = by_query(pi.nearest(copies).collect(), "score")
+    assert got[0] == [(0.0, i) for i in range(1, 11)] and got[100] == got[200] == got[300] == [(0.0, i) for i in range(10)]
