@@ -11,15 +11,18 @@ passage that a third of all documents share leaves a task once. What is left goe
 out as sorted, byte-sliced, compressed blocks, one per hash bucket. A bucket's task
 merges its blocks, counts occurrences over all batches, and sends the removed
 starts, again as blocks, to the documents' buckets. There they meet the texts.
-The numbers of buckets follow the size of the texts, so a task's share does not.
-
-Equality of windows is equality of 64-bit hashes: among n distinct windows about
-n**2 / 2**65 pairs collide (a few in 10**10 windows).
-
-Defined cases: null texts have no words; texts shorter than a window lose nothing;
-null ids come after all others (below 2**62), by a hash of their texts; rows of one
-id are one document, so a repeated row loses and keeps what its twin does; an empty
-table gives an empty result.
+The numbers of buckets follow the size of the texts, without a bound, so a task's share
+does not grow.
+
+Two windows are equal if 88 bits of two independent rolling hashes are: among n distinct
+windows about n**2 / 2**89 pairs collide, one in six chances of a single pair in 10**13
+windows.
+
+Defined cases: null texts have no words; texts shorter than a window lose nothing; null
+ids come after all others (below 2**62), by a hash of their texts; rows of one id and one
+text are one document, so a repeated row loses and keeps what its twin does; rows of one
+id with different texts are different documents, ordered by a 32-bit hash of their texts; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,23 +71,37 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def window_hashes(words: list[str], window: int = WINDOW) -> np.ndarray:
-    """One mixed hash for each start of ``window`` consecutive words."""
-    n = len(words) - window + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    digest = xxhash.xxh3_64_intdigest
-    h = np.array([digest(w) for w in words], dtype=np.uint64)
-    up, down = powers(1 << max(12, len(words).bit_length()))
-    prefix = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(h * up[: len(words)], out=prefix[1:])
-    x = (prefix[window:] - prefix[:-window]) * down[:n]
+def text_hash(text: str | bytes | None) -> int:
+    """32 bits that tell apart the texts of one id."""
+    return xxhash.xxh3_64_intdigest(text or b"", 1) >> 32
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """128 bits of each word, as two columns."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(w) for w in words]), "<u8").reshape(-1, 2)
+
+
+def rolled(h: np.ndarray, window: int) -> np.ndarray:
+    """The mixed polynomial hash of each ``window`` consecutive word hashes."""
+    up, down = powers(1 << max(12, len(h).bit_length()))
+    prefix = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=prefix[1:])
+    x = (prefix[window:] - prefix[:-window]) * down[: len(h) - window + 1]
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
 
 
+def window_hashes(words: list[str], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """64 and another 24 bits for each start of ``window`` consecutive words."""
+    if len(words) < window:
+        return np.empty(0, np.uint64), np.empty(0, np.uint32)
+    h = word_hashes(words)
+    return rolled(np.ascontiguousarray(h[:, 0]), window), (rolled(np.ascontiguousarray(h[:, 1]), window) >> np.uint64(40)).astype(np.uint32)
+
+
 def squeeze(values: np.ndarray) -> bytes:
     """Integers as byte planes, those of the high, mostly empty bytes compressing to nothing."""
     values = np.ascontiguousarray(values.astype("<u8"))
@@ -103,42 +120,41 @@ def steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values.astype(np.uint64), prepend=np.uint64(0))
 
 
-BLOCK = "bucket int, hashes binary, docs binary, places binary, gone_docs binary, gone_starts binary"
-
+BLOCK = "bucket long, hashes binary, tags binary, docs binary, texts binary, places binary, gone_docs binary, gone_texts binary, gone_starts binary"
 
-def _places(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids, ascending, and each entry's place among them."""
-    return np.unique(docs, return_inverse=True)
 
-
-def blocks_of(ids: list[int], hashes: list[np.ndarray], buckets: int) -> Iterator[tuple]:
-    """The blocks of one batch, whose documents are in order of id."""
-    h = np.concatenate(hashes)
-    lengths = [len(x) for x in hashes]
-    doc = np.repeat(np.array(ids, np.int64).view(np.uint64), lengths)
-    start = np.concatenate([np.arange(n, dtype=np.uint64) for n in lengths])
+def blocks_of(ids: list[int], texts: list[int], hashes: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[tuple]:
+    """The blocks of one batch, whose documents (id, hash of the text) are in order."""
+    h, tag = np.concatenate([x for x, _ in hashes]), np.concatenate([x for _, x in hashes])
+    lengths = [len(x) for x, _ in hashes]
+    known_doc, known_text = np.array(ids, np.int64).view(np.uint64), np.array(texts, np.uint32)
+    doc = np.repeat(np.arange(len(ids)), lengths)
+    start = np.concatenate([np.arange(n, dtype=np.uint32) for n in lengths])
     order = np.argsort(h, kind="stable")  # equal hashes stay in order of document and start
-    h, doc, start = h[order], doc[order], start[order]
-    first = np.r_[True, h[1:] != h[:-1]]
+    h, tag, doc, start = h[order], tag[order], doc[order], start[order]
+    # Equal hashes of unequal windows only lose their neighbourhood here: the bucket's task looks again.
+    first = np.r_[True, (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])]
     here = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-    later = (doc != doc[here]) | (start != start[here])  # a repeated row's window is no later than itself
+    later = (known_doc[doc] != known_doc[doc[here]]) | (known_text[doc] != known_text[doc[here]]) | (start != start[here])  # a repeated row's window is no later than itself
     shift = np.uint64(64 - buckets.bit_length() + 1)
     bucket = (h >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        part = slice(edges[b], edges[b + 1])
-        f = first[part]
-        known, place = _places(doc[part][f])
-        yield (int(b), squeeze(steps(h[part][f])), squeeze(steps(known)), squeeze((place.astype(np.uint64) << np.uint64(32)) | start[part][f]), *pairs(doc[part][later[part]], start[part][later[part]]))
+    bounds = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        f, lost = np.arange(a, b)[first[a:b]], np.arange(a, b)[later[a:b]]
+        used, place = np.unique(doc[f], return_inverse=True)
+        yield (
+            int(bucket[a]), squeeze(steps(h[f])), squeeze(tag[f]), squeeze(steps(known_doc[used])), squeeze(known_text[used]), squeeze((place.astype(np.uint64) << np.uint64(32)) | start[f]),
+            *starts_by_document(known_doc[doc[lost]], known_text[doc[lost]], start[lost]),
+        )
 
 
-def pairs(doc: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes]:
-    order = np.lexsort((start, doc))
-    return squeeze(steps(doc[order])), squeeze(start[order])
+def starts_by_document(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    order = np.lexsort((start, text, doc))
+    return squeeze(steps(doc[order])), squeeze(text[order]), squeeze(start[order])
 
 
-def unpair(docs: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(expand(docs)).astype(np.uint64), expand(starts)
+def documents_of(docs: bytes, texts: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.cumsum(expand(docs)).astype(np.uint64), expand(texts).astype(np.uint32), expand(starts).astype(np.uint32)
 
 
 def _hash_batches(window: int, buckets: int, batch_words: int):
@@ -146,18 +162,19 @@ def _hash_batches(window: int, buckets: int, batch_words: int):
         held, size = [], 0
 
         def flush():
-            held.sort(key=lambda x: x[0])
-            rows = blocks_of([i for i, _ in held], [x for _, x in held], buckets)
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int32()] + [pa.binary()] * 5
+            held.sort(key=lambda x: x[:2])
+            rows = blocks_of([i for i, *_ in held], [t for _, t, _ in held], [x for *_, x in held], buckets)
+            kinds = [pa.int64()] + [pa.binary()] * 8
+            columns = list(zip(*rows)) or [()] * len(kinds)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = window_hashes(words_of(text.as_py()), window)
-                if len(x):
-                    held.append((key_of(doc_id, text.as_py()), x))
-                    size += len(x)
+                text = text.as_py()
+                x = window_hashes(words_of(text), window)
+                if len(x[0]):
+                    held.append((key_of(doc_id, text), text_hash(text), x))
+                    size += len(x[0])
                     if size >= batch_words:
                         yield flush()
                         held, size = [], 0
@@ -171,37 +188,41 @@ def _merge(pdf, dests: int):
     """Of all blocks of a hash bucket: the starts to remove, as blocks by document bucket."""
     import pandas as pd
 
-    gone_doc, gone_start, hashes, docs, starts = [], [], [], [], []
+    gone, hashes, tags, docs, texts, starts = [], [], [], [], [], []
     for row in pdf.itertuples(index=False):
-        d, s = unpair(row.gone_docs, row.gone_starts)
-        gone_doc.append(d)
-        gone_start.append(s)
-        place = expand(row.places)
+        gone.append(documents_of(row.gone_docs, row.gone_texts, row.gone_starts))
+        packed = expand(row.places)
+        place = (packed >> np.uint64(32)).astype(np.int64)
         hashes.append(np.cumsum(expand(row.hashes)).astype(np.uint64))
-        docs.append(np.cumsum(expand(row.docs)).astype(np.uint64)[(place >> np.uint64(32)).astype(np.int64)])
-        starts.append((place & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-    h, d, s = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
-    hashes.clear(), docs.clear(), starts.clear()
+        tags.append(expand(row.tags).astype(np.uint32))
+        docs.append(np.cumsum(expand(row.docs)).astype(np.uint64)[place])
+        texts.append(expand(row.texts).astype(np.uint32)[place])
+        starts.append((packed & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    h = np.concatenate(hashes)
     order = np.argsort(h, kind="stable")
     same = np.r_[False, h[order][1:] == h[order][:-1]]
-    group = np.cumsum(~same)
-    shared = same | np.r_[same[1:], False]
-    order, group = order[shared], group[shared]
-    h = None
-    d, s = d[order], s[order].astype(np.uint64)
-    inside = np.lexsort((s, d.view(np.int64), group))
-    d, s, group = d[inside], s[inside], group[inside]
-    first = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]][: len(group)], np.arange(len(group)), 0))
-    later = (d != d[first]) | (s != s[first])
-    d, s = np.concatenate([d[later], *gone_doc]), np.concatenate([s[later], *gone_start])
-    dest = dest_of(d, dests)
-    out = [(int(x), *pairs(d[dest == x], s[dest == x])) for x in np.unique(dest)]
-    return pd.DataFrame(out, columns=["dest", "gone_docs", "gone_starts"])
-
-
-def dest_of(doc: np.ndarray, dests: int) -> np.ndarray:
-    x = doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x >> np.uint64(40)) % np.uint64(dests)).astype(np.int32)
+    order = order[same | np.r_[same[1:], False][: len(same)]]
+    h = h[order]
+    hashes.clear()
+    tag, d, t, s = (np.concatenate(x)[order] for x in (tags, docs, texts, starts))
+    tags.clear(), docs.clear(), texts.clear(), starts.clear()
+    inside = np.lexsort((s, t, d.view(np.int64), tag, h))
+    h, tag, d, t, s = h[inside], tag[inside], d[inside], t[inside], s[inside]
+    new = np.r_[True, (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])][: len(h)]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    later = (d != d[first]) | (t != t[first]) | (s != s[first])
+    d, t, s = (np.concatenate([x[later], *(g[i] for g in gone)]) for i, x in enumerate((d, t, s)))
+    dest = dest_of(d, t, dests)
+    order = np.argsort(dest, kind="stable")
+    d, t, s, dest = d[order], t[order], s[order], dest[order]
+    bounds = np.r_[np.flatnonzero(np.r_[True, dest[1:] != dest[:-1]][: len(dest)]), len(dest)]
+    out = [(int(dest[a]), *starts_by_document(d[a:b], t[a:b], s[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
+    return pd.DataFrame(out, columns=["dest", "gone_docs", "gone_texts", "gone_starts"])
+
+
+def dest_of(doc: np.ndarray, text: np.ndarray, dests: int) -> np.ndarray:
+    x = (doc.astype(np.uint64) ^ (text.astype(np.uint64) << np.uint64(17))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x >> np.uint64(24)) % np.uint64(dests)).astype(np.int64)
 
 
 def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -220,18 +241,17 @@ def _apply(window: int):
     def run(left, right):
         if not len(left):
             return pd.DataFrame({"doc_id": [], "n_words": [], "n_removed": [], "kept": [], "intervals": []})
-        gone = [unpair(r.gone_docs, r.gone_starts) for r in right.itertuples(index=False)]
-        doc = np.concatenate([d for d, _ in gone]) if gone else np.empty(0, np.uint64)
-        start = np.concatenate([s for _, s in gone]) if gone else np.empty(0, np.uint64)
-        order = np.argsort(doc, kind="stable")
-        doc, start = doc[order], start[order]
+        starts: dict[tuple[int, int], list[np.ndarray]] = {}
+        for r in right.itertuples(index=False):
+            doc, text, start = documents_of(r.gone_docs, r.gone_texts, r.gone_starts)
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])][: len(doc)]
+            for a, b in zip(np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(doc)]):
+                starts.setdefault((int(doc[a].view(np.int64)), int(text[a])), []).append(start[a:b])
         texts = [zstandard.ZstdDecompressor().decompress(t, max_output_size=n).decode("utf-8", "surrogatepass") if n else "" for t, n in zip(left["packed"], left["size"])]
         out = []
-        for doc_id, is_null, text in zip(left["id"].tolist(), left["no_id"].tolist(), texts):
+        for doc_id, is_null, which, text in zip(left["id"].tolist(), left["no_id"].tolist(), left["which"].tolist(), texts):
             words = words_of(text)
-            key = np.array([doc_id], np.int64).view(np.uint64)[0]
-            mine = start[np.searchsorted(doc, key, "left") : np.searchsorted(doc, key, "right")]
-            mine = mine[mine < max(0, len(words) - window + 1)]
+            mine = np.concatenate(starts.get((doc_id, which), [np.empty(0, np.uint32)]))
             spans = covered(mine, len(words), window)
             kept, at = [], 0
             for s, e in spans:
@@ -251,10 +271,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, batch_words: int = BATCH_WORDS)
     """Per row: doc_id, n_words, n_removed, kept (words joined by a space), intervals."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = power_of_two(size / HASH_BUCKET_BYTES, 16, 1 << 16)
-    dests = power_of_two(size / DOC_BUCKET_BYTES, 16, 1 << 20)
+    buckets = power_of_two(size / HASH_BUCKET_BYTES, 16, 1 << 48)
+    dests = power_of_two(size / DOC_BUCKET_BYTES, 16, 1 << 39)
     blocks = texts.mapInArrow(_hash_batches(window, buckets, batch_words), BLOCK)
-    gone = blocks.groupBy("bucket").applyInPandas(lambda pdf: _merge(pdf, dests), "dest int, gone_docs binary, gone_starts binary")
+    gone = blocks.groupBy("bucket").applyInPandas(lambda pdf: _merge(pdf, dests), "dest long, gone_docs binary, gone_texts binary, gone_starts binary")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeezer = zstandard.ZstdCompressor(level=3)
@@ -262,10 +282,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, batch_words: int = BATCH_WORDS)
             known = batch.column(0).to_pylist()
             raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
             ids = np.array([key_of(i, t) for i, t in zip(known, raw)], np.int64)
-            columns = [pa.array(dest_of(ids.view(np.uint64), dests)), pa.array(ids), pa.array([i is None for i in known], pa.bool_()), pa.array([len(t) for t in raw], pa.int64()), pa.array([squeezer.compress(t) for t in raw], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["dest", "id", "no_id", "size", "packed"])
+            which = np.array([text_hash(t) for t in raw], np.uint32)
+            columns = [pa.array(dest_of(ids.view(np.uint64), which, dests)), pa.array(ids), pa.array(which.astype(np.int64)), pa.array([i is None for i in known], pa.bool_()), pa.array([len(t) for t in raw], pa.int64()), pa.array([squeezer.compress(t) for t in raw], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["dest", "id", "which", "no_id", "size", "packed"])
 
-    sent = texts.mapInArrow(send, "dest int, id long, no_id boolean, size long, packed binary")
+    sent = texts.mapInArrow(send, "dest long, id long, which long, no_id boolean, size long, packed binary")
     return sent.groupBy("dest").cogroup(gone.groupBy("dest")).applyInPandas(_apply(window), "doc_id long, n_words long, n_removed long, kept string, intervals array<struct<begin:long,end:long>>")
 
 

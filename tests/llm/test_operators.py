@@ -424,6 +424,37 @@ def test_substring_dedup_on_driver_rows(spark):
     check_dedup(spark, [(r["doc_id"], r["text"]) for r in docs.collect()], batch_words=20_000)
 
 
+def test_rows_of_one_id_with_different_texts_are_different_documents(spark):
+    a, k = " ".join(f"a{i}" for i in range(60)), " ".join(f"k{i}" for i in range(60))
+    rows = [(1, a), (2, a), (2, k), (2, k), (3, k + " end"), (None, k), (None, a + " x")]
+    out = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(documents(spark, [(i, t, None, None) for i, t in rows])).collect())
+    assert out == Counter([(1, 60, 0), (2, 60, 60), (2, 60, 0), (2, 60, 0), (3, 61, 60), (None, 60, 60), (None, 61, 60)])
+
+
+def test_equal_first_hashes_do_not_make_windows_equal(monkeypatch):
+    """Windows that agree in the first 64 bits only: told apart within a batch and between batches."""
+    rng = np.random.default_rng(3)
+    h = np.sort(rng.integers(0, 4, 40)).astype(np.uint64) << np.uint64(61)
+    tag = rng.integers(0, 3, 40).astype(np.uint32)
+    import pandas as pd
+
+    ids, lost, frames = list(range(8)), [], []
+    for part in (ids[:5], ids[5:]):
+        hashes = [(h[i::8].copy(), tag[i::8].copy()) for i in part]
+        frames += list(substring_dedup.blocks_of(part, [7] * len(part), hashes, 1))
+    names = [x.split()[0] for x in substring_dedup.BLOCK.split(", ")]
+    for row in substring_dedup._merge(pd.DataFrame(frames, columns=names), 4).itertuples(index=False):
+        doc, _, start = substring_dedup.documents_of(row.gone_docs, row.gone_texts, row.gone_starts)
+        lost += list(zip(doc.tolist(), start.tolist()))
+    seen, want = set(), set()
+    for i in ids:
+        for start, key in enumerate(zip(h[i::8].tolist(), tag[i::8].tolist())):
+            if key in seen:
+                want.add((i, start))
+            seen.add(key)
+    assert set(lost) == want
+
+
 def test_substring_dedup_awkward_rows(spark):
     out = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(documents(spark)).collect()]
     assert len(out) == len(ROWS) and (3, 0, 0) in out and (4, 0, 0) in out
