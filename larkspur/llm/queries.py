@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op3_curriculum_mix": curriculum_mix.ORACLE, "op8_hamming_index": hamming_index.ORACLE}
+    return {"op1_license_scan": license_scan.ORACLE, "op3_curriculum_mix": curriculum_mix.ORACLE, "op8_hamming_index": hamming_index.ORACLE}
