@@ -268,16 +268,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def sample_features(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(lang, indices, values) of about ``sample`` labelled documents, evenly by language."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    learned = labelled.groupBy("lang").count()
+    # Rows differ in id or text or are the same row: equal rows draw the same number and are one of the sample.
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(1 << 53)) / float(1 << 53)
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(F.col("lang"), F.col("text").cast("string").alias("text"), draw.alias("draw"))
+    learned = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min("draw").alias("least"))
     if LANGUAGES is not None:
         learned = learned.orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    sizes = {r["lang"]: r["count"] for r in learned.collect()}
+    sizes = {r["lang"]: (r["count"], r["least"]) for r in learned.collect()}
     quota = max(LEAST, sample // max(1, len(sizes)))
-    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, quota / n)) for lang, n in sizes.items()], "lang string, share double")
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) / float(1 << 20)
+    bars = [(lang, max(least, min(1.0, quota / n))) for lang, (n, least) in sizes.items()]  # a label of equal rows is learned too
+    shares = docs.sparkSession.createDataFrame(bars, "lang string, share double")
     # One row per language learned.
-    drawn = labelled.select(F.col("lang"), F.col("text").cast("string"), draw.alias("draw")).join(F.broadcast(shares), "lang").where("draw < share").select("lang", "text")
+    drawn = labelled.join(F.broadcast(shares), "lang").where("draw <= share").groupBy("lang", "draw").agg(F.min("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
