@@ -2,11 +2,11 @@
 
 Base kinds (email, ip, card, phone) are leftmost, non-overlapping matches per
 kind, kept when their check holds; they carry scores but are never dropped for
-one. Further kinds are proposed by patterns too: IBANs must pass mod 97, and
-proposals without a checksum (secrets, national numbers, bare card-like numbers)
-must reach ``min_score`` with the help of words nearby. An IBAN may end at
-every token end up to 34 characters on, so words and numbers that follow it do not
-hide it.
+one. Further kinds are proposed by patterns too and must reach ``min_score``: IBANs that
+pass mod 97 do, whatever stands nearby; secrets do unless a word nearby speaks against
+them; national numbers, which have no checksum, only with a word that speaks for them. An
+IBAN may end at every token end up to 34 characters on, so words and numbers that follow
+it do not hide it.
 
 A document is handled alone, in one pass over Arrow batches: no shuffle, and a
 worker holds one batch. Every pattern is linear in the text: starts are anchored
@@ -68,9 +68,20 @@ WORDS = {
     "secret": ("login", "credential", "account", "user"),
     "ssn": ("ssn", "social", "security", "tax"),
 }
-# Score of a confirmed proposal before its context counts, and what context adds.
-SCORES = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "secret": 0.7, "ssn": 0.5}
-NEARBY = 0.1
+# Words that make a kind unlikelier when they stand nearby.
+AGAINST = {
+    "email": ("example", "placeholder"),
+    "ip": ("version", "release", "section", "chapter"),
+    "card": ("order", "invoice", "tracking", "serial", "isbn"),
+    "phone": ("order", "invoice", "serial", "part"),
+    "iban": ("example", "sample"),
+    "secret": ("example", "placeholder", "dummy", "sample", "forgot", "reset"),
+    "ssn": ("order", "invoice", "part", "serial", "model"),
+}
+# Score of a confirmed proposal before its context counts, and what a word for or
+# against it adds or takes.
+SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "secret": 0.7, "ssn": 0.5}
+NEARBY = 0.2
 
 
 def luhn(digits: str) -> bool:
@@ -153,13 +164,16 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "ssn", m.start(), m.end()
 
 
+def speaks(words: tuple[str, ...], around: str) -> bool:
+    return any(w in around and re.search(rf"\b{w}", around) for w in words)
+
+
 def spans(text: str | None, min_score: float = MIN_SCORE) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind in the order of KINDS, then start."""
     out = []
     for kind, start, end in proposals(text or ""):
         around = (text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]).lower()
-        near = any(re.search(rf"\b{w}", around) for w in WORDS[kind])
-        score = min(1.0, SCORES[kind] + NEARBY * near)
+        score = round(min(1.0, SCORES[kind] + NEARBY * (speaks(WORDS[kind], around) - speaks(AGAINST[kind], around))), 2)
         if kind in BASE or score >= min_score:
             out.append((kind, start, end, score))
     return out
@@ -181,14 +195,15 @@ def find(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the digest of base spans, and all spans as text."""
+    """Counts of the base kinds, the digest of base spans, and all spans and their scores as text."""
     def joined(keep):
         return F.array_join(F.transform(F.filter("pii", keep), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     def count(kind):
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, BASE), F.sha2(joined(lambda s: s["kind"].isin(*BASE)), 256).alias("base_sha256"), joined(lambda s: F.lit(True)).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda s: F.format_number(s["score"], 2)), ",")
+    return found.select("doc_id", *map(count, BASE), F.sha2(joined(lambda s: s["kind"].isin(*BASE)), 256).alias("base_sha256"), joined(lambda s: F.lit(True)).alias("spans"), scores.alias("scores"))
 
 
 def redact_text(text: str | None, min_score: float = MIN_SCORE) -> str | None:
