@@ -9,9 +9,9 @@ its source's word stream, inverted through that running integral, is its trainin
 position; the result is range-sorted by position.
 
 Everything is DataFrame expressions. The running word count of a source is never
-one window over that source: documents fall into buckets by hash prefix, bucket
+one window over that source: documents fall into buckets by a hash of id and text, bucket
 totals give each bucket's start, and windows run inside buckets, so a source with
-a third of all rows spreads like any other.
+a third of all rows spreads like any other, and so do rows without an id or of one id.
 
 Defined cases: null or blank text has size 0 and takes nothing; a null source is
 one source, ordered last; a null id is kept; repeated rows count separately and
@@ -91,7 +91,7 @@ def _place(docs: DataFrame, schedules, cap: int, carry: tuple[str, ...]) -> Data
         F.col("doc_id").cast("long").alias("__id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("__size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__key"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))).alias("__key"),
         *[F.col(c).alias(f"__carry_{i}") for i, c in enumerate(carry)],
     )
     sized = sized if carry else cut(sized)  # slim rows are kept; texts are read again instead
@@ -149,7 +149,7 @@ def materialise(docs: DataFrame, schedules=SCHEDULES, cap: int = 3) -> DataFrame
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(CAST(doc_id AS VARCHAR)) AS key
+         md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(text, ''))) AS key
   FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (
