@@ -11,8 +11,10 @@ A plan has at most three groups per length, and a group at most as many runs as
 distinct lengths fit a sequence (44 for 1024), so for a capacity of 1024 the
 broadcast runs stay under 140,000 small rows at any corpus size.
 
-Ranks do not come from one window per length: pieces fall into hash buckets,
-bucket counts give each bucket its first rank, windows run inside buckets.
+Ranks do not come from one window per length: pieces are numbered where they are made and
+written once with their numbers, fall into buckets by a hash of these, bucket counts give
+each bucket its first rank, and windows run inside buckets. Neither ids nor texts decide
+the bucket, so rows without an id and copies spread like any others.
 
 Defined cases: a null text is empty and becomes the end id alone; very long texts
 are cut, the first piece being the shorter one; rows repeated in the input are
@@ -174,16 +176,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple]:
 def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, length and any more) with sequence_id and offset.
 
-    ``pieces`` is read three times, so hand in a cut table when it is dear to make.
+    ``pieces`` is computed once, in the shared folder.
     """
-    spark = pieces.sparkSession
+    spark, columns = pieces.sparkSession, pieces.columns
+    pieces = cut(pieces.withColumn("__row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs = plan(histogram, capacity)
     buckets = power_of_two(max(histogram.values(), default=1) / BUCKET_ROWS, 16, 1 << 20)
-    salted = pieces.withColumn("__bucket", digest_ids("doc_id", "piece") % buckets)
+    salted = pieces.withColumn("__bucket", digest_ids("__row") % buckets)
     firsts = salted.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     firsts = firsts.withColumn("__first", F.sum("__n").over(Window.partitionBy("length").orderBy("__bucket")) - F.col("__n")).drop("__n")
-    inside = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "__bucket").orderBy("__row")
     ranked = salted.join(firsts, ["length", "__bucket"]).withColumn("__rank", F.col("__first") + F.row_number().over(inside) - 1)
     slots = spark.createDataFrame(runs, "__length long, __lo long, __hi long, __sequence long, __each long, __offset long")
     nth = F.col("__rank") - F.col("__lo")
@@ -191,7 +194,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         ranked.join(F.broadcast(slots), (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi")))
         .withColumn("sequence_id", F.col("__sequence") + F.floor(nth / F.col("__each")))
         .withColumn("offset", F.col("__offset") + nth % F.col("__each") * F.col("length"))
-        .select(*pieces.columns, "sequence_id", "offset")
+        .select(*columns, "sequence_id", "offset")
     )
 
 
@@ -204,4 +207,4 @@ def pack(docs: DataFrame, vocabulary=None, capacity: int = CAPACITY, end_id: int
     pieces = tokenise(docs, vocabulary, capacity, end_id)
     if not keep_ids:
         pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return assign(cut(pieces), capacity)
+    return assign(pieces, capacity)
