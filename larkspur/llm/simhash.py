@@ -5,10 +5,12 @@ hashed with XXH64 (seed 42); a bit is set if over half of the hashes set it.
 
 Links: two of 64 bits' worth of fingerprints that differ in at most ``radius``
 places agree on at least k - radius of k bit blocks, so every linked pair meets in
-a bucket of one of the C(k, radius) block combinations. k is the smallest whose
-largest bucket stays under ``BUCKET_LIMIT`` fingerprints, measured; should even the
-largest k leave one above it, that bucket is split into pairs of chunks, so no task
-holds more than twice the limit of one bucket. Inside a bucket
+a bucket of one of the C(k, radius) block combinations. All fingerprints meet under the
+least k, 5; those of buckets above ``BUCKET_LIMIT`` fingerprints, measured, meet there no
+more but under the next k, whose blocks are longer together, and so on: two of one such
+bucket are both dealt anew, so no pair is lost, and only they are copied more often. Buckets
+that the largest k leaves above the limit are split into pairs of chunks, so no task holds
+more than twice the limit of one bucket. Inside a bucket
 64 fingerprints are one word per bit plane; a fingerprint meets a word by adding
 the 64 xor planes into carry-save counters, and a word is abandoned as soon as all
 its lanes exceed the radius. A bucket reports a spanning forest, not its pairs.
@@ -47,6 +49,8 @@ BLOCKS = (5, 6, 7, 8)
 #: Bucket rows a task gets, about; and (fingerprint, word) comparisons in one step.
 GROUP_ROWS = 100_000
 STEP = 1 << 16
+#: Keys under which a component's fingerprints meet its name.
+SALTS = 32
 
 
 def fingerprint(text: str | None, words_in: int = SHINGLE) -> int:
@@ -232,15 +236,24 @@ def split_hot(keyed: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
 
 def link_edges(distinct: DataFrame, count: int, radius: int = RADIUS, limit: int = BUCKET_LIMIT) -> DataFrame:
     """Edges (a, b) of a forest whose components are those of all links."""
+    parts, rest, rows = [], distinct, 0
     for blocks in BLOCKS:
-        keyed = keyed_by(distinct, blocks, radius)
+        keyed = keyed_by(rest, blocks, radius).withColumn("t", F.col("t") + F.lit(blocks << 32))  # a table of its own
         sizes = keyed.groupBy("t", "key").count()
-        largest = sizes.agg(F.max("count")).first()[0] or 0
-        if largest <= limit:
+        large = sizes.where(F.col("count") > limit)
+        rows += count * len(masks(blocks, radius))
+        if large.isEmpty():
+            parts.append(keyed)
             break
-    if largest > limit:
-        keyed = split_hot(keyed, sizes, limit)
-    groups = power_of_two(count * len(masks(blocks, radius)) / GROUP_ROWS, 32, 1 << 20)
+        large = cut(large)
+        if blocks == BLOCKS[-1]:
+            parts.append(split_hot(keyed, large, limit))
+            break
+        parts.append(keyed.join(large.select("t", "key"), ["t", "key"], "left_anti").select(*keyed.columns))
+        rest = cut(keyed.join(large.select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct())
+        count = rest.count()
+    keyed = reduce(DataFrame.unionByName, parts)
+    groups = power_of_two(rows / GROUP_ROWS, 32, 1 << 40)
 
     def run(pdf):
         import pandas as pd
@@ -280,8 +293,11 @@ def groups(docs: DataFrame, radius: int = RADIUS, words_in: int = SHINGLE) -> Da
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(link_edges(distinct, distinct.count(), radius))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    # A component may hold a third of all fingerprints: they meet its name under several keys.
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    linked = names.join(found.select("root").distinct(), "root").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    named = salted.join(linked, ["root", "salt"], "left").select("fp", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

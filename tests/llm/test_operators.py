@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -298,6 +299,16 @@ def test_every_label_is_learned(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) >= 0.97
 
 
+def test_sample_is_bounded_whatever_the_ids(spark):
+    words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    texts = [" ".join(words[(i * k) % 25] for k in range(1, 9)) + f" {i}" for i in range(3000)]
+    for make in (lambda i: None, lambda i: 8, lambda i: i):
+        rows = [(make(i), t, "en", "a") for i, t in enumerate(texts)]
+        assert 60 <= language_id.sample_features(documents(spark, rows), 100).count() <= 150
+    same = [(None, "one text", "en", "a")] * 2000 + [(8, "un texte", "fr", "a")] * 2000
+    assert sorted(r["lang"] for r in language_id.sample_features(documents(spark, same), 100).collect()) == ["en", "fr"]
+
+
 def test_machines_by_rows_are_those_by_weights():
     rng = np.random.default_rng(9)
     labels = np.array([f"l{i % 12}" for i in range(60)], dtype=object)
@@ -377,8 +388,27 @@ def test_ibans_end_before_what_follows():
 
 
 def test_long_runs_are_linear():
+    began = time.process_time()
     for text in ("a" * 300_000, "1" * 300_000, "@" * 100_000, "a@" * 100_000, "+1" * 100_000, "1." * 100_000, "1 " * 100_000, "A" * 300_000):
         pii.spans(text)
+    assert time.process_time() - began < 20  # quadratic ones take hours
+
+
+def test_context_decides_either_way():
+    def kinds(text):
+        return [(k, s) for k, *_, s in pii.spans(text)]
+
+    assert kinds("number 123-45-6789 here") == [] and kinds("ssn 123-45-6789 here") == [("ssn", 0.7)]
+    assert kinds("ssn or part 123-45-6789") == []
+    assert kinds("password: hunter22") == [("secret", 0.7)] and kinds("for example password: hunter22") == []
+    assert kinds("login, for example password: hunter22") == [("secret", 0.7)]
+    assert kinds("for example IBAN DE89370400440532013000") == [("iban", 0.8)]
+    assert kinds("version 1.2.3.4") == [("ip", 0.5)] and kinds("host 1.2.3.4") == [("ip", 0.9)]  # base spans stay
+
+
+def test_digest_carries_the_scores(spark):
+    out = pii.digest(pii.find(documents(spark, [(1, "host 1.2.3.4 or a@b.cd", None, None), (2, None, None, None)]))).collect()
+    assert {r["doc_id"]: (r["spans"], r["scores"]) for r in out} == {1: ("email:16:22,ip:5:12", "0.90,0.90"), 2: ("", "")}
 
 
 def test_pii_digest(spark):
@@ -535,6 +565,29 @@ def test_hot_buckets_are_split_without_loss(spark):
     assert [roots.get(f, f) for f in order] == [order[i] for i in want]
 
 
+def test_only_rows_of_hot_buckets_are_dealt_anew(spark):
+    rng = np.random.default_rng(12)
+    fps = {int(x) for x in rng.integers(0, 2**63, 300, dtype=np.uint64)}
+    for _ in range(200):  # equal in half of their bits
+        fps.add(0x0123456700000000 | int(rng.integers(0, 2**32)))
+    for x in list(fps)[:150]:
+        fps.add(x ^ (1 << int(rng.integers(0, 63))) ^ (1 << int(rng.integers(0, 63))))
+    order = sorted(simhash.signed(f) for f in fps)
+    distinct = spark.createDataFrame([(f,) for f in order], "fp long")
+    for limit in (16, 100, 10_000):
+        roots = {r["node"]: r["root"] for r in simhash.components(simhash.link_edges(distinct, len(fps), limit=limit)).collect()}
+        assert [roots.get(f, f) for f in order] == [order[i] for i in plain_groups([f & (2**64 - 1) for f in order])]
+
+
+def test_simhash_rows_without_ids(spark):
+    rows = [(None, f"some words that are all the same here {i}", "en", "a") for i in range(20)] + [(None, None, None, None)] * 5
+    out = simhash.groups(documents(spark, rows)).collect()
+    assert len(out) == 25 and all(r["component_id"] is None for r in out)
+    assert curriculum_mix.mix(documents(spark, rows)).count() == 25
+    assert best_fit_packing.pack(documents(spark, rows), keep_ids=False).count() == 25
+    assert sum(r["n_words"] for r in substring_dedup.dedup(documents(spark, rows)).collect()) == 180
+
+
 def test_simhash_awkward_rows(spark):
     out = simhash.groups(documents(spark)).collect()
     assert len(out) == len(ROWS)
@@ -657,7 +710,7 @@ def plain_mix(rows):
     import hashlib
 
     word = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
-    sized = [(source, hashlib.md5(str(i).encode()).hexdigest(), i, text, len(word.findall(text))) for i, text, source in rows]
+    sized = [(source, hashlib.md5(f"{i}:{text}".encode()).hexdigest(), i, text, len(word.findall(text))) for i, text, source in rows]
     sources = sorted({r[0] for r in sized})
     size = {s: sum(r[4] for r in sized if r[0] == s) for s in sources}
     weight = {s: 1 + k % 3 for k, s in enumerate(sources)}
