@@ -13,11 +13,12 @@ Conventions that hold for every operator of this subpackage:
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut  # noqa: F401
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -27,15 +28,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the shared checkpoint folder; lineage ends there."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def power_of_two(wanted: float, least: int, most: int) -> int:
     """The power of two at or above ``wanted``, within [least, most]."""
     return int(min(most, max(least, 2 ** math.ceil(math.log2(max(wanted, 1))))))
