@@ -27,9 +27,11 @@ A host may hold any share of the pages, so its array is never in one task. Tasks
 the suffixes of batches of pages and send one entry for each class of equal runs and
 batch, under a hash of host and run (56 bits); one task a hash range merges the classes
 and adds up their pages. Runs that enough pages share then go to the groups of pages that
-hold them, where the texts are. No host is looked up or gathered, and neither the hash
-ranges nor the groups grow with the table: there are more of them instead. The verdict on
-a page is the same whatever the batches, ranges and groups are.
+hold them, where the texts are. No host is gathered, and neither the hash ranges nor the
+groups grow with the table: there are more of them instead. Only the runs of hosts of more
+than ``RANGE_ENTRIES`` pages, which as a notice may be on all of them, are added up first and
+told to the groups after, in parts. The verdict on a page is the same whatever the batches,
+ranges, parts and groups are.
 
 Defined cases: null or empty html gives empty text; unclosed, misnested and unknown
 tags are read as browsers do, as far as blocks go; a missing or odd url makes the
@@ -48,6 +50,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -60,11 +63,14 @@ from .common import cut, power_of_two
 RUN = 8
 PAGES = 3
 MOST = 0.5
-#: Tokens sorted together in a task; html bytes behind a hash range and a group of pages.
+#: Tokens sorted together in a task, for so many characters each; html bytes behind a hash
+#: range and a group of pages.
 BATCH_TOKENS = 1 << 20
+TOKEN_LENGTH = 6
 RANGE_BYTES = 1 << 26
 GROUP_BYTES = 1 << 23
-#: Entries of a hash range that one task tells the groups of pages.
+#: Pages of a host from which its runs may be more than a task can tell the groups of pages, and
+#: entries of a hash range that one task tells.
 RANGE_ENTRIES = 1 << 22
 #: Bits of a run's hash that travel.
 HASH_BITS = 56
@@ -102,7 +108,7 @@ OPEN = frozenset("alert notice notices header masthead topbar footer foot copyri
 OUT, PLAIN, MAIN, DOUBT = 0, 1, 2, 3
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     kind: int
@@ -160,7 +166,7 @@ def blocks_of(page: str | None) -> list[Block]:
 
 
 def _blocks(page: str, by_words: bool) -> list[Block]:
-    lower, last_close = page.lower(), {}
+    last_close: dict[str, int] = {}
     closes: dict[str, int] = {}
     out: list[Block] = []
     held: list[str] = []
@@ -223,13 +229,17 @@ def _blocks(page: str, by_words: bool) -> list[Block]:
                 _imply(stack, edges, tag, pop)
         if tag in VOID or attributes.endswith("/"):
             continue
-        named = attributes_of(attributes) if attributes else []
-        side = furniture(tag, named, main > 0, by_words)
-        if side is not None and tag not in FURNITURE:
-            if tag not in last_close:
-                last_close[tag] = lower.rfind(f"</{tag}")
-            side = side if last_close[tag] >= at else None  # never closed, it would swallow the page
-        whole = side is None and holds_article(tag, named)
+        if attributes:
+            named = attributes_of(attributes)
+            side = furniture(tag, named, main > 0, by_words)
+            if side is not None and tag not in FURNITURE:
+                if tag not in last_close:
+                    last_close[tag] = page.lower().rfind(f"</{tag}")
+                side = side if last_close[tag] >= at else None  # never closed, it would swallow the page
+            whole = side is None and holds_article(tag, named)
+        else:
+            side = OUT if tag in FURNITURE and not (tag == "header" and main) else None
+            whole = tag == "article" or tag == "main"
         if tag in BLOCKS or side == OUT:
             edges.append(len(stack))
         stack.append((tag, side, whole))
@@ -257,12 +267,30 @@ def _imply(stack, edges, tag, pop) -> None:
             pop()
 
 
-def words_of(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a page's tokens, and the block of each; furniture is no part of the stream."""
+def streams(pages: list[list[Block]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each page, hashes of its tokens and the block of each; furniture is no part of a stream.
+
+    Equal tokens are hashed once.
+    """
     digest = xxhash.xxh3_64_intdigest
-    words = [b.text.split(" ") if b.kind != OUT else [] for b in blocks]
-    tokens = np.array([digest(w) for ws in words for w in ws], np.uint64)
-    return tokens, np.repeat(np.arange(len(blocks)), [len(ws) for ws in words])
+    texts = [b.text for blocks in pages for b in blocks if b.kind != OUT]
+    split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    words = pc.dictionary_encode(split.flatten())
+    size = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = np.array([digest(w) for w in words.dictionary.to_pylist()], np.uint64)
+    tokens = known[words.indices.to_numpy(zero_copy_only=False)] if len(known) else known
+    out, at, nth = [], 0, 0
+    for blocks in pages:
+        stays = [k for k, b in enumerate(blocks) if b.kind != OUT]
+        mine = size[nth : nth + len(stays)]
+        n = int(mine.sum())
+        out.append((tokens[at : at + n], np.repeat(np.array(stays, np.int64), mine)))
+        at, nth = at + n, nth + len(stays)
+    return out
+
+
+def words_of(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    return streams([blocks])[0]
 
 
 def run_hashes(tokens: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -299,48 +327,56 @@ def pages_key(host: str) -> int:
     return xxhash.xxh3_64_intdigest(host, 2) >> (64 - HASH_BITS)
 
 
-def suffix_classes(classes: np.ndarray, depth: int) -> np.ndarray:
+def suffix_classes(classes: np.ndarray, depth: int, at: np.ndarray | None = None) -> np.ndarray:
     """Ranks of the suffixes by their first ``depth`` tokens: a suffix array to that depth.
 
-    Prefix doubling; the last step overlaps its halves to meet the depth exactly.
+    Prefix doubling; the last step overlaps its halves to meet the depth exactly, and ranks
+    only the suffixes ``at`` some places, if given.
     """
     rank, n, length = classes, len(classes), 1
     while length < depth:
         step = min(length, depth - length)
         after = np.full(n, -1, np.int64)
         after[: max(0, n - step)] = rank[step:]
-        _, rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)
-        rank, length = rank.astype(np.int64), length + step
+        pair = rank * (n + 1) + after + 1
+        length += step
+        _, rank = np.unique(pair if length < depth or at is None else pair[at], return_inverse=True)
+        rank = rank.astype(np.int64)
     return rank
 
 
-def batch_classes(pages: list[tuple[str, np.ndarray, np.ndarray]], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of equal runs in a batch of (host, tokens, block of each token).
+def batch_classes(pages: list[tuple[int, str, np.ndarray, np.ndarray]], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of equal runs in a batch of (group, host, tokens, block of each token).
 
-    (hash, pages): one entry for each class, with the number of distinct pages that hold it; and
-    one for each host, with its pages.
+    (hash, group, pages): one entry for each class and group that holds it, with the number of
+    distinct pages there; and one for each host and group, with its pages.
     """
-    hosts = Counter(host for host, *_ in pages)
+    counted = Counter((host, group) for group, host, *_ in pages)
     places, hashes, at = [], [], 0
-    for host, tokens, block in pages:
+    for _, host, tokens, block in pages:
         h = run_hashes(tokens, run)
         where = indexed(h, block, run)
         places.append(where + at)
         hashes.append(keyed(h[where], host))
         at += len(tokens) + 1
     h, page = np.concatenate(hashes), np.repeat(np.arange(len(pages)), [len(x) for x in places])
-    _, classes = np.unique(np.concatenate([np.append(tokens ^ np.uint64(host_key(host)), np.uint64(0)) for host, tokens, _ in pages]), return_inverse=True)
-    ends = np.cumsum([len(tokens) + 1 for _, tokens, _ in pages]) - 1
+    _, classes = np.unique(np.concatenate([np.append(tokens ^ np.uint64(host_key(host)), np.uint64(0)) for _, host, tokens, _ in pages]), return_inverse=True)
+    ends = np.cumsum([len(tokens) + 1 for *_, tokens, _ in pages]) - 1
     classes = classes.astype(np.int64)
     classes[ends] = classes.max(initial=0) + 1 + np.arange(len(ends))  # no run goes beyond a page
-    rank = suffix_classes(classes, run)[np.concatenate(places)]
-    order = np.lexsort((page, rank))  # the suffix array
-    rank, page, h = rank[order], page[order], h[order]
-    once = np.r_[True, (rank[1:] != rank[:-1]) | (page[1:] != page[:-1])][: len(rank)]  # a page counts once for a run
-    rank, h = rank[once], h[once]
-    first = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]][: len(rank)])
-    keys = np.array([pages_key(x) for x in hosts], np.uint64)
-    return np.r_[h[first], keys], np.r_[np.diff(np.r_[first, len(rank)]), np.array(list(hosts.values()), np.int64)]
+    rank = suffix_classes(classes, run, np.concatenate(places))
+    # The suffix array; a page counts once for a run.
+    at_once = np.unique(rank * len(pages) + page, return_index=True)[1]
+    rank, g, h = rank[at_once], np.array([group for group, *_ in pages], np.int64)[page[at_once]], h[at_once]
+    order = np.lexsort((g, rank))
+    rank, g, h = rank[order], g[order], h[order]
+    first = np.flatnonzero(np.r_[True, (rank[1:] != rank[:-1]) | (g[1:] != g[:-1])][: len(rank)])
+    hosts = list(counted)
+    return (
+        np.r_[h[first], np.array([pages_key(host) for host, _ in hosts], np.uint64)],
+        np.r_[g[first], np.array([group for _, group in hosts], np.int64)],
+        np.r_[np.diff(np.r_[first, len(rank)]), np.array([counted[x] for x in hosts], np.int64)],
+    )
 
 
 def batch_entries(pages: list[tuple[int, str, np.ndarray, np.ndarray]], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -390,11 +426,11 @@ def ranged(make, ranges: int, batch_tokens: int, names: list[str]):
     types = [pa.int64()] + [pa.binary()] * (len(names) - 1)
 
     def emit(held: list) -> pa.RecordBatch:
-        h, more = make(held)
+        h, *more = make([(*known, *stream) for (known, _), stream in zip(held, streams([blocks for _, blocks in held]))])
         order = np.argsort(h, kind="stable")
-        h, more = h[order], more[order]
+        h, more = h[order], [x[order] for x in more]
         part = (h >> shift).astype(np.int64)
-        out = [(int(part[a]), *squeeze(h[a:b], more[a:b])) for a, b in runs_of(part)]
+        out = [(int(part[a]), *squeeze(h[a:b], *(x[a:b] for x in more))) for a, b in runs_of(part)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,9 +438,8 @@ def ranged(make, ranges: int, batch_tokens: int, names: list[str]):
         for batch in batches:
             known = [batch.column(i).to_pylist() for i in range(batch.num_columns - 1)]
             for i, page in enumerate(batch.column(batch.num_columns - 1)):
-                tokens, block = words_of(blocks_of(page.as_py()))
-                held.append((*(c[i] for c in known), tokens, block))
-                size += len(tokens) + 1
+                held.append(([c[i] for c in known], blocks_of(page.as_py())))
+                size += sum(len(b.text) for b in held[-1][1] if b.kind != OUT) // TOKEN_LENGTH + 1
                 if size >= batch_tokens:
                     yield emit(held)
                     held, size = [], 0
@@ -414,13 +449,43 @@ def ranged(make, ranges: int, batch_tokens: int, names: list[str]):
     return read
 
 
-def shared_runs(rows: DataFrame, ranges: int, run: int, least: int, batch_tokens: int, range_entries: int) -> DataFrame:
+def told(h: np.ndarray, g: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """(grp, hashes, pages) of runs (hash, group, pages of the host), each once a group."""
+    order = np.lexsort((h, g))
+    h, g, n = h[order], g[order], n[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])][: len(g)]
+    h, g, n = h[new], g[new], n[new]
+    return pd.DataFrame([(int(g[a]), *squeeze(h[a:b], n[a:b])) for a, b in runs_of(g)], columns=["grp", "hashes", "pages"])
+
+
+TOLD = "grp long, hashes binary, pages binary"
+
+
+def shared_runs(rows: DataFrame, ranges: int, run: int, least: int, batch_tokens: int) -> DataFrame:
     """(grp, hashes, pages): of each group of pages, the runs that ``least`` pages of their host share.
 
     ``rows`` has host, grp and html. ``pages`` says how many pages share a run; the pages of a
-    host are counted under the host's own key. A run counts once a batch, so the tasks that add
-    up pages don't feel how frequent it is; those that tell the groups of pages do, and a range
-    with more than ``range_entries`` pages to tell is split by group.
+    host are counted under the host's own key.
+    """
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = np.concatenate([np.cumsum(expand(x), dtype=np.uint64) for x in pdf["hashes"]])
+        g, n = (np.concatenate([expand(x) for x in pdf[c]]).astype(np.int64) for c in ("grps", "pages"))
+        _, which = np.unique(h, return_inverse=True)
+        n = np.bincount(which, n).astype(np.int64)[which]
+        return told(h[n >= least], g[n >= least], n[n >= least])
+
+    names = ["part", "hashes", "grps", "pages"]
+    counted = rows.select("grp", "host", "html").mapInArrow(ranged(lambda held: batch_classes(held, run), ranges, batch_tokens, names), "part long, hashes binary, grps binary, pages binary")
+    return counted.groupBy("part").applyInPandas(merge, TOLD)
+
+
+def shared_runs_of_large_hosts(rows: DataFrame, ranges: int, run: int, least: int, batch_tokens: int, range_entries: int) -> DataFrame:
+    """What ``shared_runs`` gives, for hosts whose runs may be on more pages than a task can tell.
+
+    Pages are added up without saying which groups they are in, so that a run is one entry a
+    batch however frequent it is. Then the groups are told, and a range with more than
+    ``range_entries`` pages to tell is split by group.
     """
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -446,46 +511,42 @@ def shared_runs(rows: DataFrame, ranges: int, run: int, least: int, batch_tokens
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=names)
 
     def tell(entries: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        columns = ["grp", "hashes", "pages"]
-        if not len(entries) or not len(known):
-            return pd.DataFrame({c: [] for c in columns})
-        known_h = np.cumsum(expand(known["hashes"].iloc[0]), dtype=np.uint64)
-        known_n = expand(known["pages"].iloc[0])
-        if not len(known_h):
-            return pd.DataFrame({c: [] for c in columns})
+        known_h = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(expand(x), dtype=np.uint64) for x in known["hashes"])])
+        if not len(entries) or not len(known_h):
+            return pd.DataFrame({c: [] for c in ("grp", "hashes", "pages")})
+        known_n = np.concatenate([expand(x) for x in known["pages"]]).astype(np.int64)
         hs, gs = [], []
         for row in entries.itertuples(index=False):
-            h, g = np.cumsum(expand(row.hashes), dtype=np.uint64), expand(row.grps)
+            h, g = np.cumsum(expand(row.hashes), dtype=np.uint64), expand(row.grps).astype(np.int64)
             is_known = known_h[np.minimum(np.searchsorted(known_h, h), len(known_h) - 1)] == h
             hs.append(h[is_known])
             gs.append(g[is_known])
         h, g = np.concatenate(hs), np.concatenate(gs)
-        order = np.lexsort((h, g))
-        h, g = h[order], g[order]
-        new = np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])][: len(g)]
-        h, g = h[new], g[new]
-        n = known_n[np.searchsorted(known_h, h)]
-        return pd.DataFrame([(int(g[a]), *squeeze(h[a:b], n[a:b])) for a, b in runs_of(g)], columns=columns)
-
-    counted = rows.select("host", "html").mapInArrow(ranged(lambda held: batch_classes(held, run), ranges, batch_tokens, ["part", "hashes", "pages"]), "part long, hashes binary, pages binary")
+        return told(h, g, known_n[np.searchsorted(known_h, h)])
+
+    def without_groups(held):
+        h, _, n = batch_classes([(0, *page) for page in held], run)
+        return h, n
+
+    counted = rows.select("host", "html").mapInArrow(ranged(without_groups, ranges, batch_tokens, ["part", "hashes", "pages"]), "part long, hashes binary, pages binary")
     totals = cut(counted.groupBy("part").applyInPandas(total, "part long, hashes binary, pages binary, splits long"))
     entries = rows.select("grp", "host", "html").mapInArrow(ranged(lambda held: batch_entries(held, run), ranges, batch_tokens, ["part", "hashes", "grps"]), "part long, hashes binary, grps binary")
     hot = totals.where("splits > 1").select("part", "splits")
     entries = entries.join(hot, "part", "left").select("part", "hashes", "grps", "splits").mapInArrow(split, "part long, split long, hashes binary, grps binary")
     known = totals.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)))
-    return entries.groupBy("part", "split").cogroup(known.groupBy("part", "split")).applyInPandas(tell, "grp long, hashes binary, pages binary")
+    return entries.groupBy("part", "split").cogroup(known.groupBy("part", "split")).applyInPandas(tell, TOLD)
 
 
-def shares(blocks: list[Block], host: str, known: np.ndarray, pages: np.ndarray, run: int = RUN, least: int = PAGES, most: float = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """For each block of a page, the share of its tokens in runs that ``least`` pages of the
+def shares(stream: tuple[np.ndarray, np.ndarray], n_blocks: int, host: str, known: np.ndarray, pages: np.ndarray, run: int = RUN, least: int = PAGES, most: float = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """For each block of a page (its stream, its number of blocks), the share of its tokens in runs that ``least`` pages of the
     host share, and in runs that more than ``most`` of all its pages do.
 
     ``known`` (ascending) and ``pages``: the runs that enough pages share, and how many do.
     """
-    tokens, block = words_of(blocks)
+    tokens, block = stream
     hashes = run_hashes(tokens, run)
     where = indexed(hashes, block, run)
-    out = np.zeros((2, len(blocks)))
+    out = np.zeros((2, n_blocks))
     if not len(known) or not len(where):
         return out[0], out[1]
 
@@ -495,13 +556,13 @@ def shares(blocks: list[Block], host: str, known: np.ndarray, pages: np.ndarray,
 
     shared = count(keyed(hashes[where], host))
     whole = count(np.array([pages_key(host)], np.uint64))[0]
-    size = np.bincount(block, minlength=len(blocks))
+    size = np.bincount(block, minlength=n_blocks)
     for i, bar in enumerate((least, max(least, whole * most + 1))):
         hit = where[shared >= bar]
         edge = np.zeros(len(tokens) + 1, np.int64)
         edge[hit] += 1
         edge[hit + run] -= 1
-        out[i] = np.bincount(block, np.cumsum(edge)[: len(tokens)] > 0, minlength=len(blocks)) / np.maximum(1, size)
+        out[i] = np.bincount(block, np.cumsum(edge)[: len(tokens)] > 0, minlength=n_blocks) / np.maximum(1, size)
     return out[0], out[1]
 
 
@@ -563,10 +624,12 @@ def extract(pages: DataFrame, run: int = RUN, least: int = PAGES, batch_tokens:
         out = []
         for row in sent.itertuples(index=False):
             whole, at = zstandard.ZstdDecompressor().decompress(row.packed) if len(row.packed) else b"", 0
-            for host, page_id, url, n, end in zip(row.host, row.page_id, row.url, row.n_blocks, np.frombuffer(row.ends, "<i8")):
+            read = []
+            for end in np.frombuffer(row.ends, "<i8"):
                 text, at = whole[at:end].decode("utf-8", "surrogatepass"), int(end)
-                blocks = [Block(b[1:], int(b[0])) for b in text.split("\n")] if text else []
-                share, common = shares(blocks, host, known, counts, run, least)
+                read.append([Block(b[1:], int(b[0])) for b in text.split("\n")] if text else [])
+            for host, page_id, url, n, blocks, stream in zip(row.host, row.page_id, row.url, row.n_blocks, read, streams(read)):
+                share, common = shares(stream, len(blocks), host, known, counts, run, least)
                 text, marked = unique_text(blocks, share, common)
                 out.append((None if page_id is None else int(page_id), url, text, int(n), marked))
         table = pd.DataFrame(out, columns=["page_id", "url", "text", "n_blocks", "n_repeated"])
@@ -574,5 +637,12 @@ def extract(pages: DataFrame, run: int = RUN, least: int = PAGES, batch_tokens:
         return table
 
     sent = rows.select("grp", "host", "page_id", "url", "html").mapInArrow(send_pages, "grp long, host array<string>, page_id array<string>, url array<string>, n_blocks array<long>, ends binary, packed binary")
-    runs = shared_runs(rows, ranges, run, least, batch_tokens, range_entries)
+    # At most one host for each RANGE_ENTRIES pages.
+    large = rows.groupBy("host").count().where(F.col("count") > range_entries).select("host", F.lit(True).alias("large"))
+    if large.isEmpty():
+        runs = shared_runs(rows, ranges, run, least, batch_tokens)
+    else:
+        rows = rows.join(F.broadcast(cut(large)), "host", "left")
+        runs = shared_runs(rows.where("large is null"), ranges, run, least, batch_tokens)
+        runs = runs.unionByName(shared_runs_of_large_hosts(rows.where("large"), ranges, run, least, batch_tokens, range_entries))
     return sent.groupBy("grp").cogroup(runs.groupBy("grp")).applyInPandas(local, "page_id long, url string, text string, n_blocks long, n_repeated long")
