@@ -234,6 +234,15 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.c_[starts[np.r_[0, breaks + 1]], starts[np.r_[breaks, len(starts) - 1]] + window]
 
 
+def documents_in(sent) -> Iterator[tuple[int, bool, int, str]]:
+    """(key, whether the id is null, hash of the text, text) of the documents of a bucket."""
+    for row in sent.itertuples(index=False):
+        whole, at = zstandard.ZstdDecompressor().decompress(row.packed, max_output_size=int(sum(row.sizes))) if sum(row.sizes) else b"", 0
+        for doc_id, is_null, which, size in zip(row.id, row.no_id, row.which, row.sizes):
+            yield int(doc_id), bool(is_null), int(which), whole[at : at + size].decode("utf-8", "surrogatepass")
+            at += size
+
+
 def _apply(window: int):
     """Texts of a document bucket against the starts to remove in them."""
     import pandas as pd
@@ -247,9 +256,8 @@ def _apply(window: int):
             new = np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])][: len(doc)]
             for a, b in zip(np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:], len(doc)]):
                 starts.setdefault((int(doc[a].view(np.int64)), int(text[a])), []).append(start[a:b])
-        texts = [zstandard.ZstdDecompressor().decompress(t, max_output_size=n).decode("utf-8", "surrogatepass") if n else "" for t, n in zip(left["packed"], left["size"])]
         out = []
-        for doc_id, is_null, which, text in zip(left["id"].tolist(), left["no_id"].tolist(), left["which"].tolist(), texts):
+        for doc_id, is_null, which, text in documents_in(left):
             words = words_of(text)
             mine = np.concatenate(starts.get((doc_id, which), [np.empty(0, np.uint32)]))
             spans = covered(mine, len(words), window)
@@ -277,16 +285,24 @@ def dedup(docs: DataFrame, window: int = WINDOW, batch_words: int = BATCH_WORDS)
     gone = blocks.groupBy("bucket").applyInPandas(lambda pdf: _merge(pdf, dests), "dest long, gone_docs binary, gone_texts binary, gone_starts binary")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeezer = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=3).compress
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
             known = batch.column(0).to_pylist()
             raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
-            ids = np.array([key_of(i, t) for i, t in zip(known, raw)], np.int64)
-            which = np.array([text_hash(t) for t in raw], np.uint32)
-            columns = [pa.array(dest_of(ids.view(np.uint64), which, dests)), pa.array(ids), pa.array(which.astype(np.int64)), pa.array([i is None for i in known], pa.bool_()), pa.array([len(t) for t in raw], pa.int64()), pa.array([squeezer.compress(t) for t in raw], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["dest", "id", "which", "no_id", "size", "packed"])
-
-    sent = texts.mapInArrow(send, "dest long, id long, which long, no_id boolean, size long, packed binary")
+            ids = [key_of(i, t) for i, t in zip(known, raw)]
+            which = [text_hash(t) for t in raw]
+            dest = dest_of(np.array(ids, np.int64).view(np.uint64), np.array(which, np.uint32), dests)
+            order = np.argsort(dest, kind="stable")
+            bounds = np.r_[np.flatnonzero(np.diff(dest[order], prepend=-1)), len(dest)] if len(dest) else [0]
+            # The texts of a batch that go the same way are compressed together.
+            out = []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                mine = order[a:b].tolist()
+                out.append((int(dest[mine[0]]), [ids[i] for i in mine], [which[i] for i in mine], [known[i] is None for i in mine], [len(raw[i]) for i in mine], pack(b"".join(raw[i] for i in mine))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names=["dest", "id", "which", "no_id", "sizes", "packed"])
+
+    sent = texts.mapInArrow(send, "dest long, id array<long>, which array<long>, no_id array<boolean>, sizes array<long>, packed binary")
     return sent.groupBy("dest").cogroup(gone.groupBy("dest")).applyInPandas(_apply(window), "doc_id long, n_words long, n_removed long, kept string, intervals array<struct<begin:long,end:long>>")
 
 
