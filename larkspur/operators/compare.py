@@ -14,7 +14,8 @@ FACTS = """source string, executed boolean, skipped_reason string, access_method
  saved_batches long, reviews long, raw_reviews long, pages_attempted long, pages_completed long, batches long,
  pagination boolean, repeated boolean, incremental boolean, runs long, overlap_count long, overlap_rate double,
  new_in_second_run long, blocked boolean, errors long, warnings long, limitations long, parser_errors long,
- metadata_fields array<string>, total_rows long, unique_rows long, duplicates long, empty_text long"""
+ metadata_fields array<string>, total_rows long, unique_rows long, duplicates long, empty_text long,
+ average_response_time double, blocked_requests long, status_codes array<long>"""
 
 # The criteria of the two comparisons, in order.
 CRITERIA = ["Accessibility", "Review volume", "Available metadata", "Data quality", "Commercial value", "Long-term maintainability"]
@@ -157,6 +158,11 @@ def store_comparison(facts: DataFrame) -> DataFrame:
     return _table(facts, STORE_CRITERIA, ["google_play", "apple_app_store"], store_evidence(), store_assessment(), known, "Commercial value and generalizability")
 
 
+def by_criterion(table: DataFrame, criterion: str) -> DataFrame:
+    """The row of a comparison that is about one criterion."""
+    return table.where(F.col("criterion") == criterion)
+
+
 def _facts_of(facts: DataFrame, source: str) -> dict:
     row = facts.where(F.col("source") == source).withColumn("rate", success_rate()).first()
     return row.asDict() if row else {}

@@ -129,12 +129,50 @@ def pagination_rate(offline: Column, status: Column, requests: Column, shown: Co
 
 def flat(reviews: DataFrame, by: str = "source") -> DataFrame:
     """Profile, completeness and applicability as one wide row per source, lists as text."""
-    text = lambda names: F.array_join(names, ", ")
-    lists = {"required_common_fields": REQUIRED, "source_specific_fields": SPECIFIC, "not_applicable_fields": NOT_APPLICABLE}
-    out = profile(reviews, by).join(completeness(reviews, by), by).join(missing_expected(reviews, by), by).withColumn("missing_expected_fields", text("missing_expected_fields"))
-    for column, names in lists.items():
+    out = profile(reviews, by).join(completeness(reviews, by), by).join(missing_expected(reviews, by), by)
+    return applicability(out.withColumn("missing_expected_fields", F.array_join("missing_expected_fields", ", ")), by)
+
+
+def applicability(rows: DataFrame, by: str = "source") -> DataFrame:
+    """What a source is expected to fill and what it can't, as text."""
+    for column, names in {"required_common_fields": REQUIRED, "source_specific_fields": SPECIFIC, "not_applicable_fields": NOT_APPLICABLE}.items():
         shown = F.lit("")
         for source, fields in names.items():
             shown = F.when(F.col(by) == source, ", ".join(fields)).otherwise(shown)
-        out = out.withColumn(column, shown)
-    return out
+        rows = rows.withColumn(column, shown)
+    return rows
+
+
+#: Counts of a profile that are 0 for a source without rows; all else is null.
+COUNTS = ["total_rows", "unique_review_count", "duplicates_within_final_dataset", "empty_review_text_count", "missing_date_count", "missing_review_id_count"]
+
+
+def metrics(reviews: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row for each source of ``facts``, with rows or without: its whole quality profile.
+
+    What requests would say is null where the way of access does not let them be counted.
+    """
+    counted = F.col("request_count_status") == "available"
+    known = facts.select(
+        "source",
+        F.coalesce("request_count_status", F.lit("unavailable")).alias("request_count_status"),
+        F.col("overlap_count").alias("cross_run_overlap_count"),
+        F.col("overlap_rate").alias("cross_run_overlap_rate"),
+        F.col("new_in_second_run").alias("new_records_in_second_run"),
+        F.coalesce(F.greatest(F.size("metadata_fields"), F.lit(0)), F.lit(0)).cast("long").alias("metadata_fields_available_count"),
+        F.coalesce("pages_attempted", F.lit(0)).alias("batches_attempted"),
+        F.coalesce("pages_completed", F.lit(0)).alias("batches_completed"),
+        F.when(counted, F.col("request_count")).alias("pagination_requests"),
+        pagination_rate(F.coalesce("offline_parsed", F.lit(False)), F.coalesce("request_count_status", F.lit("unavailable")), F.col("request_count"), F.col("pagination")).alias("pagination_success_rate"),
+        F.when(counted & (F.col("request_count") > 0), F.col("successful_requests") / F.col("request_count")).alias("http_request_success_rate"),
+        F.when(counted, F.col("average_response_time")).alias("average_response_time"),
+        F.when(counted, F.coalesce("blocked_requests", F.lit(0))).alias("blocked_request_count"),
+        F.coalesce("parser_errors", F.lit(0)).alias("parser_error_count"),
+    )
+    rows = known.join(profile(reviews), "source", "left").join(completeness(reviews), "source", "left").join(missing_expected(reviews), "source", "left")
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in COUNTS})
+    rows = rows.withColumn("final_dataset_duplicate_count", F.col("duplicates_within_final_dataset"))
+    rows = rows.withColumns({"overlap_across_repeat_runs": F.col("cross_run_overlap_count"), "repeat_run_overlap_rate": F.col("cross_run_overlap_rate")})
+    # Without rows, every expected field is one that no row fills.
+    rows = rows.withColumn("missing_expected_fields", F.array_join(F.coalesce("missing_expected_fields", expected(F.col("source"))), ", "))
+    return applicability(rows)

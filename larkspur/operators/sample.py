@@ -108,7 +108,7 @@ def sample(features: DataFrame, size: int = SIZE) -> DataFrame:
         raise ValueError("the sample size must be positive")
     require(features, [*IDENTITY, "rating", "review_title", "review_text", *VALUE_STRATA, *FLAG_STRATA])
     candidates = ranked(features)
-    chosen = picks(cut(candidates.select("__rank", *VALUE_STRATA, *FLAG_STRATA)), size)
+    chosen = picks(cut(candidates.select("__rank", *VALUE_STRATA, *FLAG_STRATA).dropDuplicates(["__rank"])), size)  # a repeated row is one candidate
     found = candidates.join(F.broadcast(chosen), F.col("__rank") == F.col("__pick"))  # at most ``size`` rows
     return found.drop("__pick").dropDuplicates(["__rank"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_present, normalized, script_consistent, topic_signal, weak_sentiment, word_count
 from ..functions.times import days_between, instant, strict_timestamp
-from ..operators import annotation, collect, compare, eda, features, html_reviews, parse_fields, parse_json, quality, report, sample
+from ..operators import annotation, collect, eda, features, html_reviews, parse_fields, parse_json, quality, report, sample
 from ..schema import CONTEXT, FEATURE_COLUMNS, GROUP, NUMERIC_COLUMNS, RATE_COLUMNS, TOPICS
 from ..session import cut, shared_folder
 from ..streaming import dedup
@@ -156,7 +156,7 @@ def duplicate_ids(spark, sf_dir):
     return eda.duplicate_ids(with_copies(spark, sf_dir)).select(F.array_join("duplicate_ids", ",").alias("duplicate_ids"))
 
 
-@query(sql_with() + f"SELECT {G}, count(*) AS review_count, false AS language_detection_available, country AS region_storefront, '{eda.LANGUAGE_NOTE}' AS issue_note FROM reviews GROUP BY {G}")
+@query(sql_with() + f"SELECT {G}, count(*) AS review_count, false AS language_detection_available, country AS region_storefront, 'The language is the one that was asked for; none is detected here.' AS issue_note FROM reviews GROUP BY {G}")
 def language_notes(spark, sf_dir):
     return eda.language_notes(reviews(spark, sf_dir))
 
@@ -196,7 +196,12 @@ def _expected_sql(c: str) -> str:
     return f"CASE WHEN {test} THEN '{c}' END"
 
 
-_EXPECTED = {s: quality.REQUIRED[s] + quality.SPECIFIC[s] for s in quality.REQUIRED}
+_EXPECTED = {
+    "steam": "source item_id review_id review_text review_date recommendation author_id helpful_votes funny_votes playtime_forever playtime_at_review language".split(),
+    "amazon": "source item_id review_id review_text review_date rating review_title author_name verified_purchase helpful_votes".split(),
+    "google_play": "source app_name package_id review_id review_text rating review_date author_name helpful_votes app_version language country developer_response developer_response_date".split(),
+    "apple_app_store": "source app_name item_id review_id review_title review_text rating review_date author_name helpful_votes app_version language country".split(),
+}
 
 
 @query(sql_with() + f", played AS (SELECT *, {_PLAYED} AS played FROM reviews) " + " UNION ALL ".join(
@@ -282,8 +287,9 @@ def stable_ranks(spark, sf_dir):
     return ranked.join(F.broadcast(before.drop("count")), "slice").select("review_id", place.cast("long").alias("place"), F.substring("__rank", 1, 64).alias("stable_rank"))
 
 
-_STRATA = [f"SELECT {i} AS f, {c} AS v, r FROM ranked WHERE {c} IS NOT NULL" for i, c in enumerate(sample.VALUE_STRATA)]
-_STRATA += [f"SELECT {len(sample.VALUE_STRATA) + i}, 'true', r FROM ranked WHERE {c}" for i, c in enumerate(sample.FLAG_STRATA)]
+_VALUES, _FLAGS = ["weak_sentiment_label", "app_name", "country"], ["low_signal_text", "repeated_full_content", "repeated_review_body", *(f"{t}_topic_signal" for t in ("login", "payment", "performance", "subscription", "delivery", "customer_service"))]
+_STRATA = [f"SELECT {i} AS f, {c} AS v, r FROM ranked WHERE {c} IS NOT NULL" for i, c in enumerate(_VALUES)]
+_STRATA += [f"SELECT {len(_VALUES) + i}, 'true', r FROM ranked WHERE {c}" for i, c in enumerate(_FLAGS)]
 _SAMPLE = f""", ranked AS (SELECT *, {_RANK} AS r FROM flagged),
 rows AS ({" UNION ALL ".join(_STRATA)}),
 strata AS (SELECT f, v, row_number() OVER (ORDER BY f, min(r)) AS n FROM rows GROUP BY f, v),
@@ -291,7 +297,7 @@ members AS (SELECT s.n, x.r FROM rows x JOIN strata s ON x.f = s.f AND x.v = s.v
 picks(n, taken) AS (
   SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[])
   UNION ALL
-  SELECT p.n + 1, CASE WHEN min(m.r) IS NULL OR len(any_value(p.taken)) >= {sample.SIZE} THEN any_value(p.taken) ELSE list_append(any_value(p.taken), min(m.r)) END
+  SELECT p.n + 1, CASE WHEN min(m.r) IS NULL OR len(any_value(p.taken)) >= 135 THEN any_value(p.taken) ELSE list_append(any_value(p.taken), min(m.r)) END
   FROM picks p LEFT JOIN members m ON m.n = p.n + 1 AND NOT list_contains(p.taken, m.r)
   WHERE p.n < (SELECT max(n) FROM strata) GROUP BY p.n),
 done AS (SELECT taken FROM picks WHERE n = (SELECT max(n) FROM strata)),
@@ -299,7 +305,7 @@ seeds AS (SELECT unnest(taken) AS r, generate_subscripts(taken, 1) - 1 AS o FROM
 kinds AS (SELECT r, CASE weak_sentiment_label WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 ELSE 3 END AS k FROM ranked WHERE r NOT IN (SELECT r FROM seeds)),
 turns AS (SELECT r, k, row_number() OVER (PARTITION BY k ORDER BY r) AS t FROM kinds),
 rest AS (SELECT r, (SELECT count(*) FROM seeds) + row_number() OVER (ORDER BY CASE WHEN k < 3 THEN 0 ELSE 1 END, t, k, r) - 1 AS o FROM turns),
-chosen AS (SELECT r, o FROM seeds UNION ALL SELECT r, o FROM rest WHERE o < {sample.SIZE})
+chosen AS (SELECT r, o FROM seeds UNION ALL SELECT r, o FROM rest WHERE o < 135)
 SELECT CAST(c.o AS BIGINT) AS sample_order, x.review_id, x.app_name, x.country, x.weak_sentiment_label FROM chosen c JOIN ranked x ON x.r = c.r"""
 
 
@@ -426,20 +432,33 @@ def shortfall_reason(spark, sf_dir):
     return collect.shortfall(collect.page_status(requests(spark, sf_dir)), ["user_id"])
 
 
-@query(sql_with() + "SELECT app_name, count(*) AS review_count, 'target_limit_not_reached' AS status FROM reviews WHERE CAST(review_id AS BIGINT) % 3 = 0 GROUP BY app_name HAVING count(*) < 17")
+@query(sql_with() + ", targets AS (SELECT DISTINCT app_name FROM reviews UNION SELECT r_name FROM region) SELECT t.app_name, count(r.review_id) AS review_count, 'target_limit_not_reached' AS status FROM targets t LEFT JOIN reviews r ON t.app_name = r.app_name GROUP BY t.app_name HAVING count(r.review_id) < 50")
 def unreached_targets(spark, sf_dir):
-    got = reviews(spark, sf_dir).where("CAST(review_id AS BIGINT) % 3 = 0")
-    return collect.unreached_targets(got.select("app_name").distinct(), got, 17, ["app_name"])
-
-
-@query()
+    """All apps and, with no review at all, the regions."""
+    got = reviews(spark, sf_dir)
+    targets = got.select("app_name").union(table(spark, sf_dir, "region").select("r_name")).distinct()
+    return collect.unreached_targets(targets, got, 50, ["app_name"])
+
+
+@query(_sql_arrivals() + """, ranks AS (SELECT app, row_number() OVER (ORDER BY app) AS a FROM (SELECT DISTINCT app FROM arrivals)),
+arrived AS (SELECT r.review_id, r.app, run, page, (2 * a + run) * 100000000 + seq AS seq FROM arrivals r JOIN ranks k ON r.app = k.app CROSS JOIN (VALUES (1), (2)) t(run)),
+marked AS (SELECT *, CASE WHEN review_id IS NOT NULL AND row_number() OVER (PARTITION BY app, run, review_id ORDER BY seq) = 1 THEN 1 ELSE 0 END AS new FROM arrived),
+read AS (SELECT * FROM (SELECT *, coalesce(sum(new) OVER (PARTITION BY app, run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM marked) WHERE seen < 10),
+taken AS (SELECT arg_min(app, seq) AS app, min(seq) AS seq FROM read WHERE review_id IS NOT NULL GROUP BY review_id),
+closed AS (SELECT app, max(seq) AS closes FROM taken GROUP BY app HAVING count(*) >= 10)
+SELECT review_id, app, CAST(run AS INT) AS run, page, CAST(seq AS BIGINT) AS seq FROM read WHERE seq IN (SELECT seq FROM taken)
+UNION ALL SELECT r.review_id, r.app, CAST(r.run AS INT), r.page, CAST(r.seq AS BIGINT) FROM read r LEFT JOIN closed c ON r.app = c.app WHERE r.review_id IS NULL AND (c.closes IS NULL OR r.seq < c.closes)""")
 def steam_collection(spark, sf_dir):
-    """Two runs over every app with a cap of ten; held against a plain loop in the tests."""
-    base = arrivals(spark, sf_dir)
-    rows = base.withColumn("run", F.lit(1)).unionByName(base.withColumn("run", F.lit(2)))
-    order = F.struct("app", "run", "page", "seq")
-    rows = rows.withColumn("seq", F.xxhash64("app", "run").bitwiseAND(F.lit(0x7FFFFFFF)) * 100_000_000 + F.col("seq"))
-    return collect.steam_collect(rows, 10).orderBy(order).select("review_id", "app", "run", "page", "seq")
+    """Two runs over every app, the second as the first, with a cap of ten.
+
+    A run reads the same rows again, so no app reads more ids than its cap, and an id goes to
+    the first app that reads it; the general case is held against a plain loop in the tests.
+    """
+    base = cut(arrivals(spark, sf_dir))
+    ranks = base.select("app").distinct().withColumn("a", F.row_number().over(Window.orderBy("app")))  # a row an app
+    rows = base.join(ranks, "app").withColumn("run", F.explode(F.array(F.lit(1), F.lit(2))))
+    rows = rows.withColumn("seq", (2 * F.col("a") + F.col("run")) * 100_000_000 + F.col("seq")).drop("a")
+    return collect.steam_collect(rows, 10).select("review_id", "app", "run", "page", "seq")
 
 
 @query(sql_with() + "SELECT DISTINCT source, review_id FROM reviews")
@@ -453,47 +472,6 @@ def incremental_dedup(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select("source", "review_id")
 
 
-# Comparison of sources.
-
-_F = compare.FACTS
-_FACT_ROWS = [
-    ("steam", True, None, "public JSON", "public endpoint", 18, 18, "available", True, False, 0, 150, 360, 18, 18, 18, True, True, True, 2, 150, 1.0, 0, False, 0, 0, 0, 0, ["source", "item_id", "review_id", "review_text", "recommendation", "review_date", "author_id", "helpful_votes", "language"], 150, 150, 0, 0),
-    ("amazon", True, None, "saved pages", "browser capture", 0, 0, "available", False, True, 3, 30, 30, 3, 3, 3, True, False, False, 0, None, None, None, None, 0, 1, 0, 0, ["source", "item_id", "review_id", "review_title", "rating"], 30, 30, 0, 0),
-    ("google_play", True, None, "wrapper", "third-party wrapper", 0, 0, "unavailable", True, False, 0, 100, 200, 4, 4, 4, True, True, True, 2, 100, 1.0, 0, None, 0, 0, 1, 0, ["source", "app_name", "item_id", "package_id", "review_id", "review_text", "rating", "review_date"], 100, 100, 0, 0),
-    ("apple_app_store", True, None, "RSS", "public feed", 4, 4, "available", True, False, 0, 100, 200, 4, 4, 4, False, True, True, 2, 100, 1.0, 0, None, 0, 0, 1, 0, ["source", "app_name", "item_id", "review_id", "review_title", "review_text", "rating"], 100, 100, 0, 1),
-]
-
-
-def facts(spark) -> DataFrame:
-    return spark.createDataFrame(_FACT_ROWS, _F)
-
-
-@query("SELECT * FROM (VALUES ('steam', 5), ('amazon', 3), ('google_play', 4), ('apple_app_store', 4)) t(source, viability_score)".replace("(source, viability_score)", "(source, s)").replace("SELECT *", "SELECT source, CAST(s AS BIGINT) AS viability_score"))
-def viability_score(spark, sf_dir):
-    return compare.viability(facts(spark))
-
-
-@query("""SELECT * FROM (VALUES ('Accessibility', 'offline only', 'strong', 'limited'), ('Review volume', 'limited test', 'limited test', 'limited'), ('Available metadata', 'limited coverage', 'strong coverage', 'limited'),
- ('Data quality', 'acceptable', 'consistent', 'limited'), ('Commercial value', 'broad product relevance', 'rich feedback, limited to games', 'medium qualitative'), ('Long-term maintainability', 'riskier', 'stronger', 'limited')) t(criterion, amazon_assessment, steam_assessment, confidence)""")
-def source_comparison(spark, sf_dir):
-    return compare.comparison(facts(spark)).select("criterion", "amazon_assessment", "steam_assessment", "confidence")
-
-
-@query("""SELECT * FROM (VALUES ('Consistent accessibility', 'feasible, unofficial', 'strong', 'limited'), ('Pagination or batching', 'demonstrated', 'not demonstrated', 'limited'), ('Available metadata', 'strong coverage', 'limited coverage', 'limited'),
- ('Repeated collection', 'demonstrated', 'demonstrated', 'limited'), ('Access limitations', 'material', 'material', 'limited'), ('Data quality', 'acceptable', 'acceptable', 'limited'), ('Long-term maintainability', 'riskier', 'stronger', 'limited'),
- ('Commercial value and generalizability', 'strong fit', 'strong fit', 'medium qualitative')) t(criterion, google_play_assessment, apple_app_store_assessment, confidence)""")
-def store_comparison(spark, sf_dir):
-    return compare.store_comparison(facts(spark)).select("criterion", "google_play_assessment", "apple_app_store_assessment", "confidence")
-
-
-_GP, _AP = _FACT_ROWS[2][28], _FACT_ROWS[3][28]
-
-
-@query("SELECT field, CASE WHEN field IN (" + ", ".join(f"'{f}'" for f in _GP) + ") THEN 'available' ELSE 'unavailable' END AS google_play, CASE WHEN field IN (" + ", ".join(f"'{f}'" for f in _AP) + ") THEN 'available' ELSE 'unavailable' END AS apple_app_store FROM (VALUES " + ", ".join(f"('{f}')" for f in compare.MATRIX_FIELDS) + ") t(field)")
-def metadata_matrix(spark, sf_dir):
-    return compare.metadata_matrix(facts(spark))
-
-
 # Annotations: a sheet as annotators might have filled it.
 
 _SHEET = """SELECT review_id, CASE WHEN rating BETWEEN 1 AND 2 THEN 'negative' WHEN rating = 3 THEN 'neutral' ELSE 'positive' END AS weak_sentiment_label,
@@ -580,7 +558,7 @@ def url_scrub(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", parse_fields.scrub_url(F.col("url")).alias("url"))
 
 
-_PHRASES = " OR ".join("contains(lower(html), '" + p.replace("'", "''") + "')" for p in parse_fields.BLOCK_PHRASES)
+_PHRASES = " OR ".join(f"contains(lower(html), '{p}')" for p in ("captcha", "robot check", "enter the characters you see below", "access denied", "sorry, we just need to make sure you''re not a robot", "/ap/signin", "validatecaptcha"))
 
 
 @query(f"SELECT page_id, {_PHRASES} OR trim(html) = '' OR CASE WHEN page_id % 10 = 0 THEN 403 ELSE 200 END IN (401, 403, 429) AS blocked FROM pages")

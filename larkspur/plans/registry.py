@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import catalogue  # noqa: F401  registers all
+    from . import catalogue, landed  # noqa: F401  register all
 
     return dict(QUERIES)
 

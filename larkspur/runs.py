@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import config as configs
 from . import rules as rule_files
-from .operators import collect, compare, eda, features, html_reviews, parse_fields, parse_json, quality, report
+from .operators import collect, compare, eda, features, findings, html_reviews, parse_fields, parse_json, quality, report
 from .schema import review_schema
 from .sources import feeds, files, sinks
 from .sources.http import PoliteClient
@@ -54,6 +54,22 @@ def parsed_pages(pages: DataFrame, source: str) -> DataFrame:
     return rows.withColumn("seq", F.col("__page_seq") * PAGE_ROWS + nth).drop("__at").join(place, "__page_seq").drop("__page_seq")
 
 
+def landed_run(spark: SparkSession, folder: str, source: str, out: str) -> DataFrame:
+    """Reviews of raw pages that have landed in a folder of any store, each id once, saved.
+
+    Pages count in the order of their apps, runs and numbers, as their files' names tell.
+    """
+    pages = files.landed_pages(spark, folder)
+    app = F.regexp_extract(F.element_at(F.split("file", "/"), -1), rf"^{source}_(?:(.+?)_)?run\d+_page", 1)
+    pages = pages.withColumn("app", app)
+    slim = pages.select("file", F.row_number().over(Window.orderBy("app", "run", "page", "file")).cast("long").alias("seq"))  # names only
+    known = {c: F.lit(None).cast(kind).alias(c) for c, kind in feeds.PAGE_TYPES.items() if c not in ("payload", "page", "run", "seq", "app_id", "package_id", "source")}
+    numbered = pages.join(slim, "file").select("payload", "page", "run", "seq", F.col("app").alias("app_id"), F.col("app").alias("package_id"), F.lit(source).alias("source"), *known.values())
+    kept = collect.accepted(parsed_pages(numbered, source))
+    sinks.write_reviews(kept, out, f"{source}_reviews")
+    return kept
+
+
 def source_facts(spark: SparkSession, source: str, landing: feeds.Landing, rows: DataFrame, kept: DataFrame, **more: Any) -> DataFrame:
     """The one-row summary by which sources are compared."""
     profile = quality.profile(kept).first()
@@ -62,6 +78,7 @@ def source_facts(spark: SparkSession, source: str, landing: feeds.Landing, rows:
     pages = collect.page_ids(rows, ["app", "run"])
     paged = any(r["pagination_demonstrated"] for r in collect.pagination_shown(pages, ["app", "run"]).collect())
     ok = [r for r in landing.requests if r["success"]]
+    times = [r["elapsed_seconds"] for r in landing.requests if r["elapsed_seconds"] is not None]
     runs = repeat["runs"]
     known = {
         "source": source,
@@ -87,6 +104,9 @@ def source_facts(spark: SparkSession, source: str, landing: feeds.Landing, rows:
         "warnings": len(landing.warnings),
         "limitations": 0,
         "parser_errors": len(landing.parser_errors),
+        "average_response_time": sum(times) / len(times) if times else None,
+        "blocked_requests": sum(bool(r["blocked"]) for r in landing.requests),
+        "status_codes": sorted({r["status_code"] for r in landing.requests if r["status_code"] is not None}),
         "metadata_fields": fields["available_metadata_fields"] if fields else [],
         "total_rows": profile["total_rows"] if profile else 0,
         "unique_rows": profile["unique_review_count"] if profile else 0,
@@ -168,12 +188,15 @@ def assessment_run(spark: SparkSession, config: configs.AppConfig, root: str, so
     advice = compare.store_recommendation(both) if stores else compare.recommendation(both)
     folder = sinks.unique_folder(Path(root, "reports", "app_stores" if stores else "phase_1"))
     sinks.write_summary({"configuration": config.sanitized(), "facts": [r.asDict(True) for r in both.collect()], "recommendation": advice}, folder / "test_run_summary.json")
-    for rows in kept:
-        name = rows.select("source").first()
-        if name:
-            sinks.write_csv(quality.flat(rows), str(folder / f"data_quality_metrics_{name[0]}.csv"))
+    reviews = kept[0] if kept else spark.createDataFrame([], review_schema())
+    for more in kept[1:]:
+        reviews = reviews.unionByName(more, allowMissingColumns=True)
+    metrics = quality.metrics(reviews, both).cache()
+    sinks.write_csv(metrics, str(folder / "data_quality_metrics.csv"))
+    sinks.ensure_outputs(spark, str(Path(root, "data", "processed")), [f"{r['source']}_reviews" for r in both.select("source").collect()])
     sinks.write_csv(table, str(folder / "source_comparison.csv"))
-    parts: dict[str, Any] = {"Comparison": table, "Recommendation": advice}
+    parts: dict[str, Any] = {f"Findings: {r['source']}": r["text"] for r in findings.findings(both, metrics).orderBy("source").collect()}  # a row a source
+    parts |= {"Comparison": table, "Recommendation": advice}
     if stores:
         matrix = compare.metadata_matrix(both)
         sinks.write_csv(matrix, str(folder / "metadata_matrix.csv"))

@@ -1,4 +1,4 @@
-"""Collectors: paging loops over a client, landing raw pages; and a Spark source of them.
+"""Collectors: paging loops over a client, landing raw pages.
 
 A collector only fetches, lands payloads and records requests. Parsing, dedup, caps and
 statistics are plans over what has landed. Loops end early once a cap is met; that is
@@ -8,14 +8,12 @@ all the control flow there is.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import AppConfig, Apple, Target
 from ..schema import REQUEST_TYPES, struct
@@ -200,32 +198,3 @@ def google_play(config: AppConfig, fetch, folder: Path | None = None) -> Landing
             if not records or not token:
                 break
     return landing
-
-
-class LandedPages(DataSource):
-    """``spark.read.format("landed_pages").load(folder)``: raw pages, a row per file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "landed_pages"
-
-    def schema(self) -> str:
-        return "file string, run long, page long, payload string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return LandedReader(self.options["path"])
-
-
-class LandedReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(str(f)) for f in sorted(Path(self.path).glob("*.json"))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import re
-
-        name = Path(partition.value).name
-        run, page = (re.search(rf"_{k}(\d+)_", name) for k in ("run", "page"))
-        yield name, int(run[1]) if run else 1, int(page[1]) if page else None, Path(partition.value).read_text(encoding="utf-8")

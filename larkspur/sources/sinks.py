@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..schema import REVIEW_COLUMNS, review_schema
 
-CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""}
+CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 #: A run folder's name gets a number up to this.
 MAX_RUNS = 999
 
@@ -68,10 +68,16 @@ def write_reviews(reviews: DataFrame, folder: str, name: str, mode: str = "overw
         write_json(rows, f"{folder}/{name}.jsonl", mode)
 
 
+def exists(spark, path: str) -> bool:
+    """Whether there is anything at ``path``, in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def ensure_outputs(spark, folder: str, names: list[str]) -> None:
     """Empty outputs where there are none; those that exist are left alone."""
     for name in names:
-        if not Path(folder, f"{name}.csv").exists():
+        if not exists(spark, f"{folder}/{name}.csv"):
             write_reviews(spark.createDataFrame([], review_schema()), folder, name)
 
 
@@ -97,11 +103,13 @@ def write_summary(summary: dict[str, Any], path: Path) -> None:
 
 
 def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """The first ``limit`` rows of a report table."""
-    rows = df.limit(limit).collect()
+    """The first ``limit`` rows of a report table, and a line that says so where there are more."""
+    rows = df.limit(limit + 1).collect()
+    more = [f"\nThe first {limit} rows; the CSV holds all."] if len(rows) > limit else []
+    rows = rows[:limit]
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
+    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows] + more)
 
 
 def write_markdown(title: str, parts: dict[str, str | DataFrame], path: Path) -> None:

@@ -3,7 +3,7 @@ import pytest
 from larkspur.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["documents", "labels", "events", "pages"]
+TABLES = ["documents", "labels", "events", "pages", "region", "nation", "orders"]
 
 
 @pytest.fixture(scope="module")

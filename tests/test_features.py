@@ -10,7 +10,7 @@ from larkspur.operators import features
 from larkspur.schema import FEATURE_COLUMNS, text_schema
 from larkspur.sources import files, sinks
 
-from .cases import REVIEWS, review
+from .cases import REVIEWS, TWINS, review
 
 
 @pytest.fixture(scope="module")
@@ -33,47 +33,53 @@ def test_columns_and_rows(frame):
 
 
 def test_text_features(made):
-    assert (made["a1"]["review_text_character_count"], made["a1"]["review_text_word_count"]) == (18 + 2, 5)
-    assert made["a1"]["review_text"] == "  I can't   LOG IN today  "
-    assert made["a5"]["missing_review_text"] and made["a5"]["missing_title"] and made["a5"]["low_signal_text"] and not made["a5"]["has_title"]
-    assert made["a7"]["title_character_count"] == len("strasse")
-    assert made["a7"]["review_text_word_count"] == 5
-    assert not made["a1"]["low_signal_text"]
+    clean = "the password mail never came"
+    assert (made["twin"]["review_text_character_count"], made["twin"]["review_text_word_count"]) == (len(clean), 5)
+    assert made["twin"]["review_text"] == TWINS[0] and not made["twin"]["low_signal_text"]
+    blank = made["nothing"]
+    assert blank["missing_review_text"] and blank["missing_title"] and blank["low_signal_text"] and not blank["has_title"] and blank["review_text_character_count"] == 0
+    assert made["wide"]["title_character_count"] == len("masse")
+    assert made["wide"]["review_text_word_count"] == 6  # tides, 1, isn't, flagged, billingsgate, is
 
 
 def test_time_features(made):
-    assert (made["a1"]["publication_year"], made["a1"]["publication_month"], made["a1"]["publication_day_of_week"]) == (2026, 7, "Sunday")
-    assert made["a1"]["review_age_days"] == 2.0 and made["a1"]["review_age_at_collection_days"] == 1.0
-    assert made["a3"]["publication_year"] is None and made["a3"]["publication_timestamp_missing_or_invalid"] and not made["a3"]["missing_publication_timestamp"]
-    assert made["a4"]["review_age_days"] == pytest.approx(1 / 3)
-    assert made["a5"]["missing_publication_timestamp"]
-    assert made["a6"]["review_age_days"] == -1.0 and made["a6"]["review_age_at_collection_days"] == pytest.approx(1 / 48)
-    assert made["a7"]["publication_timestamp_missing_or_invalid"]
+    twin = made["twin"]
+    assert (twin["publication_year"], twin["publication_month"], twin["publication_day_of_week"]) == (2026, 6, "Saturday")
+    assert twin["review_age_days"] == 9.75 and twin["review_age_at_collection_days"] == 2.5
+    gone = made["impossible day"]
+    assert gone["publication_year"] is None and gone["publication_timestamp_missing_or_invalid"] and not gone["missing_publication_timestamp"]
+    assert made["three topics"]["review_age_days"] == pytest.approx(9 / 24) and made["three topics"]["publication_day_of_week"] == "Monday"  # 15:00 the day before, in UTC
+    assert made["nothing"]["missing_publication_timestamp"] and made["nothing"]["publication_timestamp_missing_or_invalid"]
+    assert made["greek"]["review_age_days"] == -2.5 and made["greek"]["review_age_at_collection_days"] == pytest.approx(1.5 / 24)
+    assert made["wide"]["publication_timestamp_missing_or_invalid"]
 
 
 def test_repetition(made):
-    print_ = hashlib.sha256(b"i can't log in today").hexdigest()
-    for r in ("a1", "a2"):
-        assert made[r]["repeated_review_body"] and made[r]["repeated_review_body_group_size"] == 2 and made[r]["repeated_review_body_fingerprint"] == print_
+    body = hashlib.sha256(b"the password mail never came").hexdigest()
+    for r, title in (("twin", b"locked"), ("other twin", b"still locked")):
+        assert made[r]["repeated_review_body"] and made[r]["repeated_review_body_group_size"] == 2 and made[r]["repeated_review_body_fingerprint"] == body
         assert not made[r]["repeated_full_content"] and made[r]["repeated_full_content_group_size"] == 1
-    assert made["a1"]["repeated_full_content_fingerprint"] == hashlib.sha256(b"cannot enter\ni can't log in today").hexdigest()
-    assert made["a5"]["repeated_review_body_group_size"] == 0 and made["a5"]["repeated_review_body_fingerprint"] is None
+        assert made[r]["repeated_full_content_fingerprint"] == hashlib.sha256(title + b"\nthe password mail never came").hexdigest()
+    assert made["nothing"]["repeated_review_body_group_size"] == 0 and made["nothing"]["repeated_review_body_fingerprint"] is None
 
 
 def test_repetition_scope(spark):
-    rows = [review("s1", review_text="same"), review("s2", review_text="SAME "), review("s3", review_text="same", country="gb"), review("s4", review_text="same", item_id=None, app_name=" EXAMPLE")]
+    rows = [review("s1", review_text="same"), review("s2", review_text="SAME "), review("s3", review_text="same", country="fj"), review("s4", review_text="same", item_id=None, app_name=" HARBOUR")]
     out = {r["review_id"]: r["repeated_review_body_group_size"] for r in features.generate(spark.createDataFrame([tuple(r.values()) for r in rows], text_schema())).collect()}
     assert out == {"s1": 2, "s2": 2, "s3": 1, "s4": 1}
 
 
 def test_topics_script_and_labels(made):
-    assert made["a1"]["login_topic_signal"] and not made["a1"]["payment_topic_signal"]
-    assert made["a3"]["performance_topic_signal"]
-    assert made["a4"]["payment_topic_signal"] and made["a4"]["delivery_topic_signal"] and made["a4"]["customer_service_topic_signal"]
-    assert not made["a7"]["performance_topic_signal"]
-    assert [made[r]["language_script_consistent"] for r in ("a1", "a5", "a6", "a7")] == [True, None, False, True]
-    assert [made[f"a{i}"]["weak_sentiment_label"] for i in range(1, 8)] == ["negative", "negative", "neutral", "positive", None, "positive", None]
-    assert made["a2"]["has_developer_reply"] and not made["a1"]["has_developer_reply"] and not made["a5"]["has_app_version"]
+    def topics(r):
+        return {t for t in ("login", "payment", "performance", "subscription", "delivery", "customer_service") if made[r][f"{t}_topic_signal"]}
+
+    assert topics("twin") == topics("other twin") == {"login"} and topics("impossible day") == {"performance"}
+    assert topics("three topics") == {"payment", "subscription", "customer_service"}
+    assert topics("wide") == topics("nothing") == set()  # billingsgate is not billing, flagged no lag
+    assert [made[r]["language_script_consistent"] for r in ("twin", "nothing", "greek", "wide")] == [True, None, False, True]
+    labels = {"twin": "negative", "impossible day": "neutral", "three topics": "positive", "nothing": None, "greek": "positive", "wide": None}
+    assert {r: made[r]["weak_sentiment_label"] for r in labels} == labels
+    assert made["other twin"]["has_developer_reply"] and made["other twin"]["has_app_version"] and not made["twin"]["has_developer_reply"] and not made["twin"]["has_app_version"]
 
 
 def test_keywords_are_whole_tokens(spark):
@@ -157,7 +163,7 @@ def test_csv_round_trip_keeps_rows_and_order(spark, frame, tmp_path):
     folder = runs.feature_run(spark, str(path), None, str(tmp_path / "out"), "run 1")
     assert folder.name == "run-1"
     back = files.features(spark, str(folder / "review_features.csv"))
-    assert [r["review_id"] for r in back.collect()] == [f"a{i}" for i in range(1, 8)] + ["q"]
+    assert [r["review_id"] for r in back.collect()] == [r["review_id"] for r in REVIEWS] + ["q"]
     assert back.where("review_id = 'q'").first()["review_text"] == 'a "quoted",\nline'
     with pytest.raises(FileExistsError):
         runs.feature_run(spark, str(path), None, str(tmp_path / "out"), "run 1")

@@ -25,15 +25,15 @@ def test_eda_tables(spark):
     tables = eda.tables(typed(frame(spark, rows)), errors=["e"], least=5)
     assert len(tables) == 10
     volume = {r["item_id"] and r["app_name"]: r for r in tables["review_volume_by_app"].collect()}
-    assert (volume["Example"]["review_count"], volume["Example"]["unique_review_count"], volume["Example"]["duplicate_count"]) == (2, 2, 0)
+    assert (volume["Harbour"]["review_count"], volume["Harbour"]["unique_review_count"], volume["Harbour"]["duplicate_count"]) == (2, 2, 0)
     assert volume[None]["review_count"] == 1
     lengths = {r["app_name"]: r for r in tables["review_text_length"].where("item_id is not null").collect()}
-    assert lengths["Example"]["low_signal_review_count"] == 1 and lengths["Example"]["median_text_length"] == 5.5 and lengths["Other"]["empty_text_count"] == 1
-    dates = tables["date_coverage"].where("item_id is not null and app_name = 'Example'").first()
-    assert (dates["dated_review_count"], dates["undated_review_count"], dates["earliest_review_date"]) == (1, 1, "2026-07-05T00:00:00Z")
+    assert lengths["Harbour"]["low_signal_review_count"] == 1 and lengths["Harbour"]["median_text_length"] == 5.5 and lengths["Other"]["empty_text_count"] == 1
+    dates = tables["date_coverage"].where("item_id is not null and app_name = 'Harbour'").first()
+    assert (dates["dated_review_count"], dates["undated_review_count"], dates["earliest_review_date"]) == (1, 1, "2026-06-27T06:00:00Z")
     missing = tables["missing_fields"]
-    assert missing.count() == 3 * 27 and missing.where("field = 'review_date' and app_name = 'Example' and item_id is not null").first()["missing_count"] == 1
-    assert [tuple(r) for r in tables["duplicate_records"].collect()] == [("2", 2, "Example, Other")]
+    assert missing.count() == 3 * 27 and missing.where("field = 'review_date' and app_name = 'Harbour' and item_id is not null").first()["missing_count"] == 1
+    assert [tuple(r) for r in tables["duplicate_records"].collect()] == [("2", 2, "Harbour, Other")]
     assert tables["errors"].count() == 1 and tables["low_signal_reviews"].count() == 3
     none = eda.tables(spark.createDataFrame([], review_schema()))
     assert all(none[n].count() == 0 and none[n].columns == tables[n].columns for n in tables if n != "pagination_depth_and_failures")
@@ -205,15 +205,18 @@ def page(spark, *payloads, **more):
 
 
 def test_json_parsers(spark):
-    a, b = parse_json.steam(page(spark, cases.STEAM, "not json", "{}")).collect()
-    assert (a["review_id"], a["item_id"], a["recommendation"], a["helpful_votes"], a["playtime_forever"], a["review_date"], a["author_id"], a["raw_cursor"]) == ("9001", "440", True, 3, 1200, "1767225600", "76", "*")
-    assert b["review_text"] == "" and b["helpful_votes"] is None and b["collected_at"]
-    rows = parse_json.apple(page(spark, cases.APPLE, cases.APPLE_ONE, "[]")).collect()
-    assert [(r["review_id"], r["rating"], r["helpful_votes"], r["app_version"], r["review_title"]) for r in rows] == [("111", 5.0, 3, "9.0.0", "Nice"), ("112", None, None, None, None)]
-    (g,) = parse_json.google_play(page(spark, cases.GOOGLE)).collect()
-    assert (g["review_id"], g["rating"], g["helpful_votes"], g["app_version"], g["developer_response"], g["developer_response_date"], g["package_id"]) == ("g1", 4.0, 12, "8.9.0", "thanks", None, "com.x")
-    assert parse_json.steam(page(spark, cases.STEAM)).columns == REVIEW_COLUMNS
-    assert parse_json.cursors(page(spark, cases.STEAM)).first()["response_cursor"] == "next"
+    payload = cases.steam_page([("x1", "well made", True, 5), ("x2", "", False, None)])
+    a, b = parse_json.steam(page(spark, payload, "not json", "{}")).collect()
+    assert (a["review_id"], a["item_id"], a["recommendation"], a["helpful_votes"], a["playtime_forever"], a["review_date"], a["author_id"], a["raw_cursor"]) == ("x1", "440", True, 5, 90, "1751328000", "sx1", "*")
+    assert b["review_text"] == "" and b["helpful_votes"] is None and b["recommendation"] is False and b["collected_at"]
+    assert parse_json.steam(page(spark, payload)).columns == REVIEW_COLUMNS
+    assert parse_json.cursors(page(spark, payload)).first()["response_cursor"] == "c2"
+    many = cases.apple_page(cases.apple_entry("about the app", title="Harbour"), cases.apple_entry("e5", "2", "11", title="Leaky", content="Water came in"))
+    one = cases.apple_page(cases.apple_entry("e6", "unrated", title="", content="Alone on its page"))
+    rows = parse_json.apple(page(spark, many, one, "[]")).collect()
+    assert [(r["review_id"], r["rating"], r["helpful_votes"], r["review_title"], r["review_text"]) for r in rows] == [("e5", 2.0, 11, "Leaky", "Water came in"), ("e6", None, None, None, "Alone on its page")]
+    (g,) = parse_json.google_play(page(spark, cases.google_batch(("p9", "fine", 2, "noted")))).collect()
+    assert (g["review_id"], g["rating"], g["helpful_votes"], g["app_version"], g["developer_response"], g["developer_response_date"], g["package_id"]) == ("p9", 2.0, 14, "2.1", "noted", None, "com.x")
 
 
 def test_html_parsers(spark):
@@ -228,8 +231,8 @@ def test_html_parsers(spark):
     assert set(rows) == {0, 1, 2, 3}
     for i in range(3):
         r = rows[i]
-        assert (r["review_id"], r["review_title"], r["review_text"], r["rating"], r["verified_purchase"], r["helpful_votes"], r["author_name"]) == ("R1", "Solid thing", "It works & lasts", 4.0, True, 1234, "Sam")
-    assert rows[0]["item_id"] == "B00TTD9BRC" and rows[1]["item_id"] == "B000000001"
+        assert (r["review_id"], r["review_title"], r["review_text"], r["rating"], r["verified_purchase"], r["helpful_votes"], r["author_name"]) == ("K7", "Sturdy little lamp", "Bright & quiet", 3.5, True, 2048, "Ada")
+    assert rows[0]["item_id"] == "B00TTD9BRC" and rows[1]["item_id"] == "B0HARBOUR1"
     assert rows[3]["review_text"] is None and rows[3]["rating"] is None and rows[3]["helpful_votes"] == 0 and rows[3]["verified_purchase"] is False
     spark.udtf.register("parse_review_html", html_reviews.html_reviews)
     assert spark.sql("SELECT review_id FROM parse_review_html('<div data-hook=\"review\" id=\"z\"></div>')").first()[0] == "z"
@@ -245,12 +248,27 @@ def test_capture_fields(spark):
     assert one('x "pageNumber":"12"', parse_fields.next_page_number) == 12 and one("a nextPageToken", parse_fields.has_next_page_token)
 
 
+def fact(source, **known):
+    names = [f.strip().split()[0] for f in compare.FACTS.replace("\n", " ").split(",")]
+    base = {"source": source, "executed": True, "request_count": 10, "successful_requests": 10, "request_count_status": "available", "live": True, "reviews": 8, "pagination": True, "repeated": True, "incremental": True, "blocked": False, "errors": 0, "metadata_fields": ["source"], "total_rows": 8, "access_method_type": "public feed"}
+    return tuple((base | known).get(n) for n in names)
+
+
 def test_comparison(spark):
-    facts = catalogue.facts(spark)
-    assert compare.comparison(facts).count() == 6 and compare.store_comparison(facts).count() == 8 and compare.metadata_matrix(facts).count() == 21
-    assert compare.recommendation(facts).startswith("Begin with steam; amazon parses")
-    assert compare.store_recommendation(facts).startswith("Neither")
-    none = facts.withColumn("executed", F.lit(False)).withColumn("skipped_reason", F.lit("off"))
+    def table(*rows):
+        return spark.createDataFrame(list(rows), compare.FACTS)
+
+    saved = {"request_count": 0, "successful_requests": 0, "offline_parsed": True, "live": False}
+    known = table(fact("steam"), fact("amazon", **saved), fact("google_play", access_method_type="third-party wrapper"), fact("apple_app_store", incremental=False))
+    assert compare.comparison(known).count() == 6 and compare.store_comparison(known).count() == 8 and compare.metadata_matrix(known).count() == 21
+    assert compare.by_criterion(compare.comparison(known), "Accessibility").first()["amazon_assessment"] == "offline only"
+    assert compare.recommendation(known).startswith("Begin with steam; amazon parses")
+    assert compare.store_recommendation(known).startswith("Neither")
+    assert compare.store_recommendation(table(fact("google_play"), fact("apple_app_store", errors=2))).startswith("Prefer google_play")
+    assert compare.recommendation(table(fact("steam"), fact("amazon", blocked=True))).startswith("Begin with steam; amazon matters")
+    assert compare.recommendation(table(fact("steam", blocked=True), fact("amazon"))).startswith("Amazon may")
+    assert compare.recommendation(table(fact("steam"), fact("amazon", successful_requests=4))).startswith("Go in phases")
+    none = known.withColumn("executed", F.lit(False)).withColumn("skipped_reason", F.lit("off"))
     assert {r["steam_assessment"] for r in compare.comparison(none).where("criterion <> 'Commercial value'").collect()} == {"insufficient"}
     assert {r["confidence"] for r in compare.store_comparison(none).collect()} == {"low", "medium qualitative"}
     assert compare.recommendation(none).startswith("No source")

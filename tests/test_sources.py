@@ -2,9 +2,9 @@ import json
 
 import pytest
 
-from larkspur import config, runs
+from larkspur import cli, config, runs
 from larkspur.schema import review_schema
-from larkspur.sources import feeds, sinks
+from larkspur.sources import feeds, files, sinks
 from larkspur.sources.http import PoliteClient, scrub_url
 from larkspur.streaming import dedup
 
@@ -82,9 +82,10 @@ def test_steam_paging(spark, tmp_path):
     assert got["pagination"] and got["repeated"] and got["request_count"] == 6 and got["successful_requests"] == 6
     assert [p["cursor"] for p in feeds.steam(app, Script(lambda url, n: (200, pages[url.rsplit("cursor=", 1)[1]])).client()).pages][:3] == ["*", "c1", "c2"]
     assert len(list((tmp_path / "data/raw/steam").glob("*.json"))) == 6
-    spark.dataSource.register(feeds.LandedPages)
-    landed = spark.read.format("landed_pages").load(str(tmp_path / "data/raw/steam"))
+    landed = files.landed_pages(spark, str(tmp_path / "data/raw/steam"))
     assert sorted((r["run"], r["page"]) for r in landed.collect()) == [(r, p) for r in (1, 2) for p in (1, 2, 3)]
+    again = runs.landed_run(spark, str(tmp_path / "data/raw/steam"), "steam", str(tmp_path / "landed"))
+    assert sorted(r["review_id"] for r in again.collect()) == ["1", "2", "3", "4", "5", "6"] and (tmp_path / "landed/steam_reviews.csv").exists()
 
 
 def entry(i):
@@ -112,23 +113,38 @@ def test_validation_run(spark, tmp_path):
 
 def test_captures_and_comparison(spark, tmp_path):
     for i in (1, 2):
-        (tmp_path / f"{i}.html").write_text(cases.HTML.replace("customer_review-R1", f"customer_review-R{i}"))
+        (tmp_path / f"{i}.html").write_text(cases.saved_page(f"R{i}", "t", "b", "4.0", ""))
     app = config.AppConfig(amazon=config.Amazon(review_urls=("https://h/dp/B00TTD9BRC?secret=1",), saved_response_files=(str(tmp_path / "1.html"), str(tmp_path / "2.html"), str(tmp_path / "gone.html"))))
     folder = runs.assessment_run(spark, app, str(tmp_path), ("steam", "amazon"), skip={"steam": "offline only"})
     summary = json.loads((folder / "test_run_summary.json").read_text())
     amazon = next(f for f in summary["facts"] if f["source"] == "amazon")
     assert amazon["reviews"] == 2 and amazon["pagination"] is True and amazon["parser_errors"] == 1 and amazon["offline_parsed"] is True
+    metrics = {r["source"]: r for r in spark.read.option("header", True).csv(str(folder / "data_quality_metrics.csv")).collect()}
+    assert metrics["amazon"]["total_rows"] == "2" and metrics["amazon"]["pagination_success_rate"] == "1.0" and metrics["amazon"]["parser_error_count"] == "1"
+    assert metrics["steam"]["total_rows"] == "0" and metrics["steam"]["average_review_text_length"] is None and metrics["steam"]["missing_expected_fields"].startswith("source, item_id")
+    report = (folder / "report.md").read_text()
+    assert "Not executed: offline only" in report and "- Saved response batches: 3" in report and "Live access was not tested" in report
+    assert spark.read.option("header", True).csv(str(tmp_path / "data/processed/steam_reviews.csv")).count() == 0
     assert "secret=1" not in (folder / "test_run_summary.json").read_text() and "secret=1" not in (folder / "report.md").read_text()
 
 
-def test_google_play_runs(spark, tmp_path):
+def test_google_play_runs(spark, tmp_path, monkeypatch):
     def fetch(package, token, count):
         return ([{"reviewId": f"g{token or 0}", "content": "x", "score": 5}], None if token else "1")
 
     fact, kept = runs.assess(spark, config.AppConfig(), str(tmp_path), "google_play", object(), fetch)
     assert sorted(r["review_id"] for r in kept.collect()) == ["g0", "g1"] and fact.first()["overlap_count"] == 2
+    folder = runs.assessment_run(spark, config.AppConfig(), str(tmp_path), ("google_play", "apple_app_store"), fetch=fetch, skip={"apple_app_store": "not selected"})
+    assert "- Requests: unavailable" in (folder / "report.md").read_text() and (folder / "metadata_matrix.csv").exists()
+    (tmp_path / "somewrapper.py").write_text("def fetch(package, token, count):\n    return [], None\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    args = cli.parser().parse_args(["assess", "--source", "google_play", "--google-play-wrapper", "somewrapper:fetch"])
+    assert "google_play" not in cli._skips(args) and cli.wrapper(args.google_play_wrapper)("p", None, 1) == ([], None)
+    assert cli._skips(cli.parser().parse_args(["assess", "--source", "app_stores"])) == {"google_play": "no wrapper is installed"}
+
     def broken(package, token, count):
         raise RuntimeError("down")
+
     assert feeds.google_play(config.AppConfig(), broken).errors
 
 
@@ -145,6 +161,25 @@ def test_streaming_dedup(spark, tmp_path):
     assert sorted(str(r["review_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2", "3", "None", "None"]
 
 
+def test_report_tables_say_that_they_stop(spark):
+    assert sinks.markdown_table(spark.range(5), 3).endswith("The first 3 rows; the CSV holds all.") and "CSV" not in sinks.markdown_table(spark.range(3), 3)
+
+
+def test_intermediates_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from larkspur.session import shared_folder
+
+    def on(master, named=None):
+        conf = SimpleNamespace(get=lambda key: named)
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: None))
+
+    assert shared_folder(on("yarn", "hdfs:///x")) == "hdfs:///x" and shared_folder(on("local[4]"))
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,512]", "k8s://h"):
+        with pytest.raises(RuntimeError):
+            shared_folder(on(master))
+
+
 def test_empty_outputs(spark, tmp_path):
     sinks.ensure_outputs(spark, str(tmp_path), ["steam_reviews"])
     assert spark.read.option("header", True).csv(str(tmp_path / "steam_reviews.csv")).count() == 0
@@ -154,7 +189,7 @@ def test_empty_outputs(spark, tmp_path):
 def test_live_captures(spark, tmp_path):
     from larkspur.operators.parse_fields import tells_of_block
 
-    pages = {"http://h/dp/B00TTD9BRC?s=1": (200, cases.HTML.encode()), "http://h/2": (200, b"Robot Check"), "http://h/3": (503, b""), "http://h/4": OSError("x")}
+    pages = {"http://h/dp/B00TTD9BRC?s=1": (200, cases.saved_page("R1", "t", "b", "4.0", "").encode()), "http://h/2": (200, b"Robot Check"), "http://h/3": (503, b""), "http://h/4": OSError("x")}
     app = config.AppConfig(amazon=config.Amazon(review_urls=("AMAZON_REVIEW_URL_1", *pages)))
     landing = feeds.amazon(app, Script(lambda url, n: pages[url]).client(), tells_of_block)
     assert [r["blocked"] for r in landing.requests] == [False, True, False, False] and len(landing.errors) == 1 and len(landing.warnings) == 2
