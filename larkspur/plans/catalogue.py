@@ -441,7 +441,7 @@ def unreached_targets(spark, sf_dir):
 
 
 @query(_sql_arrivals() + """, ranks AS (SELECT app, row_number() OVER (ORDER BY app) AS a FROM (SELECT DISTINCT app FROM arrivals)),
-arrived AS (SELECT r.review_id, r.app, run, page, (2 * a + run) * 100000000 + seq AS seq FROM arrivals r JOIN ranks k ON r.app = k.app CROSS JOIN (VALUES (1), (2)) t(run)),
+arrived AS (SELECT r.review_id, r.app, run, page, CAST(2 * a + run AS BIGINT) * 100000000 + seq AS seq FROM arrivals r JOIN ranks k ON r.app = k.app CROSS JOIN (VALUES (1), (2)) t(run)),
 marked AS (SELECT *, CASE WHEN review_id IS NOT NULL AND row_number() OVER (PARTITION BY app, run, review_id ORDER BY seq) = 1 THEN 1 ELSE 0 END AS new FROM arrived),
 read AS (SELECT * FROM (SELECT *, coalesce(sum(new) OVER (PARTITION BY app, run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM marked) WHERE seen < 10),
 taken AS (SELECT arg_min(app, seq) AS app, min(seq) AS seq FROM read WHERE review_id IS NOT NULL GROUP BY review_id),
@@ -457,7 +457,7 @@ def steam_collection(spark, sf_dir):
     base = cut(arrivals(spark, sf_dir))
     ranks = base.select("app").distinct().withColumn("a", F.row_number().over(Window.orderBy("app")))  # a row an app
     rows = base.join(ranks, "app").withColumn("run", F.explode(F.array(F.lit(1), F.lit(2))))
-    rows = rows.withColumn("seq", (2 * F.col("a") + F.col("run")) * 100_000_000 + F.col("seq")).drop("a")
+    rows = rows.withColumn("seq", (2 * F.col("a").cast("long") + F.col("run")) * 100_000_000 + F.col("seq")).drop("a")
     return collect.steam_collect(rows, 10).select("review_id", "app", "run", "page", "seq")
 
 
