@@ -72,6 +72,7 @@ GROUP_BYTES = 1 << 23
 #: Pages of a host from which its runs may be more than a task can tell the groups of pages, and
 #: entries of a hash range that one task tells.
 RANGE_ENTRIES = 1 << 22
+TASKS = 1 << 16
 #: Bits of a run's hash that travel.
 HASH_BITS = 56
 HOST = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -645,4 +646,7 @@ def extract(pages: DataFrame, run: int = RUN, least: int = PAGES, batch_tokens:
         rows = rows.join(F.broadcast(cut(large)), "host", "left")
         runs = shared_runs(rows.where("large is null"), ranges, run, least, batch_tokens)
         runs = runs.unionByName(shared_runs_of_large_hosts(rows.where("large"), ranges, run, least, batch_tokens, range_entries))
+    # As many tasks as there are groups, within what a driver can schedule.
+    tasks = min(groups, TASKS)
+    sent, runs = sent.repartition(tasks, "grp"), runs.repartition(tasks, "grp")
     return sent.groupBy("grp").cogroup(runs.groupBy("grp")).applyInPandas(local, "page_id long, url string, text string, n_blocks long, n_repeated long")
