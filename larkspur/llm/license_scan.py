@@ -9,7 +9,8 @@ neither marks nor blank lines around it, and comment marks at the starts of line
 matter. The identifiers found, in text order, form a sequence; ordered rules are matched
 against it from left to right, and at each place the first rule that fits wins and takes its
 identifiers. Identifiers are single code points of a string, so the rules are one ordered
-alternation over it. No shuffle, no join: a document is one row in, one out.
+alternation over it. No shuffle, no join: a document is one row in, one out. Texts that
+hold none of the few words of which every known sentence has one are not cut at all.
 
 Defined cases: a null or empty text, and one without a known sentence, has an
 empty sequence and no licence; repeated sentences and rows are reported as often
@@ -19,6 +20,10 @@ lengths, the longest counts; a text's length has no bound; null ids are kept.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,6 +134,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 VERSION = r"([^a-z0-9]v)\.[ \t]*([0-9])"
 BLANK_LINES = r"\n[^a-z0-9]*\n"
 MARK = r"[.!?;:]+([ \t\n]|\z)"
+#: Runs of other characters but single spaces, which are most of them and stay as they are.
+OTHERS = r"[^a-z0-9 \n\x01][^a-z0-9\n\x01]*| [^a-z0-9\n\x01]+"
 END = "\x01"
 #: Words, and so lines, of the longest known sentence, slots included.
 LONGEST = 80
@@ -144,7 +151,7 @@ def sentence_array(text: Column) -> Column:
     """The sentences of a text, in order, words separated by a space or a line's end."""
     lower = F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), UPPER + "\r\x01", LOWER + "\n ")
     ends = F.regexp_replace(F.regexp_replace(F.regexp_replace(lower, VERSION, "$1 $2"), BLANK_LINES, END), MARK, END)
-    words = F.regexp_replace(F.regexp_replace(ends, r"[^a-z0-9\n\x01]+", " "), r" ?\n ?", "\n")
+    words = F.regexp_replace(F.regexp_replace(ends, OTHERS, " "), r" ?\n ?", "\n")
     return F.transform(F.split(words, END), lambda s: F.btrim(s, F.lit(" \n")))
 
 
@@ -170,8 +177,6 @@ class Known:
 
     def codes_of(self, sentence: Column) -> Column:
         """The identifiers of a sentence, or of the runs of its lines that are known."""
-        whole = self.code_of(F.translate(sentence, "\n", " "))
-
         def known_runs(lines: Column) -> Column:
             def run_from(line: Column, i: Column) -> Column:
                 most = F.least(F.size(lines) - i, F.lit(LONGEST))
@@ -180,9 +185,16 @@ class Known:
 
             return F.array_compact(F.transform(lines, run_from))
 
-        # The lines are an element of an array, so that they are made once and not for each use.
-        runs = F.get(F.transform(F.array(F.split(sentence, "\n")), known_runs), F.lit(0))
-        return F.when(whole.isNotNull(), F.array(whole)).when(sentence.contains("\n"), runs).otherwise(F.array().cast("array<string>"))
+        def one_or_runs(code: Column) -> Column:
+            several = F.when(sentence.contains("\n"), bound(F.split(sentence, "\n"), known_runs)).otherwise(F.array().cast("array<string>"))
+            return F.when(code.isNotNull(), F.array(code)).otherwise(several)
+
+        return bound(F.translate(sentence, "\n", " "), lambda whole: bound(self.code_of(whole), one_or_runs))
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is made once: inside lambdas, what is named twice is made twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def scan(docs: DataFrame, sentences=SENTENCES, rules=RULES, slots=SLOTS) -> DataFrame:
@@ -193,7 +205,10 @@ def scan(docs: DataFrame, sentences=SENTENCES, rules=RULES, slots=SLOTS) -> Data
     """
     code, known = codes(sentences, slots), Known(sentences, slots)
     to_name = F.create_map(*[F.lit(x) for name in code for x in (code[name], name)])
-    found = F.flatten(F.transform(sentence_array(F.col("text").cast("string")), known.codes_of))
+    text = F.col("text").cast("string")
+    lower = F.lower(text)
+    some = reduce(lambda a, b: a | b, [lower.contains(w) for w in telling_words((*sentences, *slots))])
+    found = F.when(some, F.flatten(F.transform(sentence_array(text), known.codes_of))).otherwise(F.array().cast("array<string>"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_join(found, "").alias("seq"))
     patterns = rule_patterns(code, rules)
     to_license = F.create_map(*[F.lit(x) for pattern, name in patterns.items() for x in (pattern, name)])
@@ -206,6 +221,19 @@ def scan(docs: DataFrame, sentences=SENTENCES, rules=RULES, slots=SLOTS) -> Data
     )
 
 
+def telling_words(sentences) -> list[str]:
+    """Words of which every known sentence has one: a text without any of them has no known sentence.
+
+    Chosen by how many sentences still without one they tell of.
+    """
+    left, out = {name: set(re.findall("[a-z]{5,}", text)) or set(re.findall("[a-z0-9]+", text)) for name, text, *_ in sentences}, []
+    while left:
+        count = Counter(w for words in left.values() for w in words)
+        out.append(max(count, key=lambda w: (count[w], w)))
+        left = {name: words for name, words in left.items() if out[-1] not in words}
+    return out
+
+
 def rule_patterns(code: dict[str, str], rules) -> dict[str, str]:
     """Identifier string of each rule, in the rules' order, and its licence."""
     out: dict[str, str] = {}
