@@ -342,12 +342,12 @@ SELECT q.source, q.source <> 'apple_app_store' AS executed, CASE WHEN q.source =
  q.requests - q.fine AS errors, q.blocks AS warnings, CASE WHEN q.source = 'google_play' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS limitations, q.unparsed AS parser_errors,
  split(CASE WHEN q.source = 'google_play' THEN 'source,app_name,item_id,package_id,review_id,review_text,rating,review_date' ELSE 'source,item_id,review_id' END, ',') AS metadata_fields,
  coalesce(r.reviews, CAST(0 AS BIGINT)) AS total_rows, coalesce(r.ids, CAST(0 AS BIGINT)) AS unique_rows, coalesce(r.reviews - r.ids, CAST(0 AS BIGINT)) AS duplicates, coalesce(r.blank, CAST(0 AS BIGINT)) AS empty_text, q.elapsed AS average_response_time, q.blocks AS blocked_requests
-FROM (SELECT CASE user_id % 4 WHEN 0 THEN 'steam' WHEN 1 THEN 'amazon' WHEN 2 THEN 'google_play' ELSE 'apple_app_store' END AS source, count(*) AS requests, sum(CASE WHEN event_type <> 'error' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END) AS fine,
-  sum(CAST(event_id % 5 AS BIGINT)) AS raw, count(DISTINCT event_id % 5) AS pages, count(DISTINCT user_id) AS users, sum(CASE WHEN event_type = 'error' AND event_id % 3 = 2 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END) AS blocks,
-  sum(CASE WHEN event_id % 13 = 0 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END) AS unparsed, avg(value) AS elapsed FROM {events} GROUP BY 1) q
-LEFT JOIN (SELECT CASE CAST(review_id AS BIGINT) % 4 WHEN 0 THEN 'steam' WHEN 1 THEN 'amazon' WHEN 2 THEN 'google_play' END AS source, count(*) AS reviews, count(DISTINCT review_id) AS ids, sum(CASE WHEN trim(coalesce(review_text, '')) = '' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END) AS blank FROM {reviews} GROUP BY 1) r ON q.source = r.source
+FROM (SELECT CASE user_id % 4 WHEN 0 THEN 'steam' WHEN 1 THEN 'amazon' WHEN 2 THEN 'google_play' ELSE 'apple_app_store' END AS source, count(*) AS requests, count(CASE WHEN event_type <> 'error' THEN 1 END) AS fine,
+  CAST(sum(event_id % 5) AS BIGINT) AS raw, count(DISTINCT event_id % 5) AS pages, count(DISTINCT user_id) AS users, count(CASE WHEN event_type = 'error' AND event_id % 3 = 2 THEN 1 END) AS blocks,
+  count(CASE WHEN event_id % 13 = 0 THEN 1 END) AS unparsed, avg(value) AS elapsed FROM {events} GROUP BY 1) q
+LEFT JOIN (SELECT CASE CAST(review_id AS BIGINT) % 4 WHEN 0 THEN 'steam' WHEN 1 THEN 'amazon' WHEN 2 THEN 'google_play' END AS source, count(*) AS reviews, count(DISTINCT review_id) AS ids, count(CASE WHEN trim(coalesce(review_text, '')) = '' THEN 1 END) AS blank FROM {reviews} GROUP BY 1) r ON q.source = r.source
 """
-_SQL_FACTS = sql_with(REPEATS) + ", facts AS (" + FACTS.replace("sum(", "SUM(").format(events="events", reviews="allrows") + "), f AS (SELECT *, CASE WHEN request_count > 0 THEN successful_requests / request_count END AS rate FROM facts) "
+_SQL_FACTS = sql_with(REPEATS) + ", facts AS (" + FACTS.format(events="events", reviews="allrows") + "), f AS (SELECT *, CASE WHEN request_count > 0 THEN successful_requests / request_count END AS rate FROM facts) "
 
 
 def facts(spark, sf_dir) -> DataFrame:
