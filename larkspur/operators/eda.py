@@ -14,6 +14,8 @@ from ..functions.text import strip
 from ..schema import GROUP, REVIEW_COLUMNS
 
 LOW_SIGNAL_LENGTH = 15
+#: Duplicate ids that a summary names.
+SAMPLE_IDS = 25
 LANGUAGE_NOTE = "The language is the one that was asked for; none is detected here."
 
 
@@ -83,8 +85,13 @@ def duplicate_records(reviews: DataFrame) -> DataFrame:
 
 
 def duplicate_ids(reviews: DataFrame) -> DataFrame:
-    """Ids that occur more than once, as one sorted list."""
-    return duplicate_records(reviews).agg(F.sort_array(F.collect_list("review_id")).alias("duplicate_ids"))
+    """Ids that occur more than once, a row each, sorted."""
+    return duplicate_records(reviews).select("review_id").orderBy("review_id")
+
+
+def duplicate_id_sample(reviews: DataFrame, size: int = SAMPLE_IDS) -> DataFrame:
+    """The first of them."""
+    return duplicate_ids(reviews).limit(size)
 
 
 def language_notes(reviews: DataFrame) -> DataFrame:

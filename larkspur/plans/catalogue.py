@@ -151,9 +151,15 @@ def duplicate_records(spark, sf_dir):
     return eda.duplicate_records(with_copies(spark, sf_dir))
 
 
-@query(sql_with(COPIES) + ", d AS (SELECT review_id FROM allrows WHERE review_id IS NOT NULL GROUP BY review_id HAVING count(*) > 1) SELECT string_agg(review_id, ',' ORDER BY review_id) AS duplicate_ids FROM d")
+@query(sql_with(COPIES) + "SELECT review_id FROM allrows WHERE review_id IS NOT NULL GROUP BY review_id HAVING count(*) > 1")
 def duplicate_ids(spark, sf_dir):
-    return eda.duplicate_ids(with_copies(spark, sf_dir)).select(F.array_join("duplicate_ids", ",").alias("duplicate_ids"))
+    return eda.duplicate_ids(with_copies(spark, sf_dir))
+
+
+@query(sql_with(COPIES) + "SELECT review_id FROM allrows WHERE review_id IS NOT NULL GROUP BY review_id HAVING count(*) > 1 ORDER BY review_id LIMIT 25")
+def duplicate_id_sample(spark, sf_dir):
+    """The ids that a summary names: a limit is the feature."""
+    return eda.duplicate_id_sample(with_copies(spark, sf_dir))
 
 
 @query(sql_with() + f"SELECT {G}, count(*) AS review_count, false AS language_detection_available, country AS region_storefront, 'The language is the one that was asked for; none is detected here.' AS issue_note FROM reviews GROUP BY {G}")
