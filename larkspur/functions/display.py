@@ -25,6 +25,12 @@ def request_count(count: Column, status: Column) -> Column:
     return F.when(status == "available", count.cast("string")).otherwise("unavailable")
 
 
+def json_text(number: Column) -> Column:
+    """A number as JSON shows it: a whole one without a fraction, NaN as null."""
+    value = F.when(~F.isnan(number), number)
+    return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
+
+
 def json_number(value: Any) -> Any:
     """A whole double as an integer; NaN as None."""
     if value is None or value != value:

@@ -242,9 +242,8 @@ def displayed_values(spark, sf_dir):
 @query("SELECT DISTINCT CAST(o_custkey AS DOUBLE) / 4 AS value, CASE WHEN o_custkey % 4 = 0 THEN CAST(o_custkey // 4 AS VARCHAR) ELSE CAST(CAST(o_custkey AS DOUBLE) / 4 AS VARCHAR) END AS shown FROM orders")
 def json_numbers(spark, sf_dir):
     """Numbers as JSON has them: whole ones without a fraction."""
-    shown = F.udf(lambda v: str(display.json_number(v)))
     values = table(spark, sf_dir, "orders").select((F.col("o_custkey").cast("double") / 4).alias("value")).distinct()
-    return values.select("value", shown("value").alias("shown"))
+    return values.select("value", display.json_text(F.col("value")).alias("shown"))
 
 
 # Features, samples, tables.
