@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, power_of_two
+from .common import WORD, cut, power_of_two
 
 WINDOW = 20
 #: Words hashed together in a task; text bytes per hash bucket and per document bucket.
@@ -169,11 +169,11 @@ def _hash_batches(window: int, buckets: int, batch_words: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in BLOCK.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 text = text.as_py()
                 x = window_hashes(words_of(text), window)
                 if len(x[0]):
-                    held.append((key_of(doc_id, text), text_hash(text), x))
+                    held.append((key_of(doc_id, text), text_hash(text) if shared else 0, x))
                     size += len(x[0])
                     if size >= batch_words:
                         yield flush()
@@ -279,6 +279,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, batch_words: int = BATCH_WORDS)
     """Per row: doc_id, n_words, n_removed, kept (words joined by a space), intervals."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Only where an id has several texts do their hashes travel.
+    hashed = texts.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    several = cut(hashed.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id"))
+    texts = texts.withColumn("shared", F.lit(False)) if several.isEmpty() else texts.join(several.withColumn("shared", F.lit(True)), "doc_id", "left")
     buckets = power_of_two(size / HASH_BUCKET_BYTES, 16, 1 << 48)
     dests = power_of_two(size / DOC_BUCKET_BYTES, 16, 1 << 39)
     blocks = texts.mapInArrow(_hash_batches(window, buckets, batch_words), BLOCK)
@@ -291,7 +295,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, batch_words: int = BATCH_WORDS)
             known = batch.column(0).to_pylist()
             raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
             ids = [key_of(i, t) for i, t in zip(known, raw)]
-            which = [text_hash(t) for t in raw]
+            which = [text_hash(t) if shared else 0 for t, shared in zip(raw, batch.column(2).to_pylist())]
             dest = dest_of(np.array(ids, np.int64).view(np.uint64), np.array(which, np.uint32), dests)
             order = np.argsort(dest, kind="stable")
             bounds = np.r_[np.flatnonzero(np.diff(dest[order], prepend=-1)), len(dest)] if len(dest) else [0]
