@@ -43,9 +43,11 @@ from .common import WORD, cut, power_of_two
 
 WINDOW = 20
 #: Words hashed together in a task; text bytes per hash bucket and per document bucket.
-BATCH_WORDS = 1_500_000
+BATCH_WORDS = 1_200_000
 HASH_BUCKET_BYTES = 16_000_000
 DOC_BUCKET_BYTES = 8_000_000
+#: Texts that are compressed and sent together.
+SENT_ROWS = 2048
 BASE = 0x9E3779B97F4A7C15 | 1
 MODULUS = 1 << 64
 WORDS = re.compile(WORD)
@@ -291,7 +293,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, batch_words: int = BATCH_WORDS)
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
-        for batch in batches:
+        for batch in (whole.slice(at, SENT_ROWS) for whole in batches for at in range(0, whole.num_rows, SENT_ROWS)):
             known = batch.column(0).to_pylist()
             raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
             ids = [key_of(i, t) for i, t in zip(known, raw)]
