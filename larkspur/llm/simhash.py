@@ -306,7 +306,10 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, words_in: int = SHINGLE) -
 
     Documents without an id go only if another row without one has the same text.
     """
-    extra = groups(docs, radius, words_in).where("doc_id <> component_id").select("doc_id").distinct()
-    same = Window.partitionBy("doc_id", "__text").orderBy(F.lit(0))
-    left = docs.join(extra, "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
+    extra = groups(docs, radius, words_in).where("doc_id <> component_id").select(F.col("doc_id").cast("string").alias("__key")).distinct()
+    # Documents without an id go by their texts, so they spread. The window keeps the join's dealing.
+    text = F.xxhash64("text")
+    keyed = docs.withColumns({"__text": text, "__key": F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), text.cast("string")))})
+    left = keyed.join(extra, "__key", "left_anti")
+    same = Window.partitionBy("__key", "__text").orderBy(F.lit(0))
     return left.withColumn("__nth", F.row_number().over(same)).where("__nth = 1").select(*docs.columns)
