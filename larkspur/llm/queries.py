@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, curriculum_mix, hamming_index, host_boilerplate, language_id, license_scan, permutation_index, pii, simhash, substring_dedup
+from . import best_fit_packing, curriculum_mix, hamming_index, host_boilerplate, language_id, license_scan, merkle_manifest, permutation_index, pii, simhash, substring_dedup
 from .common import read
 
 
@@ -54,15 +54,40 @@ def op10_host_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_repeated")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
+QUERIES = (
+    op1_license_scan,
+    op2_permutation_index,
+    op3_curriculum_mix,
+    op4_best_fit_packing,
+    op5_language_id,
+    op6_pii,
+    op7_substring_dedup,
+    op8_hamming_index,
+    op9_simhash,
+    op10_host_boilerplate,
+    op12_merkle_manifest,
+    pipeline,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_permutation_index, op3_curriculum_mix, op4_best_fit_packing, op5_language_id, op6_pii, op7_substring_dedup, op8_hamming_index, op9_simhash, op10_host_boilerplate, pipeline)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.ORACLE, "op3_curriculum_mix": curriculum_mix.ORACLE, "op8_hamming_index": hamming_index.ORACLE}
+    return {
+        "op1_license_scan": license_scan.ORACLE,
+        "op3_curriculum_mix": curriculum_mix.ORACLE,
+        "op8_hamming_index": hamming_index.ORACLE,
+        "op12_merkle_manifest": merkle_manifest.ORACLE,
+    }
