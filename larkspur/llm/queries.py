@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, curriculum_mix, hamming_index, host_boilerplate, language_id, license_scan, merkle_manifest, permutation_index, pii, simhash, substring_dedup
+from . import best_fit_packing, block_max_search, curriculum_mix, hamming_index, host_boilerplate, language_id, license_scan, merkle_manifest, permutation_index, pii, simhash, substring_dedup
 from .common import read
 
 
@@ -54,6 +54,10 @@ def op10_host_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_repeated")
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(read(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = (
     op8_hamming_index,
     op9_simhash,
     op10_host_boilerplate,
+    op11_block_max_search,
     op12_merkle_manifest,
     pipeline,
 )
@@ -89,5 +94,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": license_scan.ORACLE,
         "op3_curriculum_mix": curriculum_mix.ORACLE,
         "op8_hamming_index": hamming_index.ORACLE,
+        "op11_block_max_search": block_max_search.ORACLE,
         "op12_merkle_manifest": merkle_manifest.ORACLE,
     }
