@@ -36,16 +36,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, filter_of, passes
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP = 10
 SEED = 42
 SHARD_DOCS = 1 << 13
 BLOCK_ITEMS = 1 << 11
-#: Bits of the filter of asked terms, of which a row of Spark's bitmap functions holds SLICE.
-FILTER_BITS = 1 << 23
-SLICE = 1 << 15
 #: Postings between two places where a block may end, and the most such steps in a block.
 UNIT = 8
 REACH = 32
@@ -72,21 +69,10 @@ def terms_of(items: DataFrame) -> DataFrame:
     return found.select("item_id", F.xxhash64("term").alias("term")).distinct()
 
 
-def asked(terms: DataFrame) -> bytes:
-    """The filter of the asked terms: at most FILTER_BITS, whatever the queries."""
-    place = F.pmod("term", F.lit(FILTER_BITS))
-    slices = terms.select(F.floor(place / SLICE).cast("int").alias("slice"), (place % SLICE).cast("long").alias("bit")).groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    whole = bytearray(FILTER_BITS // 8)
-    for r in slices:
-        whole[r["slice"] * SLICE // 8 : (r["slice"] + 1) * SLICE // 8] = r["bits"]
-    return bytes(whole)
-
-
 def counted(docs: DataFrame, wanted: bytes) -> DataFrame:
     """doc_id, n, and the asked terms (hashes) with their frequencies, of documents with terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted, np.uint8)
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             rows, n, terms, tfs, ends = [], [], [], [], [0]
@@ -97,8 +83,7 @@ def counted(docs: DataFrame, wanted: bytes) -> DataFrame:
                 count = Counter(words)
                 h = np.fromiter((digest(w, SEED) for w in count), np.uint64, len(count))
                 tf = np.fromiter(count.values(), np.int32, len(count))
-                at = h & np.uint64(FILTER_BITS - 1)
-                keep = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                keep = passes(wanted, h)
                 rows.append(i)
                 n.append(len(words))
                 terms.append(h[keep].view(np.int64))
@@ -240,7 +225,7 @@ def search_shard(docs: pa.Table, items: pa.Table, documents: int, length: int, k
 def search(docs: DataFrame, items: DataFrame, k: int = TOP, shard_docs: int = SHARD_DOCS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """item_id, rank, doc_id, score: each item's k best documents, ties to smaller ids."""
     terms = cut(terms_of(items))
-    slim = cut(counted(docs, asked(terms)))
+    slim = cut(counted(docs, filter_of(terms.select("term"))))
     documents, length = slim.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     frequency = slim.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     weight = F.floor(1000 * F.log((F.lit(2.0) * documents + 2) / (2 * F.col("df") + 1))).cast("long")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +37,27 @@ def power_of_two(wanted: float, least: int, most: int) -> int:
 def digest_ids(*cols: str):
     """A well-mixed, non-negative long of the named columns, nulls included."""
     return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+
+
+#: Bits of a filter, a power of two, and those that a row of Spark's bitmap functions holds.
+FILTER_BITS = 1 << 23
+_SLICE = 1 << 15
+
+
+def filter_of(hashes: DataFrame) -> bytes:
+    """A bitmap of FILTER_BITS with the places of the one column's 64-bit hashes set.
+
+    It has 1 MB whatever it is made of; made of too much, it lets everything pass.
+    """
+    place = F.pmod(F.col(hashes.columns[0]), F.lit(FILTER_BITS))
+    slices = hashes.select(F.floor(place / _SLICE).cast("int").alias("slice"), (place % _SLICE).cast("long").alias("bit")).groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    whole = bytearray(FILTER_BITS // 8)
+    for r in slices:
+        whole[r["slice"] * _SLICE // 8 : (r["slice"] + 1) * _SLICE // 8] = r["bits"]
+    return bytes(whole)
+
+
+def passes(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (unsigned) may be among those of ``filter_of``."""
+    at = hashes & np.uint64(FILTER_BITS - 1)
+    return (np.frombuffer(bits, np.uint8)[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

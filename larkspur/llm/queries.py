@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, block_max_search, curriculum_mix, hamming_index, host_boilerplate, language_id, license_scan, merkle_manifest, permutation_index, pii, simhash, substring_dedup
+from . import best_fit_packing, block_max_search, curriculum_mix, hamming_index, host_boilerplate, language_id, license_scan, merkle_manifest, odd_sketch, permutation_index, pii, simhash, substring_dedup
 from .common import read
 
 
@@ -62,6 +62,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(read(spark, sf_dir, "documents"))
 
 
+def op13_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.groups(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +85,7 @@ QUERIES = (
     op10_host_boilerplate,
     op11_block_max_search,
     op12_merkle_manifest,
+    op13_odd_sketch,
     pipeline,
 )
 
