@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 STATUSES = ("ok", "empty_page", "request_failed", "pagination_limit_or_unavailable_page", "json_parse_error")
 
 
@@ -49,38 +51,64 @@ def capped(rows: DataFrame, cap: int, by: list[str] | None = None, total: int |
     return out.orderBy(seq).limit(total) if total else out
 
 
+def cap_marks(rows: DataFrame, by: list[str], cap: int, seq: str = "seq") -> DataFrame:
+    """Per full group its ``mark``, the place of its ``cap``-th row; other groups have none.
+
+    Of a group a task passes on its first ``cap`` rows at most.
+    """
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(seq))
+    few = rows.select(*by, seq).withColumn("__nth", nth).where(F.col("__nth") <= cap)
+    return few.groupBy(*by).agg(F.max(seq).alias("mark"), F.count("*").alias("__n")).where(F.col("__n") >= cap).drop("__n")
+
+
+def up_to_marks(rows: DataFrame, marks: DataFrame, by: list[str], seq: str = "seq", inclusive: bool = True) -> DataFrame:
+    """Rows up to the marks of their groups; groups without a mark stay whole."""
+    named = marks.select(*[F.col(c).alias(f"__{c}") for c in by], "mark")
+    joined = rows.join(named, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left")
+    within = F.col(seq) <= F.col("mark") if inclusive else F.col(seq) < F.col("mark")
+    return joined.where(F.col("mark").isNull() | within).select(*rows.columns)
+
+
+def deferred_acceptance(options: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+    """Which of an id's options (app, review_id, seq) is taken, if each app takes ``cap`` ids, and the apps' marks.
+
+    In arrival order, an id would be taken by the first app that still has room. Here ids
+    propose instead: each to its earliest option, each app keeps its ``cap`` earliest
+    proposals, and what comes after the last of those is refused for good, so that in the
+    next round the refused ids propose to their next options. Ids and apps go by one order,
+    so the fixed point is the one that arrival order leads to. All that a round hands on is a
+    mark for each full app, and marks only fall.
+    """
+    options = cut(options)
+    marks, before = None, None
+    while True:
+        alive = options if marks is None else up_to_marks(options, marks, ["app"])
+        proposals = alive.groupBy("review_id").agg(F.min(F.struct("seq", "app")).alias("p")).select("p.app", "review_id", "p.seq")
+        marks = cut(cap_marks(proposals, ["app"], cap))
+        state = marks.agg(F.count("*"), F.sum(F.xxhash64("app", "mark").cast("decimal(20,0)"))).first()
+        if state == before:
+            return proposals, marks
+        before = state
+
+
 def steam_collect(rows: DataFrame, cap: int) -> DataFrame:
     """Rows kept of repeated runs over several apps, with a cap for each run and app.
 
     A run stops at the row before which it has seen ``cap`` distinct ids. Of what runs
     read, an id is taken once over all apps, and only while its app holds fewer than
-    ``cap`` ids; an id that a full app passes over may still be taken by a later app, so
-    the last step follows arrival order. It sees one row per app and id, of which run
-    caps leave at most apps x runs x cap. Rows without an id are taken while their
-    app is open, and count toward nothing.
+    ``cap`` ids; an id that a full app passes over may still be taken by a later app. Rows
+    without an id are taken while their app is open, and count toward nothing. No step
+    gathers an app's, or all, rows in one place.
     """
-    in_run = Window.partitionBy("app", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    new_in_run = F.row_number().over(Window.partitionBy("app", "run", "review_id").orderBy("seq")) == 1
-    counted = rows.withColumn("__new", (has_id() & new_in_run).cast("int"))
-    read = counted.withColumn("__seen", F.coalesce(F.sum("__new").over(in_run), F.lit(0))).where(F.col("__seen") < cap).drop("__new", "__seen")
-
-    def take(pdf):
-        seen, held, last, out = set(), {}, {}, []
-        for app, review_id, seq in pdf.sort_values("seq").itertuples(index=False):
-            if review_id not in seen and held.get(app, 0) < cap:
-                seen.add(review_id)
-                held[app] = held.get(app, 0) + 1
-                last[app] = seq
-                out.append((app, seq))
-        full = [(app, seq, held[app] >= cap and seq == last[app]) for app, seq in out]
-        return type(pdf)(full, columns=["app", "seq", "fills"])
-
-    firsts = read.where(has_id()).groupBy("app", "review_id").agg(F.min("seq").alias("seq"))
-    taken = firsts.select(F.col("app").cast("string"), "review_id", F.col("seq").cast("long")).withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(lambda pdf: take(pdf.drop(columns="__all")), "app string, seq long, fills boolean")
-    closes = taken.where("fills").select(F.col("app").alias("__app"), F.col("seq").alias("__closed"))
-    with_id = read.join(taken.drop("fills"), ["app", "seq"], "left_semi")
-    without = read.where(~has_id()).join(closes, F.col("app") == F.col("__app"), "left").where(F.col("__closed").isNull() | (F.col("seq") < F.col("__closed")))
-    return with_id.select(*rows.columns).unionByName(without.select(*rows.columns))
+    by_run = ["app", "run"]
+    new_ids = rows.where(has_id()).groupBy(*by_run, "review_id").agg(F.min("seq").alias("seq"))
+    read = cut(up_to_marks(rows, cap_marks(new_ids, by_run, cap), by_run))
+    options = read.where(has_id()).groupBy("app", "review_id").agg(F.min("seq").alias("seq"))
+    taken, marks = deferred_acceptance(options, cap)
+    named = taken.select(F.col("app").alias("__app"), F.col("seq").alias("__seq"))
+    with_id = read.where(has_id()).join(named, F.col("app").eqNullSafe(F.col("__app")) & (F.col("seq") == F.col("__seq")), "left_semi")
+    without = up_to_marks(read.where(~has_id()), marks, ["app"], inclusive=False)
+    return with_id.unionByName(without).select(*rows.columns)
 
 
 def run_overlap(rows: DataFrame, by: list[str] | None = None, run: str = "run") -> DataFrame:

@@ -446,24 +446,39 @@ def unreached_targets(spark, sf_dir):
     return collect.unreached_targets(targets, got, 50, ["app_name"])
 
 
-@query(_sql_arrivals() + """, ranks AS (SELECT app, row_number() OVER (ORDER BY app) AS a FROM (SELECT DISTINCT app FROM arrivals)),
-arrived AS (SELECT r.review_id, r.app, run, page, CAST(2 * a + run AS BIGINT) * 100000000 + seq AS seq FROM arrivals r JOIN ranks k ON r.app = k.app CROSS JOIN (VALUES (1), (2)) t(run)),
+#: Every review in its own app and, two thirds of them, in others that come before or after; the second run reads backwards.
+_OFFERED = """SELECT review_id, CAST(CAST(substr(app_name, 4) AS INT) AS BIGINT) AS a, page, id FROM base
+UNION ALL SELECT review_id, (id * 7 + 3) % 20, page, id FROM base WHERE id % 3 <> 0
+UNION ALL SELECT CASE WHEN id % 30 = 1 THEN NULL ELSE review_id END, (id * 3 + 11) % 20, page, id FROM base WHERE id % 3 = 1"""
+_OFFERS_BASE = "SELECT review_id, app_name, CAST(raw_page_number AS BIGINT) AS page, CAST(review_id AS BIGINT) AS id FROM {reviews}"
+_OFFERS = """SELECT review_id, concat('app', CAST(a AS VARCHAR(4))) AS app, run, page,
+ CAST(2 * a + run AS BIGINT) * 1000000000 + CASE WHEN run = 1 THEN id ELSE 500000000 - id END AS seq
+FROM offered CROSS JOIN (VALUES (1), (2)) t(run)"""
+
+
+@query(sql_with().replace("WITH", "WITH RECURSIVE", 1) + ", base AS (" + _OFFERS_BASE.format(reviews="reviews") + "), offered AS (" + _OFFERED + "), listed AS (" + _OFFERS + """),
+arrived AS (SELECT DISTINCT * FROM listed),
 marked AS (SELECT *, CASE WHEN review_id IS NOT NULL AND row_number() OVER (PARTITION BY app, run, review_id ORDER BY seq) = 1 THEN 1 ELSE 0 END AS new FROM arrived),
 read AS (SELECT * FROM (SELECT *, coalesce(sum(new) OVER (PARTITION BY app, run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM marked) WHERE seen < 10),
-taken AS (SELECT arg_min(app, seq) AS app, min(seq) AS seq FROM read WHERE review_id IS NOT NULL GROUP BY review_id),
-closed AS (SELECT app, max(seq) AS closes FROM taken GROUP BY app HAVING count(*) >= 10)
-SELECT review_id, app, CAST(run AS INT) AS run, page, CAST(seq AS BIGINT) AS seq FROM read WHERE seq IN (SELECT seq FROM taken)
-UNION ALL SELECT r.review_id, r.app, CAST(r.run AS INT), r.page, CAST(r.seq AS BIGINT) FROM read r LEFT JOIN closed c ON r.app = c.app WHERE r.review_id IS NULL AND (c.closes IS NULL OR r.seq < c.closes)""")
+turns AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM read),
+greedy(n, seen, held, ok) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false
+  UNION ALL
+  SELECT t.n, CASE WHEN fits AND t.review_id IS NOT NULL THEN list_append(g.seen, t.review_id) ELSE g.seen END,
+    CASE WHEN fits AND t.review_id IS NOT NULL THEN list_append(g.held, t.app) ELSE g.held END, fits
+  FROM (SELECT g.*, t.review_id, t.app, t.n AS tn,
+      len(list_filter(g.held, lambda x: x = t.app)) < 10 AND (t.review_id IS NULL OR NOT list_contains(g.seen, t.review_id)) AS fits
+    FROM greedy g JOIN turns t ON t.n = g.n + 1) g JOIN turns t ON t.n = g.tn)
+SELECT t.review_id, t.app, CAST(t.run AS INT) AS run, t.page, CAST(t.seq AS BIGINT) AS seq FROM greedy g JOIN turns t ON t.n = g.n WHERE g.ok""")
 def steam_collection(spark, sf_dir):
-    """Two runs over every app, the second as the first, with a cap of ten.
+    """Two runs over every app with a cap of ten, one app after the other.
 
-    A run reads the same rows again, so no app reads more ids than its cap, and an id goes to
-    the first app that reads it; the general case is held against a plain loop in the tests.
+    Ids are read by up to three apps, and the runs of an app read different ids, so apps fill
+    and pass ids on to later ones. The SQL takes them one by one in the order of arrival.
     """
-    base = cut(arrivals(spark, sf_dir))
-    ranks = base.select("app").distinct().withColumn("a", F.row_number().over(Window.orderBy("app")))  # a row an app
-    rows = base.join(ranks, "app").withColumn("run", F.explode(F.array(F.lit(1), F.lit(2))))
-    rows = rows.withColumn("seq", (2 * F.col("a").cast("long") + F.col("run")) * 100_000_000 + F.col("seq")).drop("a")
+    base = spark.sql(_OFFERS_BASE, reviews=reviews(spark, sf_dir))
+    offered = spark.sql(_OFFERED.replace("FROM base", "FROM {base}"), base=base)
+    rows = spark.sql(_OFFERS.replace("FROM offered", "FROM {offered}"), offered=offered).distinct()
     return collect.steam_collect(rows, 10).select("review_id", "app", "run", "page", "seq")
 
 
