@@ -9,6 +9,7 @@ from ..schema import CONTEXT, LINEAGE_COLUMNS, NUMERIC_COLUMNS, RATE_COLUMNS
 from ..session import cut
 from . import sample as sampling
 from .features import require
+from .medians import medians, same_group
 from .sample import as_bool
 
 MISSING = "<missing>"
@@ -65,18 +66,22 @@ def _line(metric: str, value, count, share=None, numbers=None) -> Column:
 def distributions(features: DataFrame) -> DataFrame:
     """Tidy rows per context: six numbers, sixteen flags, ratings, publication years.
 
-    One wide aggregate makes all but the ratings; a second, small one makes those. Both
-    read the columns they need from one table that is made once, without texts.
+    One wide aggregate makes all but the ratings and the medians; a second, small one makes
+    the ratings, and the medians come by selection. All read the columns they need from one
+    table that is made once, without texts.
     """
     features = cut(features.select(*CONTEXT, "rating", "publication_year", *NUMERIC_COLUMNS, *RATE_COLUMNS))
     rows = F.count("*").alias("row_count")
     numbers = [*NUMERIC_COLUMNS, "publication_year"]
     wide = features.groupBy(*CONTEXT).agg(
         rows,
-        *[f(F.col(c)).alias(f"__{name}_{c}") for c in numbers for name, f in (("n", F.count), ("min", F.min), ("med", F.median), ("avg", F.avg), ("max", F.max))],
+        *[f(F.col(c)).alias(f"__{name}_{c}") for c in numbers for name, f in (("n", F.count), ("min", F.min), ("avg", F.avg), ("max", F.max))],
         *[F.count_if(as_bool(F.col(c))).alias(f"__t_{c}") for c in RATE_COLUMNS],
     )
 
+    middle = medians(features, CONTEXT, numbers)
+    wide = wide.join(middle.select(*[F.col(c).alias(f"__{c}") for c in CONTEXT], *[F.col(c).alias(f"__med_{c}") for c in numbers]), same_group(CONTEXT))
+
     def of(c):
         return [F.col(f"__{name}_{c}") for name in ("min", "med", "avg", "max")]
 
