@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -57,3 +58,13 @@ def table_of(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of intermediates that nothing refers to any more.
+
+    It does so as the driver's memory is collected, which a driver of small plans and many
+    rounds may not come to for hours.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
