@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import table_of
+from ..session import release, table_of
 from .common import cut, filter_of, passes, power_of_two
 from .simhash import SALTS, components, split_hot
 
@@ -313,6 +313,19 @@ def with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("key").join(found.withColumnsRenamed({"node": "key", "root": "comp"}), "key", "left").select("key", F.coalesce("comp", "key").alias("comp"))
 
 
+def joined_components(named: DataFrame, links: DataFrame) -> DataFrame | None:
+    """``named`` after more links, of which only those between components count; None if there is none."""
+    ends = (named.select(F.col("key").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
+    between = links
+    for end, c in zip(ends, "ab"):
+        between = between.join(end, c)
+    between = cut(between.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if between.isEmpty():
+        return None
+    found = components(between).withColumnsRenamed({"node": "comp", "root": "top"})
+    return named.join(found, "comp", "left").select("key", F.coalesce("top", "comp").alias("comp"))
+
+
 def groups(docs: DataFrame, percent: int = PERCENT, limit: int = BUCKET_LIMIT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept."""
     most = most_bits(percent)
@@ -322,16 +335,15 @@ def groups(docs: DataFrame, percent: int = PERCENT, limit: int = BUCKET_LIMIT) -
     least = banded.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("count")).where("count > 1").drop("count")
     stars = banded.join(least, "band").where("key <> a").select("a", F.col("key").alias("b")).distinct()
     tried = cut(possible(stars, nodes, most, percent))
-    links = cut(confirmed(tried, docs, percent))
+    named = cut(with_components(nodes, cut(confirmed(tried, docs, percent))))
     for nearest in (True, False):
-        named = cut(with_components(nodes, links))
-        pairs = open_pairs(nodes, banded, named, most, nearest, limit, percent)
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        release(docs.sparkSession)
+        pairs = cut(open_pairs(nodes, banded, named, most, nearest, limit, percent).join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
         tried = tried.unionByName(pairs)
-        links = cut(links.unionByName(confirmed(pairs, docs, percent)))
-    named = with_components(nodes, links)
+        more = joined_components(named, confirmed(pairs, docs, percent))
+        named = cut(more) if more is not None else named
     # A component may hold a third of all texts: they meet its name under several keys.
     rooted = nodes.select("key", "first").join(named, "key")
     salted = rooted.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))

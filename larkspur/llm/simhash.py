@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import release
 from .common import cut, power_of_two
 
 BITS = 64
@@ -285,6 +286,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
+        release(edges.sparkSession)
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, words_in: int = SHINGLE) -> DataFrame:
