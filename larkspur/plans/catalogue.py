@@ -12,7 +12,7 @@ from ..functions.times import days_between, instant, strict_timestamp
 from ..operators import annotation, collect, eda, features, html_reviews, parse_fields, parse_json, quality, report, sample
 from ..schema import CONTEXT, FEATURE_COLUMNS, GROUP, NUMERIC_COLUMNS, RATE_COLUMNS, TOPICS
 from ..session import cut, shared_folder
-from ..streaming import dedup
+from ..streaming import acceptance, dedup
 from .registry import query
 from .views import COPIES, REPEATS, full, reviews, rules, sql_features, sql_with, table, with_copies
 
@@ -493,6 +493,35 @@ def incremental_dedup(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select("source", "review_id")
 
 
+#: Two landings of the arrivals: the reviews, and after them their repeats with some that are new.
+_FIRST_LANDING, _SECOND_LANDING = "CAST(seq AS BIGINT) % 4 <> 1 AND app <> 'again'", "NOT (CAST(seq AS BIGINT) % 4 <> 1 AND app <> 'again')"
+
+
+def in_two_runs(spark, rows, made) -> DataFrame:
+    """What a stream writes that reads one landing, stops, and goes on when the other has come."""
+    root = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    for landing in (_FIRST_LANDING, _SECOND_LANDING):
+        rows.where(landing).write.mode("append").parquet(f"{root}/in")
+        acceptance.run(made(spark.readStream.schema(rows.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/state")
+    return spark.read.parquet(f"{root}/out")
+
+
+@query(_sql_arrivals() + f""", landed AS (SELECT *, CASE WHEN {_FIRST_LANDING} THEN 1 ELSE 2 END AS landing FROM arrivals),
+told AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY landing, seq) AS n, first_value(seq) OVER (PARTITION BY review_id ORDER BY landing, seq) AS s, first_value(page) OVER (PARTITION BY review_id ORDER BY landing, seq) AS p FROM landed)
+SELECT review_id, app, page, seq, review_id IS NOT NULL AND n > 1 AS is_repeat, CASE WHEN review_id IS NULL THEN seq ELSE s END AS first_seq, CASE WHEN review_id IS NULL THEN page ELSE p END AS first_page, CASE WHEN review_id IS NULL THEN 1 ELSE n END AS arrival FROM told""")
+def recorded_repeats(spark, sf_dir):
+    """Accepted rows and recorded repeats of a stream that ran twice."""
+    return in_two_runs(spark, arrivals(spark, sf_dir), lambda stream: acceptance.with_repeats(stream, ["review_id"]))
+
+
+@query(_sql_arrivals() + f""", landed AS (SELECT *, CASE WHEN {_FIRST_LANDING} THEN 1 ELSE 2 END AS landing FROM arrivals),
+told AS (SELECT *, row_number() OVER (PARTITION BY app ORDER BY landing, seq) AS n FROM landed)
+SELECT review_id, app, page, seq FROM told WHERE n <= 40""")
+def streamed_caps(spark, sf_dir):
+    """Forty rows an app over two runs: the second adds what the first left open."""
+    return in_two_runs(spark, arrivals(spark, sf_dir), lambda stream: acceptance.within_caps(stream, ["app"], 40))
+
+
 # Annotations: a sheet as annotators might have filled it.
 
 _SHEET = """SELECT review_id, CASE WHEN rating BETWEEN 1 AND 2 THEN 'negative' WHEN rating = 3 THEN 'neutral' ELSE 'positive' END AS weak_sentiment_label,
