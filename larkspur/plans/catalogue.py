@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_present, normalized, script_consistent, topic_signal, weak_sentiment, word_count
 from ..functions.times import days_between, instant, strict_timestamp
-from ..operators import annotation, collect, eda, features, html_reviews, parse_fields, parse_json, quality, report, sample
+from ..operators import annotation, collect, eda, features, history, html_reviews, parse_fields, parse_json, quality, report, run_bitmaps, sample
 from ..schema import CONTEXT, FEATURE_COLUMNS, GROUP, NUMERIC_COLUMNS, RATE_COLUMNS, TOPICS
 from ..session import cut, shared_folder
 from ..streaming import acceptance, dedup
@@ -396,6 +396,35 @@ def repeatability(spark, sf_dir):
     return rounded(collect.repeatability(runs(spark, sf_dir)), "overlap_rate")
 
 
+@query(_SQL_RUNS + """, shared AS (SELECT app, review_id FROM runs GROUP BY app, review_id HAVING count(DISTINCT run) = 2),
+fresh AS (SELECT DISTINCT app, review_id FROM runs WHERE run = 2 EXCEPT SELECT app, review_id FROM runs WHERE run = 1),
+sizes AS (SELECT app, CAST(count(DISTINCT run) AS BIGINT) AS runs, count(DISTINCT review_id) AS distinct_ids FROM runs GROUP BY app)
+SELECT app, runs, runs >= 2 AS repeated_collection_demonstrated, (SELECT count(*) FROM shared x WHERE x.app = s.app) AS overlap_count, distinct_ids, round((SELECT count(*) FROM shared x WHERE x.app = s.app) / distinct_ids, 6) AS overlap_rate,
+ CASE WHEN runs >= 2 THEN (SELECT count(*) FROM fresh x WHERE x.app = s.app) END AS new_records_in_second_run FROM sizes s""")
+def run_bitmap_overlap(spark, sf_dir):
+    """Overlaps of each app's runs from stored bitmaps, which two landings were merged into."""
+    rows, late = runs(spark, sf_dir), "CAST(review_id AS BIGINT) % 7 < 3 AND run = 2"
+    root = f"{shared_folder(spark)}/bitmaps-{uuid.uuid4().hex}"
+    early, later = rows.where(f"NOT ({late})"), rows.where(late)
+    run_bitmaps.coded(early).write.parquet(f"{root}/codes-1")
+    codes = spark.read.parquet(f"{root}/codes-1")
+    run_bitmaps.bitmaps(early, codes, ["app"]).write.parquet(f"{root}/runs-1")
+    run_bitmaps.coded(later, codes).write.parquet(f"{root}/codes-2")
+    more = run_bitmaps.bitmaps(later, spark.read.parquet(f"{root}/codes-2"), ["app"])
+    run_bitmaps.merged(spark.read.parquet(f"{root}/runs-1"), more, ["app"]).write.parquet(f"{root}/runs-2")
+    return rounded(run_bitmaps.overlap(spark.read.parquet(f"{root}/runs-2"), ["app"]), "overlap_rate")
+
+
+@query(_sql_arrivals() + "SELECT review_id, app, seq FROM arrivals a WHERE review_id IS NULL OR review_id NOT IN (SELECT review_id FROM reviews WHERE CAST(review_id AS BIGINT) % 3 = 0 OR CAST(review_id AS BIGINT) % 5 = 1)")
+def unseen_in_history(spark, sf_dir):
+    """Arrivals that a bucketed history, written by two runs, does not hold."""
+    name = f"history_{uuid.uuid4().hex}"
+    path, base = f"{shared_folder(spark)}/{name}", reviews(spark, sf_dir)
+    for part in ("CAST(review_id AS BIGINT) % 3 = 0", "CAST(review_id AS BIGINT) % 3 = 0 OR CAST(review_id AS BIGINT) % 5 = 1"):
+        history.remember(base.where(part), name, path, 8)
+    return history.unseen(arrivals(spark, sf_dir), name).select("review_id", "app", "seq")
+
+
 _PAGED = "SELECT 'all' AS app, CAST(raw_page_number AS BIGINT) AS raw_page_number, review_id FROM {reviews} UNION ALL SELECT 'all', CAST(raw_page_number AS BIGINT) + 1, review_id FROM {reviews} WHERE CAST(review_id AS BIGINT) % 97 = 0"
 
 
