@@ -58,11 +58,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents, each with its sequence and offset.
+    """The token pieces of all documents, each with its ids, its sequence and its offset.
 
-    A null text is empty: the end id alone. A document the mix takes n times is packed n times.
+    ``ids`` are little-endian unsigned 32-bit integers, and ``ids_crc32`` is their checksum. A
+    null text is empty: the end id alone. A document the mix takes n times is packed n times.
     """
-    return best_fit_packing.pack(docs, keep_ids=False)
+    return best_fit_packing.pack(docs, keep_ids=True).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
@@ -74,16 +75,22 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, counts: list[tuple[str, int]] | None = None) -> DataFrame:
     """The stages one after the other over ``documents``.
 
-    A stage's result is removed once the next one is written; the last one is the caller's.
+    A stage's result is removed once the next one is written; the last one, which holds all
+    that training needs, is the caller's. ``counts`` gets the rows that go in and those that
+    each stage leaves.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    if counts is not None:
+        counts.append(("documents", docs.count()))
     root, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")
+        if counts is not None:
+            counts.append((name, docs.count()))
         if before:
             remove(spark, before)
         before = f"{root}/{name}"
