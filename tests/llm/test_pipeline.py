@@ -1,8 +1,12 @@
 """The pipeline over awkward documents."""
 
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 
@@ -56,5 +60,21 @@ def test_awkward_documents(spark, tmp_path):
         kept = ids
     pieces = corpus_pipeline.pack_sequences(spark, docs, sf_dir).collect()
     assert Counter(r["doc_id"] for r in pieces if r["piece"] == 0) == kept
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in out.collect()) == Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in pieces)
+    # What comes out can be trained on: the ids are those that plain tokenizers make of the last texts.
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = Counter()
+    for r in pieces:
+        ids = np.frombuffer(bytes(r["ids"]), "<u4")
+        assert len(ids) == r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
+        got[r["doc_id"], r["piece"], tuple(ids.tolist())] += 1
+    joined = defaultdict(list)
+    for i, piece, ids in sorted(got, key=lambda x: (x[0] is None, x[0] or 0, x[1])):
+        joined[i].append((piece, ids))
+    for r in docs.collect():
+        if r["doc_id"] is not None:
+            assert [t for _, ids in joined[r["doc_id"]] for t in ids] == [*plain.encode(r["text"], add_special_tokens=False).ids, 2]
+    counts = []
+    out = corpus_pipeline.run(spark, sf_dir, counts)
+    assert Counter((r["doc_id"], r["piece"], r["length"], bytes(r["ids"])) for r in out.collect()) == Counter((r["doc_id"], r["piece"], r["length"], bytes(r["ids"])) for r in pieces)
+    assert [name for name, _ in counts] == ["documents", *[name for name, _ in corpus_pipeline.STAGES]]
+    assert counts[0][1] == len(rows) and counts[-1][1] == len(pieces)
