@@ -14,13 +14,14 @@ from .operators import collect, compare, eda, features, findings, html_reviews,
 from .schema import review_schema
 from .sources import feeds, files, sinks
 from .sources.http import PoliteClient
+from .sources.store import StorePath, bundle
 
 AGENT = "larkspur-review-analytics/0.1"
 #: More rows than a page has.
 PAGE_ROWS = 1_000_000
 
 
-def feature_run(spark: SparkSession, reviews_csv: str, rules_file: str | None, root: str, run_id: str) -> Path:
+def feature_run(spark: SparkSession, reviews_csv: str, rules_file: str | None, root: str, run_id: str) -> StorePath:
     """Review CSV to feature files, rows in input order, as many as came in."""
     rules = rule_files.load(rules_file) if rules_file else rule_files.default()
     rows = files.numbered(files.normalized_reviews(spark, reviews_csv))
@@ -30,7 +31,7 @@ def feature_run(spark: SparkSession, reviews_csv: str, rules_file: str | None, r
     return sinks.write_features(made, root, run_id, order=files.ROW)
 
 
-def report_run(spark: SparkSession, features_csv: str, root: str, run_id: str, input_rows: int | None = None, sample_size: int = 135) -> Path:
+def report_run(spark: SparkSession, features_csv: str, root: str, run_id: str, input_rows: int | None = None, sample_size: int = 135) -> StorePath:
     made = files.features(spark, features_csv).cache()
     try:
         return sinks.write_validation_report(report.build(made, input_rows, sample_size), root, run_id)
@@ -141,7 +142,7 @@ def assess(spark: SparkSession, config: configs.AppConfig, root: str, source: st
     cap = limits.max_reviews_per_item
     kept = collect.steam_collect(rows, cap) if source == "steam" else collect.capped(collect.accepted(rows), cap)
     kept = kept.cache()
-    sinks.write_reviews(kept, str(Path(root, "data", "processed")), f"{source}_reviews")
+    sinks.write_reviews(kept, f"{root}/data/processed", f"{source}_reviews")
     third = {"access_method_type": "third-party wrapper", "request_count_status": "unavailable", "limitations": 1} if source == "google_play" else {"access_method_type": "public feed"}
     return source_facts(spark, source, landing, rows, kept, **third), kept
 
@@ -164,7 +165,7 @@ def assess_captures(spark: SparkSession, config: configs.AppConfig, root: str, c
     rows = rows.withColumns({"app": F.lit("amazon"), "run": F.lit(1), "seq": F.col("raw_page_number") * PAGE_ROWS + nth}).drop("__at").cache()
     kept = collect.accepted(rows)
     kept = kept.withColumn("raw_page_number", F.when(F.col("raw_page_number") > len(listed), 1).cast("long"))
-    sinks.write_reviews(kept, str(Path(root, "data", "processed")), "amazon_reviews")
+    sinks.write_reviews(kept, f"{root}/data/processed", "amazon_reviews")
     batches = collect.page_ids(rows.where(F.col("raw_page_number") <= len(listed)), ["app"])
     paged = collect.saved_pages_show_pagination(batches, ["app"]).first()
     more = {"offline_parsed": bool(listed), "saved_batches": len(listed), "pagination": bool(paged and paged[0]) if listed else None, "repeated": False, "overlap_count": None, "overlap_rate": None}
@@ -172,7 +173,7 @@ def assess_captures(spark: SparkSession, config: configs.AppConfig, root: str, c
     return source_facts(spark, "amazon", landing, rows, kept, **more), kept
 
 
-def assessment_run(spark: SparkSession, config: configs.AppConfig, root: str, sources: tuple[str, str], client=None, fetch=None, skip: dict[str, str] | None = None) -> Path:
+def assessment_run(spark: SparkSession, config: configs.AppConfig, root: str, sources: tuple[str, str], client=None, fetch=None, skip: dict[str, str] | None = None) -> StorePath:
     """Two sources compared: summary, quality, comparison and text in ``reports``."""
     facts, kept = [], []
     for source in sources:
@@ -186,30 +187,31 @@ def assessment_run(spark: SparkSession, config: configs.AppConfig, root: str, so
     stores = "google_play" in sources
     table = compare.store_comparison(both) if stores else compare.comparison(both)
     advice = compare.store_recommendation(both) if stores else compare.recommendation(both)
-    folder = sinks.unique_folder(Path(root, "reports", "app_stores" if stores else "phase_1"))
-    sinks.write_summary({"configuration": config.sanitized(), "facts": [r.asDict(True) for r in both.collect()], "recommendation": advice}, folder / "test_run_summary.json")
+    folder = sinks.unique_folder(StorePath(spark, root) / "reports" / ("app_stores" if stores else "phase_1"))
     reviews = kept[0] if kept else spark.createDataFrame([], review_schema())
     for more in kept[1:]:
         reviews = reviews.unionByName(more, allowMissingColumns=True)
     metrics = quality.metrics(reviews, both).cache()
-    sinks.write_csv(metrics, str(folder / "data_quality_metrics.csv"))
-    sinks.ensure_outputs(spark, str(Path(root, "data", "processed")), [f"{r['source']}_reviews" for r in both.select("source").collect()])
-    sinks.write_csv(table, str(folder / "source_comparison.csv"))
+    sinks.ensure_outputs(spark, f"{root}/data/processed", [f"{r['source']}_reviews" for r in both.select("source").collect()])
     parts: dict[str, Any] = {f"Findings: {r['source']}": r["text"] for r in findings.findings(both, metrics).orderBy("source").collect()}  # a row a source
     parts |= {"Comparison": table, "Recommendation": advice}
-    if stores:
-        matrix = compare.metadata_matrix(both)
-        sinks.write_csv(matrix, str(folder / "metadata_matrix.csv"))
-        parts["Metadata"] = matrix
-    sinks.write_markdown("Source assessment", parts, folder / "report.md")
+    with bundle(folder) as stage:
+        sinks.write_summary({"configuration": config.sanitized(), "facts": [r.asDict(True) for r in both.collect()], "recommendation": advice}, stage / "test_run_summary.json")
+        sinks.write_csv(metrics, str(stage / "data_quality_metrics.csv"))
+        sinks.write_csv(table, str(stage / "source_comparison.csv"))
+        if stores:
+            matrix = compare.metadata_matrix(both)
+            sinks.write_csv(matrix, str(stage / "metadata_matrix.csv"))
+            parts["Metadata"] = matrix
+        sinks.write_markdown("Source assessment", parts, stage / "report.md")
     return folder
 
 
-def validation_run(spark: SparkSession, config: configs.AppConfig, root: str, run_id: str | None = None, total: int | None = None, client=None) -> Path:
+def validation_run(spark: SparkSession, config: configs.AppConfig, root: str, run_id: str | None = None, total: int | None = None, client=None) -> StorePath:
     """All app-store targets collected, capped and described by ten tables."""
     store = config.apple_app_store
     name = sinks.validation_run_id(run_id)
-    folder = sinks.unique_folder(Path(root, "reports", store.validation_output_dir, name))
+    folder = sinks.unique_folder(StorePath(spark, root) / "reports" / store.validation_output_dir / name)
     total = min(total or store.validation_total_reviews, configs.MAX_TOTAL)
     landing = feeds.apple_validation(config, client or client_for(config), Path(root, "data", "raw", store.validation_output_dir, folder.name), total)
     pages, _ = landing.frames(spark)
@@ -221,11 +223,11 @@ def validation_run(spark: SparkSession, config: configs.AppConfig, root: str, ru
     batches = batches.unionByName(short.withColumnRenamed("item_id", "app_id").select("app_id", "app_name", "country", "language", "review_count", "status"), allowMissingColumns=True)
     reviews = kept.count()
     reason = None if reviews >= total else collect.shortfall(batches, errors=len(landing.errors), parser_errors=len(landing.parser_errors)).first()[0]
-    processed = str(Path(root, "data", "processed", store.validation_output_dir, folder.name))
-    sinks.write_reviews(kept, processed, "reviews")
+    sinks.write_reviews(kept, f"{root}/data/processed/{store.validation_output_dir}/{folder.name}", "reviews")
     tables = eda.tables(kept, batches, landing.errors + landing.parser_errors + landing.warnings, store.validation_low_signal_min_text_length)
-    sinks.write_tables(tables, folder)
     facts = {"run_id": name, "target_review_count": total, "reviews_collected": reviews, "target_reached": reason is None, "shortfall_reason": reason, "request_count": len(landing.requests), "successful_request_count": sum(r["success"] for r in landing.requests), "errors": landing.errors, "parser_errors": landing.parser_errors}
-    sinks.write_summary(facts, folder / "summary.json")
-    sinks.write_markdown("App store validation", {"Status": f"{reviews} of {total} reviews; {reason or 'target reached'}", "Volume": tables["review_volume_by_app"]}, folder / "summary.md")
+    with bundle(folder) as stage:
+        sinks.write_tables(tables, stage)
+        sinks.write_summary(facts, stage / "summary.json")
+        sinks.write_markdown("App store validation", {"Status": f"{reviews} of {total} reviews; {reason or 'target reached'}", "Volume": tables["review_volume_by_app"]}, stage / "summary.md")
     return folder

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import REVIEW_COLUMNS, review_schema
+from .store import StorePath, bundle
 
 CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 #: A run folder's name gets a number up to this.
@@ -35,7 +36,7 @@ def stamp() -> str:
     return datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ")
 
 
-def unique_folder(path: Path) -> Path:
+def unique_folder(path: StorePath | Path) -> StorePath | Path:
     """``path``, or the first of path_2 … path_999 that is free."""
     for nth in range(1, MAX_RUNS + 1):
         free = path if nth == 1 else path.with_name(f"{path.name}_{nth}")
@@ -70,8 +71,7 @@ def write_reviews(reviews: DataFrame, folder: str, name: str, mode: str = "overw
 
 def exists(spark, path: str) -> bool:
     """Whether there is anything at ``path``, in whatever store it lies."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return StorePath(spark, path).exists()
 
 
 def ensure_outputs(spark, folder: str, names: list[str]) -> None:
@@ -81,25 +81,23 @@ def ensure_outputs(spark, folder: str, names: list[str]) -> None:
             write_reviews(spark.createDataFrame([], review_schema()), folder, name)
 
 
-def write_features(features: DataFrame, root: str, run_id: str, order: str | None = None) -> Path:
+def write_features(features: DataFrame, root: str, run_id: str, order: str | None = None) -> StorePath:
     """Feature CSV and JSON lines in a new folder, in row order if ``order`` names it."""
-    folder = Path(root) / feature_run_id(run_id)
-    if folder.exists():
-        raise FileExistsError(f"there is a feature run at {folder}")
+    folder = StorePath(features.sparkSession, root) / feature_run_id(run_id)
     rows = features.orderBy(order).drop(order) if order else features
-    write_csv(rows, str(folder / "review_features.csv"))
-    write_json(rows, str(folder / "review_features.jsonl"))
+    with bundle(folder) as stage:
+        write_csv(rows, str(stage / "review_features.csv"))
+        write_json(rows, str(stage / "review_features.jsonl"))
     return folder
 
 
-def write_tables(tables: dict[str, DataFrame], folder: Path) -> None:
+def write_tables(tables: dict[str, DataFrame], folder: StorePath) -> None:
     for name, df in tables.items():
         write_csv(df, str(folder / f"{name}.csv"))
 
 
-def write_summary(summary: dict[str, Any], path: Path) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(summary, indent=2, sort_keys=True, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
+def write_summary(summary: dict[str, Any], path: StorePath) -> None:
+    path.write_text(json.dumps(summary, indent=2, sort_keys=True, ensure_ascii=False, default=str) + "\n")
 
 
 def markdown_table(df: DataFrame, limit: int = 200) -> str:
@@ -112,26 +110,24 @@ def markdown_table(df: DataFrame, limit: int = 200) -> str:
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows] + more)
 
 
-def write_markdown(title: str, parts: dict[str, str | DataFrame], path: Path) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
+def write_markdown(title: str, parts: dict[str, str | DataFrame], path: StorePath) -> None:
     text = [f"# {title}"]
     for head, body in parts.items():
         text += [f"## {head}", markdown_table(body) if isinstance(body, DataFrame) else str(body)]
-    path.write_text("\n\n".join(text) + "\n", encoding="utf-8")
+    path.write_text("\n\n".join(text) + "\n")
 
 
-def write_validation_report(report: dict[str, Any], root: str, run_id: str) -> Path:
+def write_validation_report(report: dict[str, Any], root: str, run_id: str) -> StorePath:
     """Summary, text, distributions and annotation sheet of a feature run, in a new folder."""
-    folder = Path(root) / feature_run_id(run_id)
-    if folder.exists():
-        raise FileExistsError(f"there is a report at {folder}")
-    write_summary(report["summary"], folder / "feature_validation_summary.json")
+    folder = StorePath(report["distributions"].sparkSession, root) / feature_run_id(run_id)
     rates = "\n".join(f"- {k}: {v:.4%}" for k, v in report["summary"]["overall_rates"].items())
     labels = "\n".join(f"- {k}: {v}" for k, v in report["summary"]["weak_sentiment_label_counts"].items())
     rows = f"{report['summary']['output_row_count']} rows, {report['summary']['unique_contextual_review_identity_count']} identities"
-    write_markdown("Feature validation", {"Rows": rows, "Weak labels": labels, "Rates": rates}, folder / "feature_validation_report.md")
-    write_csv(report["distributions"], str(folder / "feature_distributions.csv"))
-    write_csv(report["manual_sample"], str(folder / "manual_validation_sample.csv"))
+    with bundle(folder) as stage:
+        write_summary(report["summary"], stage / "feature_validation_summary.json")
+        write_markdown("Feature validation", {"Rows": rows, "Weak labels": labels, "Rates": rates}, stage / "feature_validation_report.md")
+        write_csv(report["distributions"], str(stage / "feature_distributions.csv"))
+        write_csv(report["manual_sample"], str(stage / "manual_validation_sample.csv"))
     return folder
 
 
