@@ -8,10 +8,12 @@ __all__ = ["blank_to_null", "casefolded", "is_present", "normalized", "register"
 
 
 def register(spark) -> None:
-    """The normaliser and the HTML parser under SQL names."""
+    """All functions under SQL names: those of ``sql`` as SQL text, the normaliser and the HTML parsers in Python."""
     from ..operators.html_reviews import html_reviews
+    from .sql import register_sql
     from .text import casefold_udf, normalizer
 
     spark.udf.register("normalize_review_text", normalizer("NFKC", True, True, True))
     spark.udf.register("casefold_text", casefold_udf)
     spark.udtf.register("parse_review_html", html_reviews)
+    register_sql(spark)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import config as configs
 from .. import runs
 from ..functions import display
+from ..functions.sql import register_sql
 from ..functions.numbers import safe_double, safe_long
 from ..operators import compare, eda, features, findings, html_reviews, parse_fields, quality, sample
 from ..rules import DEFAULT, check
@@ -212,12 +213,18 @@ def safe_numbers(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", safe_double(text).alias("as_double"), safe_long(text).alias("as_long"))
 
 
-@query("SELECT page_id, CAST(2 + page_id AS BIGINT) AS next_page, page_id % 3 = 0 AS has_token FROM pages WHERE page_id % 4 <> 3 UNION ALL SELECT page_id, NULL, page_id % 3 = 0 FROM pages WHERE page_id % 4 = 3")
+#: A page's own html with a link to the next page in it, in one of three forms, or with none.
+_PAGER = "CASE page_id % 4 WHEN 0 THEN concat('{{\"pageNumber\":\"', CAST(page_id + 2 AS {string}), '\"}}') WHEN 1 THEN concat('?pageNumber=', CAST(page_id + 2 AS {string}), '&x') WHEN 2 THEN concat('page-number=&quot;', CAST(page_id + 2 AS {string})) ELSE '' END"
+_NEXT_PAGES = "SELECT page_id, concat(html, ' <i>', " + _PAGER + ", '</i>', CASE WHEN page_id % 3 = 0 THEN ' nextPageToken' ELSE '' END) AS text FROM {pages}"
+
+
+@query("WITH t AS (" + _NEXT_PAGES.format(string="VARCHAR", pages="pages") + """), found AS (SELECT page_id, text, regexp_extract_all(text, '(?:pageNumber=|"pageNumber":"|page-number=&quot;)(\\d+)', 1) AS n FROM t)
+SELECT page_id, CASE WHEN len(n) > 0 THEN CAST(n[1] AS BIGINT) END AS next_page, contains(text, 'nextPageToken') AS has_token FROM found""")
 def next_pages(spark, sf_dir):
-    d, n = F.col("page_id"), (F.col("page_id") + 2).cast("string")
-    text = F.when(d % 4 == 0, F.concat(F.lit('{"pageNumber":"'), n, F.lit('"}'))).when(d % 4 == 1, F.concat(F.lit("?pageNumber="), n, F.lit("&x"))).when(d % 4 == 2, F.concat(F.lit("page-number=&quot;"), n)).otherwise("no number here")
-    text = F.concat(text, F.when(d % 3 == 0, " nextPageToken").otherwise(""), F.col("html").substr(1, 0))
-    return table(spark, sf_dir, "pages").select("page_id", parse_fields.next_page_number(text).alias("next_page"), parse_fields.has_next_page_token(text).alias("has_token"))
+    """The next page's number and whether there is a token, found in whole pages."""
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages_in")
+    pages = spark.sql(_NEXT_PAGES.format(string="STRING", pages="pages_in"))
+    return pages.select("page_id", parse_fields.next_page_number(F.col("text")).alias("next_page"), parse_fields.has_next_page_token(F.col("text")).alias("has_token"))
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS review_id, CAST(page_id % 6 AS DOUBLE) AS rating, CASE WHEN page_id % 2 = 0 THEN 'B0PAGES001' END AS item_id FROM pages")
@@ -472,3 +479,32 @@ def source_findings(spark, sf_dir):
     text = findings.findings(known, quality.metrics(played(spark, sf_dir), known)).withColumn("lines", F.split("text", "\n"))
     found = lambda start: F.get(F.filter("lines", lambda x: x.startswith(start)), F.lit(0))
     return text.select("source", F.get("lines", F.lit(0)).alias("first_line"), found("- Requests:").alias("requests"), found("- Overlap rate:").alias("overlap"))
+
+
+# The SQL surface: the Spark side is SQL text only.
+
+
+_FLAGS = """SELECT review_id, is_present(review_title) AS has_title, strict_timestamp(review_date) AS published, weak_sentiment(rating) AS label,
+ round(days_between(strict_timestamp(collected_at), strict_timestamp(review_date)), 6) AS age_days,
+ has_topic(lower(trim(regexp_replace(coalesce(blank_to_null(review_text), ''), '\\\\s+', ' '))), 'delivery') AS delivery
+FROM reviews_in"""
+
+
+@query(sql_features("SELECT review_id, ntitle <> '' AS has_title, make_timestamp(us) AS published, weak_sentiment_label AS label, round(review_age_at_collection_days, 6) AS age_days, regexp_matches(ntext, '(^|[^\\p{L}\\p{N}_])(?:password)($|[^\\p{L}\\p{N}_])') AS delivery FROM flagged"))
+def sql_review_flags(spark, sf_dir):
+    """Presence, instants, ages, topics and labels by SQL functions that are SQL themselves."""
+    register_sql(spark, rules())
+    reviews(spark, sf_dir).createOrReplaceTempView("reviews_in")
+    return spark.sql(_FLAGS)
+
+
+_PAGES_IN = "SELECT page_id, concat('<div id=\"customer_review-', CAST(page_id AS {string}), '\" data-hook=\"review\"><b data-hook=\"review-title\">page ', CAST(page_id AS {string}), '</b><i data-hook=\"review-star-rating\">', CAST(page_id % 6 AS {string}), '.0 out of 5 stars</i></div>', html) AS payload FROM {pages}"
+
+
+@query("SELECT page_id, CAST(page_id AS VARCHAR) AS review_id, concat('page ', CAST(page_id AS VARCHAR)) AS title, CAST(page_id % 6 AS DOUBLE) AS stars FROM pages")
+def sql_page_reviews(spark, sf_dir):
+    """Whole pages with a review before them, parsed by a table function over Arrow batches."""
+    register_sql(spark, rules())
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages_in")
+    spark.sql(_PAGES_IN.format(string="STRING", pages="pages_in")).createOrReplaceTempView("payloads_in")
+    return spark.sql("SELECT page_id, review_id, title, CAST(substr(rating, 1, 3) AS DOUBLE) AS stars FROM parse_review_pages(TABLE(SELECT page_id, payload FROM payloads_in))")

@@ -197,3 +197,24 @@ def test_one_python_stage_per_read(frame):
     """All text of a read crosses to Python once: one Arrow stage for the reviews, one for the counts."""
     plan = features.generate(frame)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") <= 3
+
+
+def test_sql_functions_are_expressions(spark):
+    """SQL text all through: the plan has no Python, and values are those of the column functions."""
+    from larkspur.functions import strict_timestamp, is_present, weak_sentiment
+    from larkspur.functions.sql import register_sql
+
+    register_sql(spark)
+    stamps = ["2026-07-05T00:00:00Z", " 2026-07-05 01+02 ", "2026-07-05", "2026-02-30T10:00:00Z", None, "", "2026-07-05T00:00:00,5-0700", "x'\\"]
+    spark.createDataFrame([(t, float(i)) for i, t in enumerate(stamps)], "t string, n double").createOrReplaceTempView("stamps")
+    got = spark.sql("SELECT t, strict_timestamp(t) AS at, is_present(t) AS here, weak_sentiment(n) AS label, has_topic(t, 'login') AS topic, has_topic('i cannot log in', 'login') AS said, has_topic('x', 'no topic') AS none FROM stamps")
+    assert "Python" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = spark.table("stamps").select("t", strict_timestamp(F.col("t")).alias("at"), is_present(F.col("t")).alias("here"), weak_sentiment(F.col("n")).alias("label"))
+    key = lambda r: str(r["t"])
+    assert [tuple(r)[:4] for r in sorted(got.collect(), key=key)] == [tuple(r) for r in sorted(want.collect(), key=key)]
+    first = got.first()
+    assert first["said"] is True and first["none"] is None
+    page = "<div data-hook='review' id='customer_review-z'><b data-hook='review-title'>T</b></div>"
+    spark.createDataFrame([(1, page), (2, None), (3, page + page.replace("-z", "-y"))], "page_id long, payload string").createOrReplaceTempView("captures")
+    rows = spark.sql("SELECT page_id, review_id, title FROM parse_review_pages(TABLE(SELECT page_id, payload FROM captures))").collect()
+    assert sorted(map(tuple, rows)) == [(1, "z", "T"), (3, "y", "T"), (3, "z", "T")]
