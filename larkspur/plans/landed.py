@@ -21,8 +21,9 @@ from ..functions.numbers import safe_double, safe_long
 from ..operators import compare, eda, features, findings, html_reviews, parse_fields, quality, sample
 from ..rules import DEFAULT, check
 from ..session import shared_folder
-from ..sources import feeds, files, sinks
+from ..sources import feeds, files, landed, sinks
 from ..sources.http import PoliteClient
+from ..streaming import acceptance
 from .registry import query
 from .views import REPEATS, full, reviews, rules, sql_features, sql_with, table, with_copies
 
@@ -202,6 +203,28 @@ def landed_files(spark, sf_dir):
     return text.select(page.alias("event_id"), run.alias("run"), page.alias("page"), F.col("value").alias("payload"))
 
 
+@query("SELECT page_id % 4 + 1 AS run, page_id AS page, md5(html) AS payload, 'once' AS how FROM pages WHERE page_id % 4 IN (1, 2) UNION ALL SELECT page_id % 4 + 1, page_id, md5(html), 'stream' FROM pages")
+def landed_source(spark, sf_dir):
+    """Pages, a file each, through the source: those of two runs by a filter, and all as a stream that runs twice."""
+    root = folder(spark)
+    rows = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 4 + 1).alias("run"), "html")
+
+    def land(batches):
+        Path(f"{root}/pages").mkdir(parents=True, exist_ok=True)
+        for frame in batches:
+            for page, run, text in frame.itertuples(index=False):
+                Path(f"{root}/pages/feed_app_run{run}_page{page}_x.html").write_text(text, encoding="utf-8", newline="")
+            yield frame.iloc[:0]
+
+    landed.register(spark)
+    for part in ("page_id % 2 = 0", "page_id % 2 = 1"):
+        rows.where(part).mapInPandas(land, rows.schema).write.format("noop").mode("overwrite").save()
+        acceptance.run(spark.readStream.format(landed.FORMAT).load(f"{root}/pages"), f"{root}/out", f"{root}/state")
+    once = spark.read.format(landed.FORMAT).load(f"{root}/pages").where("run IN (2, 3)").withColumn("how", F.lit("once"))
+    both = once.unionByName(spark.read.parquet(f"{root}/out").withColumn("how", F.lit("stream")))
+    return both.select("run", "page", F.md5("payload").alias("payload"), "how")
+
+
 # Parsers.
 
 
