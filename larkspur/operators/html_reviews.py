@@ -10,10 +10,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .parse_fields import ITEM_IN_PAGE, clean, helpful_votes, item_id, star_rating
@@ -125,9 +126,63 @@ def unwrap(text: str) -> str:
     return text
 
 
+#: Levels of JSON that are walked in the JVM; what is nested deeper goes to Python whole.
+DEPTH = 8
+
+
+def unwrapped(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``pages`` with ``html`` for ``payload``: the marked strings of JSON and AJAX responses, other texts as they are.
+
+    JSON is read as VARIANT and walked level by level: each level is one generator, rows that
+    hold no markup end there, and no row of Python runs. Strings come in the order of their
+    places, the fields of an object by name. ``deep`` is set where JSON goes on below ``depth``
+    levels, or is none that VARIANT takes; such a payload is left as it is, for Python.
+    """
+    spark = pages.sparkSession
+    rest = [c for c in pages.columns if c != "payload"]
+    text = F.trim(F.col("payload"))
+    ajax = F.coalesce(F.contains(text, F.lit("]&&&[")), F.lit(False))
+    wrapped = (ajax | F.coalesce(F.left(text, F.lit(1)).isin("{", "["), F.lit(False))) & marked(F.col("payload"))
+    rows = pages.withColumn("__wrapped", wrapped)
+    direct = rows.where(~F.col("__wrapped")).select(*rest, F.col("payload").alias("html"), F.lit(False).alias("deep"))
+    # Chunk 0 is none: its row keeps the payload, whatever becomes of the others.
+    chunks = F.concat(F.array(F.lit(None).cast("string")), F.when(ajax, F.split(text, "&&&")).otherwise(F.array(text)))
+    walk = rows.where("__wrapped").withColumn("__id", F.monotonically_increasing_id()).select("__id", "payload", *rest, F.posexplode(chunks).alias("__chunk", "__text"))
+    walk = walk.withColumn("v", F.try_parse_json("__text")).withColumn("__unread", marked(F.col("__text")) & F.col("v").isNull())
+    walk = walk.drop("__text").withColumn("__path", F.array().cast("array<int>"))
+    for _ in range(depth):
+        walk.createOrReplaceTempView("larkspur_walk")
+        opened = spark.sql("SELECT w.*, t.pos AS __pos, t.value AS __value FROM larkspur_walk w, LATERAL variant_explode_outer(CASE WHEN schema_of_variant(w.v) LIKE 'OBJECT<%' OR schema_of_variant(w.v) LIKE 'ARRAY<%' THEN w.v END) AS t")
+        spark.catalog.dropTempView("larkspur_walk")
+        inside = F.col("__pos").isNotNull()
+        opened = opened.withColumns({"v": F.when(inside, F.col("__value")).otherwise(F.col("v")), "__path": F.when(inside, F.concat("__path", F.array("__pos"))).otherwise(F.col("__path"))}).drop("__pos", "__value")
+        held = F.try_variant_get("v", "$", "string")
+        walk = opened.where(marked(held) | (F.col("__chunk") == 0) | F.col("__unread"))
+    held, kind = F.try_variant_get("v", "$", "string"), F.schema_of_variant("v")
+    found = F.coalesce((kind == "STRING") & marked(held), F.lit(False))
+    strings = F.array_sort(F.collect_list(F.when(found, F.struct("__chunk", "__path", held.alias("s")))))
+    whole = walk.groupBy("__id").agg(
+        F.array_join(F.transform(strings, lambda x: x["s"]), "\n").alias("__html"),
+        F.coalesce(F.bool_or(F.col("__unread") | marked(held) & ~(kind == "STRING")), F.lit(False)).alias("deep"),
+        F.any_value("payload").alias("payload"),
+        *[F.any_value(c).alias(c) for c in rest],
+    )
+    html = F.when(F.col("deep") | (F.col("__html") == ""), F.col("payload")).otherwise(F.col("__html"))
+    return direct.unionByName(whole.select(*rest, html.alias("html"), "deep"))
+
+
+def marked(text: Column) -> Column:
+    """Whether a text holds review markup."""
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in MARKS]), F.lit(False))
+
+
 def raw_reviews(text: str | None) -> list[tuple]:
+    """One tuple of raw texts per review container of a response."""
+    return parsed_reviews(unwrap(text or ""))
+
+
+def parsed_reviews(html: str) -> list[tuple]:
     """One tuple of raw texts per review container."""
-    html = unwrap(text or "")
     tree = Tree()
     tree.feed(html)
     tree.close()
@@ -165,12 +220,12 @@ def reviews(pages: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(r.source_url, r.page, r.collected_at, *found) for r in frame.itertuples(index=False) for found in raw_reviews(r.payload)]
+            rows = [(r.source_url, r.page, r.collected_at, *found) for r in frame.itertuples(index=False) for found in (raw_reviews(r.html) if r.deep else parsed_reviews(r.html or ""))]
             out = pd.DataFrame(rows, columns=["source_url", "page", "collected_at", *FIELDS], dtype=object)
             out["page"] = pd.to_numeric(out["page"]).astype("Int64")
             yield out
 
-    found = pages.select("payload", *known).mapInPandas(run, f"source_url string, page long, collected_at string, {RAW}")
+    found = unwrapped(pages.select("payload", *known)).mapInPandas(run, f"source_url string, page long, collected_at string, {RAW}")
     return found.select(*review_row(
         source=F.lit("amazon"),
         item_id=F.coalesce(item_id(F.col("source_url")), F.col("html_item")),

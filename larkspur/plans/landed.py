@@ -254,7 +254,7 @@ def next_pages(spark, sf_dir):
 def unwrapped_captures(spark, sf_dir):
     """A review a page, in its own div, wrapped in JSON or in AJAX chunks beside the page's own text."""
     box = F.concat(F.when(F.col("page_id") % 2 == 0, "<a href='/product-reviews/B0PAGES001'>x</a>").otherwise(""), F.lit("<div id='customer_review-"), F.col("page_id").cast("string"), F.lit("'><span data-hook='review-star-rating'>"), (F.col("page_id") % 6).cast("string"), F.lit(".0 out of 5</span></div>"))
-    in_json = F.to_json(F.struct(F.array(F.struct(box.alias("review_html"), F.col("url"))).alias("deep")))
+    in_json = F.to_json(F.struct(F.array(F.struct(box.alias("review_html"), F.col("url"), F.col("html").alias("page"))).alias("deep")))
     chunks = F.concat(F.to_json(F.array(F.lit("append"), box)), F.lit("&&&[broken&&&"), F.to_json(F.array(F.lit("end"))))
     text = F.when(F.col("page_id") % 3 == 0, box).when(F.col("page_id") % 3 == 1, in_json).otherwise(chunks)
     return html_reviews.reviews(table(spark, sf_dir, "pages").select(text.alias("payload"))).select("review_id", "rating", "item_id")

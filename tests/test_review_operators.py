@@ -238,6 +238,35 @@ def test_html_parsers(spark):
     assert spark.sql("SELECT review_id FROM parse_review_html('<div data-hook=\"review\" id=\"z\"></div>')").first()[0] == "z"
 
 
+def test_json_is_walked_in_the_jvm(spark):
+    """As the Python walk, but for the order of an object's fields; deeper JSON goes to Python whole."""
+    import json
+
+    rng = random.Random(8)
+    box = "<div data-hook='review' id='x{}'></div>"
+
+    def nested(depth):
+        kind = rng.randrange(5) if depth else 0
+        if kind < 2:
+            return rng.choice([box.format(rng.randrange(99)), "plain", 7, None, True, 1.5])
+        if kind < 4:
+            return [nested(depth - 1) for _ in range(rng.randrange(4))]
+        return {k: nested(depth - 1) for k in ("a", "b", "c")[: rng.randrange(4)]}
+
+    texts = [json.dumps(nested(4)) for _ in range(60)] + ["&&&".join(["[1]", *(json.dumps([nested(2)]) for _ in range(3)), "[2]"]) for _ in range(20)]
+    texts += ['{"data-hook": 1}', '{"a": "data-hook", "a": "data-hook too"}', "[data-hook", '["x"]&&&["data-hook"]&&&[data-hook', " " + json.dumps([box]) + "\n", box, "", None]
+    pages = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "payload string, page long")
+    made = html_reviews.unwrapped(pages)
+    assert "Python" not in made._jdf.queryExecution().optimizedPlan().toString()
+    for depth in (html_reviews.DEPTH, 1):
+        for r in html_reviews.unwrapped(pages, depth).collect():
+            text = texts[r["page"]]
+            html = html_reviews.unwrap(r["html"]) if r["deep"] else r["html"]
+            assert html == (text if text is None else html_reviews.unwrap(text)), (depth, text)
+    deep = {r["page"] for r in html_reviews.unwrapped(pages, 1).where("deep").collect()}
+    assert deep and not html_reviews.unwrapped(pages).where("deep and page < 80").count()
+
+
 def test_capture_fields(spark):
     cases_ = [("Robot Check", 200, True), ("", 200, True), (" \n", 200, True), ("fine", 403, True), ("fine", 200, False), ("go to /AP/SIGNIN", 200, True)]
     df = spark.createDataFrame([(t, s) for t, s, _ in cases_], "t string, s long")
