@@ -2,13 +2,14 @@
 
 Pivots are vectors of the table, drawn by hash. A vector is represented by its nearest
 pivots in order, the first ``PREFIX`` of them, and posted in the inverted files of its
-``POSTED`` nearest; a query reads the files of its ``PROBED`` nearest. Files are dealt by
-pivot, postings and probes once each, so what is shuffled grows with the rows and not with
-rows times queries. In a file the rows are ranked by the footrule distance of their pivot
+``POSTED`` nearest; a query reads the files of its nearest pivots, ``PROBED`` of them and as
+many more as hold ``REACHED`` of the sample's rows nearest to it: the more pivots there are, the
+more files a neighbourhood is spread over. Files are dealt by pivot, postings and probes once
+each, so what is shuffled grows with the rows and not with rows times queries. In a file the rows are ranked by the footrule distance of their pivot
 orders to the query's (a pivot missing on one side counts as position PREFIX), and those
-within the query's bar are reranked by their true distances. A row that several files of a
-query hold is handled in the first of them, by the row's own order. The k best of all files
-are the answer.
+within the query's bar are reranked by their true distances. A row that several of the first
+``PROBED`` files of a query hold is handled in the first of them, by the row's own order; later
+files may find it again, and it counts once. The k best of all files are the answer.
 
 The bar is read off a sample of ``SAMPLE`` rows drawn by hash: the footrule distance that
 ``RERANKED`` of all rows stay within, or ``LEAST`` rows where that is more, raised until it
@@ -17,7 +18,7 @@ many. So how many rows are reranked follows the data, and is no count that the t
 outgrows. There is one pivot for each
 ``FILE_ROWS`` postings, 256 at least and 65,536 at most, so files keep their size while the
 table grows; the sample and the pivots are all that the driver collects, and travel with the
-functions (32 MB at most at 64 single-precision components). A file that outgrows
+functions (35 MB at most at 64 components). A file that outgrows
 ``FILE_ROWS`` all the same, as vectors crowd around a pivot, is split, and its queries read
 all parts.
 
@@ -55,7 +56,9 @@ RERANKED = 0.06
 LEAST = 1000
 #: Of the sample's rows nearest to a query, so many, this share stays within the bar too.
 NEAR = 20
-KEPT = 0.85
+KEPT = 0.9
+#: Of those rows, the share whose files a query reads at least.
+REACHED = 0.9
 #: Rows that the footrule bar is read off, and postings of a file.
 SAMPLE = 2048
 FILE_ROWS = 1 << 15
@@ -135,6 +138,21 @@ def bars(q: np.ndarray, orders: np.ndarray, sample: np.ndarray, orders_of_sample
     return out
 
 
+def probe_counts(q: np.ndarray, orders: np.ndarray, sample: np.ndarray, orders_of_sample: np.ndarray, posted: int, least: int) -> np.ndarray:
+    """How many files each query reads: its nearest sample rows tell how far down its order theirs are.
+
+    ``orders`` has all pivots. The sample's neighbours are farther off than those of the whole
+    table, whose files come sooner.
+    """
+    out, place = np.empty(len(q), np.int64), np.empty(orders.shape[1], np.int64)
+    for i, order in enumerate(orders):
+        place[order] = np.arange(len(order))
+        near = np.argsort(((sample - q[i]) ** 2).sum(axis=1), kind="stable")[:NEAR]
+        need = np.sort(place[orders_of_sample[near, :posted]].min(axis=1))
+        out[i] = min(len(order), max(least, 1 + need[int(REACHED * (len(near) - 1))]))
+    return out
+
+
 def search_file(pivot: int, x: np.ndarray, perm: np.ndarray, ids: list, asked: list[int], q: np.ndarray, orders: np.ndarray, bar: np.ndarray, posted: int, probed: int, k: int) -> tuple[list[tuple], int]:
     """What a pivot's file has for the queries that probe it: (query_id, vec_id, score), at most
     k for each; and how many rows were reranked.
@@ -150,6 +168,7 @@ def search_file(pivot: int, x: np.ndarray, perm: np.ndarray, ids: list, asked: l
         for i, order in enumerate(renamed, at):
             probes = np.zeros(1 << 16, bool)
             probes[orders[i, :probed]] = True
+            probes[pivot] = True
             first = np.argmax(probes[before], axis=1) == own  # no nearer pivot of the row is probed too
             near = np.flatnonzero(first & (footrule(place, order) <= bar[i]))
             reranked += len(near)
@@ -172,6 +191,7 @@ def nearest(table: DataFrame, k: int = TOP, every: int = EVERY, pivots: tuple[in
         found = mine if found is None else found.unionByName(mine)
     if found is None:
         return rows.where("false").select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     by_query = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = found.select("query_id", "vec_id", "score", F.row_number().over(by_query).alias("rank")).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
@@ -183,9 +203,11 @@ PROBES = "query_id long, pivot int, x binary, perm binary, bar int"
 def _nearest(points: DataFrame, rows: DataFrame, k, every, pivots, prefix, posted, probed, reranked, least, file_rows, sample) -> DataFrame:
     count = points.count()
     n_pivots = power_of_two(count * posted / file_rows, *pivots)
-    seen = drawn(points, max(n_pivots, sample))
-    axes = seen[:n_pivots]
-    orders_of_sample = permutations(seen[:sample], axes, prefix)
+    seen = drawn(points, n_pivots + sample)
+    axes, rest = seen[:n_pivots], seen[n_pivots:]
+    # A pivot is its own nearest one, and so no example of a row; only tiny tables have no others.
+    rest = rest if len(rest) >= 2 * NEAR else seen
+    orders_of_sample = permutations(rest, axes, prefix)
     share = min(1.0, max(reranked, least / max(1, count)))
     kind = np.dtype("<f4" if "float" in dict(points.dtypes)["embedding"] else "<f8")
     prefix, posted, probed = (min(n, len(axes)) for n in (prefix, posted, probed))
@@ -212,14 +234,18 @@ def _nearest(points: DataFrame, rows: DataFrame, k, every, pivots, prefix, poste
             if not batch.num_rows:
                 continue
             x = matrix(batch.column(1))
-            perm = permutations(x.astype(np.float64), axes, max(prefix, probed))
-            bar = np.concatenate([bars(x[i : i + QUERIES], perm[i : i + QUERIES, :prefix], seen[:sample], orders_of_sample, share) for i in range(0, len(x), QUERIES)])
-            row = np.repeat(np.arange(len(x)), probed)
-            bytes_of, orders = [v.tobytes() for v in x], [p.tobytes() for p in perm.astype("<u2")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(perm[:, :probed].ravel().astype(np.int32)), pa.array([bytes_of[i] for i in row], pa.binary()), pa.array([orders[i] for i in row], pa.binary()), pa.array(bar[row])],
-                names=["query_id", "pivot", "x", "perm", "bar"],
-            )
+            for at in range(0, len(x), QUERIES):  # all pivots in order: few queries at a time
+                ids, some = batch.column(0).slice(at, QUERIES), x[at : at + QUERIES]
+                perm = permutations(some.astype(np.float64), axes, len(axes))
+                bar = bars(some, perm[:, :prefix], rest, orders_of_sample, share)
+                files = probe_counts(some, perm, rest, orders_of_sample, posted, probed)
+                row = np.repeat(np.arange(len(some)), files)
+                bytes_of, orders = [v.tobytes() for v in some], [p.tobytes() for p in perm[:, : max(prefix, probed)].astype("<u2")]
+                pivot = np.concatenate([p[:n] for p, n in zip(perm, files)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(row)), pa.array(pivot), pa.array([bytes_of[i] for i in row], pa.binary()), pa.array([orders[i] for i in row], pa.binary()), pa.array(bar[row])],
+                    names=["query_id", "pivot", "x", "perm", "bar"],
+                )
 
     def numbers(column, of) -> np.ndarray:
         return np.frombuffer(b"".join(column), of).reshape(len(column), -1)

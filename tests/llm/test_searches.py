@@ -3,6 +3,8 @@
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from larkspur.llm import hamming_index, permutation_index as pi
 
@@ -119,3 +121,31 @@ def test_permutation_awkward_rows(spark):
     copies = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(350)], "vec_id long, embedding array<double>")
     got = by_query(pi.nearest(copies).collect(), "score")
     assert got[0] == [(0.0, i) for i in range(1, 11)] and got[100] == got[200] == got[300] == [(0.0, i) for i in range(10)]
+
+
+@pytest.mark.parametrize("n_pivots", [1024, 4096])
+def test_recall_with_many_pivots(spark, n_pivots):
+    """Vectors without clusters: queries read as many files as their neighbourhoods are spread over."""
+    rng = np.random.default_rng(n_pivots)
+    x = rng.normal(size=(20_000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    found = pi.nearest(table, every=400, pivots=(n_pivots, n_pivots)).toPandas()
+    wide, hits = x.astype(float), 0
+    asked = range(0, len(x), 400)
+    for i in asked:
+        d = ((wide - wide[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        mine = found[found["query_id"] == i]
+        assert mine["rank"].tolist() == list(range(1, 11)) and mine["vec_id"].is_unique
+        hits += len(set(np.argpartition(d, 10)[:10]) & set(mine["vec_id"]))
+    assert hits / (10 * len(asked)) >= 0.9
+    # How many rows the files hold that queries read: a part of the table, though nothing here is clustered.
+    order = rng.permutation(len(x))
+    axes, seen = wide[order[:n_pivots]], wide[order[n_pivots : n_pivots + pi.SAMPLE]]
+    posted = pi.permutations(wide, axes, pi.POSTED)
+    perm = pi.permutations(wide[::400], axes, n_pivots)
+    counts = pi.probe_counts(wide[::400], perm, seen, pi.permutations(seen, axes, pi.PREFIX), pi.POSTED, pi.PROBED)
+    touched = [np.isin(posted, p[:n]).any(axis=1).mean() for p, n in zip(perm, counts)]
+    print(n_pivots, "files read", counts.mean(), "rows touched", np.mean(touched), "recall", hits / (10 * len(asked)))
+    assert np.mean(touched) < 0.5
