@@ -73,10 +73,28 @@ SENTENCES = (
     ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
     ("bsl-1.0-header", "distributed under the boost software license version 1 0"),
     ("all-rights-reserved", "all rights reserved"),
+    ("mit-code", "code is under the mit license"),
+    ("mit-this-code", "this code is under the mit license"),
+    ("mit-project", "this project is licensed under the mit license"),
+    ("mit-software", "this software is released under the mit license"),
+    ("epl-2.0-header", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("epl-2.0-header-v", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at http www eclipse org legal epl 2 0"),
+    ("epl-1.0-header", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html"),
 )
+# Licences that a line "SPDX-License-Identifier: ..." may name.
+SPDX = (
+    "0BSD", "AFL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BlueOak-1.0.0", "BSD-1-Clause", "BSD-2-Clause", "BSD-2-Clause-Patent",
+    "BSD-3-Clause", "BSD-3-Clause-Clear", "BSD-4-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0",
+    "CC0-1.0", "CDDL-1.0", "CDDL-1.1", "CECILL-2.1", "CPL-1.0", "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.1", "EUPL-1.2", "GFDL-1.3-or-later", "GPL-1.0-or-later", "GPL-2.0-only",
+    "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "HPND", "ISC", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "LPPL-1.3c", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "MS-RL", "NCSA", "ODbL-1.0", "OFL-1.1", "OSL-3.0", "PostgreSQL", "Python-2.0", "Ruby", "Unicode-3.0",
+    "Unlicense", "UPL-1.0", "Vim", "W3C", "WTFPL", "X11", "Zlib", "ZPL-2.1",
+)
+SENTENCES += tuple((f"spdx-{name.lower()}", "spdx license identifier " + re.sub("[^a-z0-9]+", " ", name.lower())) for name in SPDX)
 # Identifier of a sentence with a slot, how it starts, what it is.
 SLOTS = (
     ("bsd-no-endorsement", "neither the name of", r"^neither the name of( [a-z0-9]+){1,40} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission$"),
+    ("bsd-no-endorsement-name", "the name of", r"^the names? of( [a-z0-9]+){1,40} (may|must) not be used to endorse or promote products derived from this software without (specific )?prior written permission$"),
 )
 # Licence, the sentences that show it, in order; the first rule that fits a place wins.
 RULES = (
@@ -103,6 +121,8 @@ RULES = (
     ("BSD-4-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-no-endorsement")),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-no-endorsement")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-no-endorsement-name")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-no-endorsement-name")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("BSD-2-Clause", ("bsd-redistribution",)),
     ("ISC", ("isc-grant", "isc-as-is")),
@@ -128,8 +148,18 @@ RULES = (
     ("CC0-1.0", ("cc0-dedication",)),
     ("Unlicense", ("unlicense-domain",)),
     ("BSL-1.0", ("bsl-1.0-header",)),
+    ("MIT", ("mit-code",)),
+    ("MIT", ("mit-this-code",)),
+    ("MIT", ("mit-project",)),
+    ("MIT", ("mit-software",)),
+    ("EPL-2.0", ("epl-2.0-header",)),
+    ("EPL-2.0", ("epl-2.0-header-v",)),
+    ("EPL-1.0", ("epl-1.0-header",)),
+    *((name, (f"spdx-{name.lower()}",)) for name in SPDX),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A mark that ends no sentence.
+SPDX_MARK = "spdx-license-identifier:"
 #: What a version's "v." becomes, lines without a letter or digit, and a sentence's other ends.
 VERSION = r"([^a-z0-9]v)\.[ \t]*([0-9])"
 BLANK_LINES = r"\n[^a-z0-9]*\n"
@@ -150,7 +180,7 @@ def codes(sentences=SENTENCES, slots=SLOTS) -> dict[str, str]:
 def sentence_array(text: Column) -> Column:
     """The sentences of a text, in order, words separated by a space or a line's end."""
     lower = F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), UPPER + "\r\x01", LOWER + "\n ")
-    ends = F.regexp_replace(F.regexp_replace(F.regexp_replace(lower, VERSION, "$1 $2"), BLANK_LINES, END), MARK, END)
+    ends = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.replace(lower, F.lit(SPDX_MARK), F.lit(SPDX_MARK[:-1] + " ")), VERSION, "$1 $2"), BLANK_LINES, END), MARK, END)
     words = F.regexp_replace(F.regexp_replace(ends, OTHERS, " "), r" ?\n ?", "\n")
     return F.transform(F.split(words, END), lambda s: F.btrim(s, F.lit(" \n")))
 
@@ -242,9 +272,10 @@ def rule_patterns(code: dict[str, str], rules) -> dict[str, str]:
     return out
 
 
-#: Written out apart from the tables above, with letters of its own for the identifiers.
+#: Written out apart from the tables above but for SPDX's names, with letters of its own for the identifiers.
 ORACLE = r"""
-WITH known(wording, code, name) AS (VALUES
+WITH spdx AS (SELECT unnest(ids) AS id, generate_subscripts(ids, 1) AS n FROM (SELECT string_split(':spdx', ' ') AS ids)),
+known(wording, code, name) AS (VALUES
   ('licensed under the apache license version 2 0', 'A', 'apache-2.0-short'),
   ('licensed under the apache license version 2 0 the license', 'B', 'apache-2.0-header'),
   ('you may not use this file except in compliance with the license', 'C', 'apache-2.0-compliance'),
@@ -288,12 +319,22 @@ WITH known(wording, code, name) AS (VALUES
   ('this software is provided as is without any express or implied warranty', 'o', 'zlib-as-is'),
   ('permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions', 'p', 'zlib-grant'),
   ('distributed under the boost software license version 1 0', 'q', 'bsl-1.0-header'),
-  ('all rights reserved', 'r', 'all-rights-reserved')),
+  ('all rights reserved', 'r', 'all-rights-reserved'),
+  ('code is under the mit license', 't', 'mit-code'),
+  ('this code is under the mit license', 'u', 'mit-this-code'),
+  ('this project is licensed under the mit license', 'v', 'mit-project'),
+  ('this software is released under the mit license', 'w', 'mit-software'),
+  ('this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0', 'x', 'epl-2.0-header'),
+  ('this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0 which is available at http www eclipse org legal epl 2 0', 'y', 'epl-2.0-header-v'),
+  ('this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html', 'z', 'epl-1.0-header')
+  UNION ALL SELECT 'spdx license identifier ' || regexp_replace(lower(id), '[^a-z0-9]+', ' ', 'g'), chr(CAST(1000 + n AS INT)), 'spdx-' || lower(id) FROM spdx),
 slots(pattern, code, name) AS (VALUES
-  ('^neither the name of( [a-z0-9]+){1,40} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission$', 's', 'bsd-no-endorsement')),
+  ('^neither the name of( [a-z0-9]+){1,40} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission$', 's', 'bsd-no-endorsement'),
+  ('^the names? of( [a-z0-9]+){1,40} (may|must) not be used to endorse or promote products derived from this software without (specific )?prior written permission$', '$', 'bsd-no-endorsement-name')),
 marked AS (
   SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(
-      translate(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13) || chr(1), 'abcdefghijklmnopqrstuvwxyz' || chr(10) || ' '),
+      replace(translate(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13) || chr(1), 'abcdefghijklmnopqrstuvwxyz' || chr(10) || ' '),
+        'spdx-license-identifier:', 'spdx-license-identifier '),
       '([^a-z0-9]v)\.[ \t]*([0-9])', '\1 \2', 'g'), '\n[^a-z0-9]*\n', chr(1), 'g'), '[.!?;:]+([ \t\n]|\z)', chr(1), 'g') AS s
   FROM documents),
 sentences AS (
@@ -312,7 +353,7 @@ starts AS (SELECT DISTINCT array_to_string(string_split(wording, ' ')[1:2], ' ')
 firsts AS (SELECT doc_id, i, lines, generate_subscripts(lines, 1) AS j, unnest(lines) AS line FROM rest),
 begun AS (
   SELECT * FROM firsts WHERE array_to_string(string_split(line, ' ')[1:2], ' ') IN (SELECT first_words FROM starts)
-    OR array_to_string(string_split(line, ' ')[1:2], ' ') = 'neither the'),
+    OR array_to_string(string_split(line, ' ')[1:2], ' ') IN ('neither the', 'the name', 'the names')),
 spans AS (SELECT doc_id, i, j, n, array_to_string(lines[j:j + n - 1], ' ') AS norm FROM (SELECT *, unnest(range(1, least(len(lines) - j + 1, 80) + 1)) AS n FROM begun)),
 span_hits AS (
   SELECT s.doc_id, s.i, s.j, s.n, k.code, k.name FROM spans s JOIN coded k ON s.norm = k.w
@@ -322,7 +363,7 @@ longest AS (SELECT doc_id, i, j, arg_max(code, n) AS code, arg_max(name, n) AS n
 hits AS (SELECT doc_id, i, 0 AS j, code, name FROM whole_hits UNION ALL SELECT doc_id, i, j, code, name FROM longest),
 found AS (SELECT doc_id, string_agg(code, '' ORDER BY i, j) AS seq, string_agg(name, ',' ORDER BY i, j) AS names FROM hits GROUP BY doc_id),
 matched AS (
-  SELECT d.doc_id, coalesce(f.names, '') AS sentence_ids, regexp_extract_all(coalesce(f.seq, ''), 'BCDEF|BC|ACDE|AC|CDE|IJK|IJ|I|OPT|OQT|ORT|OST|UVX|UWX|P|Q|R|S|V|W|Zabc|Zabs|Zs|Zab|Z|df|d|ef|e|gh|gi|g|op|p|B|A|G|H|L|M|N|Y|j|k|l|m|n|q') AS h
+  SELECT d.doc_id, coalesce(f.names, '') AS sentence_ids, regexp_extract_all(coalesce(f.seq, ''), 'BCDEF|BC|ACDE|AC|CDE|IJK|IJ|I|OPT|OQT|ORT|OST|UVX|UWX|P|Q|R|S|V|W|Zabc|Zabs|Zs|Zab\$|Z\$|Zab|Z|df|d|ef|e|gh|gi|g|op|p|B|A|G|H|L|M|N|Y|j|k|l|m|n|q|t|u|v|w|x|y|z|[\x{03E8}-\x{04E7}]') AS h
   FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id)
 SELECT doc_id, sentence_ids,
   array_to_string(list_sort(list_distinct(list_transform(h, lambda m: CASE m
@@ -349,6 +390,8 @@ SELECT doc_id, sentence_ids,
     WHEN 'Zabc' THEN 'BSD-4-Clause'
     WHEN 'Zabs' THEN 'BSD-3-Clause'
     WHEN 'Zs' THEN 'BSD-3-Clause'
+    WHEN 'Zab$' THEN 'BSD-3-Clause'
+    WHEN 'Z$' THEN 'BSD-3-Clause'
     WHEN 'Zab' THEN 'BSD-2-Clause'
     WHEN 'Z' THEN 'BSD-2-Clause'
     WHEN 'df' THEN 'ISC'
@@ -373,7 +416,15 @@ SELECT doc_id, sentence_ids,
     WHEN 'l' THEN 'CC-BY-NC-4.0'
     WHEN 'm' THEN 'CC0-1.0'
     WHEN 'n' THEN 'Unlicense'
-    WHEN 'q' THEN 'BSL-1.0' END))), ',') AS licenses,
+    WHEN 'q' THEN 'BSL-1.0'
+    WHEN 't' THEN 'MIT'
+    WHEN 'u' THEN 'MIT'
+    WHEN 'v' THEN 'MIT'
+    WHEN 'w' THEN 'MIT'
+    WHEN 'x' THEN 'EPL-2.0'
+    WHEN 'y' THEN 'EPL-2.0'
+    WHEN 'z' THEN 'EPL-1.0'
+    ELSE string_split(':spdx', ' ')[unicode(m) - 1000] END))), ',') AS licenses,
   CAST(len(h) AS BIGINT) AS n_licenses
 FROM matched
-"""
+""".replace(":spdx", " ".join(SPDX))

@@ -1,5 +1,6 @@
 """Licence texts as they stand in real files, wrapped and behind comment marks."""
 
+import duckdb
 import textwrap
 
 import pytest
@@ -133,3 +134,29 @@ def test_odd_texts(spark):
     rows = [(1, "\n" * 300_000, None, None), (2, ". " * 100_000, None, None), (3, "word\n" * 100_000, None, None), (4, "licensed under\n" * 3_000, None, None), (5, "ü\n" * 50_000 + "Released under the MIT License", None, None)]
     got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(documents(spark, rows)).collect()}
     assert got == {1: "", 2: "", 3: "", 4: "", 5: "MIT"}
+
+
+def test_spdx_lines_and_headers(spark):
+    bsd = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    )
+    texts = [
+        "// SPDX-License-Identifier: GPL-3.0-only\nint main;",
+        "# SPDX-License-Identifier: MIT\n\nimport os",
+        "Code is under the MIT License.",
+        "This program and the accompanying materials are made available under the terms of the\nEclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/\n\nrest",
+        bsd + "3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.\n",
+        bsd,
+        "SPDX-License-Identifier: No-Such-Licence",
+        *[f"x\nSPDX-License-Identifier: {name}\ny" for name in license_scan.SPDX],
+    ]
+    want = ["GPL-3.0-only", "MIT", "MIT", "EPL-2.0", "BSD-3-Clause", "BSD-2-Clause", "", *license_scan.SPDX]
+    got = license_scan.scan(documents(spark, [(i, t, None, None) for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in got] == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    rows = con.execute(license_scan.ORACLE).fetch_df().sort_values("doc_id")
+    assert rows["licenses"].tolist() == want and rows["sentence_ids"].tolist() == [r["sentence_ids"] for r in got]
