@@ -49,14 +49,19 @@ class FirstWins(StatefulProcessor):
         self.first = handle.getValueState("first", "seq long, page long, arrivals long", self.expiry_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(self.seq, kind="stable")
-        known = self.first.get() if self.first.exists() else None
-        taken = known or (int(frame[self.seq].iloc[0]), None if pd.isna(frame[self.page].iloc[0]) else int(frame[self.page].iloc[0]), 0)
-        out = frame[self.columns].copy()
-        out["is_repeat"] = [known is not None or i > 0 for i in range(len(frame))]
-        out["first_seq"] = taken[0]
-        out["first_page"] = pd.array([taken[1]] * len(frame), dtype="Int64")
-        out["arrival"] = range(taken[2] + 1, taken[2] + 1 + len(frame))
+        pieces = list(rows)
+        frame = pieces[0] if len(pieces) == 1 else pd.concat(pieces, ignore_index=True)
+        frame = frame.sort_values(self.seq, kind="stable") if len(frame) > 1 else frame
+        known = self.first.get()  # None, if the id is new
+        page = frame[self.page].iloc[0]
+        taken = known or (int(frame[self.seq].iloc[0]), None if pd.isna(page) else int(page), 0)
+        more = {
+            "is_repeat": [known is not None or i > 0 for i in range(len(frame))],
+            "first_seq": taken[0],
+            "first_page": pd.array([taken[1]] * len(frame), dtype="Int64"),
+            "arrival": range(taken[2] + 1, taken[2] + 1 + len(frame)),
+        }
+        out = frame[self.columns].assign(**more)
         self.first.update((taken[0], taken[1], taken[2] + len(frame)))
         yield out
 
@@ -95,7 +100,7 @@ class Capped(StatefulProcessor):
         self.taken = handle.getValueState("taken", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        had = self.taken.get()[0] if self.taken.exists() else 0
+        had = (self.taken.get() or (0,))[0]
         room, kept = self.cap - had, pd.DataFrame(columns=self.columns)
         best: list[tuple] = []
         for frame in rows:
