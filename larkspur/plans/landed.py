@@ -354,7 +354,7 @@ def eda_tables(spark, sf_dir):
 def ordered_volume(spark, sf_dir):
     """Groups in the order in which the table is written: ascending, absent keys last."""
     rows = reviews(spark, sf_dir).withColumn("language", F.when(F.col("review_id").cast("long") % 6 != 0, F.col("language")))
-    ordered = eda.tables(rows)["review_volume_by_app"].withColumn("__at", F.monotonically_increasing_id())
+    ordered = eda.review_volume(rows).orderBy(*eda.keys()).withColumn("__at", F.monotonically_increasing_id())
     place = F.row_number().over(Window.orderBy("__at"))  # one row a group
     return ordered.select(*_GROUPS.split(", "), "review_count", place.cast("long").alias("place"))
 

@@ -39,6 +39,41 @@ def test_eda_tables(spark):
     assert all(none[n].count() == 0 and none[n].columns == tables[n].columns for n in tables if n != "pagination_depth_and_failures")
 
 
+def test_all_tables_equal_each_on_its_own(spark):
+    rng = random.Random(12)
+
+    def maybe(*values):
+        return rng.choice([None, *values])
+
+    rows = [
+        review(maybe(*map(str, range(120))), app_name=maybe("Harbour", "Quay"), item_id=maybe("31"), country=maybe("nz", "is"), language=maybe("en"), rating=maybe("1", "4", "4.5"), review_title=maybe("t"),
+               review_text=maybe("", " ", "\u2003short ", "a text that says enough", "x" * 40), review_date=maybe("2026-06-27T06:00:00Z", "2026-05-01"))
+        for _ in range(400)
+    ]
+    given = typed(frame(spark, rows)).drop("app_version")
+    alone = {
+        "review_volume_by_app": eda.review_volume(given),
+        "rating_distribution": eda.rating_distribution(given),
+        "review_text_length": eda.text_length_stats(given),
+        "date_coverage": eda.date_coverage(given),
+        "missing_fields": eda.missing_fields(given),
+        "duplicate_records": eda.duplicate_records(given),
+        "language_region_issues": eda.language_notes(given),
+        "low_signal_reviews": eda.low_signal_reviews(given),
+    }
+    together = eda.tables(given)
+    for name, df in alone.items():
+        assert together[name].dtypes == df.dtypes, name
+        assert Counter(map(repr, together[name].collect())) == Counter(map(repr, df.collect())), name
+
+
+def test_ten_tables_read_the_reviews_once(spark, tmp_path):
+    typed(frame(spark, [review(str(i), review_text="a longer text of this review") for i in range(50)])).write.parquet(str(tmp_path / "reviews"))
+    tables = eda.tables(spark.read.parquet(str(tmp_path / "reviews")))
+    for df in tables.values():
+        assert str(tmp_path) not in df._jdf.queryExecution().toString()
+
+
 def test_quality(spark):
     rows = [review("1", source="steam", review_text="abc"), review("1", source="steam", review_text="")]
     df = typed(frame(spark, rows))
