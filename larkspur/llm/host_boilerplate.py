@@ -27,8 +27,11 @@ A host may hold any share of the pages, so its array is never in one task. Tasks
 the suffixes of batches of pages and send one entry for each class of equal runs and
 batch, under a hash of host and run (56 bits); one task a hash range merges the classes
 and adds up their pages. Runs that enough pages share then go to the groups of pages that
-hold them, where the texts are. No host is gathered, and neither the hash ranges nor the
-groups grow with the table: there are more of them instead. Only the runs of hosts of more
+hold them, where the texts are. A page's markup is read once: groups are what a task reads one
+after the other, up to a size, so rows that are alike spread as any others do; their blocks are
+written, compressed, to the shared folder, and runs and texts both come from there. No host is
+gathered, and neither the hash ranges nor the groups grow with the table: there are more of
+them instead. Only the runs of hosts of more
 than ``RANGE_ENTRIES`` pages, which as a notice may be on all of them, are added up first and
 told to the groups after, in parts. The verdict on a page is the same whatever the batches,
 ranges, parts and groups are.
@@ -43,7 +46,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,9 +56,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import table_of
 from .common import cut, power_of_two
 
 #: Tokens of a repeated run, pages that must share it, and of the host's pages the share
@@ -64,11 +69,12 @@ RUN = 8
 PAGES = 3
 MOST = 0.5
 #: Tokens sorted together in a task, for so many characters each; html bytes behind a hash
-#: range and a group of pages.
+#: range, and characters of a group of pages, for which a page counts PAGE_SIZE more.
 BATCH_TOKENS = 1 << 20
 TOKEN_LENGTH = 6
 RANGE_BYTES = 1 << 26
 GROUP_BYTES = 1 << 23
+PAGE_SIZE = 256
 #: Pages of a host from which its runs may be more than a task can tell the groups of pages, and
 #: entries of a hash range that one task tells.
 RANGE_ENTRIES = 1 << 22
@@ -421,13 +427,25 @@ def runs_of(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(bounds[:-1], bounds[1:])
 
 
-def ranged(make, ranges: int, batch_tokens: int, names: list[str]):
-    """An Arrow function from pages to what ``make`` says of a batch of them, a row a hash range."""
+def unpack(ends: bytes, packed: bytes) -> list[list[Block]]:
+    """The blocks of a group's pages, furniture left out."""
+    whole, at, out = zstandard.ZstdDecompressor().decompress(packed) if packed else b"", 0, []
+    for end in np.frombuffer(ends, "<i8"):
+        text, at = whole[at:end].decode("utf-8", "surrogatepass"), int(end)
+        out.append([Block(b[1:], int(b[0])) for b in text.split("\n")] if text else [])
+    return out
+
+
+def ranged(make, ranges: int, batch_tokens: int, names: list[str], wanted):
+    """An Arrow function from groups of pages to what ``make`` says of a batch of pages, a row a hash range.
+
+    Pages of the hosts that are ``wanted`` count.
+    """
     shift = np.uint64(HASH_BITS - ranges.bit_length() + 1)
     types = [pa.int64()] + [pa.binary()] * (len(names) - 1)
 
     def emit(held: list) -> pa.RecordBatch:
-        h, *more = make([(*known, *stream) for (known, _), stream in zip(held, streams([blocks for _, blocks in held]))])
+        h, *more = make([(group, host, *stream) for (group, host, _), stream in zip(held, streams([blocks for *_, blocks in held]))])
         order = np.argsort(h, kind="stable")
         h, more = h[order], [x[order] for x in more]
         part = (h >> shift).astype(np.int64)
@@ -437,13 +455,15 @@ def ranged(make, ranges: int, batch_tokens: int, names: list[str]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            known = [batch.column(i).to_pylist() for i in range(batch.num_columns - 1)]
-            for i, page in enumerate(batch.column(batch.num_columns - 1)):
-                held.append(([c[i] for c in known], blocks_of(page.as_py())))
-                size += sum(len(b.text) for b in held[-1][1] if b.kind != OUT) // TOKEN_LENGTH + 1
-                if size >= batch_tokens:
-                    yield emit(held)
-                    held, size = [], 0
+            for group, hosts, ends, packed in zip(*batch.columns):
+                for host, blocks in zip(hosts.as_py(), unpack(ends.as_py(), packed.as_py())):
+                    if not wanted(host):
+                        continue
+                    held.append((group.as_py(), host, blocks))
+                    size += sum(len(b.text) for b in blocks) // TOKEN_LENGTH + 1
+                    if size >= batch_tokens:
+                        yield emit(held)
+                        held, size = [], 0
         if held:
             yield emit(held)
 
@@ -460,12 +480,13 @@ def told(h: np.ndarray, g: np.ndarray, n: np.ndarray) -> pd.DataFrame:
 
 
 TOLD = "grp long, hashes binary, pages binary"
+PACKED = ["grp", "host", "ends", "packed"]
 
 
-def shared_runs(rows: DataFrame, ranges: int, run: int, least: int, batch_tokens: int) -> DataFrame:
+def shared_runs(read: DataFrame, large: frozenset[str], ranges: int, run: int, least: int, batch_tokens: int) -> DataFrame:
     """(grp, hashes, pages): of each group of pages, the runs that ``least`` pages of their host share.
 
-    ``rows`` has host, grp and html. ``pages`` says how many pages share a run; the pages of a
+    ``read`` is what ``read_pages`` gives; the ``large`` hosts are left out. ``pages`` says how many pages share a run; the pages of a
     host are counted under the host's own key.
     """
 
@@ -477,11 +498,11 @@ def shared_runs(rows: DataFrame, ranges: int, run: int, least: int, batch_tokens
         return told(h[n >= least], g[n >= least], n[n >= least])
 
     names = ["part", "hashes", "grps", "pages"]
-    counted = rows.select("grp", "host", "html").mapInArrow(ranged(lambda held: batch_classes(held, run), ranges, batch_tokens, names), "part long, hashes binary, grps binary, pages binary")
+    counted = read.select(*PACKED).mapInArrow(ranged(lambda held: batch_classes(held, run), ranges, batch_tokens, names, lambda host: host not in large), "part long, hashes binary, grps binary, pages binary")
     return counted.groupBy("part").applyInPandas(merge, TOLD)
 
 
-def shared_runs_of_large_hosts(rows: DataFrame, ranges: int, run: int, least: int, batch_tokens: int, range_entries: int) -> DataFrame:
+def shared_runs_of_large_hosts(read: DataFrame, large: frozenset[str], ranges: int, run: int, least: int, batch_tokens: int, range_entries: int) -> DataFrame:
     """What ``shared_runs`` gives, for hosts whose runs may be on more pages than a task can tell.
 
     Pages are added up without saying which groups they are in, so that a run is one entry a
@@ -526,12 +547,12 @@ def shared_runs_of_large_hosts(rows: DataFrame, ranges: int, run: int, least: in
         return told(h, g, known_n[np.searchsorted(known_h, h)])
 
     def without_groups(held):
-        h, _, n = batch_classes([(0, *page) for page in held], run)
+        h, _, n = batch_classes([(0, *page) for _, *page in held], run)
         return h, n
 
-    counted = rows.select("host", "html").mapInArrow(ranged(without_groups, ranges, batch_tokens, ["part", "hashes", "pages"]), "part long, hashes binary, pages binary")
+    counted = read.select(*PACKED).mapInArrow(ranged(without_groups, ranges, batch_tokens, ["part", "hashes", "pages"], large.__contains__), "part long, hashes binary, pages binary")
     totals = cut(counted.groupBy("part").applyInPandas(total, "part long, hashes binary, pages binary, splits long"))
-    entries = rows.select("grp", "host", "html").mapInArrow(ranged(lambda held: batch_entries(held, run), ranges, batch_tokens, ["part", "hashes", "grps"]), "part long, hashes binary, grps binary")
+    entries = read.select(*PACKED).mapInArrow(ranged(lambda held: batch_entries(held, run), ranges, batch_tokens, ["part", "hashes", "grps"], large.__contains__), "part long, hashes binary, grps binary")
     hot = totals.where("splits > 1").select("part", "splits")
     entries = entries.join(hot, "part", "left").select("part", "hashes", "grps", "splits").mapInArrow(split, "part long, split long, hashes binary, grps binary")
     known = totals.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)))
@@ -587,35 +608,53 @@ def unique_text(blocks: list[Block], share: np.ndarray, common: np.ndarray | Non
     return "\n".join(text), int((np.asarray(share) >= 0.5).sum())
 
 
-def send_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages as their blocks, those of a group and batch compressed together."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        held = defaultdict(list)
-        for group, host, page_id, url, page in zip(*[batch.column(i).to_pylist() for i in range(4)], batch.column(4)):
-            blocks = blocks_of(page.as_py())
-            # Block texts hold no line ends.
-            held[group].append((host, None if page_id is None else str(page_id), url, len(blocks), "\n".join(f"{b.kind}{b.text}" for b in blocks if b.kind != OUT)))
-        out = []
-        for group, pages in held.items():
-            host, page_id, url, n, text = zip(*pages)
-            raw = [t.encode("utf-8", "surrogatepass") for t in text]
-            ends = np.cumsum([len(t) for t in raw]).astype("<i8")
-            out.append((group, host, page_id, url, n, ends.tobytes(), pack(b"".join(raw))))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, _SENT)], names=_SENT_NAMES)
+def read_pages(group_bytes: int):
+    """An Arrow function from (page_id, url, host, html) to groups of pages, their blocks compressed together.
+
+    A group is named after its task and place; as ids are given when the groups are written,
+    all that comes after finds the same.
+    """
+
+    def emit(group: int, size: int, held: list) -> pa.RecordBatch:
+        page_id, url, host, n, raw = zip(*held)
+        ends = np.cumsum([len(t) for t in raw]).astype("<i8").tobytes()
+        row = (group, size, host, page_id, url, n, ends, zstandard.ZstdCompressor(level=3).compress(b"".join(raw)))
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _READ.values())], names=list(_READ))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, size, chars = TaskContext.get().partitionId() << 32, [], 0, 0
+        for batch in batches:
+            for page_id, url, host, page in zip(*batch.columns):
+                page = page.as_py()
+                blocks = blocks_of(page)
+                # Block texts hold no line ends.
+                text = "\n".join(f"{b.kind}{b.text}" for b in blocks if b.kind != OUT)
+                held.append((page_id.as_py(), url.as_py(), host.as_py(), len(blocks), text.encode("utf-8", "surrogatepass")))
+                chars += len(page or "")
+                size += len(page or "") + PAGE_SIZE
+                if size >= group_bytes:
+                    yield emit(group, chars, held)
+                    group, held, size, chars = group + 1, [], 0, 0
+        if held:
+            yield emit(group, chars, held)
+
+    return read
 
 
-_SENT = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-_SENT_NAMES = ["grp", "host", "page_id", "url", "n_blocks", "ends", "packed"]
+_READ = {"grp": pa.int64(), "size": pa.int64(), "host": pa.list_(pa.string()), "page_id": pa.list_(pa.int64()), "url": pa.list_(pa.string()), "n_blocks": pa.list_(pa.int64()), "ends": pa.binary(), "packed": pa.binary()}
+READ = "grp long, size long, host array<string>, page_id array<long>, url array<string>, n_blocks array<long>, ends binary, packed binary"
 
 
 def extract(pages: DataFrame, run: int = RUN, least: int = PAGES, batch_tokens: int = BATCH_TOKENS, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES, range_entries: int = RANGE_ENTRIES) -> DataFrame:
     """Per row: page_id, url, text, n_blocks and n_repeated (blocks that repetition marks)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    ranges, groups = power_of_two(size / range_bytes, 8, 1 << 40), power_of_two(size / group_bytes, 8, 1 << 40)
-    rows = rows.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(groups)).cast("long"))
+    rows = rows.select("page_id", "url", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))).alias("host"), "html")
+    read = table_of(rows.mapInArrow(read_pages(group_bytes), READ))
+    size, groups = read.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    ranges = power_of_two(size / range_bytes, 8, 1 << 40)
+    # At most one host for each ``range_entries`` pages.
+    named = read.select(F.explode("host").alias("host")).groupBy("host").count()
+    large = frozenset(r["host"] for r in named.where(F.col("count") > range_entries).select("host").collect())
 
     def local(sent: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         known = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(expand(x), dtype=np.uint64) for x in runs["hashes"])])
@@ -624,12 +663,8 @@ def extract(pages: DataFrame, run: int = RUN, least: int = PAGES, batch_tokens:
         known, counts = known[order], counts[order]
         out = []
         for row in sent.itertuples(index=False):
-            whole, at = zstandard.ZstdDecompressor().decompress(row.packed) if len(row.packed) else b"", 0
-            read = []
-            for end in np.frombuffer(row.ends, "<i8"):
-                text, at = whole[at:end].decode("utf-8", "surrogatepass"), int(end)
-                read.append([Block(b[1:], int(b[0])) for b in text.split("\n")] if text else [])
-            for host, page_id, url, n, blocks, stream in zip(row.host, row.page_id, row.url, row.n_blocks, read, streams(read)):
+            blocks_read = unpack(row.ends, row.packed)
+            for host, page_id, url, n, blocks, stream in zip(row.host, row.page_id, row.url, row.n_blocks, blocks_read, streams(blocks_read)):
                 share, common = shares(stream, len(blocks), host, known, counts, run, least)
                 text, marked = unique_text(blocks, share, common)
                 out.append((None if page_id is None else int(page_id), url, text, int(n), marked))
@@ -637,16 +672,12 @@ def extract(pages: DataFrame, run: int = RUN, least: int = PAGES, batch_tokens:
         table["page_id"] = table["page_id"].astype("Int64")
         return table
 
-    sent = rows.select("grp", "host", "page_id", "url", "html").mapInArrow(send_pages, "grp long, host array<string>, page_id array<string>, url array<string>, n_blocks array<long>, ends binary, packed binary")
-    # At most one host for each RANGE_ENTRIES pages.
-    large = rows.groupBy("host").count().where(F.col("count") > range_entries).select("host", F.lit(True).alias("large"))
-    if large.isEmpty():
-        runs = shared_runs(rows, ranges, run, least, batch_tokens)
-    else:
-        rows = rows.join(F.broadcast(cut(large)), "host", "left")
-        runs = shared_runs(rows.where("large is null"), ranges, run, least, batch_tokens)
-        runs = runs.unionByName(shared_runs_of_large_hosts(rows.where("large"), ranges, run, least, batch_tokens, range_entries))
-    # As many tasks as there are groups, within what a driver can schedule.
-    tasks = min(groups, TASKS)
+    runs = shared_runs(read, large, ranges, run, least, batch_tokens)
+    if large:
+        runs = runs.unionByName(shared_runs_of_large_hosts(read, large, ranges, run, least, batch_tokens, range_entries))
+    # As many tasks as there are groups, within what a driver can schedule. Ids travel as text,
+    # which a list with nulls keeps exact.
+    tasks = min(max(groups, 1), TASKS)
+    sent = read.select("grp", "host", F.col("page_id").cast("array<string>").alias("page_id"), "url", "n_blocks", "ends", "packed")
     sent, runs = sent.repartition(tasks, "grp"), runs.repartition(tasks, "grp")
     return sent.groupBy("grp").cogroup(runs.groupBy("grp")).applyInPandas(local, "page_id long, url string, text string, n_blocks long, n_repeated long")

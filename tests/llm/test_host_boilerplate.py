@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm import host_boilerplate as hb
 
@@ -151,3 +152,16 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and (str(2**60 + 1), 3) in got and ("None", 0) in got
     assert [n for i, n in got if i == "2"] == [len(prose(1))] * 5
     assert hb.extract(pages.limit(0)).count() == 0
+
+
+def test_rows_alike_spread_over_groups(spark):
+    page = f"<body><p>{prose(7)}</p></body>"
+    alike = table(spark, [(1, "http://h.example/a", page)] * 200).select("page_id", "url", F.lit("h.example").alias("host"), "html")
+    groups = alike.mapInArrow(hb.read_pages(5 * (len(page) + hb.PAGE_SIZE)), hb.READ).select("grp", F.size("page_id").alias("n")).collect()
+    assert sum(g["n"] for g in groups) == 200 and max(g["n"] for g in groups) <= 5 and len({g["grp"] for g in groups}) == len(groups) >= 40
+
+
+def test_markup_is_read_once(spark, tmp_path):
+    table(spark, mixed_host(20)).write.parquet(str(tmp_path / "pages"))
+    found = hb.extract(spark.read.parquet(str(tmp_path / "pages")), **SMALL)
+    assert str(tmp_path) not in found._jdf.queryExecution().toString() and found.count() == 20
