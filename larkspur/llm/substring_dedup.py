@@ -12,7 +12,11 @@ out as sorted, byte-sliced, compressed blocks, one per hash bucket. A bucket's t
 merges its blocks, counts occurrences over all batches, and sends the removed
 starts, again as blocks, to the documents' buckets. There they meet the texts.
 The numbers of buckets follow the size of the texts, without a bound, so a task's share
-does not grow.
+does not grow. A batch dealt to very many buckets would make blocks of a few windows each,
+which cost more than the windows in them. Beyond ``ONE_LEVEL`` buckets it is dealt to ``COARSE``
+ranges of them, and what some tasks send to a range is put together, first occurrences again
+being kept alone, before it is dealt to the range's buckets. So a window moves twice, but in
+blocks of hundreds whatever the size.
 
 Two windows are equal if 88 bits of two independent rolling hashes are: among n distinct
 windows about n**2 / 2**89 pairs collide, one in six chances of a single pair in 10**13
@@ -46,6 +50,11 @@ WINDOW = 20
 BATCH_WORDS = 1_200_000
 HASH_BUCKET_BYTES = 16_000_000
 DOC_BUCKET_BYTES = 8_000_000
+#: Hash buckets up to which batches are dealt to them at once, and ranges of buckets beyond.
+ONE_LEVEL = 1 << 14
+COARSE = 1 << 11
+#: Bytes of text for each word, at least, when windows are estimated.
+WORD_BYTES = 6
 #: Texts that are compressed and sent together.
 SENT_ROWS = 2048
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -133,7 +142,11 @@ def blocks_of(ids: list[int], texts: list[int], hashes: list[tuple[np.ndarray, n
     doc = np.repeat(np.arange(len(ids)), lengths)
     start = np.concatenate([np.arange(n, dtype=np.uint32) for n in lengths])
     order = np.argsort(h, kind="stable")  # equal hashes stay in order of document and start
-    h, tag, doc, start = h[order], tag[order], doc[order], start[order]
+    return dealt(h[order], tag[order], doc[order], start[order], known_doc, known_text, buckets)
+
+
+def dealt(h: np.ndarray, tag: np.ndarray, doc: np.ndarray, start: np.ndarray, known_doc: np.ndarray, known_text: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """The blocks of windows ordered by hash; ``doc`` is the document's place among the known ones."""
     # Equal hashes of unequal windows only lose their neighbourhood here: the bucket's task looks again.
     first = np.r_[True, (h[1:] != h[:-1]) | (tag[1:] != tag[:-1])]
     here = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
@@ -150,6 +163,38 @@ def blocks_of(ids: list[int], texts: list[int], hashes: list[tuple[np.ndarray, n
         )
 
 
+def read_blocks(pdf) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(hash, tag, document, text, start) of the windows of blocks, and (document, text, start) of the starts that are gone."""
+    kept, gone = [], []
+    for row in pdf.itertuples(index=False):
+        gone.append(documents_of(row.gone_docs, row.gone_texts, row.gone_starts))
+        packed = expand(row.places)
+        place = (packed >> np.uint64(32)).astype(np.int64)
+        h, tag = np.cumsum(expand(row.hashes)).astype(np.uint64), expand(row.tags).astype(np.uint32)
+        doc, text = np.cumsum(expand(row.docs)).astype(np.uint64)[place], expand(row.texts).astype(np.uint32)[place]
+        kept.append((h, tag, doc, text, (packed & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
+    return [np.concatenate(x) for x in zip(*kept)], [np.concatenate(x) for x in zip(*gone)]
+
+
+def deal_again(pdf, buckets: int):
+    """The blocks of a range of buckets put together, first occurrences kept, and dealt to its buckets."""
+    import pandas as pd
+
+    (h, tag, doc, text, start), gone = read_blocks(pdf)
+    order = np.lexsort((text, doc.view(np.int64)))
+    new = np.r_[True, (doc[order][1:] != doc[order][:-1]) | (text[order][1:] != text[order][:-1])]
+    which = np.empty(len(doc), np.int64)
+    which[order] = np.cumsum(new) - 1
+    known_doc, known_text = doc[order][new], text[order][new]
+    order = np.lexsort((start, which, tag, h))
+    out = [list(block) for block in dealt(h[order], tag[order], which[order], start[order], known_doc, known_text, buckets)]
+    # Starts that are gone already have no hash any more; they go with any of the blocks, not always the first.
+    carrier = out[int(pdf["salt"].iloc[0]) % len(out)]
+    more = documents_of(*carrier[6:])
+    carrier[6:] = starts_by_document(*(np.concatenate(x) for x in zip(more, gone)))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in BLOCK.split(", ")])
+
+
 def starts_by_document(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes, bytes]:
     order = np.lexsort((start, text, doc))
     return squeeze(steps(doc[order])), squeeze(text[order]), squeeze(start[order])
@@ -277,7 +322,7 @@ def _apply(window: int):
     return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, batch_words: int = BATCH_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, batch_words: int = BATCH_WORDS, one_level: int = ONE_LEVEL, coarse: int = COARSE) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept (words joined by a space), intervals."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -287,7 +332,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, batch_words: int = BATCH_WORDS)
     texts = texts.withColumn("shared", F.lit(False)) if several.isEmpty() else texts.join(several.withColumn("shared", F.lit(True)), "doc_id", "left")
     buckets = power_of_two(size / HASH_BUCKET_BYTES, 16, 1 << 48)
     dests = power_of_two(size / DOC_BUCKET_BYTES, 16, 1 << 39)
-    blocks = texts.mapInArrow(_hash_batches(window, buckets, batch_words), BLOCK)
+    if buckets <= one_level:
+        blocks = texts.mapInArrow(_hash_batches(window, buckets, batch_words), BLOCK)
+    else:
+        # What a task sends goes one way whatever its batches are, so that it may be run again.
+        salts = 1 + int(size / WORD_BYTES / batch_words / coarse)
+        ranges = texts.mapInArrow(_hash_batches(window, coarse, batch_words), BLOCK).withColumn("salt", F.spark_partition_id() % salts)
+        blocks = ranges.groupBy("bucket", "salt").applyInPandas(lambda pdf: deal_again(pdf, buckets), BLOCK)
     gone = blocks.groupBy("bucket").applyInPandas(lambda pdf: _merge(pdf, dests), "dest long, gone_docs binary, gone_texts binary, gone_starts binary")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -447,6 +447,8 @@ def test_substring_dedup_equals_brute_force(spark):
     rows += [(100 + i, rows[10][1]) for i in range(5)] + [(200, " ".join(["same"] * 200))]
     check_dedup(spark, rows)
     check_dedup(spark, rows, batch_words=300)
+    check_dedup(spark, rows, batch_words=300, one_level=8, coarse=4)
+    check_dedup(spark, rows, batch_words=40, one_level=8, coarse=1)
 
 
 def test_substring_dedup_on_driver_rows(spark):
@@ -457,8 +459,35 @@ def test_substring_dedup_on_driver_rows(spark):
 def test_rows_of_one_id_with_different_texts_are_different_documents(spark):
     a, k = " ".join(f"a{i}" for i in range(60)), " ".join(f"k{i}" for i in range(60))
     rows = [(1, a), (2, a), (2, k), (2, k), (3, k + " end"), (None, k), (None, a + " x")]
-    out = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(documents(spark, [(i, t, None, None) for i, t in rows])).collect())
-    assert out == Counter([(1, 60, 0), (2, 60, 60), (2, 60, 0), (2, 60, 0), (3, 61, 60), (None, 60, 60), (None, 61, 60)])
+    for kw in ({}, dict(batch_words=50, one_level=8, coarse=4)):
+        out = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(documents(spark, [(i, t, None, None) for i, t in rows]), **kw).collect())
+        assert out == Counter([(1, 60, 0), (2, 60, 60), (2, 60, 0), (2, 60, 0), (3, 61, 60), (None, 60, 60), (None, 61, 60)])
+
+
+def test_blocks_cost_no_more_at_ten_terabytes():
+    """Bytes a window, a row's own included, of 2**20 buckets in two levels against those of 30 GB."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    names = [x.split()[0] for x in substring_dedup.BLOCK.split(", ")]
+
+    def cost(blocks, n):
+        return sum(136 + sum(map(len, row[1:])) for row in blocks) / n
+
+    def batch(ids, n, top=None):
+        def hashes():
+            h = rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1)
+            return h if top is None else (h >> np.uint64(11)) | (np.uint64(top) << np.uint64(53))
+
+        return substring_dedup.blocks_of(ids, [0] * len(ids), [(hashes(), rng.integers(0, 1 << 24, n).astype(np.uint32)) for _ in ids], substring_dedup.COARSE)
+
+    at_once = cost(batch(list(range(3000)), 400), 1_200_000)
+    # A range's part of a batch is 586 windows: one document in six gives one.
+    held = [row for i in range(1000) for row in batch(sorted(rng.choice(3000, 586, False) + 3000 * i), 1, top=5)]
+    again = substring_dedup.deal_again(pd.DataFrame(held, columns=names).assign(salt=3), 1 << 20)
+    assert again["bucket"].nunique() == 512 and set(again["bucket"] // 512) == {5}
+    costs = cost(held, 586_000), cost(again.itertuples(index=False, name=None), 586_000)
+    assert max(costs) < 1.2 * at_once, (costs, at_once)
 
 
 def test_equal_first_hashes_do_not_make_windows_equal(monkeypatch):
