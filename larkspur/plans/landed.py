@@ -195,9 +195,9 @@ def landed_files(spark, sf_dir):
     """Raw pages in files named as collectors name them, a file an event; read without listing them on the driver."""
     root = folder(spark)
     named = F.concat(F.lit("feed_run"), (F.col("user_id") % 4 + 1).cast("string"), F.lit("_page"), F.col("event_id").cast("string"), F.lit("_x"))
-    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("value"), named.alias("name"), (F.col("event_id") % 64).alias("part"))
-    # A folder stands for a file here: one task writes the pages of one part.
-    events.repartition("part").select("name", "part", "value").write.partitionBy("part").json(root)
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("value"), named.alias("name"))
+    # A line stands for a file here, under the file's name; tasks write what they read.
+    events.select("name", "value").write.json(root)
     text = spark.read.schema("name string, value string").json(root)
     page, run = F.regexp_extract("name", r"_page(\d+)_", 1).cast("long"), F.regexp_extract("name", r"_run(\d+)_", 1).cast("long")
     return text.select(page.alias("event_id"), run.alias("run"), page.alias("page"), F.col("value").alias("payload"))
