@@ -4,6 +4,7 @@ from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql.types import StructType
 
 from larkspur.operators import collect
@@ -104,3 +105,32 @@ def test_a_batch_may_come_in_pieces_and_out_of_order():
     (out,) = made.handleInputRows(("a",), iter(pieces), None)
     assert out["seq"].tolist() == [0, 1, 2, 3, 4] and out["x"].tolist() == ["x0", "x1", "x2", "x3", "x4"]
     assert made.taken.value == (5,) and not list(made.handleInputRows(("a",), iter(pieces), None))
+
+
+class HeldMap:
+    """A map state in memory."""
+
+    def __init__(self):
+        self.values = {}
+
+    def getValue(self, key):
+        return self.values.get(key)
+
+    def updateValue(self, key, value):
+        self.values[key] = value
+
+
+def test_a_call_takes_a_bucket_of_ids():
+    made = acceptance.FirstWins("seq", "page", ["review_id", "page", "seq"], None)
+    made.first, arrived = HeldMap(), Row("review_id", "page", "seq", acceptance.ID)
+    landings = [[("a", 7, 3), ("b", None, 1), ("a", 2**53 + 1, 2)], [("b", 5, 9), ("c", 6, 8), ("b", 4, 7)]]
+    got = [[tuple(r) for r in made.handleInputRows((0,), iter([arrived(*r, r[0]) for r in rows]), None)] for rows in landings]
+    assert got[0] == [("b", None, 1, False, 1, None, 1), ("a", 2**53 + 1, 2, False, 2, 2**53 + 1, 1), ("a", 7, 3, True, 2, 2**53 + 1, 2)]
+    assert got[1] == [("b", 4, 7, True, 1, None, 2), ("c", 6, 8, False, 8, 6, 1), ("b", 5, 9, True, 1, None, 3)]
+
+
+def test_pages_stay_whole_beside_absent_ones(spark, tmp_path):
+    """Numbers beyond 2 to the 53 do not pass through floats."""
+    far = 2**53 + 1
+    got = stream_of(spark, tmp_path, [[("1", "a", far, 1), ("1", "a", None, 2)]], lambda s: acceptance.with_repeats(s, ["app", "review_id"])).collect()
+    assert sorted((r["seq"], r["page"], r["is_repeat"], r["first_page"]) for r in got) == [(1, far, False, far), (2, None, True, far)]
