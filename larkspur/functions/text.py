@@ -1,8 +1,9 @@
 """Text columns: presence, normalisation, counts, scripts, topics, weak labels.
 
-ASCII text is normalised in the JVM. Only other text crosses to Python, where Unicode
-normalisation and case folding live: the Python side gets null for ASCII rows, so a
-mostly ASCII corpus ships next to nothing.
+Text of common letters (``PLAIN``) is normalised in the JVM. Only other text crosses to
+Python, where Unicode normalisation and case folding live: the Python side gets null for
+plain rows, so a mostly plain corpus ships next to nothing. What does cross stays in Arrow,
+a few texts at a time apart, so a task's Python holds a batch's bytes and no objects of it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import re
 import unicodedata
 from functools import cache, reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,13 @@ JAVA_WORD = rf"{LETTER_OR_DIGIT}++(?:['’]{LETTER_OR_DIGIT}++)*+"
 #: ASCII white space that is not one plain space already.
 ODD_SPACE = r"[\x09-\x0d\x1c-\x1f\x20]{2,}|[\x09-\x0d\x1c-\x1f]"
 
+#: Characters that NFC and NFKC leave alone, that combine with none of their kind, and whose case
+#: folding is their lower case, ``ß`` apart: ASCII, Latin and Cyrillic letters, common
+#: punctuation, kana, common ideographs, Hangul syllables.
+PLAIN = r"\x00-\x7f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u012f\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0400-\u045f\u2012-\u2015\u2018-\u2022\u20ac\u3001\u3002\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+#: Texts that leave Arrow together.
+PIECE = 64
+
 
 def is_present(col: Column) -> Column:
     """Neither null nor NaN nor blank."""
@@ -47,28 +55,44 @@ def is_ascii(col: Column) -> Column:
     return F.octet_length(col) == F.length(col)
 
 
+def is_plain(col: Column) -> Column:
+    # The range in front spares ASCII characters the walk through the others.
+    return is_ascii(col) | ~col.rlike(rf"[\x{{80}}-\x{{10ffff}}&&[^{PLAIN}]]")
+
+
+def lowered(col: Column) -> Column:
+    """The case folding of plain text."""
+    return F.replace(F.lower(col), F.lit("ß"), F.lit("ss"))
+
+
+def text_by_text(f, returns: T.DataType):
+    """An Arrow function of one text, null for null."""
+    kind, size = {"string": pa.string(), "bigint": pa.int64()}[returns.simpleString()], PIECE
+
+    @F.arrow_udf(returns)
+    def run(texts: pa.Array) -> pa.Array:
+        if texts.null_count == len(texts):
+            return pa.nulls(len(texts), kind)
+        pieces = (texts.slice(i, size).to_pylist() for i in range(0, len(texts), size))
+        return pa.concat_arrays([pa.array([None if t is None else f(t) for t in piece], kind) for piece in pieces])
+
+    return run
+
+
 @cache
 def normalizer(form: str, fold: bool, collapse: bool, trim: bool):
     """The Arrow function that does what the JVM has no built-in for."""
 
     def clean(text):
-        if text is None:
-            return None
         text = unicodedata.normalize(form, text)
         text = text.casefold() if fold else text
         text = " ".join(text.split()) if collapse else text
         return text.strip() if trim else text
 
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(clean, na_action="ignore")
-
-    return run
+    return text_by_text(clean, T.StringType())
 
 
-@F.pandas_udf(T.StringType())
-def casefold_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t.strip().casefold(), na_action="ignore")
+casefold_udf = text_by_text(lambda text: text.strip().casefold(), T.StringType())
 
 
 def normalized(col: Column, rules: Rules) -> Column:
@@ -76,22 +100,21 @@ def normalized(col: Column, rules: Rules) -> Column:
     how = rules.section("text_normalization")
     fold, collapse, trim = (bool(how.get(k, True)) for k in ("casefold", "collapse_whitespace", "trim"))
     text = F.coalesce(blank_to_null(col).cast("string"), F.lit(""))
-    plain = F.lower(text) if fold else text
+    plain = lowered(text) if fold else text
     if collapse:
         plain = F.trim(F.regexp_replace(plain, ODD_SPACE, " "))
     elif trim:
         plain = strip(plain)
-    other = normalizer(how["unicode_form"], fold, collapse, trim)(F.when(~is_ascii(text), text))
-    return F.when(is_ascii(text), plain).otherwise(other)
+    # Null from Python stands for a text that did not go there.
+    return F.coalesce(normalizer(how["unicode_form"], fold, collapse, trim)(F.when(~is_plain(text), text)), plain)
 
 
 def casefolded(col: Column) -> Column:
     """Scope keys: trimmed and case-folded, without Unicode normalisation."""
     text = F.coalesce(blank_to_null(col).cast("string"), F.lit(""))
-    folded = F.when(is_ascii(text), F.lower(strip(text))).otherwise(casefold_udf(F.when(~is_ascii(text), text)))
     # Never null, and the optimizer knows: as a join key it then needs no filter that would
     # evaluate the function once more.
-    return F.coalesce(folded, F.lit(""))
+    return F.coalesce(casefold_udf(F.when(~is_plain(text), text)), lowered(strip(text)), F.lit(""))
 
 
 def word_count(text: Column, rules: Rules) -> Column:
@@ -100,12 +123,9 @@ def word_count(text: Column, rules: Rules) -> Column:
     if pattern == DEFAULT_WORD:
         return F.regexp_count(text, F.lit(JAVA_WORD)).cast("long")
 
-    @F.pandas_udf(T.LongType())
-    def count(texts: pd.Series) -> pd.Series:
-        word = re.compile(pattern)
-        return texts.map(lambda t: sum(1 for _ in word.finditer(t)) if t else 0)
-
-    return count(text)
+    word = re.compile(pattern)
+    count = text_by_text(lambda t: sum(1 for _ in word.finditer(t)), T.LongType())
+    return F.coalesce(count(text), F.lit(0))
 
 
 def script_consistent(text: Column, language: Column, rules: Rules) -> Column:

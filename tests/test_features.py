@@ -1,11 +1,16 @@
 import hashlib
 import json
+import re
+import tracemalloc
+import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur import rules as rule_files
-from larkspur.functions import is_present, normalized, safe_double, strict_timestamp, topic_signal, weak_sentiment
+from larkspur.functions import casefolded, is_present, normalized, safe_double, strict_timestamp, topic_signal, weak_sentiment
+from larkspur.functions.text import PLAIN, is_plain, normalizer
 from larkspur.operators import features
 from larkspur.schema import FEATURE_COLUMNS, text_schema
 from larkspur.sources import files, sinks
@@ -218,3 +223,29 @@ def test_sql_functions_are_expressions(spark):
     spark.createDataFrame([(1, page), (2, None), (3, page + page.replace("-z", "-y"))], "page_id long, payload string").createOrReplaceTempView("captures")
     rows = spark.sql("SELECT page_id, review_id, title FROM parse_review_pages(TABLE(SELECT page_id, payload FROM captures))").collect()
     assert sorted(map(tuple, rows)) == [(1, "z", "T"), (3, "y", "T"), (3, "z", "T")]
+
+
+def test_plain_letters_are_normalized_as_python_does(spark):
+    """Each by itself, and beside what would combine with it, which makes a text no plain one."""
+    plain = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if re.match(f"[{PLAIN}]", c)]
+    assert not [c for c in plain if c > "\x7f" and (unicodedata.combining(c) or c.isspace())]
+    texts = [f"A {c} {c}B" for c in plain] + ["e\u0301 A", "\u304b\u3099", "\uac00\u11a8", "\u1e9e", "\u03a3\u03a3 ", "\u0130", "\U0001f600 ok"]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    for form in ("NFKC", "NFC"):
+        how = rule_files.check(rule_files.DEFAULT | {"text_normalization": rule_files.DEFAULT["text_normalization"] | {"unicode_form": form}})
+        got = {r[0]: (r[1], r[2]) for r in rows.select("v", normalized(F.col("v"), how), casefolded(F.col("v"))).collect()}
+        want = {t: (" ".join(unicodedata.normalize(form, t).casefold().split()), t.strip().casefold()) for t in texts}
+        assert got == want
+
+
+def test_python_gets_no_plain_text_and_holds_no_batch_as_objects(spark):
+    latin = "Größe d’été, señor — ЁЖ 大 が 가"
+    assert one(spark, latin, is_plain) and not one(spark, "Σ", is_plain, "string")
+    batch = pa.array(["Σίσυφος " * 1000] * 2000)  # 16 million characters
+    tracemalloc.start()
+    try:
+        out = normalizer("NFKC", True, True, True).func(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(out) == 2000 and out[1999].as_py() == " ".join(["σίσυφοσ"] * 1000) and peak < 8e6
