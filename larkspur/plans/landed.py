@@ -20,7 +20,7 @@ from ..functions.sql import register_sql
 from ..functions.numbers import safe_double, safe_long
 from ..operators import compare, eda, features, findings, html_reviews, parse_fields, quality, sample
 from ..rules import DEFAULT, check
-from ..session import shared_folder
+from ..session import shared_folder, table_of
 from ..sources import feeds, files, landed, sinks
 from ..sources.http import PoliteClient
 from ..streaming import acceptance
@@ -183,7 +183,9 @@ def feature_files(spark, sf_dir):
     rows = full(reviews(spark, sf_dir)).withColumn(files.ROW, F.col("review_id").cast("long"))
     made = features.generate(rows, rules(), keep=[files.ROW])
     at = sinks.write_features(made, root, "all reviews", order=files.ROW)
+    kept = ["review_id", "review_text_character_count", "low_signal_text", "review_age_days", "repeated_review_body_fingerprint", "weak_sentiment_label"]
     back = files.numbered(files.features(spark, str(at / "review_features.csv")).withColumn("file", F.col("_metadata.file_path")).withColumn("block", F.col("_metadata.file_block_start")))
+    back = table_of(back.select("file", "block", files.ROW, *kept))  # the files are parsed once
     per = back.groupBy("file", "block").agg(F.count("*").alias("rows")).withColumn("before", F.sum("rows").over(Window.orderBy("file", "block")) - F.col("rows"))  # a row a split
     nth = F.row_number().over(Window.partitionBy("file", "block").orderBy(files.ROW))
     placed = back.withColumn("nth", nth).join(per, ["file", "block"])

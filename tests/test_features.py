@@ -249,3 +249,20 @@ def test_python_gets_no_plain_text_and_holds_no_batch_as_objects(spark):
     finally:
         tracemalloc.stop()
     assert len(out) == 2000 and out[1999].as_py() == " ".join(["σίσυφοσ"] * 1000) and peak < 8e6
+
+
+def test_features_are_made_once_for_all_files(spark, tmp_path):
+    """Two files, each sorted, and each sort with a sample: none of them makes the rows again."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        made.add(1)
+        return -i
+
+    rows = spark.range(500).repartition(3).select(F.col("id").cast("string").alias("review_id"), counted("id").alias("at"))
+    folder = sinks.write_features(rows, str(tmp_path), "once", order="at")
+    assert made.value == 500 and not (tmp_path / f"{folder.name}-made").exists()
+    back = [spark.read.csv(str(folder / "review_features.csv"), header=True), spark.read.json(str(folder / "review_features.jsonl"))]
+    assert [[int(r["review_id"]) for r in b.collect()] for b in back] == [list(range(499, -1, -1))] * 2
+    assert [p.name for p in tmp_path.iterdir()] == ["once"]
