@@ -13,8 +13,10 @@ broadcast runs stay under 140,000 small rows at any corpus size.
 
 Ranks do not come from one window per length: pieces are numbered where they are made and
 written once with their numbers, fall into buckets by a hash of these, bucket counts give
-each bucket its first rank, and windows run inside buckets. Neither ids nor texts decide
-the bucket, so rows without an id and copies spread like any others.
+each bucket its first rank, and windows run inside buckets. Each length has buckets by its own
+number of pieces: full pieces, which most ids are in, have many small ones, so that no task
+gets several large ones. Neither ids nor texts decide the bucket, so rows without an id and
+copies spread like any others.
 
 Defined cases: a null text is empty and becomes the end id alone; very long texts
 are cut, the first piece being the shorter one; rows repeated in the input are
@@ -26,6 +28,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,8 @@ from .common import cut, digest_ids, power_of_two
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces of one length in one rank bucket, about.
-BUCKET_ROWS = 20_000
+#: Pieces of one length in one rank bucket, about; with the ids of a full piece, 8 MB.
+BUCKET_ROWS = 2_000
 #: Ids held back before an Arrow batch goes out.
 BATCH_IDS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -55,14 +58,13 @@ class Encoder:
     With ``ranks`` (the same vocabulary as a rank file) and its split ``pattern``,
     texts of settled characters without endless white space take the quicker library;
     the ids are equal, which the tests hold. Any other text, and any that holds an added
-    token of the vocabulary (such as ``<|endoftext|>``), goes to ``tokenizers``.
+    token of the vocabulary (such as ``<|endoftext|>``), goes to ``tokenizers``, which
+    is kept only from the first such text on.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.slow.get_added_tokens_decoder().values()]
+        self.path = path
+        added = [re.escape(t.content) for t in self.load().get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or r"(?!)", re.I)
         self.fast = None
         if ranks:
@@ -72,6 +74,15 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("settled", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    def load(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def slow(self):
+        return self.load()
+
     def __call__(self, text: str) -> np.ndarray:
         if self.fast and SETTLED.fullmatch(text) and not self.added.search(text) and not (len(text) >= BLANK and LONG_BLANK.search(text)):
             return np.asarray(self.fast.encode_ordinary(text), dtype="<u4")
@@ -182,8 +193,9 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     pieces = cut(pieces.withColumn("__row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs = plan(histogram, capacity)
-    buckets = power_of_two(max(histogram.values(), default=1) / BUCKET_ROWS, 16, 1 << 20)
-    salted = pieces.withColumn("__bucket", digest_ids("__row") % buckets)
+    dealt = [(length, power_of_two(n / BUCKET_ROWS, 16, 1 << 20)) for length, n in histogram.items()]
+    dealt = spark.createDataFrame(dealt, "length long, __buckets long")
+    salted = pieces.join(F.broadcast(dealt), "length").withColumn("__bucket", digest_ids("__row") % F.col("__buckets")).drop("__buckets")
     firsts = salted.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     firsts = firsts.withColumn("__first", F.sum("__n").over(Window.partitionBy("length").orderBy("__bucket")) - F.col("__n")).drop("__n")
     inside = Window.partitionBy("length", "__bucket").orderBy("__row")

@@ -39,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: Bounds of the training sample and of the model: documents, documents of a label that a
 #: sample over many labels still holds, labels (the most frequent ones; None learns every
 #: label), feature dimensions.
@@ -86,7 +88,7 @@ def family_of(lang: str) -> str:
 @cache
 def letters() -> np.ndarray:
     """For each code point, itself if it is a letter, else a space."""
-    return np.array([c if chr(c).isalpha() else 32 for c in range(0x110000)], dtype=np.uint32)
+    return np.fromiter((c if chr(c).isalpha() else 32 for c in range(0x110000)), np.uint32, 0x110000)
 
 
 def features(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray | None:
@@ -325,14 +327,9 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def keep_known(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs``, all columns, without documents of no language or none that was learned."""
 
-    @F.pandas_udf("boolean")
-    def known(texts):
-        import pandas as pd
-
-        out = []
-        for at in range(0, len(texts), 256):
-            langs, scores = model.predict(list(texts.iloc[at : at + 256]))
-            out += [lang != UNKNOWN and score >= min_score for lang, score in zip(langs, scores)]
-        return pd.Series(out, index=texts.index)
+    @F.arrow_udf("boolean")
+    def known(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in pieces(batches):
+            yield pa.array([lang != UNKNOWN and score >= min_score for lang, score in zip(*model.predict(texts))], pa.bool_())
 
     return docs.where(known(F.col("text").cast("string")))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "secret", "ssn")
 KINDS = BASE + ADDED
@@ -220,8 +222,9 @@ def redact_text(text: str | None, min_score: float = MIN_SCORE) -> str | None:
 
 def redact(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs``, all columns, with personal data replaced in ``text``."""
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: redact_text(t, min_score))
+    @F.arrow_udf("string")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in pieces(batches):
+            yield pa.array([redact_text(t, min_score) for t in texts], pa.string())
 
     return docs.withColumn("text", clean(F.col("text").cast("string")))

@@ -1,9 +1,11 @@
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -800,3 +802,61 @@ def test_sql_agrees(spark, name):
     names = [c[0] for c in con.description]
     got = queries.queries()[name](spark, SF).select(*names).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_packing_deals_full_pieces_into_small_buckets(spark, monkeypatch):
+    """Each length by its own number of pieces: eight of ten here are full, none of their buckets large."""
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 8, 64).otherwise(F.col("id") % 7 + 1).cast("long").alias("length"))
+    asked, real = [], best_fit_packing.power_of_two
+    monkeypatch.setattr(best_fit_packing, "power_of_two", lambda *a: asked.append(real(*a)) or asked[-1])
+    out = best_fit_packing.assign(rows, 64).collect()
+    assert len(asked) == 8 and 80_000 / max(asked) <= 2_000 and min(asked) == 16
+    assert sorted(r["doc_id"] for r in out) == list(range(100_000))
+    ends = {}
+    for sequence, offset, length in sorted((r["sequence_id"], r["offset"], r["length"]) for r in out):
+        assert offset == ends.get(sequence, 0)  # gapless
+        ends[sequence] = offset + length
+    assert max(ends.values()) <= 64
+
+
+def test_pipeline_functions_hold_no_batch_as_objects(monkeypatch):
+    """One Arrow batch of 8,000 texts: what stands beside it in Python is a few texts and results."""
+    made = []
+
+    class Held(Exception):
+        pass
+
+    def hold(kind):
+        def keep(f):
+            made.append(f)
+            raise Held
+
+        return keep
+
+    monkeypatch.setattr(F, "arrow_udf", hold)
+    texts = ["write to someone@example.org, all of you, " + "und der die das " * 150] * 8_000  # 19 MB
+
+    class Known:
+        def predict(self, found):
+            return ["de"] * len(found), [1.0] * len(found)
+
+    for call in (lambda: pii.redact(None), lambda: language_id.keep_known(None, Known())):
+        with pytest.raises(Held):
+            call()
+    batch = pa.array(texts)
+    for f in made:
+        tracemalloc.start()
+        try:
+            n = sum(len(x) for x in f(iter([batch])))
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert n == 8_000 and peak < 6e6
+
+
+def test_settled_texts_keep_no_second_tokenizer():
+    fast = best_fit_packing.Encoder(*best_fit_packing.public_vocabulary())
+    settled = fast("a text of common letters")
+    assert "slow" not in vars(fast)
+    assert list(fast("大 and <|endoftext|>")) == list(best_fit_packing.Encoder(best_fit_packing.public_vocabulary()[0])("大 and <|endoftext|>"))
+    assert "slow" in vars(fast) and list(settled) == list(fast.slow.encode("a text of common letters", add_special_tokens=False).ids)
